@@ -84,8 +84,8 @@ class Draws:
         parts = []
         for i in range(n):
             u = self.u(k if i < per_draw else f"{k}.{i // per_draw}")
-            digit = F.expr("1 + 0") if base == 1 else _div(u, base ** (i % per_draw)) % F.lit(base) + F.lit(1)
-            parts.append(F.substring(F.lit(alphabet), digit.cast("int"), F.lit(1)))
+            at = _div(u, base ** (i % per_draw)) % F.lit(base) + F.lit(1)
+            parts.append(F.substring(F.lit(alphabet), at.cast("int"), F.lit(1)))
         return parts[0] if n == 1 else F.concat(*parts)
 
 
