@@ -26,5 +26,18 @@ def magnitude_label(amount: Column) -> Column:
     """``$1.25T``, ``$3.00B``, ``$9.99M``, else two decimals; NULL is a dash."""
     label = F.when(amount.isNull(), "—")
     for bound, suffix in MAGNITUDES:
-        label = label.when(amount >= bound, F.format_string("$%.2f" + suffix, amount / bound))
+        label = label.when(amount >= bound, F.concat(F.lit("$"), two_places(amount / bound), F.lit(suffix)))
     return label.otherwise(F.concat(F.lit("$"), F.format_number(amount, 2)))
+
+
+def two_places(x: Column) -> Column:
+    """Two decimals of a number >= 1, rounded from its exact binary value (2.675 is below the tie: 2.67).
+
+    Up to 2**11 the number times 2**52 is a whole 64-bit integer, so the rounding is exact.
+    """
+    scaled = (x * F.lit(float(1 << 52))).cast("bigint").cast("decimal(20,0)")
+    tie = F.lit(1 << 51).cast("decimal(20,0)")
+    cents = F.call_function("div", scaled * F.lit(100) + tie, F.lit(1 << 52).cast("decimal(20,0)"))
+    whole = F.call_function("div", cents, F.lit(100))
+    exact = F.concat(whole.cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when(x < F.lit(2048.0), exact).otherwise(F.format_string("%.2f", x))

@@ -11,16 +11,18 @@ HOT_SHARE = 256  # a key is hot when it holds more than 1/256 of the rows, so at
 SALTS = 64
 
 
-def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, wanted: dict[str, Column]) -> DataFrame:
+def lookup(
+    df: DataFrame, key: str, table: DataFrame, table_key: str, wanted: dict[str, Column], broadcast_rows: int = 200_000
+) -> DataFrame:
     """``df`` with ``wanted`` columns of ``table``; every row of ``df`` is kept exactly once.
 
-    ``table`` must have one row per key. Measured small, it is broadcast and nothing is shuffled.
+    ``table`` must have one row per key. Measured small (at most ``broadcast_rows``), it is broadcast and nothing is shuffled.
     Otherwise both sides shuffle by key, and rows of hot keys are first spread over ``SALTS`` tasks.
     """
     right = table.select(F.col(table_key).alias("_lookup_key"), *[c.alias(f"_found_{n}") for n, c in wanted.items()])
     right = right.where(F.col("_lookup_key").isNotNull())
     found = [F.col(f"_found_{name}").alias(name) for name in wanted]
-    if fits_broadcast(right):
+    if broadcast_rows and fits_broadcast(right, broadcast_rows):
         joined = df.join(F.broadcast(right), F.col(key) == F.col("_lookup_key"), "left")
         return joined.select(*df.columns, *found)
 
@@ -33,8 +35,9 @@ def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, wanted: di
         "_salt", F.when(F.col("_hot_key").isNotNull() | F.col(key).isNull(), spread).otherwise(F.lit(0)).cast("bigint")
     )
     salts = F.when(F.col("_hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salts = salts.cast("array<bigint>")
     salted = right.join(hot, F.col("_lookup_key") == F.col("_hot_key"), "left").select(
-        *right.columns, F.explode(salts).cast("bigint").alias("_right_salt")
+        *right.columns, F.explode(salts).alias("_right_salt")
     )
     match = (F.col(key) == F.col("_lookup_key")) & (F.col("_salt") == F.col("_right_salt"))
     return left.join(salted, match, "left").select(*df.columns, *found)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tableloom.sources.reserved import RESERVED_WORDS
+from tableloom.sources.reserved import RESERVED_WORDS, TYPE_FUNCTION_WORDS
 
 # Tried in this order; a column takes the first type that all its non-NULL values fit.
 _TYPES = ("boolean", "bigint", "double", "date", "timestamp_ntz")
@@ -21,16 +23,21 @@ _SHAPES = {
 }
 
 
-def normalize_names(names: list[str]) -> list[str]:
+def normalize_names(names: list[str], keywords: Collection[str] = RESERVED_WORDS | TYPE_FUNCTION_WORDS) -> list[str]:
     """Header names as identifiers: lower case, accents and punctuation dropped, spaces to ``_``.
 
-    A leading digit or a reserved word gets a leading ``_``; repeated names are numbered.
+    A leading digit or a keyword gets a leading ``_``, a blank name becomes ``column`` and its place,
+    and repeated names are numbered.
     """
     made: list[str] = []
-    for raw in names:
-        plain = "".join(ch for ch in unicodedata.normalize("NFKD", raw) if not unicodedata.combining(ch))
-        name = re.sub(r"[^a-z0-9_]", "", re.sub(r"\s+", "_", plain.strip().lower()))
-        if not name or name[0].isdigit() or name in RESERVED_WORDS:
+    width = len(str(max(0, len(names) - 1)))
+    for place, raw in enumerate(names):
+        plain = "".join(ch for ch in unicodedata.normalize("NFKD", raw or "") if not unicodedata.combining(ch))
+        kept = re.sub(r"[^a-z0-9_\s]", "", plain.lower()).strip()
+        name = re.sub(r"\s+", "_", kept)
+        if not (raw or "").strip():
+            name = f"column{place:0{width}d}"
+        elif not name or name[0].isdigit() or name in keywords:
             name = "_" + name
         unique, n = name, 0
         while unique in made:
@@ -48,10 +55,13 @@ def import_csv(spark: SparkSession, path: str, max_rows: int | None = None, sep:
     """
     if max_rows is not None and max_rows <= 0:
         raise ValueError(f"invalid max_rows: {max_rows}")
-    reader = spark.read.option("header", True).option("sep", sep).option("mode", "DROPMALFORMED")
+    reader = spark.read.option("sep", sep).option("quote", '"').option("escape", '"')
+    header = reader.csv(path).first()
+    if header is None:
+        raise ValueError(f"no header line in {path}")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in normalize_names(list(header))])
     # all fields of a line are parsed, so a short line is noticed whatever columns are asked for
-    text = reader.option("columnPruning", False).option("quote", '"').option("escape", '"').csv(path)
-    text = text.toDF(*normalize_names(text.columns))
+    text = reader.option("header", True).option("mode", "DROPMALFORMED").option("columnPruning", False).schema(schema).csv(path)
     if max_rows is not None:
         text = text.limit(max_rows)
     return settle_types(text)

@@ -1,4 +1,4 @@
-"""Reserved SQL words that may not be used bare as column names."""
+"""Words that may not be used bare as column names."""
 
 # Reserved words of the SQL dialect whose header clean-up we match.
 RESERVED_WORDS = set(
@@ -8,3 +8,10 @@ RESERVED_WORDS = set(
     "primary qualify references returning select show some summarize symmetric table then to trailing true union unique "
     "unpivot using variadic when where window with".split()
 )
+
+# Words of that dialect reserved for type and function names.
+TYPE_FUNCTION_WORDS = set(
+    "anti asof at authorization binary by collation columns concurrently cross freeze full generated glob ilike inner "
+    "is isnull join left like map natural notnull outer overlaps positional right semi similar struct tablesample "
+    "try_cast tuple unpack verbose".split()
+)

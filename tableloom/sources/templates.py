@@ -22,7 +22,7 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
 
     Numbers that cannot be read become NULL; absent attributes take their defaults.
     """
-    raw = spark.read.format("xml").option("rowTag", "template").schema(_SCHEMA).load(path)
+    raw = spark.read.format("xml").option("rowTag", "template").option("useLegacyXMLParser", True).schema(_SCHEMA).load(path)
     return raw.select(
         F.coalesce("_name", F.lit("Untitled")).alias("name"),
         F.coalesce("_category", F.lit("General")).alias("category"),

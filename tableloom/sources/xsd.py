@@ -6,6 +6,8 @@ no join or shuffle is needed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,40 +128,35 @@ def template_rows(fields: DataFrame, rules: str = "broad") -> DataFrame:
     return parents.unionByName(children)
 
 
-def _with_inner(e: Column, depth: int) -> Column:
-    """An element and all elements inside it, outermost first."""
-    inner = _children_flat(e["complexType"], depth - 1) if depth else None
-    own = F.array(_flat(e, depth, inner))
-    return F.concat(own, F.coalesce(inner, F.array().cast(f"array<{_FLAT}>"))) if depth else own
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def _children(c: Column) -> list[Column]:
-    return [c["sequence"]["element"], c["sequence"]["choice"]["element"], c["choice"]["element"], c["all"]["element"]]
+def _with_inner(e: Column, depth: int) -> Column:
+    """An element and all elements inside it, outermost first."""
+    if not depth:
+        return F.array(_flat(e, F.array().cast(f"array<{_FLAT}>")))
+    return _let(_children_flat(e["complexType"], depth - 1), lambda inner: F.concat(F.array(_flat(e, inner)), inner))
 
 
 def _children_flat(c: Column, depth: int) -> Column:
-    empty = F.array().cast(f"array<{_FLAT}>")
-    return F.concat(
-        *[F.coalesce(F.flatten(F.transform(part, lambda e: _with_inner(e, depth))), empty) for part in _children(c)]
-    )
+    parts = [c["sequence"]["element"], c["sequence"]["choice"]["element"], c["choice"]["element"], c["all"]["element"]]
+    children = F.flatten(F.filter(F.array(*parts), lambda part: part.isNotNull()))
+    return F.flatten(F.transform(children, lambda e: _with_inner(e, depth)))
 
 
-def _flat(e: Column, depth: int, inner: Column | None) -> Column:
-    nested = "array<struct<name:string,type:string,min:string,max:string>>"
-    if depth:
-        below = F.transform(
-            inner,
-            lambda i: F.struct(i["name"].alias("name"), i["type"].alias("type"), i["min"].alias("min"), i["max"].alias("max")),
-        )
-        inner_enums = F.flatten(F.transform(inner, lambda i: F.coalesce(i["enums"], F.array().cast("array<string>"))))
-    else:
-        below, inner_enums = F.array().cast(nested), F.array().cast("array<string>")
+def _flat(e: Column, inner: Column) -> Column:
+    below = F.transform(
+        inner,
+        lambda i: F.struct(i["name"].alias("name"), i["type"].alias("type"), i["min"].alias("min"), i["max"].alias("max")),
+    )
     own_enums = F.coalesce(_enum_values(e["simpleType"]["restriction"]), F.array().cast("array<string>"))
     return F.struct(
         e["_name"].alias("name"), e["_ref"].alias("ref"), e["_type"].alias("type"),
         e["_minOccurs"].alias("min"), e["_maxOccurs"].alias("max"),
         F.get(e["annotation"]["documentation"], F.lit(0)).alias("doc"),
-        F.concat(own_enums, inner_enums).alias("enums"), below.alias("nested"),
+        F.concat(own_enums, F.flatten(F.transform(inner, lambda i: i["enums"]))).alias("enums"), below.alias("nested"),
     ).cast(_FLAT)
 
 
