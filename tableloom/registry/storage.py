@@ -1 +1,173 @@
+"""Imports, exports and the catalog, written to a fresh folder and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tableloom.operators.transform import Aggregation
+from tableloom.plans.generate import generate
+from tableloom.plans.spec import DatasetSpec, Field, Request
+from tableloom.registry.generation import AS_OF, SEED
+from tableloom.registry.sql import draws, load
+from tableloom.session import new_work_path
+from tableloom.sinks.catalog import Catalog
+from tableloom.sinks.export import export
+from tableloom.sources.csv import import_csv, list_csv
+
 QUERIES, ORACLES = {}, {}
+
+
+def query(sql: str):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        ORACLES[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+# --- files ---------------------------------------------------------------------------------
+
+
+@query("SELECT * FROM customer")
+def csv_roundtrip(spark, sf) -> DataFrame:
+    path = export(load(spark, sf, "customer"), new_work_path(spark, "csv"), "all customers", "1", "csv")
+    return import_csv(spark, path)
+
+
+@query("SELECT * FROM customer")
+def parquet_roundtrip(spark, sf):
+    path = export(load(spark, sf, "customer"), new_work_path(spark, "parquet"), "customers", "1", "parquet")
+    return spark.read.parquet(path)
+
+
+@query("SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status, o_totalprice FROM orders")
+def json_roundtrip(spark, sf):
+    rows = load(spark, sf, "orders").select(
+        "o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("status"), "o_totalprice"
+    )
+    path = export(rows, new_work_path(spark, "json"), "orders", "1", "jsonl")
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query(
+    """SELECT o_orderkey AS first_name, o_totalprice AS _2col, o_orderdate::DATE AS _select, o_custkey % 2 = 0 AS ab,
+      nullif(o_orderpriority, '5-LOW') AS uni, o_orderdate + INTERVAL 1 HOUR AS moment,
+      CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE (o_orderkey % 3)::VARCHAR END AS mixed
+    FROM orders WHERE o_orderkey % 10 <> 9"""
+)
+def csv_import_dirty(spark, sf):
+    """Lines with odd headers and blanks; every tenth line is short and must not widen a type."""
+    key = F.col("o_orderkey")
+    good = F.concat_ws(
+        ",",
+        key.cast("string"),
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
+        F.date_format("o_orderdate", "yyyy-MM-dd"),
+        (F.col("o_custkey") % 2 == 0).cast("string"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.lit("")).otherwise(F.col("o_orderpriority")),
+        F.date_format(F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd HH:mm:ss"),
+        F.when(key % 3 == 0, F.lit("x")).otherwise((key % 3).cast("string")),
+    )
+    line = F.when(key % 10 == 9, F.lit("broken,line")).otherwise(good)
+    path = new_work_path(spark, "dirty")
+    header = "First Name,2col,select,a-b,Ünï,Moment,mixed"
+    plain = load(spark, sf, "orders").select(line.alias(header)).write.option("header", True)
+    plain.option("quote", "").option("sep", "\u0001").csv(path)
+    return import_csv(spark, path)
+
+
+@query("SELECT sum(length(n_nationkey || ',' || n_name || ',' || n_regionkey) + 1)::BIGINT AS bytes, true AS named FROM nation")
+def csv_listing(spark, sf):
+    """The size of the CSV files of an export, less their header lines."""
+    nation = load(spark, sf, "nation")
+    path = export(nation, new_work_path(spark, "listing"), "nations", "1", "csv")
+    header = len(",".join(nation.columns)) + 1
+    return list_csv(spark, path).agg(
+        F.sum(F.col("size") - header).alias("bytes"), F.every(F.col("name").endswith(".csv")).alias("named")
+    )
+
+
+# --- catalog -------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT 'people' AS name, (SELECT count(*) FROM customer) AS row_count,
+      'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS columns, true AS stored
+    UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), 'n_nationkey,n_name,n_regionkey', true"""
+)
+def catalog_lifecycle(spark, sf):
+    """Save three snapshots, rename one, delete one, list the rest."""
+    catalog = Catalog(spark, new_work_path(spark, "catalog"))
+    ids = {t: catalog.save(load(spark, sf, t), t) for t in ("customer", "nation", "supplier")}
+    catalog.rename(ids["customer"], "people")
+    catalog.delete(ids["supplier"])
+    stored = {i: catalog.read(i).count() for t, i in ids.items() if t != "supplier"}
+    return catalog.list_datasets().select(
+        "name",
+        "row_count",
+        F.array_join("columns", ",").alias("columns"),
+        F.col("row_count").isin(list(stored.values())).alias("stored"),
+    )
+
+
+@query(
+    """SELECT 4::BIGINT AS datasets, 2::BIGINT AS templates, 2::BIGINT AS runs,
+      (SELECT count(*) FROM orders) * 2 + (SELECT count(DISTINCT o_orderstatus) FROM orders) AS total_rows"""
+)
+def catalog_totals(spark, sf):
+    """A run of two generated datasets, an aggregate, and a dataset without rows."""
+    catalog = Catalog(spark, new_work_path(spark, "catalog"))
+    orders = load(spark, sf, "orders")
+    fields = (Field("age", "random_int", "integer"),)
+    rows = orders.count()
+    request = Request((DatasetSpec("a", rows, fields), DatasetSpec("b", rows, fields)), seed=SEED)
+    made = generate(spark, request, AS_OF)
+    catalog.save_run(made.datasets, request.homogeneity, made.seed)
+    statuses = orders.select("o_orderstatus").distinct()
+    catalog.save(statuses, "statuses")
+    catalog.save(orders.where(F.lit(False)), "none")
+    return catalog.totals(templates=2)
+
+
+_RUN_AGE = draws("SELECT unnest(range((SELECT count(*) FROM orders))) AS i", ["i"], {"age": (SEED, "age", 0)})
+
+
+@query(f"SELECT 1::BIGINT AS run_id, count(*) AS row_count, sum(age % 1000000)::BIGINT AS ages FROM ({_RUN_AGE})")
+def catalog_run(spark, sf):
+    """A saved run read back: its id, its rows and the sum of a generated column."""
+    catalog = Catalog(spark, new_work_path(spark, "catalog"))
+    spec = DatasetSpec("a", load(spark, sf, "orders").count(), (Field("age", "random_int", "integer"),))
+    request = Request((spec,), homogeneity=100, seed=SEED)
+    run_id, ids = catalog.save_run(generate(spark, request, AS_OF).datasets, 100, SEED)
+    read = catalog.read(ids["a"]).agg(F.sum("age").alias("ages"))
+    runs = catalog.runs().where(F.col("run_id") == run_id).select("run_id", "row_count")
+    return runs.withColumn("ages", read.scalar())
+
+
+@query(
+    """SELECT 'by status' AS name, (SELECT count(DISTINCT o_orderstatus) FROM orders) AS row_count, 'o_orderstatus' AS grouped, NULL AS strategy
+    UNION ALL SELECT 'latest', (SELECT count(DISTINCT o_custkey) FROM orders), NULL, 'keep_last'"""
+)
+def lineage_log(spark, sf):
+    """An aggregate and a deduplication of one snapshot, joined to their logged settings."""
+    catalog = Catalog(spark, new_work_path(spark, "catalog"))
+    source = catalog.save(load(spark, sf, "orders"), "orders")
+    catalog.aggregate(source, "by status", ["o_orderstatus"], [Aggregation("o_totalprice", "sum")])
+    catalog.dedup(source, "latest", ["o_custkey"], "keep_last")
+    logged = catalog.transforms().select(
+        "name",
+        F.get_json_object("config_json", "$.group_by[0]").alias("grouped"),
+        F.get_json_object("config_json", "$.strategy").alias("strategy"),
+    )
+    return logged.join(catalog.datasets().select("name", "row_count"), "name")
+
+
+@query("SELECT name, row_count FROM (VALUES (1, 'nation', (SELECT count(*) FROM nation)), (2, 'customer', (SELECT count(*) FROM customer))) t(i, name, row_count)")
+def catalog_recent(spark, sf):
+    """The two newest of three saved snapshots."""
+    catalog = Catalog(spark, new_work_path(spark, "catalog"))
+    for table in ("supplier", "customer", "nation"):
+        catalog.save(load(spark, sf, table), table)
+    return catalog.recent(2).select("name", "row_count")
