@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 BITS = 63
 SPACE = 1 << BITS
+_SEPARATOR = "\x1f"
 
 
 def draw_key(*parts: object) -> int:
@@ -48,7 +49,7 @@ class Draws:
         return self.u(k) if n == SPACE else self.u(k) % F.lit(n).cast("bigint")
 
     def pick(self, values: Sequence[str], k: object = 0) -> Column:
-        return F.get(F.lit(list(values)), self.below(len(values), k).cast("int"))
+        return F.get(constant_array(values), self.below(len(values), k).cast("int"))
 
     def weighted(self, values: Sequence[str], weights: Sequence[float], k: object = 0) -> Column:
         """Pick by weight; cut points over the draw range are fixed on the driver."""
@@ -89,6 +90,15 @@ class Draws:
         return parts[0] if n == 1 else F.concat(*parts)
 
 
+def constant_array(values: Sequence[object], kind: str = "string") -> Column:
+    """An array literal in one expression: the optimizer folds it, and building it costs two calls, not one per value."""
+    texts = [str(v) for v in values]
+    if any(_SEPARATOR in t for t in texts):
+        return F.lit(list(values))
+    array = F.split(F.lit(_SEPARATOR.join(texts)), _SEPARATOR)
+    return array if kind == "string" else array.cast(f"array<{kind}>")
+
+
 def cut_point(p: float) -> int:
     return min(SPACE - 1, round(p * SPACE))
 

@@ -209,11 +209,12 @@ def condition_field(condition: str | None) -> str | None:
     return m.group(1) if m else None
 
 
-def compile_condition(condition: str | None, types: Mapping[str, str]) -> Column | None:
-    """Never-NULL boolean for ``field op literal``; None when nothing is to be tested.
+def compile_condition(condition: str | None, types: Mapping[str, str], null_safe: bool = True) -> Column | None:
+    """Boolean for ``field op literal``; None when nothing is to be tested.
 
     A missing or unreadable condition and an unknown field hold always; a NULL operand and a
-    literal of another kind than the field never hold.
+    literal of another kind than the field never hold. A filter drops NULL anyway: without
+    ``null_safe`` the bare comparison is returned, which reaches the file scan.
     """
     m = _CONDITION.match(condition or "")
     if not m or m.group(1) not in types:
@@ -230,7 +231,8 @@ def compile_condition(condition: str | None, types: Mapping[str, str]) -> Column
         return F.col(name).isNotNull() if op == "!=" else F.lit(False)
     if kind == "boolean":
         column = column.cast("int")
-    return F.coalesce(_COMPARE[op](column, F.lit(literal)), F.lit(False))
+    compared = _COMPARE[op](column, F.lit(literal))
+    return F.coalesce(compared, F.lit(False)) if null_safe else compared
 
 
 def _literal(raw: str) -> int | float | str:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tableloom.functions import vocab
 from tableloom.functions.dates import resolve_date, years_before
-from tableloom.functions.draw import Draws, draw_key
+from tableloom.functions.draw import Draws, constant_array, draw_key
 from tableloom.plans.spec import Constraint, Field
 
 # Defaults of the bounded generators.
@@ -251,7 +251,7 @@ def _text(c: Cell) -> Column:
     base = F.shiftright(c.draws.u("words"), 1)
     every = F.transform(
         F.sequence(F.lit(1).cast("bigint"), count),
-        lambda i: F.get(F.lit(vocab.WORDS), text_word_index(base + i, len(vocab.WORDS))),
+        lambda i: F.get(constant_array(vocab.WORDS), text_word_index(base + i, len(vocab.WORDS))),
     )
     body = F.substring(F.concat_ws(" ", every), 1, max(1, limit - 1))
     return F.concat(F.initcap(F.substring(body, 1, 1)), F.substring(body, 2, limit), F.lit("." if limit > 1 else ""))
@@ -393,14 +393,14 @@ def _iban(c: Cell) -> Column:
     """Country, two check digits (mod 97 of the rearranged number) and an all-digit account."""
     codes = list(vocab.IBAN_DIGITS)
     at = c.draws.below(len(codes), "country").cast("int")
-    length = F.get(F.lit([vocab.IBAN_DIGITS[code] for code in codes]), at)
-    size = F.get(F.lit([10 ** vocab.IBAN_DIGITS[code] for code in codes]), at)
-    tail = F.get(F.lit([int("".join(str(int(ch, 36)) for ch in code) + "00") % 97 for code in codes]), at)
+    length = F.get(constant_array(vocab.IBAN_DIGITS.values(), "int"), at)
+    size = F.get(constant_array([10**n for n in vocab.IBAN_DIGITS.values()], "bigint"), at)
+    tail = F.get(constant_array([int("".join(str(int(ch, 36)) for ch in code) + "00") % 97 for code in codes], "bigint"), at)
     account = c.draws.u("account") % size
     rest = (account % F.lit(97) * F.lit(10**6 % 97) + tail) % F.lit(97)
     check = F.lit(98) - rest
     return F.concat(
-        F.get(F.lit(codes), at),
+        F.get(constant_array(codes), at),
         F.lpad(check.cast("string"), 2, "0"),
         F.lpad(account.cast("string"), length, F.lit("0")),
     )

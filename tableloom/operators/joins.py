@@ -12,32 +12,43 @@ SALTS = 64
 
 
 def lookup(
-    df: DataFrame, key: str, table: DataFrame, table_key: str, wanted: dict[str, Column], broadcast_rows: int = 200_000
+    df: DataFrame,
+    key: str,
+    table: DataFrame,
+    table_key: str,
+    wanted: dict[str, Column],
+    broadcast_rows: int = 200_000,
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` with ``wanted`` columns of ``table``; every row of ``df`` is kept exactly once.
 
-    ``table`` must have one row per key. Measured small (at most ``broadcast_rows``), it is broadcast and nothing is shuffled.
+    ``table`` must have one row per key. Measured small (at most ``broadcast_rows``, counted on
+    ``measured`` when that is cheaper and no smaller than the table), it is broadcast and nothing is shuffled.
     Otherwise both sides shuffle by key, and rows of hot keys are first spread over ``SALTS`` tasks.
     """
     right = table.select(F.col(table_key).alias("_lookup_key"), *[c.alias(f"_found_{n}") for n, c in wanted.items()])
     right = right.where(F.col("_lookup_key").isNotNull())
     found = [F.col(f"_found_{name}").alias(name) for name in wanted]
-    if broadcast_rows and fits_broadcast(right, broadcast_rows):
+    if broadcast_rows and fits_broadcast(right if measured is None else measured, broadcast_rows):
         joined = df.join(F.broadcast(right), F.col(key) == F.col("_lookup_key"), "left")
         return joined.select(*df.columns, *found)
 
-    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot_key")).agg(F.count(F.lit(1)).alias("_rows"))
-    limit = counts.agg(F.sum("_rows")).scalar()
-    hot = F.broadcast(counts.where(F.col("_rows") * F.lit(HOT_SHARE) > limit).select("_hot_key"))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c != key]), F.lit(SALTS)) if len(df.columns) > 1 else F.lit(0)
-    # NULL keys match nothing: they are scattered as well instead of meeting in one task
-    left = df.join(hot, F.col(key) == F.col("_hot_key"), "left").withColumn(
-        "_salt", F.when(F.col("_hot_key").isNotNull() | F.col(key).isNull(), spread).otherwise(F.lit(0)).cast("bigint")
-    )
-    salts = F.when(F.col("_hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salts = salts.cast("array<bigint>")
-    salted = right.join(hot, F.col("_lookup_key") == F.col("_hot_key"), "left").select(
-        *right.columns, F.explode(salts).alias("_right_salt")
-    )
+    hot_keys = _hot_keys(df, key)
+    hot = F.col(key).isin(hot_keys)
+    others = [F.col(c) for c in df.columns if c != key]
+    spread = F.pmod(F.xxhash64(*others), F.lit(SALTS)) if others else F.lit(0)
+    # NULL keys match nothing: they are scattered too, instead of meeting in one task
+    salt = F.when(F.col(key).isNull() | hot, spread).otherwise(F.lit(0)).cast("bigint")
+    every_salt = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    salts = F.when(F.col("_lookup_key").isin(hot_keys), every_salt).otherwise(F.array(F.lit(0)))
+    left = df.withColumn("_salt", salt)
+    salted = right.select("*", F.explode_outer(salts.cast("array<bigint>")).alias("_right_salt"))
     match = (F.col(key) == F.col("_lookup_key")) & (F.col("_salt") == F.col("_right_salt"))
     return left.join(salted, match, "left").select(*df.columns, *found)
+
+
+def _hot_keys(df: DataFrame, key: str) -> list:
+    """Keys that hold more than 1/``HOT_SHARE`` of the rows: fewer than ``HOT_SHARE`` values, so safe to fetch."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"))
+    total = counts.agg(F.sum("_rows")).scalar()
+    return [row[0] for row in counts.where(F.col("_rows") * F.lit(HOT_SHARE) > total).select("_key").collect()]

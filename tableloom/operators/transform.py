@@ -92,7 +92,7 @@ def _aggregate(df: DataFrame, a: Aggregation, order_by: Sequence[str], numeric_t
             return F.first(column) if a.function == "first" else F.last(column)
         order = F.struct(*order_by)
         pick = F.min_by if a.function == "first" else F.max_by
-        return pick(F.struct(column.alias("value")), order)["value"]
+        return pick(column, order)
     plain = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "count_distinct": F.count_distinct}
     return plain[a.function](column)
 
@@ -156,5 +156,5 @@ def filter_by(df: DataFrame, *conditions: str) -> DataFrame:
     types = dict(df.dtypes)
     wide = {"int": "bigint", "smallint": "bigint", "tinyint": "bigint", "float": "double", "timestamp": "timestamp_ntz"}
     types = {n: wide.get(t, t) for n, t in types.items()}
-    tests = [c for c in (compile_condition(text, types) for text in conditions) if c is not None]
+    tests = [c for c in (compile_condition(text, types, null_safe=False) for text in conditions) if c is not None]
     return df.where(reduce(operator.and_, tests)) if tests else df

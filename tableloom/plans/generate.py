@@ -149,10 +149,10 @@ def grouped_dataset(
     if total:
         tasks = max(1, math.ceil(max(total, group.num_groups) / ROWS_PER_TASK))
         chunks = group_sizes(spark, spec, run).select(
-            "group_id", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(CHUNK_ROWS).cast("bigint"))).alias("_from")
+            "group_id", "size", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(CHUNK_ROWS).cast("bigint"))).alias("_from")
         ).repartition(max(tasks, spark.sparkContext.defaultParallelism), "group_id", "_from")
         last = F.least(F.col("_from") + F.lit(CHUNK_ROWS), F.col("size")) - 1
-        rows = chunks.select(F.col("group_id").alias("_group"), F.explode(F.sequence("_from", last)).alias("_child"))
+        rows = chunks.select(F.col("group_id").alias("_group"), F.explode_outer(F.sequence("_from", last)).alias("_child"))
         parts.append(_family(rows, spec, run, [F.col("_group")], [F.col("_group"), F.col("_child")], "", pool_of))
     if flat:
         rows = spark.range(flat).select(F.col("id").alias("_group"), F.lit(0).cast("bigint").alias("_child"))

@@ -310,5 +310,5 @@ def field_map(spark, sf):
 )
 def field_map_words(spark, sf):
     """Every distinct token of the document texts taken as a field name."""
-    words = load(spark, sf, "documents").select(F.explode(F.split("text", r"(?U)[ \t\n\r\f]+")).alias("name")).where("name <> ''")
+    words = load(spark, sf, "documents").select(F.explode_outer(F.split("text", r"(?U)[ \t\n\r\f]+")).alias("name")).where("name <> ''")
     return words.distinct().select("name", generator_for(F.col("name"), F.lit(""), F.lit(False)).alias("generator"))

@@ -41,8 +41,9 @@ def new_work_path(spark: SparkSession, label: str) -> str:
 def fits_broadcast(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> bool:
     """Measure ``df`` and say whether it is small enough to copy to every executor.
 
-    The scan stops after ``max_rows + 1`` rows, so the check itself stays cheap on a large input.
+    Rows are counted first; their size is only added up when there are few of them.
     """
-    width = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
-    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(width, F.lit(0))).first()
-    return rows <= max_rows and size <= max_bytes
+    if df.count() > max_rows:
+        return False
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return size <= max_bytes

@@ -44,7 +44,7 @@ def anchors(pages: DataFrame, page_id: str, html: str, token: str, id_pattern: s
 
     With ``id_pattern`` its first group is the id, and links without one are left out.
     """
-    links = pages.select(F.col(page_id).alias("_page"), F.posexplode(_all(F.col(html), _ANCHOR)).alias("_at", "_a"))
+    links = pages.select(F.col(page_id).alias("_page"), F.posexplode_outer(_all(F.col(html), _ANCHOR)).alias("_at", "_a"))
     named = links.select(visible_text(F.col("_a")).alias("name"), href_of(F.col("_a")).alias("href"), "_page", "_at")
     named = named.where((F.col("name") != "") & F.col("href").contains(token))
     firsts = first_per(named, ["name"], ["_page", "_at"])
@@ -63,7 +63,7 @@ def listing_rows(pages: DataFrame, page_id: str, html: str) -> DataFrame:
     rows = pages.select(
         F.col(page_id).alias("page_id"),
         visible_text(area).alias("business_area"),
-        F.posexplode(_all(F.col(html), _ROW)).alias("position", "_row"),
+        F.posexplode_outer(_all(F.col(html), _ROW)).alias("position", "_row"),
     )
     cells = rows.select("page_id", "business_area", "position", _all(F.col("_row"), _CELL).alias("_cells"))
     cells = cells.where(F.size("_cells") >= MIN_CELLS)

@@ -71,7 +71,7 @@ def xsd_fields(documents: DataFrame, document: str = "document", xsd: str = "xsd
     named = some.select(
         "document", "namespace", "every", "simple",
         F.transform("elements", lambda e: e["name"]).alias("names"),
-        F.posexplode("elements").alias("position", "e"),
+        F.posexplode_outer("elements").alias("position", "e"),
     ).where(F.coalesce(F.col("e.name"), F.lit("")) != "").where(
         (F.col("e.name") != "Document") & (F.array_position("names", F.col("e.name")) == F.col("position") + 1)
     )
