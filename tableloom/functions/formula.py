@@ -13,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tableloom.functions.rounding import round_half_even
+
 _PLACE = re.compile(r"\{\{(.*?)\}\}", re.S)
 _TOKEN = re.compile(r"\s*(?:(\d+\.\d+|\d+)|('[^']*'|\"[^\"]*\")|([A-Za-z_]\w*)|([-+*/~|(),]))")
 _CONDITION = re.compile(r"^\s*(\w+)\s*(>=|<=|!=|==|>|<)\s*(.+)\s*$")
@@ -193,7 +195,7 @@ class _Place:
         if kind in ("bigint", "double") and name == "abs":
             return F.abs(column), kind
         if kind in ("bigint", "double") and name == "round":
-            return F.round(column.cast("double"), int(args[0]) if args else 0), "double"
+            return round_half_even(column.cast("double"), int(args[0]) if args else 0), "double"
         raise FormulaError(f"unknown filter {name!r} for {kind}")
 
 

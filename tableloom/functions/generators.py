@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tableloom.functions import vocab
 from tableloom.functions.dates import resolve_date, years_before
 from tableloom.functions.draw import Draws, constant_array, draw_key
+from tableloom.functions.rounding import round_half_even
 from tableloom.plans.spec import Constraint, Field
 
 # Defaults of the bounded generators.
@@ -100,7 +101,7 @@ def to_type(value: Column, field: Field) -> Column:
 def clamp(value: Column, constraint: Constraint) -> Column:
     """Keep a number inside min..max, after rounding to ``right_digits``."""
     if constraint.right_digits is not None:
-        value = F.round(value, constraint.right_digits)
+        value = round_half_even(value, constraint.right_digits)
     if constraint.max is not None:
         value = F.least(F.lit(constraint.max), value)
     if constraint.min is not None:

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tableloom.functions.rounding import units
+
 # Label suffix by lower bound.
 MAGNITUDES = ((1e12, "T"), (1e9, "B"), (1e6, "M"))
 
@@ -31,13 +33,7 @@ def magnitude_label(amount: Column) -> Column:
 
 
 def two_places(x: Column) -> Column:
-    """Two decimals of a number >= 1, rounded from its exact binary value (2.675 is below the tie: 2.67).
-
-    Up to 2**11 the number times 2**52 is a whole 64-bit integer, so the rounding is exact.
-    """
-    scaled = (x * F.lit(float(1 << 52))).cast("bigint").cast("decimal(20,0)")
-    tie = F.lit(1 << 51).cast("decimal(20,0)")
-    cents = F.call_function("div", scaled * F.lit(100) + tie, F.lit(1 << 52).cast("decimal(20,0)"))
+    """Two decimals of a non-negative number by its exact value; an exact tie goes up."""
+    cents = units(x, 2, ties_up=True)
     whole = F.call_function("div", cents, F.lit(100))
-    exact = F.concat(whole.cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
-    return F.when(x < F.lit(2048.0), exact).otherwise(F.format_string("%.2f", x))
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))

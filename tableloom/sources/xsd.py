@@ -29,7 +29,8 @@ def _element(depth: int) -> str:
 
 def _complex(element: str) -> str:
     part = f"struct<element:array<{element}>>"
-    return f"struct<sequence:struct<element:array<{element}>,choice:{part}>,choice:{part},all:{part}>"
+    extended = f"complexContent:struct<extension:struct<sequence:{part}>>"
+    return f"struct<sequence:struct<element:array<{element}>,choice:{part}>,choice:{part},all:{part},{extended}>"
 
 
 _DEPTH = 3
@@ -38,12 +39,12 @@ _SCHEMA = (
     f"complexType array<{_complex(_element(_DEPTH - 1))}>, "
     "simpleType array<struct<_name:string,restriction:struct<enumeration:array<struct<_value:string>>>>>"
 )
-_FLAT = "struct<name:string,ref:string,type:string,min:string,max:string,doc:string,enums:array<string>,nested:array<struct<name:string,type:string,min:string,max:string>>>"
+_FLAT = "struct<name:string,ref:string,type:string,min:string,max:string,doc:string,own_enums:array<string>,enums:array<string>,nested:array<struct<name:string,type:string,min:string,max:string>>>"
 
 
 def read_xsd(spark: SparkSession, path: str) -> DataFrame:
     """``(document, xsd)``: the whole text of every schema file."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.col("_metadata.file_path").alias("document"), F.col("value").alias("xsd"))
 
 
@@ -60,7 +61,7 @@ def xsd_fields(documents: DataFrame, document: str = "document", xsd: str = "xsd
     )
     empty = F.array().cast(f"array<{_FLAT}>")
     top = F.coalesce(F.flatten(F.transform("x.element", lambda e: _with_inner(e, _DEPTH))), empty)
-    types = F.coalesce(F.flatten(F.transform("x.complexType", lambda c: _children_flat(c, _DEPTH - 1))), empty)
+    types = F.coalesce(F.flatten(F.transform("x.complexType", lambda c: _rows(_families(c, _DEPTH - 1)))), empty)
     flat = parsed.select(
         "document",
         F.coalesce("x._xmlns", F.lit("http://www.w3.org/2001/XMLSchema")).alias("namespace"),
@@ -136,30 +137,49 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 def _with_inner(e: Column, depth: int) -> Column:
     """An element and all elements inside it, outermost first."""
     if not depth:
-        return F.array(_flat(e, F.array().cast(f"array<{_FLAT}>")))
-    return _let(_children_flat(e["complexType"], depth - 1), lambda inner: F.concat(F.array(_flat(e, inner)), inner))
+        return F.array(_flat(e, F.array().cast(f"array<struct<seq:boolean,rows:array<{_FLAT}>>>")))
+    return _let(_families(e["complexType"], depth - 1), lambda f: F.concat(F.array(_flat(e, f)), _rows(f)))
+
+
+def _families(c: Column, depth: int) -> Column:
+    """Every child element with the elements inside it, and whether it stands in a sequence."""
+    extended = c["complexContent"]["extension"]["sequence"]["element"]
+    in_sequence = _joined(c["sequence"]["element"], c["sequence"]["choice"]["element"], extended)
+    beside = _joined(c["choice"]["element"], c["all"]["element"])
+    marked = F.concat(
+        F.transform(in_sequence, lambda e: F.struct(e.alias("e"), F.lit(True).alias("seq"))),
+        F.transform(beside, lambda e: F.struct(e.alias("e"), F.lit(False).alias("seq"))),
+    )
+    return F.transform(marked, lambda m: F.struct(m["seq"].alias("seq"), _with_inner(m["e"], depth).alias("rows")))
+
+
+def _joined(*parts: Column) -> Column:
+    return F.flatten(F.filter(F.array(*parts), lambda part: part.isNotNull()))
 
 
-def _children_flat(c: Column, depth: int) -> Column:
-    parts = [c["sequence"]["element"], c["sequence"]["choice"]["element"], c["choice"]["element"], c["all"]["element"]]
-    children = F.flatten(F.filter(F.array(*parts), lambda part: part.isNotNull()))
-    return F.flatten(F.transform(children, lambda e: _with_inner(e, depth)))
+def _rows(families: Column) -> Column:
+    return F.flatten(F.transform(families, lambda f: f["rows"]))
 
 
-def _flat(e: Column, inner: Column) -> Column:
-    below = F.transform(
-        inner,
-        lambda i: F.struct(i["name"].alias("name"), i["type"].alias("type"), i["min"].alias("min"), i["max"].alias("max")),
+def _flat(e: Column, families: Column) -> Column:
+    """The element's own row; nested are the elements with a sequence between them and it."""
+    nested = F.flatten(
+        F.transform(families, lambda f: F.when(f["seq"], F.transform(f["rows"], _brief)).otherwise(F.get(f["rows"], 0)["nested"]))
     )
+    inner_enums = F.flatten(F.transform(_rows(families), lambda i: i["own_enums"]))
     own_enums = F.coalesce(_enum_values(e["simpleType"]["restriction"]), F.array().cast("array<string>"))
     return F.struct(
         e["_name"].alias("name"), e["_ref"].alias("ref"), e["_type"].alias("type"),
         e["_minOccurs"].alias("min"), e["_maxOccurs"].alias("max"),
-        F.get(e["annotation"]["documentation"], F.lit(0)).alias("doc"),
-        F.concat(own_enums, F.flatten(F.transform(inner, lambda i: i["enums"]))).alias("enums"), below.alias("nested"),
+        F.get(e["annotation"]["documentation"], F.lit(0)).alias("doc"), own_enums.alias("own_enums"),
+        F.concat(own_enums, inner_enums).alias("enums"), nested.alias("nested"),
     ).cast(_FLAT)
 
 
+def _brief(i: Column) -> Column:
+    return F.struct(*[i[part].alias(part) for part in ("name", "type", "min", "max")])
+
+
 def _enum_values(restriction: Column) -> Column:
     values = F.transform(restriction["enumeration"], lambda v: v["_value"])
     return F.filter(values, lambda v: F.coalesce(v, F.lit("")) != "")
