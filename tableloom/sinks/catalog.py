@@ -10,15 +10,19 @@ import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, is_dataclass
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableloom.operators import transform
-from tableloom.operators.listing import newest
-from tableloom.plans.spec import check_table_name
+from tableloom.operators.bars import ohlcv_bars
+from tableloom.operators.enrich import enrich, quote_snapshot, require_rows
+from tableloom.operators.listing import describe, newest, page
+from tableloom.plans.generate import generate
+from tableloom.plans.spec import Request, check_table_name
 from tableloom.sinks.export import write_snapshot
+from tableloom.sources.csv import import_csv, source_tag
 
 _DATASETS = (
     "dataset_id string, run_id bigint, name string, table_name string, columns_json string, row_count bigint, "
@@ -98,6 +102,17 @@ class Catalog:
             raise ValueError(f"dataset '{dataset_id}' not found")
         return self.spark.read.parquet(self._path(entry["table_name"]))
 
+    def rows(self, dataset_id: str, order: Sequence[str], page_number: int = 1, per_page: int = 100) -> tuple[DataFrame, int]:
+        """One page of a dataset in a fixed order, and its total row count; no rows for an unknown id."""
+        entry = self.get(dataset_id)
+        if entry is None:
+            return self.spark.createDataFrame([], "none string"), 0
+        return page(self.read(dataset_id), order, page_number, per_page), entry["row_count"]
+
+    def columns(self, dataset_id: str) -> list[tuple[str, str]]:
+        """Column names and SQL types of a dataset; none for an unknown id."""
+        return describe(self.read(dataset_id)) if self.get(dataset_id) else []
+
     def _path(self, table_name: str) -> str:
         return f"{self.root}/data/{check_table_name(table_name)}"
 
@@ -125,6 +140,40 @@ class Catalog:
             self._append("runs", _RUNS, (run_id, name, template, rows, homogeneity, seed, _now()))
         return run_id, ids
 
+    def generate(self, request: Request, as_of: date | None = None, sources: dict[str, str] | None = None) -> tuple[int, dict[str, str]]:
+        """Generate the datasets of a request and save them as one run.
+
+        ``sources`` maps the names that shared keys use to dataset ids of the catalog.
+        """
+        tables = {name: self.read(i) for name, i in (sources or {}).items()}
+        made = generate(self.spark, request, as_of, tables)
+        template = next((d.template for d in request.datasets if d.template), "")
+        return self.save_run(made.datasets, request.homogeneity, made.seed, template)
+
+    def import_csv(self, path: str, owner: str, slug: str, file: str, name: str | None = None, max_rows: int | None = None) -> str:
+        """Import CSV files as a dataset that remembers where they came from."""
+        rows = import_csv(self.spark, path, max_rows)
+        return self.save(rows, name or f"{slug}/{file}", source=source_tag(owner, slug, file))
+
+    def save_quotes(self, raw: DataFrame, symbols: Sequence[str], name: str | None = None) -> str:
+        """Save the quotes of the asked symbols; it is an error when none is known."""
+        quotes = require_rows(quote_snapshot(raw, symbols))
+        return self.save(quotes, name or f"Financial Batch ({quotes.count()} symbols)")
+
+    def save_history(
+        self, ticks: DataFrame, symbols: Sequence[str], period: str = "1mo", interval: str = "1d", name: str | None = None, **columns
+    ) -> str:
+        """Save the bars of the asked symbols; it is an error when there are none."""
+        history = require_rows(
+            ohlcv_bars(ticks, interval, period, symbols, **columns), "No history data for any of the requested symbols"
+        )
+        return self.save(history, name or f"Financial History ({len(symbols)} symbols, {period})")
+
+    def enrich(self, dataset_id: str, ticker_column: str, quotes: DataFrame, columns: Sequence[str], name: str | None = None) -> str:
+        """Save the dataset with quote columns looked up by its ticker column."""
+        made = enrich(self.read(dataset_id), ticker_column, quotes, columns)
+        return self.save(made, name or f"Enriched {self.get(dataset_id)['name']}")
+
     def aggregate(self, dataset_id: str, name: str, group_by: Sequence[str], aggregations, **options) -> str:
         made = transform.aggregate(self.read(dataset_id), group_by, aggregations, **options)
         config = {"name": name, "group_by": list(group_by), "aggregations": aggregations, **options}

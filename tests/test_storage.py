@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tableloom import session
 from tableloom.operators.transform import Aggregation, OrderBy
+from tableloom.plans.spec import Constraint, DatasetSpec, Field, Request, SharedKey
 from tableloom.sinks.catalog import Catalog
 from tableloom.sinks.export import export, friendly_name, write_snapshot
 
@@ -106,3 +107,34 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(Session())
+
+
+def test_everything_can_be_saved(spark, catalog, tmp_path):
+    fields = (Field("sym", "random_element", constraint=Constraint(values="aa,bb,cc")), Field("n", "random_int", "integer"))
+    run, ids = catalog.generate(Request((DatasetSpec("made", 30, fields, "Tpl"),), seed=1))
+    assert catalog.runs().first().template_name == "Tpl" and catalog.columns(ids["made"]) == [("sym", "VARCHAR"), ("n", "BIGINT")]
+    rows, total = catalog.rows(ids["made"], ["n"], 2, 20)
+    assert (rows.count(), total) == (10, 30) and catalog.rows("nope", ["n"])[1] == 0 and catalog.columns("nope") == []
+    refs = DatasetSpec("refs", 5, (Field("n", "shared_key", "integer"),), shared_key=SharedKey("src", "n"))
+    _, more = catalog.generate(Request((refs,), seed=2), sources={"src": ids["made"]})
+    assert catalog.read(more["refs"]).join(catalog.read(ids["made"]), "n", "left_anti").count() == 0
+
+    raw = spark.createDataFrame([("aa", 10.0, 8.0), ("bb", 5.0, None)], "symbol string, regularMarketPrice double, previousClose double")
+    quotes = catalog.save_quotes(raw, ["aa", "zz"])
+    assert catalog.get(quotes)["name"] == "Financial Batch (1 symbols)"
+    with pytest.raises(ValueError, match="No valid quote data"):
+        catalog.save_quotes(raw, ["zz"])
+    enriched = catalog.enrich(ids["made"], "sym", catalog.read(quotes), ["change"])
+    assert catalog.get(enriched)["name"] == "Enriched made" and catalog.read(enriched).count() == 30
+    assert {(r.sym, r.change) for r in catalog.read(enriched).collect()} == {("aa", 2.0), ("bb", None), ("cc", None)}
+
+    ticks = raw.select("symbol", F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.col("regularMarketPrice").alias("price"), F.lit(1).alias("volume"))
+    history = catalog.save_history(ticks, ["aa"], "5d")
+    assert catalog.get(history)["name"] == "Financial History (1 symbols, 5d)" and catalog.read(history).count() == 1
+    with pytest.raises(ValueError, match="No history data"):
+        catalog.save_history(ticks, ["zz"])
+
+    (tmp_path / "f.csv").write_text("A b,c\n1,x\n2,y\n")
+    imported = catalog.import_csv(str(tmp_path / "f.csv"), "me", "set", "f.csv", max_rows=1)
+    entry = catalog.get(imported)
+    assert (entry["name"], entry["source"], entry["columns"], entry["row_count"]) == ("set/f.csv", "kaggle:me/set/f.csv", ["a_b", "c"], 1)
