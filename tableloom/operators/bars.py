@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tableloom.operators.order import order_key
 
 # Accepted intervals and look-back periods.
 INTERVALS = {
@@ -68,7 +68,7 @@ def ohlcv_bars(
     if wanted is not None:
         rows = rows.where(F.col("symbol").isin(wanted))
     rows = _within(rows, period, as_of)
-    keyed = rows.withColumn("_order", _order(rows))
+    keyed = rows.withColumn("_order", order_key(rows, ["_ts", "_tie"]))
     return keyed.groupBy("symbol", _bar_start(interval).alias("date")).agg(
         F.min_by("_price", "_order").alias("open"),
         F.max("_price").alias("high"),
@@ -78,19 +78,6 @@ def ohlcv_bars(
     )
 
 
-def _order(rows: DataFrame) -> Column:
-    """Order of the ticks by time, then tie.
-
-    With a whole-number tie both fit one decimal, which the aggregate keeps in a hash table; a
-    struct would make it sort all ticks first.
-    """
-    if not isinstance(rows.schema["_tie"].dataType, T.IntegralType):
-        return F.struct("_ts", "_tie")
-    micros = F.timestamp_diff("MICROSECOND", F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz"), F.col("_ts"))
-    tie = F.coalesce(F.col("_tie"), F.lit(-(1 << 63))).cast("decimal(19,0)")
-    return (micros.cast("decimal(18,0)") * F.lit(Decimal(2 * 10**19)) + tie).cast("decimal(38,0)")
-
-
 def _within(rows: DataFrame, period: str, as_of: datetime | None) -> DataFrame:
     if period == "max":
         return rows

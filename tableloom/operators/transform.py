@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableloom.functions.formula import compile_condition
+from tableloom.operators.order import order_key
 from tableloom.plans.spec import check_column_name
 
 # Accepted function, strategy and direction names.
@@ -86,17 +87,31 @@ def _aggregate(df: DataFrame, a: Aggregation, order_by: Sequence[str], numeric_t
     if a.function in ("sum", "avg", "min", "max") and numeric_text and isinstance(dtype, T.StringType):
         column, dtype = column.cast("double"), T.DoubleType()
     if a.function == "sum" and isinstance(dtype, T.LongType):
-        return F.sum(column.cast("decimal(28,0)"))  # cannot overflow, as a 64-bit sum could
+        return wide_sum(column)
     if a.function in ("first", "last"):
         if not order_by:
             return F.first(column) if a.function == "first" else F.last(column)
-        order = F.struct(*order_by)
+        order = order_key(df, order_by)
         pick = F.min_by if a.function == "first" else F.max_by
         return pick(column, order)
     plain = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "count_distinct": F.count_distinct}
     return plain[a.function](column)
 
 
+def wide_sum(column: Column) -> Column:
+    """Exact sum of 64-bit integers as a decimal.
+
+    A 64-bit sum may overflow and a decimal one is several times slower, so three parts of 22 bits
+    are summed apart; each is safe for 2**41 rows per group.
+    """
+    part = F.lit((1 << 22) - 1)
+    low, middle = column.bitwiseAND(part), F.shiftright(column, 22).bitwiseAND(part)
+    total = F.lit(0).cast("decimal(38,0)")
+    for piece, weight in ((F.shiftright(column, 44), 1 << 44), (middle, 1 << 22), (low, 1)):
+        total = total + F.sum(piece).cast("decimal(20,0)") * F.lit(weight).cast("decimal(15,0)")
+    return total.cast("decimal(38,0)")
+
+
 def dedup(
     df: DataFrame, keys: Sequence[str], strategy: str = "keep_first", order_by: OrderBy | None = None
 ) -> DataFrame:

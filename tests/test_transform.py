@@ -1,7 +1,12 @@
+from datetime import datetime
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tableloom.operators import listing
+from tableloom.operators.order import order_key
 from tableloom.operators.transform import Aggregation, OrderBy, aggregate, dedup, filter_by
 from tests.conftest import plan
 
@@ -151,3 +156,31 @@ def test_unknown_category_gives_nothing(spark):
     rows = spark.createDataFrame([("X",), ("Y",)], "area string")
     assert listing.in_category(rows, "area", domains, "1").count() == 1
     assert listing.in_category(rows, "area", domains, "9").count() == 0
+
+
+# --- order keys ----------------------------------------------------------------------------
+
+_TIMES = st.one_of(st.none(), st.datetimes(datetime(1, 1, 2), datetime(9999, 12, 30)))
+_LONGS = st.one_of(st.none(), st.integers(-(2**63), 2**63 - 1), st.sampled_from([0, 1, -1]))
+
+
+@given(st.lists(st.tuples(_TIMES, _LONGS), min_size=2, max_size=40))
+@settings(max_examples=10, deadline=None)
+def test_packed_order_is_the_order_of_the_columns(spark, rows):
+    df = spark.createDataFrame(rows, "t timestamp_ntz, n long")
+    packed = df.withColumn("key", order_key(df, ["t", "n"]))
+    assert dict(packed.dtypes)["key"] == "decimal(38,0)"
+    found = [(r.t, r.n) for r in packed.orderBy("key").collect()]
+    assert found == sorted(rows, key=lambda r: tuple((v is not None, v) if v is not None else (False,) for v in r))
+
+
+def test_orders_that_do_not_fit_stay_structs(spark):
+    df = spark.createDataFrame([(1, 2, "x", 1.5)], "a long, b long, s string, d double")
+    for columns in (["a", "b"], ["s"], ["d", "a"]):
+        assert df.select(order_key(df, columns).alias("k")).dtypes[0][1].startswith("struct")
+
+
+def test_first_and_last_are_folded_in_hash_tables(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    made = aggregate(orders, ["o_custkey"], [Aggregation("o_totalprice", "first")], ["o_orderdate", "o_orderkey"])
+    assert "SortAggregate" not in plan(made)
