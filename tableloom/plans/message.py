@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tableloom.functions.draw import Draws
 from tableloom.plans.spec import Constraint, Field, Template
-from tableloom.sources.xsd import template_rows
+from tableloom.sources.xsd import MAX_ELEMENTS, MAX_NESTED, template_rows
 
 # Sample values by generator, picked at random where there are several.
 SAMPLE_CHOICES = {
@@ -32,7 +32,10 @@ SAMPLE_ROWS = 10
 
 def message_template(fields: DataFrame, name: str, category: str = "ISO 20022", rules: str = "broad") -> Template:
     """The fields of one message as a template; a name that no column can bear is made one."""
-    rows = template_rows(fields, rules).orderBy("position", "child").collect()  # fields of one message
+    most = MAX_ELEMENTS * (MAX_NESTED + 1)
+    rows = template_rows(fields, rules).orderBy("position", "child").head(most + 1)
+    if len(rows) > most:
+        raise ValueError("a template is made from the fields of one message; filter them by document first")
     made = []
     for row in rows:
         bounds = Constraint(values=row["values"]) if row["values"] else Constraint()

@@ -209,26 +209,26 @@ def dedup_keep_none(spark, sf):
     return transform.dedup(load(spark, sf, "orders"), ["o_custkey"], "keep_none")
 
 
-_NULLABLE = """SELECT o_orderkey, nullif(o_custkey % 500, 0) AS a, nullif(o_orderpriority, '5-LOW') AS b, o_totalprice FROM orders"""
+_NULLABLE = """SELECT o_orderkey, nullif(o_custkey % 500, 0) AS a,
+    CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderdate END AS b, o_totalprice FROM orders"""
 
 
 def _nullable_orders(spark, sf):
     return load(spark, sf, "orders").select(
         "o_orderkey",
         F.nullif(F.col("o_custkey") % 500, F.lit(0).cast("bigint")).alias("a"),
-        F.nullif("o_orderpriority", F.lit("5-LOW")).alias("b"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderdate")).alias("b"),
         "o_totalprice",
     )
 
 
 @query(
-    f"""WITH t AS ({_NULLABLE}), o AS (SELECT * FROM t WHERE o_totalprice > 400000)
+    f"""WITH o AS ({_NULLABLE})
     SELECT o.* FROM o JOIN (SELECT a, b FROM o GROUP BY a, b HAVING count(*) = 1) s
     ON o.a IS NOT DISTINCT FROM s.a AND o.b IS NOT DISTINCT FROM s.b"""
 )
 def dedup_keep_none_two_keys(spark, sf):
-    dear = _nullable_orders(spark, sf).where(F.col("o_totalprice") > 400000)
-    return transform.dedup(dear, ["a", "b"], "keep_none")
+    return transform.dedup(_nullable_orders(spark, sf), ["a", "b"], "keep_none")
 
 
 @query(
@@ -241,17 +241,17 @@ def dedup_nullable_keys(spark, sf):
 
 # --- quotes, enrichment and bars -----------------------------------------------------------
 
+# larger parts have no price, so they have no quote
 _PART_QUOTES = """SELECT p_partkey::VARCHAR AS symbol, p_name AS "shortName", p_retailprice AS "regularMarketPrice",
-    round(p_retailprice - p_size, 2) AS prev FROM part WHERE p_partkey % 2 = 0"""
+    round(p_retailprice - p_size, 2) AS prev FROM part WHERE p_size <= 25"""
 
 
 def _part_quotes(spark, sf):
-    raw = load(spark, sf, "part").where(F.col("p_partkey") % 2 == 0)
     return enrich.build_quotes(
-        raw.select(
+        load(spark, sf, "part").select(
             F.col("p_partkey").cast("string").alias("symbol"),
             F.col("p_name").alias("shortName"),
-            F.col("p_retailprice").alias("regularMarketPrice"),
+            F.when(F.col("p_size") <= 25, F.col("p_retailprice")).alias("regularMarketPrice"),
             F.round(F.col("p_retailprice") - F.col("p_size"), 2).alias("previousClose"),
         )
     )

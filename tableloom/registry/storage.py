@@ -30,7 +30,7 @@ def query(sql: str):
 # --- files ---------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM customer")
+@query("SELECT * REPLACE (c_nationkey::BIGINT AS c_nationkey) FROM customer")
 def csv_roundtrip(spark, sf) -> DataFrame:
     path = export(load(spark, sf, "customer"), new_work_path(spark, "csv"), "all customers", "1", "csv")
     return import_csv(spark, path)

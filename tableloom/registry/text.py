@@ -145,7 +145,7 @@ _HAS_MAX = "CASE WHEN p_partkey % 3 <> 0 THEN p_size::DOUBLE END"
 @query(
     f"""SELECT 'T' || p_partkey AS template, position, name, type, generator, uniq AS unique, formula, null_probability, condition,
       min, max, min_age, "values", weights, right_digits FROM part, LATERAL (VALUES
-      (0, 'id', 'integer', 'uuid_int', true, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL),
+      (0, 'id', 'integer', 'uuid_int', true, NULL, NULL, NULL, NULL, NULL, NULL::INTEGER, NULL, NULL, NULL),
       (1, 'note', 'string', 'text', false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL),
       (2, 'size', 'integer', 'random_int', false, NULL, 0.5::DOUBLE, NULL, 1::DOUBLE, {_HAS_MAX}, NULL, NULL, NULL, 2),
       (3, 'kind', 'string', 'random_element', false, NULL, NULL, 'size > 3', NULL, NULL, NULL, '<1M,' || p_name, '1,2', NULL),
@@ -169,8 +169,7 @@ _RUN = Run(SEED, homogeneity=100, as_of=AS_OF)
 
 def template_dataset(spark, sf):
     """A template read from files, applied to one row per order."""
-    files = _template_files(spark, sf).where(F.col("name").isin("T1", "T4"))
-    spec = templates.get_template(files, "T4").datasets("made", 1)[0]
+    spec = templates.get_template(_template_files(spark, sf), "T4").datasets("made", 1)[0]
     return flat_dataset(spark, spec, _RUN, row_ids=load(spark, sf, "orders").select("o_orderkey"), keep_row_id=True).select(
         "row_id", "size", "kind", "label"
     )

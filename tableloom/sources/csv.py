@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Collection
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +14,58 @@ from pyspark.sql import types as T
 
 from tableloom.sources.reserved import RESERVED_WORDS, TYPE_FUNCTION_WORDS
 
-# Tried in this order; a column takes the first type that all its non-NULL values fit.
-_TYPES = ("boolean", "bigint", "double", "date", "timestamp_ntz")
-_SHAPES = {
-    "boolean": r"(?i)^(true|false)$",
-    "bigint": r"^\s*[+-]?\d+\s*$",
-    "double": r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$",
-    "date": r"^\d{4}-\d{1,2}-\d{1,2}$",
-    "timestamp_ntz": r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$",
-}
+# Separators tried on the first lines.
+SEPARATORS = (",", "|", ";", "\t")
+HEAD_LINES, HEAD_ROWS = 20, 2000
+
+_TIME = r"[ T](\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6}\d*)?)?)"
+_MARK = r"([-/. ])"  # the same mark stands twice in a date
+
+
+@dataclass(frozen=True)
+class _Kind:
+    """A type a text column may take: what its values look like, and how they are rewritten for a cast."""
+
+    type: str
+    pattern: str
+    rewrites: tuple[tuple[str, str], ...] = ()
+
+    def value(self, column: Column) -> Column:
+        text = F.trim(column)
+        for pattern, made in self.rewrites:
+            text = F.regexp_replace(text, pattern, made)
+        return text
+
+    def fits(self, column: Column) -> Column:
+        """True where the value reads as this type; NULLs fit every type."""
+        return column.isNull() | (column.rlike(self.pattern) & self.value(column).try_cast(self.type).isNotNull())
+
+
+def _dated(kind: str, time: str, tail: str) -> list[_Kind]:
+    year_first = rf"^(\d{{4}}){_MARK}(\d{{1,2}})\2(\d{{1,2}}){time}$"
+    year_last = rf"^(\d{{1,2}}){_MARK}(\d{{1,2}})\2(\d{{4}}){time}$"
+    short = rf"^(\d{{2}}){_MARK}(\d{{1,2}})\2(\d{{1,2}}){time}$"
+    this_century, last_century = short.replace(r"^(\d{2})", r"^([0-6]\d)", 1), short.replace(r"^(\d{2})", r"^([7-9]\d)", 1)
+    return [
+        _Kind(kind, year_first, ((year_first, f"$1-$3-$4{tail}"),)),
+        _Kind(kind, short, ((this_century, f"20$1-$3-$4{tail}"), (last_century, f"19$1-$3-$4{tail}"))),
+        _Kind(kind, year_last, ((year_last, f"$4-$3-$1{tail}"),)),
+        _Kind(kind, year_last, ((year_last, f"$4-$1-$3{tail}"),)),
+    ]
+
+
+_NUMBER = r"-?(?!0\d)(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
+
+# Tried in this order; a column takes the first type that all its values fit, else it stays text.
+_KINDS = [
+    _Kind("boolean", r"(?i)^(true|false|t|f|yes|no)$"),
+    *_dated("date", "", ""),
+    *_dated("timestamp_ntz", _TIME, " $5"),
+    _Kind("timestamp", rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{_TIME}(Z|[+-]\d{{2}}(:\d{{2}})?)$"),
+    _Kind("bigint", r"^ *-?(0|[1-9]\d*) *$"),
+    _Kind("decimal(38,0)", r"^ *-?(0|[1-9]\d*) *$"),
+    _Kind("double", rf"^ *({_NUMBER}|(?i:nan)) *$"),
+]
 
 
 def normalize_names(names: list[str], keywords: Collection[str] = RESERVED_WORDS | TYPE_FUNCTION_WORDS) -> list[str]:
@@ -47,15 +92,17 @@ def normalize_names(names: list[str], keywords: Collection[str] = RESERVED_WORDS
     return made
 
 
-def import_csv(spark: SparkSession, path: str, max_rows: int | None = None, sep: str = ",") -> DataFrame:
+def import_csv(spark: SparkSession, path: str, max_rows: int | None = None, sep: str | None = None) -> DataFrame:
     """Read CSV files with a header line; rows with a wrong number of fields are skipped.
 
-    Types are settled by one pass over the data, so a skipped row never widens a column. With
-    ``max_rows`` only that many rows are kept (in file order for a single file).
+    The separator is found from the first lines unless given. Types are settled over all rows, so a
+    skipped row never widens a column. With ``max_rows`` only that many rows are kept (in file order
+    for a single file).
     """
     if max_rows is not None and max_rows <= 0:
         raise ValueError(f"invalid max_rows: {max_rows}")
-    reader = spark.read.option("sep", sep).option("quote", '"').option("escape", '"')
+    head = [row.value for row in spark.read.text(path).head(HEAD_LINES)]
+    reader = spark.read.option("sep", sep or find_separator(head)).option("quote", '"').option("escape", '"')
     header = reader.csv(path).first()
     if header is None:
         raise ValueError(f"no header line in {path}")
@@ -67,22 +114,47 @@ def import_csv(spark: SparkSession, path: str, max_rows: int | None = None, sep:
     return settle_types(text)
 
 
+def find_separator(lines: list[str]) -> str:
+    """The separator that splits most lines into the same number of fields, and into most fields."""
+
+    def score(sep: str) -> tuple[int, int]:
+        widths = Counter(line.count(sep) for line in lines if line and sep in line)
+        width, alike = max(widths.items(), key=lambda item: (item[1], item[0]), default=(0, 0))
+        return alike, width
+
+    return max(SEPARATORS, key=score)
+
+
 def settle_types(text: DataFrame) -> DataFrame:
-    """Cast every text column to the first type that all its values fit."""
-    tests = [
-        F.every(_fits(F.col(c), t) | F.col(c).isNull()).alias(f"{i}_{t}") for i, c in enumerate(text.columns) for t in _TYPES
-    ]
-    filled = [F.count(c).alias(f"{i}_rows") for i, c in enumerate(text.columns)]
-    found = text.agg(*tests, *filled).first().asDict()  # one row
+    """Cast every text column to the first type that all its values fit.
+
+    The first rows rule out most types for good; only the others are tried on all rows.
+    """
+    head = text.sparkSession.createDataFrame(text.head(HEAD_ROWS), text.schema)
+    possible = _fitting(head, {c: _KINDS for c in text.columns}, blank_fits=True)
+    left = _fitting(text, {c: kinds for c, kinds in possible.items() if kinds}, blank_fits=False)
     typed = []
-    for i, c in enumerate(text.columns):
-        fitting = [t for t in _TYPES if found[f"{i}_rows"] and found[f"{i}_{t}"]]
-        typed.append(F.trim(c).cast(fitting[0]).alias(c) if fitting else F.col(c))
+    for c in text.columns:
+        kinds = left.get(c)
+        typed.append(kinds[0].value(F.col(c)).cast(kinds[0].type).alias(c) if kinds else F.col(c))
     return text.select(*typed)
 
 
-def _fits(column: Column, kind: str) -> Column:
-    return column.rlike(_SHAPES[kind]) & F.trim(column).try_cast(kind).isNotNull()
+def _fitting(text: DataFrame, tried: dict[str, list[_Kind]], blank_fits: bool) -> dict[str, list[_Kind]]:
+    """For each column the kinds that all its values fit; a column without values fits all or none."""
+    if not tried:
+        return {}
+    tests = [
+        F.every(kind.fits(F.col(c))).alias(f"{i}_{n}")
+        for i, (c, kinds) in enumerate(tried.items())
+        for n, kind in enumerate(kinds)
+    ]
+    filled = [F.count(c).alias(f"{i}_filled") for i, c in enumerate(tried)]
+    found = text.agg(*tests, *filled).first().asDict()  # one row
+    return {
+        c: [kind for n, kind in enumerate(kinds) if (found[f"{i}_{n}"] if found[f"{i}_filled"] else blank_fits)]
+        for i, (c, kinds) in enumerate(tried.items())
+    }
 
 
 def list_csv(spark: SparkSession, folder: str) -> DataFrame:

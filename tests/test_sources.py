@@ -54,6 +54,42 @@ def test_import_types_and_bad_rows(spark, write):
     assert made.count() == 3
 
 
+@pytest.mark.parametrize(
+    "values, kind, first",
+    [
+        (["01/02/2024"], "date", date(2024, 2, 1)), (["13/02/2024", "01/02/2024"], "date", date(2024, 2, 13)),
+        (["02/13/2024", "01/02/2024"], "date", date(2024, 2, 13)), (["2024.1.2"], "date", date(2024, 1, 2)), (["24-01-02"], "date", date(2024, 1, 2)),
+        (["99-01-02"], "date", date(1999, 1, 2)), (["2024-01/02"], "string", "2024-01/02"), (["2024-13-40"], "string", "2024-13-40"),
+        (["01/02/2024 10:11:12"], "timestamp_ntz", datetime(2024, 2, 1, 10, 11, 12)), (["2024/01/02 10:11"], "timestamp_ntz", datetime(2024, 1, 2, 10, 11)),
+        (["2024-01-02T10:11:12Z"], "timestamp", None), (["2024-01-02 10:11:12+02"], "timestamp", None),
+        (["007"], "string", "007"), (["+5"], "string", "+5"), ([" 5 ", "-6"], "bigint", 5), (["99999999999999999999"], "decimal(38,0)", None),
+        (["1e5"], "double", 1e5), (["1", "2.5", "NaN"], "double", 1.0), (["t", "f"], "boolean", True), (["No", "YES"], "boolean", False),
+        (["true", "1"], "string", "true"), (["20240102"], "bigint", 20240102), (["1_000"], "string", "1_000"), (["5d"], "string", "5d"), (["NULL", "1"], "string", "NULL"),
+    ],
+)
+def test_types(spark, write, values, kind, first):
+    made = import_csv(spark, write("t.csv", "k,x\n" + "".join(f"{i},{v}\n" for i, v in enumerate(values))))
+    assert dict(made.dtypes)["x"] == kind
+    assert first is None or made.orderBy("k").first().x == first
+
+
+def test_late_values_decide(spark, write):
+    lines = [f"{i},,{i}" for i in range(3000)] + ["3000,7,x"]
+    made = import_csv(spark, write("late.csv", "\n".join(["a,b,c", *lines])))
+    assert made.dtypes == [("a", "bigint"), ("b", "bigint"), ("c", "string")] and made.count() == 3001
+
+
+@pytest.mark.parametrize("sep", [",", ";", "|", "\t"])
+def test_separators(spark, write, sep):
+    text = "\n".join(sep.join(row) for row in (("A b", "c", "d"), ("1", "x y", "2.5"), ("2", "z:z", "3.5")))
+    assert import_csv(spark, write("s.csv", text)).dtypes == [("a_b", "bigint"), ("c", "string"), ("d", "double")]
+
+
+def test_header_only(spark, write):
+    made = import_csv(spark, write("h.csv", "a,b\n"))
+    assert made.dtypes == [("a", "string"), ("b", "string")] and made.count() == 0
+
+
 def test_row_cap(spark, write):
     path = write("n.csv", "n\n" + "\n".join(map(str, range(50))))
     assert [r.n for r in import_csv(spark, path, max_rows=7).collect()] == list(range(7))
