@@ -34,12 +34,14 @@ def index_pool(pool: DataFrame, column: str, buckets: int = BUCKETS) -> tuple[Da
     ranged = counted.select(
         "_bucket", "_value", "_count", F.coalesce(F.sum("_count").over(inside), F.lit(0)).alias("_start")
     ).join(F.broadcast(offsets), "_bucket", "left")  # every bucket has its offset; left keeps the counts reusable
+    # a fixed number: the rows are few and small here, but unfold to the whole pool
+    tasks = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = F.col("_offset") + F.col("_start")
     chunks = ranged.select(
         "_value",
         (first + F.col("_count")).alias("_end"),
         F.explode_outer(F.sequence(first, first + F.col("_count") - 1, F.lit(CHUNK).cast("bigint"))).alias("_from"),
-    ).repartition("_from")
+    ).repartition(tasks, "_from")
     last = F.least(F.col("_from") + F.lit(CHUNK), F.col("_end")) - 1
     return chunks.select(F.explode_outer(F.sequence("_from", last)).alias("_index"), "_value"), size
 

@@ -27,7 +27,7 @@ from tableloom.plans.spec import DatasetSpec, Field, Request
 # These never repeat between datasets of a run, whatever the homogeneity.
 ALWAYS_OWN = ("uuid4", "uuid_int", "shared_key")
 ROW_ID = "_row_id"
-CHUNK_ROWS = 1 << 16
+CHUNK_ROWS = 1 << 18
 ROWS_PER_TASK = 1 << 20
 
 

@@ -26,9 +26,9 @@ def query(sql: str | None = None):
 # --- scans and listings --------------------------------------------------------------------
 
 
-@query("SELECT n_nationkey, n_name FROM nation")
-def scan_nation(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "nation").select("n_nationkey", "n_name")
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def scan_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "orders").select("o_orderkey", "o_custkey")
 
 
 @query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")

@@ -1,7 +1,7 @@
 """Catalog of datasets, runs and transforms over a folder all executors can reach.
 
-Every change is a row appended to a Parquet table; the current state is the latest row per
-dataset. Nothing is rewritten in place, so a failed or repeated write cannot lose an entry.
+Every change is a new entry of a Parquet log; the current state is the latest entry per dataset.
+Nothing is rewritten in place, so a failed or repeated write cannot lose an entry.
 """
 
 from __future__ import annotations
@@ -41,10 +41,14 @@ class Catalog:
     def _log(self, table: str, schema: str) -> DataFrame:
         path = f"{self.root}/{table}"
         empty = self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path) if self._exists(path) else empty
+        if not self._exists(path):
+            return empty
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
 
     def _append(self, table: str, schema: str, row: tuple) -> None:
-        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{table}")
+        # a folder per entry, so writers at the same time cannot disturb each other's commit
+        entry = self.spark.createDataFrame([row], schema).coalesce(1)
+        entry.write.mode("errorifexists").parquet(f"{self.root}/{table}/{uuid.uuid4().hex}")
 
     def _files(self, path: str):
         jvm = self.spark._jvm

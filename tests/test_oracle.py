@@ -35,4 +35,4 @@ def test_entry(spark):
 
 def test_contract(spark):
     assert set(entry_module.queries()) == set(entry_module.oracle_sql())
-    assert entry_module.queries()["scan_nation"](spark, SF).count() == 25
+    assert entry_module.queries()["scan_orders"](spark, SF).count() == 1500
