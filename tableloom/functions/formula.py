@@ -1,22 +1,30 @@
 """Formulas and conditions, compiled once on the driver to plain columns.
 
-A formula is text with ``{{ field | filter }}`` places; inside a place numbers, quoted text,
-earlier fields, ``+ - * / ~`` and the filters below may be used.
+A formula is template text: ``{{ field | filter }}`` places and ``{% if %}`` blocks over the fields
+before it. Where a row would make the template fail (arithmetic on NULL, division by zero), the row
+gets the formula's own text.
 """
 
 from __future__ import annotations
 
 import operator
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tableloom.functions.floats import float_text
 from tableloom.functions.rounding import round_half_even
 
-_PLACE = re.compile(r"\{\{(.*?)\}\}", re.S)
-_TOKEN = re.compile(r"\s*(?:(\d+\.\d+|\d+)|('[^']*'|\"[^\"]*\")|([A-Za-z_]\w*)|([-+*/~|(),]))")
+_PART = re.compile(r"(\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\})", re.S)
+_TOKEN = re.compile(
+    r"\s*(?:(?P<number>\d+\.\d+|\d+)|(?P<text>'[^']*'|\"[^\"]*\")|(?P<name>[A-Za-z_]\w*)"
+    r"|(?P<op>\*\*|//|==|!=|<=|>=|[-+*/%~|(),<>.:\[\]]))"
+)
+_WORDS = ("if", "else", "and", "or", "not", "is", "in")
 _CONDITION = re.compile(r"^\s*(\w+)\s*(>=|<=|!=|==|>|<)\s*(.+)\s*$")
 _COMPARE = {
     ">=": operator.ge,
@@ -26,181 +34,462 @@ _COMPARE = {
     "==": operator.eq,
     "!=": operator.ne,
 }
+_NUMBERS = ("bigint", "double")
 
 
 class FormulaError(ValueError):
     """The formula cannot be compiled against the fields before it."""
 
 
+@dataclass(frozen=True)
+class _Value:
+    """A column with its kind; an unknown name is ``undefined``, and a literal keeps its Python value."""
+
+    column: Column
+    kind: str
+    literal: object = None
+
+
+_UNDEFINED = "undefined"
+
+
 # --- formulas ------------------------------------------------------------------------------
 
 
 def formula_fields(formula: str) -> set[str]:
-    """Names a formula reads (filter names excluded)."""
-    names: set[str] = set()
-    for place in _PLACE.findall(formula):
-        tokens = _tokens(place)
-        for i, (kind, text) in enumerate(tokens):
-            if kind == "name" and not (i and tokens[i - 1] == ("op", "|")):
-                names.add(text)
-    return names
+    """Names that stand in the places and blocks of a formula."""
+    inside = [part[2:-2] for part in _PART.findall(formula) if part[1] != "#"]
+    return {text for part in inside for kind, text in _tokens(part.strip("-")) if kind == "name"}
 
 
 def compile_formula(formula: str, types: Mapping[str, str], null_text: str = "None") -> Column:
-    """Text column for ``formula``; ``types`` maps each earlier field to its Spark type."""
-    parts, at = [], 0
-    for place in _PLACE.finditer(formula):
-        if place.start() > at:
-            parts.append(F.lit(formula[at : place.start()]))
-        value, kind = _Place(_tokens(place.group(1)), types, null_text).parse()
-        parts.append(_printed(value, kind, null_text))
-        at = place.end()
-    if at < len(formula) or not parts:
-        parts.append(F.lit(formula[at:]))
-    return F.concat(*parts)
-
-
-def _printed(value: Column, kind: str, null_text: str) -> Column:
-    if kind == "boolean":
-        value = F.initcap(value.cast("string"))
-    elif kind == "timestamp_ntz":
-        value = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
-    return F.coalesce(value.cast("string"), F.lit(null_text))
+    """Text column for ``formula``; ``types`` maps each earlier field to its kind."""
+    parts = _split(formula.removesuffix("\n"))
+    reader = _Reader(types, null_text)
+    made, rest = _block(parts, reader)
+    if rest:
+        raise FormulaError(f"unexpected {rest[0]!r}")
+    text = made[0] if len(made) == 1 else F.concat(*made) if made else F.lit("")
+    return F.when(_any(reader.failures), F.lit(formula)).otherwise(text) if reader.failures else text
+
+
+def _split(formula: str) -> list[str]:
+    """Text and template parts in order; comments go, and a ``-`` mark eats the white space next to it."""
+    parts = [p for p in _PART.split(formula) if p]
+    for i, part in enumerate(parts):
+        if _PART.fullmatch(part):
+            if part[2] == "-" and i and not _PART.fullmatch(parts[i - 1]):
+                parts[i - 1] = parts[i - 1].rstrip()
+            if part[-3] == "-" and i + 1 < len(parts):
+                parts[i + 1] = parts[i + 1].lstrip()
+    return [p for p in parts if p and not p.startswith("{#")]
+
+
+def _block(parts: list[str], reader: "_Reader", ends: Sequence[str] = ()) -> tuple[list[Column], list[str]]:
+    """Columns up to a statement in ``ends``, and the parts from there on."""
+    made: list[Column] = []
+    while parts:
+        part = parts[0]
+        if part.startswith("{{"):
+            made.append(reader.text(reader.value_of(_inside(part))))
+        elif part.startswith("{%"):
+            word = (_inside(part).split() or [""])[0]
+            if word in ends:
+                return made, parts
+            if word != "if":
+                raise FormulaError(f"unsupported statement {part!r}")
+            column, parts = _if(parts, reader)
+            made.append(column)
+            continue
+        else:
+            made.append(F.lit(part))
+        parts = parts[1:]
+    if ends:
+        raise FormulaError("an if block is not closed")
+    return made, []
+
+
+def _if(parts: list[str], reader: "_Reader") -> tuple[Column, list[str]]:
+    test = reader.truth(reader.value_of(_inside(parts[0]).split(None, 1)[-1]))
+    outer, reader.failures = reader.failures, []
+    then, parts = _block(parts[1:], reader, ("elif", "else", "endif"))
+    then_failures, reader.failures = reader.failures, []
+    word = _inside(parts[0]).split()[0]
+    if word == "elif":
+        other, parts = _if(parts, reader)
+        otherwise = [other]
+    else:
+        otherwise, parts = _block(parts[1:], reader, ("endif",)) if word == "else" else ([], parts)
+        parts = parts[1:]
+    reader.failures = outer + reader.guarded(test, then_failures) + reader.guarded(~test, reader.failures)
+    return F.when(test, F.concat(F.lit(""), *then)).otherwise(F.concat(F.lit(""), *otherwise)), parts
+
+
+def _inside(part: str) -> str:
+    return part[2:-2].strip("-").strip()
+
+
+def _any(tests: Sequence[Column]) -> Column:
+    return reduce(operator.or_, tests)
 
 
 def _tokens(place: str) -> list[tuple[str, str]]:
-    found, at = [], 0
-    text = place.rstrip()
+    found, at, text = [], 0, place.rstrip()
     while at < len(text):
         m = _TOKEN.match(text, at)
         if not m:
-            raise FormulaError(f"cannot read {text[at:]!r} in formula place {place!r}")
-        kind = ("number", "text", "name", "op")[m.lastindex - 1]
-        found.append((kind, m.group(m.lastindex)))
+            raise FormulaError(f"cannot read {text[at:]!r} in {place!r}")
+        kind = "word" if m.lastgroup == "name" and m["name"] in _WORDS else m.lastgroup
+        found.append((kind, m[m.lastgroup]))
         at = m.end()
     return found
 
 
-class _Place:
-    """Turns the tokens of one ``{{ }}`` place into a column and its type name."""
+class _Reader:
+    """Turns expressions into columns and remembers which rows would make the template fail."""
 
-    def __init__(self, tokens, types, null_text):
-        self.tokens, self.types, self.null_text, self.at = tokens, types, null_text, 0
+    def __init__(self, types: Mapping[str, str], null_text: str):
+        self.types, self.null_text = types, null_text
+        self.failures: list[Column] = []
+        self.tokens: list[tuple[str, str]] = []
+        self.at = 0
 
-    def parse(self) -> tuple[Column, str]:
-        value = self._joined()
+    def value_of(self, expression: str) -> _Value:
+        self.tokens, self.at = _tokens(expression), 0
+        value = self._choice()
         if self.at != len(self.tokens):
             raise FormulaError(f"unexpected {self.tokens[self.at][1]!r}")
         return value
 
-    def _next_is(self, *ops: str) -> str | None:
-        if self.at < len(self.tokens) and self.tokens[self.at][0] == "op" and self.tokens[self.at][1] in ops:
+    # --- values as text and truth -------------------------------------------------------------
+
+    def text(self, value: _Value) -> Column:
+        column = value.column
+        if value.kind == "boolean":
+            column = F.initcap(column.cast("string"))
+        elif value.kind == "double":
+            column = float_text(column)
+        elif value.kind == "timestamp_ntz":
+            column = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
+        return F.coalesce(column.cast("string"), F.lit(self.null_text))
+
+    def truth(self, value: _Value) -> Column:
+        column = value.column
+        if value.kind in ("string", _UNDEFINED):
+            column = column != ""
+        elif value.kind in _NUMBERS:
+            column = column != 0
+        elif value.kind != "boolean":
+            return value.column.isNotNull()
+        return F.coalesce(column, F.lit(False))
+
+    def guarded(self, test: Column, failures: list[Column]) -> list[Column]:
+        return [test & _any(failures)] if failures else []
+
+    def _fails(self, test: Column) -> None:
+        self.failures.append(F.coalesce(test, F.lit(False)))
+
+    # --- grammar, loosest binding first -------------------------------------------------------
+
+    def _next(self, kind: str, *texts: str) -> str | None:
+        if self.at < len(self.tokens) and self.tokens[self.at][0] == kind and (not texts or self.tokens[self.at][1] in texts):
             self.at += 1
             return self.tokens[self.at - 1][1]
         return None
 
-    def _joined(self):
+    def _need(self, kind: str, text: str) -> None:
+        if not self._next(kind, text):
+            raise FormulaError(f"missing {text!r}")
+
+    def _branch(self, parse: Callable[[], _Value]) -> tuple[_Value, list[Column]]:
+        outer, self.failures = self.failures, []
+        value = parse()
+        inner, self.failures = self.failures, outer
+        return value, inner
+
+    def _choice(self) -> _Value:
+        value, failures = self._branch(self._or)
+        if not self._next("word", "if"):
+            self.failures += failures
+            return value
+        test = self.truth(self._or())
+        other, other_failures = _Value(F.lit(""), _UNDEFINED), []
+        if self._next("word", "else"):
+            other, other_failures = self._branch(self._choice)
+        self.failures += self.guarded(test, failures) + self.guarded(~test, other_failures)
+        return self._either(test, value, other)
+
+    def _either(self, test: Column, a: _Value, b: _Value) -> _Value:
+        if a.kind == b.kind:
+            return _Value(F.when(test, a.column).otherwise(b.column), a.kind)
+        return _Value(F.when(test, self.text(a)).otherwise(self.text(b)), "string")
+
+    def _or(self) -> _Value:
+        value = self._and()
+        while self._next("word", "or"):
+            test = self.truth(value)
+            other, failures = self._branch(self._and)
+            self.failures += self.guarded(~test, failures)
+            value = self._either(test, value, other)
+        return value
+
+    def _and(self) -> _Value:
+        value = self._not()
+        while self._next("word", "and"):
+            test = self.truth(value)
+            other, failures = self._branch(self._not)
+            self.failures += self.guarded(test, failures)
+            value = self._either(test, other, value)
+        return value
+
+    def _not(self) -> _Value:
+        if self._next("word", "not"):
+            return _Value(~self.truth(self._not()), "boolean")
         value = self._sum()
-        while self._next_is("~"):
-            other = self._sum()
-            value = F.concat(_printed(*value, self.null_text), _printed(*other, self.null_text)), "string"
+        while True:
+            if op := self._next("op", *_COMPARE):
+                value = self._compared(op, value, self._sum())
+            elif self._next("word", "in"):
+                value = _Value(self._string(self._sum()).contains(self._string(value)), "boolean")
+            else:
+                break
+        if self._next("word", "is"):
+            negated = self._next("word", "not")
+            word = (self._next("name") or "").lower()
+            known = {"none": value.column.isNull(), "defined": F.lit(value.kind != _UNDEFINED)}
+            if word not in known:
+                raise FormulaError(f"unknown test {word!r}")
+            value = _Value(~known[word] if negated else known[word], "boolean")
         return value
 
-    def _sum(self):
+    def _compared(self, op: str, a: _Value, b: _Value) -> _Value:
+        left, right = (self._number(v).column if v.kind == "boolean" else v.column for v in (a, b))
+        kinds = ["number" if v.kind in (*_NUMBERS, "boolean") else "string" if v.kind == _UNDEFINED else v.kind for v in (a, b)]
+        if op in ("==", "!="):
+            if "null" not in kinds and kinds[0] != kinds[1]:
+                return _Value(F.lit(op == "!="), "boolean")
+            equal = left.eqNullSafe(right)
+            return _Value(equal if op == "==" else ~equal, "boolean")
+        if kinds[0] != kinds[1]:
+            raise FormulaError(f"{op!r} cannot order {a.kind} and {b.kind}")
+        self._fails(left.isNull() | right.isNull())
+        return _Value(_COMPARE[op](left, right), "boolean")
+
+    def _sum(self) -> _Value:
+        value = self._joined()
+        while op := self._next("op", "+", "-"):
+            value = self._arithmetic(op, value, self._joined())
+        return value
+
+    def _joined(self) -> _Value:
         value = self._product()
-        while op := self._next_is("+", "-"):
-            value = self._arithmetic(op, value, self._product())
+        while self._next("op", "~"):
+            value = _Value(F.concat(self.text(value), self.text(self._product())), "string")
         return value
 
-    def _product(self):
+    def _product(self) -> _Value:
+        value = self._power()
+        while op := self._next("op", "*", "//", "/", "%"):
+            value = self._arithmetic(op, value, self._power())
+        return value
+
+    def _power(self) -> _Value:
         value = self._filtered()
-        while op := self._next_is("*", "/"):
-            value = self._arithmetic(op, value, self._filtered())
+        while self._next("op", "**"):
+            value = self._arithmetic("**", value, self._filtered())
+        return value
+
+    def _arithmetic(self, op: str, a: _Value, b: _Value) -> _Value:
+        self._fails(a.column.isNull() | b.column.isNull())
+        if op == "+" and a.kind == b.kind == "string":
+            return _Value(F.concat(a.column, b.column), "string")
+        a, b = self._number(a), self._number(b)
+        kind = "double" if op == "/" or "double" in (a.kind, b.kind) else "bigint"
+        if op in ("/", "//", "%"):
+            self._fails(b.column == 0)
+            if op == "/":
+                return _Value(F.try_divide(a.column.cast("double"), b.column), kind)
+            # whole quotients go down and remainders follow the divisor, as in the template language
+            rest = F.try_mod(F.try_mod(a.column, b.column) + b.column, b.column)
+            made = rest if op == "%" else F.try_divide((a.column - rest).cast("double"), b.column).cast(kind)
+            return _Value(made, kind)
+        if op == "**":
+            return _Value(F.pow(a.column, b.column).cast(kind), kind)
+        apply = {"+": operator.add, "-": operator.sub, "*": operator.mul}[op]
+        return _Value(apply(a.column, b.column), kind)
+
+    def _number(self, value: _Value) -> _Value:
+        if value.kind == "boolean":
+            return _Value(value.column.cast("bigint"), "bigint")
+        if value.kind not in _NUMBERS:
+            raise FormulaError(f"a number is needed, not {value.kind}")
         return value
 
-    def _arithmetic(self, op, left, right):
-        (a, kind_a), (b, kind_b) = left, right
-        if op == "+" and kind_a == kind_b == "string":
-            return F.concat(a, b), "string"
-        if {kind_a, kind_b} - {"bigint", "double"}:
-            raise FormulaError(f"{op!r} needs numbers, got {kind_a} and {kind_b}")
-        kind = "double" if op == "/" or "double" in (kind_a, kind_b) else "bigint"
-        apply = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": F.try_divide}[op]
-        return apply(a, b), kind
-
-    def _filtered(self):
-        value = self._value()
-        while self._next_is("|"):
-            if self.at >= len(self.tokens) or self.tokens[self.at][0] != "name":
+    def _filtered(self) -> _Value:
+        if self._next("op", "-"):
+            inner = self._number(self._postfixed())
+            self._fails(inner.column.isNull())
+            value = _Value(-inner.column, inner.kind)
+        else:
+            value = self._postfixed()
+        while self._next("op", "|"):
+            name = self._next("name")
+            if not name:
                 raise FormulaError("a filter name must follow '|'")
-            name = self.tokens[self.at][1]
-            self.at += 1
-            value = self._apply(name, value, self._arguments())
+            value = self._filter(name, value, self._arguments())
         return value
 
-    def _arguments(self) -> list:
-        args = []
-        if self._next_is("("):
-            while not self._next_is(")"):
-                if self.at >= len(self.tokens) or self.tokens[self.at][0] not in ("text", "number"):
-                    raise FormulaError("filter arguments must be literals")
-                kind, text = self.tokens[self.at]
-                args.append(text[1:-1] if kind == "text" else float(text) if "." in text else int(text))
-                self.at += 1
-                self._next_is(",")
+    def _arguments(self) -> list[_Value]:
+        args: list[_Value] = []
+        if self._next("op", "("):
+            while not self._next("op", ")"):
+                args.append(self._choice())
+                if not self._next("op", ","):
+                    self._need("op", ")")
+                    break
         return args
 
-    def _value(self):
-        if self._next_is("-"):
-            value, kind = self._value()
-            return -value, kind
-        if self._next_is("("):
-            value = self._joined()
-            if not self._next_is(")"):
-                raise FormulaError("missing ')'")
+    def _postfixed(self) -> _Value:
+        value = self._primary()
+        while True:
+            if self._next("op", "["):
+                value = self._indexed(value)
+            elif self._next("op", "."):
+                name = self._next("name")
+                if name not in _METHODS or self.tokens[self.at : self.at + 1] != [("op", "(")]:
+                    raise FormulaError(f"unknown attribute {name!r}")
+                self._fails(value.column.isNull())
+                value = self._filter(_METHODS[name], value, self._arguments())
+            else:
+                return value
+
+    def _indexed(self, value: _Value) -> _Value:
+        """``text[i]`` or ``text[a:b]`` by literal positions; outside the text there is nothing."""
+        first = self._position()
+        text, length = self._string(value), F.length(value.column)
+        if self._next("op", ":"):
+            last = self._position()
+            start = self._from_end(0 if first is None else first, length)
+            end = length if last is None else self._from_end(last, length)
+            made = F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
+        elif first is None:
+            raise FormulaError("an index is missing")
+        else:
+            inside = length > F.lit(first) if first >= 0 else length >= F.lit(-first)
+            made = F.when(inside, F.substring(text, first + 1 if first >= 0 else first, 1))
+        self._need("op", "]")
+        return _Value(F.coalesce(made, F.lit("")), "string")
+
+    def _position(self) -> int | None:
+        sign = -1 if self._next("op", "-") else 1
+        digits = self._next("number")
+        return sign * int(digits) if digits and digits.isdigit() else None
+
+    @staticmethod
+    def _from_end(at: int, length: Column) -> Column:
+        return F.lit(at) if at >= 0 else F.greatest(length + F.lit(at), F.lit(0))
+
+    def _string(self, value: _Value) -> Column:
+        if value.kind not in ("string", _UNDEFINED):
+            raise FormulaError(f"text is needed, not {value.kind}")
+        return value.column
+
+    def _primary(self) -> _Value:
+        if self._next("op", "("):
+            value = self._choice()
+            self._need("op", ")")
             return value
-        if self.at >= len(self.tokens):
+        if text := self._next("number"):
+            if "." in text:
+                return _Value(F.lit(float(text)), "double", float(text))
+            return _Value(F.lit(int(text)).cast("bigint"), "bigint", int(text))
+        if (text := self._next("text")) is not None:
+            return _Value(F.lit(text[1:-1]), "string", text[1:-1])
+        name = self._next("name")
+        if not name:
             raise FormulaError("a value is missing")
-        kind, text = self.tokens[self.at]
-        self.at += 1
-        if kind == "number":
-            return (F.lit(float(text)), "double") if "." in text else (F.lit(int(text)).cast("bigint"), "bigint")
-        if kind == "text":
-            return F.lit(text[1:-1]), "string"
-        if kind == "name":
-            if text not in self.types:  # an unknown name prints as nothing
-                return F.lit(""), "string"
-            return F.col(text).cast(self.types[text]), self.types[text]
-        raise FormulaError(f"unexpected {text!r}")
-
-    def _apply(self, name, value, args):
-        column, kind = value
-        text = _printed(column, kind, self.null_text)
-        simple = {"lower": F.lower, "upper": F.upper, "title": F.initcap, "trim": F.trim, "string": lambda c: c}
-        if name in simple:
-            return simple[name](text), "string"
-        if name == "capitalize":
-            return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1 << 30))), "string"
+        if name in self.types:
+            return _Value(F.col(name).cast(self.types[name]), self.types[name])
+        if name.lower() in ("true", "false"):
+            return _Value(F.lit(name.lower() == "true"), "boolean", name.lower() == "true")
+        if name.lower() == "none":
+            return _Value(F.lit(None).cast("string"), "null")
+        return _Value(F.lit(""), _UNDEFINED)
+
+    # --- filters ------------------------------------------------------------------------------
+
+    def _filter(self, name: str, value: _Value, args: list[_Value]) -> _Value:
+        text, literals = self.text(value), [a.literal for a in args]
+        if name in _TEXT_FILTERS and not args:
+            return _Value(_TEXT_FILTERS[name](text), "string")
         if name == "replace" and len(args) == 2:
-            return F.replace(text, F.lit(str(args[0])), F.lit(str(args[1]))), "string"
-        if name == "length":
-            return F.length(text).cast("bigint"), "bigint"
-        if name == "default" and len(args) == 1:
-            literal = F.lit(args[0]).cast(kind)
-            return F.coalesce(column, literal), kind
+            return _Value(F.replace(text, self.text(args[0]), self.text(args[1])), "string")
+        if name in ("length", "count", "wordcount"):
+            if name == "wordcount":
+                return _Value(F.regexp_count(text, F.lit(r"(?U)\w+")).cast("bigint"), "bigint")
+            self._fails(value.column.isNull())
+            return _Value(F.length(self._string(value)).cast("bigint"), "bigint")
+        if name in ("default", "d") and args:
+            if literals[1:] == [True]:
+                return self._either(self.truth(value), value, args[0])
+            return args[0] if value.kind == _UNDEFINED else value
         if name == "int":
-            return F.coalesce(_whole(column, kind), F.lit(0).cast("bigint")), "bigint"
+            whole = value.column.cast("bigint") if value.kind in (*_NUMBERS, "boolean") else F.coalesce(
+                value.column.try_cast("bigint"), value.column.try_cast("double").try_cast("bigint")
+            )
+            return _Value(F.coalesce(whole, F.lit(literals[0] if literals else 0).cast("bigint")), "bigint")
         if name == "float":
-            return F.coalesce(column.try_cast("double"), F.lit(0.0)), "double"
-        if kind in ("bigint", "double") and name == "abs":
-            return F.abs(column), kind
-        if kind in ("bigint", "double") and name == "round":
-            return round_half_even(column.cast("double"), int(args[0]) if args else 0), "double"
-        raise FormulaError(f"unknown filter {name!r} for {kind}")
-
-
-def _whole(column: Column, kind: str) -> Column:
-    return column.cast("bigint") if kind in ("bigint", "double", "boolean") else column.try_cast("bigint")
+            return _Value(F.coalesce(value.column.try_cast("double"), F.lit(float(literals[0] if literals else 0))), "double")
+        if name == "format" and args:
+            self._fails(_any([a.column.isNull() for a in args]))
+            if not isinstance(value.literal, str):
+                raise FormulaError("the format must be literal text")
+            return _Value(F.format_string(value.literal, *[a.column for a in args]), "string")
+        if name in ("abs", "round"):
+            self._fails(value.column.isNull())
+            number = self._number(value)
+            if name == "abs":
+                return _Value(F.abs(number.column), number.kind)
+            return self._rounded(number, literals)
+        raise FormulaError(f"unknown filter {name!r} for {value.kind}")
+
+    @staticmethod
+    def _rounded(number: _Value, literals: list) -> _Value:
+        digits = literals[0] if literals and isinstance(literals[0], int) else 0
+        method = literals[-1] if literals and isinstance(literals[-1], str) else "common"
+        if method == "common":
+            if number.kind == "bigint":
+                return number
+            return _Value(round_half_even(number.column, digits), "double")
+        if method not in ("floor", "ceil"):
+            raise FormulaError(f"unknown rounding {method!r}")
+        scale = F.lit(float(10**digits))
+        whole = (F.floor if method == "floor" else F.ceil)(number.column * scale)
+        return _Value(whole.cast("double") / scale, "double")
+
+
+def _capitalized(text: Column) -> Column:
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1 << 30)))
+
+
+def _titled(text: Column) -> Column:
+    words = F.split(text, r"(?<=[-\s(\{\[<])")
+    return F.array_join(F.transform(words, _capitalized), "")
+
+
+_TEXT_FILTERS = {
+    "lower": F.lower,
+    "upper": F.upper,
+    "title": _titled,
+    "capitalize": _capitalized,
+    "trim": lambda text: F.regexp_replace(text, r"(?U)^\s+|\s+$", ""),
+    "string": lambda text: text,
+    "reverse": F.reverse,
+    "first": lambda text: F.substring(text, 1, 1),
+    "last": lambda text: F.substring(text, -1, 1),
+}
+# Methods of text that do what a filter does.
+_METHODS = {"lower": "lower", "upper": "upper", "title": "title", "capitalize": "capitalize", "strip": "trim", "replace": "replace"}
 
 
 # --- conditions ----------------------------------------------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tableloom.functions import vocab
 from tableloom.functions.dates import resolve_date, years_before
 from tableloom.functions.draw import Draws, constant_array, draw_key
+from tableloom.functions.floats import float_text
 from tableloom.functions.rounding import round_half_even
 from tableloom.plans.spec import Constraint, Field
 
@@ -91,8 +92,7 @@ def to_type(value: Column, field: Field) -> Column:
         if field.generator == "date_time" and not field.constraint.values:
             return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
         if field.generator == "pydecimal" and not field.constraint.values:
-            digits = _decimal_bounds(field.constraint)[2]
-            return value.cast(f"decimal({min(38, 20 + digits)},{digits})").cast("string")
+            return float_text(value)
     if target == "bigint" and field.generator == "pydecimal" and not field.constraint.values:
         return F.rint(value).cast("bigint")
     return value.cast(target)

@@ -86,8 +86,8 @@ def _aggregate(df: DataFrame, a: Aggregation, order_by: Sequence[str], numeric_t
     column, dtype = F.col(a.column), df.schema[a.column].dataType
     if a.function in ("sum", "avg", "min", "max") and numeric_text and isinstance(dtype, T.StringType):
         column, dtype = column.cast("double"), T.DoubleType()
-    if a.function == "sum" and isinstance(dtype, T.LongType):
-        return wide_sum(column)
+    if a.function == "sum" and isinstance(dtype, T.IntegralType):
+        return wide_sum(column.cast("bigint"))
     if a.function in ("first", "last"):
         if not order_by:
             return F.first(column) if a.function == "first" else F.last(column)

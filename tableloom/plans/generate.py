@@ -211,7 +211,7 @@ def _add_fields(
         tested = condition_field(f.condition)
         if tested in later and tested not in types:
             raise ValueError(f"condition of {f.name!r} reads {tested!r}, which comes later")
-        reads = formula_fields(f.formula or "") if f.generator == "formula" else set()
+        reads = _reads(f) if f.generator == "formula" else set()
         if pending and (f.generator == "shared_key" or reads & pending.keys() or tested in pending):
             df, pending = df.withColumns(pending), {}
         draws = draws_of(f)
@@ -240,6 +240,13 @@ def _shared_value(df: DataFrame, f: Field, draws: Draws, pool) -> tuple[DataFram
     return pick_from_pool(df, pool[0], pool[1], draws.u(), picked), F.col(picked).cast(f.spark_type)
 
 
+def _reads(f: Field) -> set[str]:
+    try:
+        return formula_fields(f.formula or "")
+    except FormulaError:  # kept as text below
+        return set()
+
+
 def _formula_value(f: Field, types: Mapping[str, str], null_text: str) -> Column:
     text = f.formula or ""
     try:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableloom.functions.draw import Draws
+from tableloom.functions.floats import float_text
 from tableloom.plans.spec import Constraint, Field, Template
 from tableloom.sources.xsd import MAX_ELEMENTS, MAX_NESTED, template_rows
 
@@ -51,7 +52,7 @@ def sample_value(name: str, generator: str, choices: list[str] | None, draws: Dr
     if generator in SAMPLE_CHOICES:
         return draws.pick(SAMPLE_CHOICES[generator])
     if generator == "pydecimal":
-        return ((draws.below(99_999_999) + 1).cast("decimal(20,0)") / F.lit(100)).cast("decimal(12,2)").cast("string")
+        return float_text((draws.below(99_999_999) + 1).cast("double") / F.lit(100.0))
     if generator == "random_int":
         return draws.below(1_000_000).cast("string")
     if generator == "iban":

@@ -69,7 +69,7 @@ _per_row(
         "debt": "debt % 91 - 120",
         "price": "(price % 100000000)::DOUBLE / 100",
         "latitude": "(latitude % 180000001 - 90000000)::DOUBLE / 1000000",
-        "cents": "((cents % 176 + 50)::DECIMAL(18,0) / 100)::DECIMAL(18,2)::VARCHAR",
+        "cents": "((cents % 176 + 50)::DOUBLE / 100)::VARCHAR",
         "flag": "flag % 2 = 0",
         "big": "big",
     },
@@ -327,7 +327,7 @@ _FORMULAS = (
     Field("email", "formula", formula="{{ first_name|lower }}.{{ last_name|lower }}@example.com"),
     Field("site", "formula", formula="https://www.{{ last_name|lower|replace('a', '') }}.com"),
     Field("total", "formula", "integer", formula="{{ price * (2 + 1) - 1 }}"),
-    Field("label", "formula", formula="{{ units }} x {{ first_name|upper ~ '/' ~ price }} {{ units|default(0) }} {{ missing }}!"),
+    Field("label", "formula", formula="{{ units }} x {{ first_name|upper ~ '/' ~ price }} {{ units|default(0, true) }} {{ missing }}!"),
     Field("chained", "formula", formula="<{{ email|length }}:{{ site|capitalize }}>"),
     Field("fixed", "formula", formula="no places"),
 )
@@ -521,7 +521,7 @@ def _samples_sql() -> str:
         elif made in SAMPLE_CHOICES:
             values[name] = pick(SAMPLE_CHOICES[made], column)
         elif made == "pydecimal":
-            values[name] = f"(({column} % 99999999 + 1)::DECIMAL(18,0) / 100)::DECIMAL(12,2)::VARCHAR"
+            values[name] = f"(({column} % 99999999 + 1)::DOUBLE / 100)::VARCHAR"
         elif made == "random_int":
             values[name] = f"({column} % 1000000)::VARCHAR"
         else:

@@ -315,7 +315,7 @@ def quote_fallbacks(spark, sf):
     raw = load(spark, sf, "events").select(
         F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("symbol"),
         F.when(kind == 0, value).when(kind == 1, F.lit(0.0)).alias("regularMarketPrice"),
-        F.when(kind == 1, value).alias("lastPrice"),
+        F.when(kind == 1, value).alias("last_price"),
         F.when(kind == 2, value).alias("regularMarketPreviousClose"),
         F.nullif(F.col("user_id") % 5, F.lit(1).cast("bigint")).cast("double").alias("previousClose"),
     )

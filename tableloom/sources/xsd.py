@@ -39,7 +39,7 @@ _SCHEMA = (
     f"complexType array<{_complex(_element(_DEPTH - 1))}>, "
     "simpleType array<struct<_name:string,restriction:struct<enumeration:array<struct<_value:string>>>>>"
 )
-_FLAT = "struct<name:string,ref:string,type:string,min:string,max:string,doc:string,own_enums:array<string>,enums:array<string>,nested:array<struct<name:string,type:string,min:string,max:string>>>"
+_FLAT = "struct<name:string,ref:string,type:string,type_name:string,ref_name:string,min:string,max:string,doc:string,own_enums:array<string>,enums:array<string>,nested:array<struct<name:string,type:string,min:string,max:string>>>"
 
 
 def read_xsd(spark: SparkSession, path: str) -> DataFrame:
@@ -68,35 +68,48 @@ def xsd_fields(documents: DataFrame, document: str = "document", xsd: str = "xsd
         F.concat(top, types).alias("every"),
         F.col("x.simpleType").alias("simple"),
     )
-    some = flat.select("*", F.slice("every", 1, MAX_ELEMENTS).alias("elements"))
-    named = some.select(
-        "document", "namespace", "every", "simple",
-        F.transform("elements", lambda e: e["name"]).alias("names"),
-        F.posexplode_outer("elements").alias("position", "e"),
-    ).where(F.coalesce(F.col("e.name"), F.lit("")) != "").where(
-        (F.col("e.name") != "Document") & (F.array_position("names", F.col("e.name")) == F.col("position") + 1)
-    )
-    by_type = F.flatten(
+    # enums are looked up inside the arrays, so that the rows unfolded below carry only their own field
+    numbered = flat.select(
+        "document", "namespace",
+        F.transform(F.slice("every", 1, MAX_ELEMENTS), lambda e: e["name"]).alias("names"),
         F.transform(
-            F.filter("simple", lambda s: s["_name"] == local_name(F.col("e.type"))),
-            lambda s: _enum_values(s["restriction"]),
-        )
+            F.slice("every", 1, MAX_ELEMENTS),
+            lambda e, at: F.struct(at.alias("position"), e.alias("e"), _looked_up(e).alias("found")),
+        ).alias("elements"),
+    )
+    first = numbered.select(
+        "document", "namespace",
+        F.filter(
+            "elements",
+            lambda f: (F.coalesce(f["e"]["name"], F.lit("")) != "")
+            & (f["e"]["name"] != "Document")
+            & (F.array_position("names", f["e"]["name"]) == f["position"] + 1),
+        ).alias("fields"),
     )
-    target = F.filter("every", lambda other: other["name"] == local_name(F.col("e.ref")))
-    by_ref = F.get(F.transform(target, lambda other: other["enums"]), 0)
-    looked_up = F.when(F.coalesce(F.col("e.ref"), F.lit("")) != "", by_ref).otherwise(by_type)
-    enums = F.coalesce(_unless_empty(looked_up), _unless_empty(F.col("e.enums")))
-    kind = F.coalesce(F.nullif("e.type", F.lit("")), F.col("e.ref"), F.lit(""))
+    named = first.select("document", "namespace", F.explode_outer("fields").alias("f")).where(F.col("f").isNotNull())
+    named = named.select("document", "namespace", "f.*")
     return named.select(
-        "document", "namespace", "position", F.col("e.name").alias("name"), kind.alias("xsd_type"),
+        "document", "namespace", "position", F.col("e.name").alias("name"),
+        F.coalesce(F.nullif("e.type", F.lit("")), F.col("e.ref"), F.lit("")).alias("xsd_type"),
         F.coalesce(F.col("e.min").try_cast("int"), F.lit(1)).alias("min_occurs"),
         F.coalesce("e.max", F.lit("1")).alias("max_occurs"),
-        _unless_blank(F.trim(F.regexp_replace("e.doc", r"\s+", " "))).alias("documentation"),
-        enums.alias("enumeration_values"),
+        F.nullif(F.trim(F.regexp_replace("e.doc", r"\s+", " ")), F.lit("")).alias("documentation"),
+        F.when(F.size("found") > 0, F.col("found")).when(F.size("e.enums") > 0, F.col("e.enums")).alias("enumeration_values"),
         F.filter(F.slice("e.nested", 1, MAX_NESTED), lambda n: F.coalesce(n["name"], F.lit("")) != "").alias("nested"),
     ).withColumn("mapped_generator", generator_for(F.col("name"), F.col("xsd_type"), F.col("enumeration_values").isNotNull()))
 
 
+def _looked_up(e: Column) -> Column:
+    """Enum values of the element's named type, or of the first element it refers to."""
+    by_type = F.flatten(
+        F.transform(
+            F.filter("simple", lambda s: s["_name"] == e["type_name"]), lambda s: _enum_values(s["restriction"])
+        )
+    )
+    by_ref = F.get(F.filter("every", lambda other: other["name"] == e["ref_name"]), 0)["enums"]
+    return F.when(F.coalesce(e["ref"], F.lit("")) != "", by_ref).otherwise(by_type)
+
+
 def nested_fields(fields: DataFrame) -> DataFrame:
     """One row per child element of the fields, numbered from 0."""
     inner = fields.select("document", F.col("name").alias("parent"), F.posexplode("nested").alias("position", "n"))
@@ -170,10 +183,11 @@ def _flat(e: Column, families: Column) -> Column:
     own_enums = F.coalesce(_enum_values(e["simpleType"]["restriction"]), F.array().cast("array<string>"))
     return F.struct(
         e["_name"].alias("name"), e["_ref"].alias("ref"), e["_type"].alias("type"),
+        local_name(e["_type"]).alias("type_name"), local_name(e["_ref"]).alias("ref_name"),
         e["_minOccurs"].alias("min"), e["_maxOccurs"].alias("max"),
         F.get(e["annotation"]["documentation"], F.lit(0)).alias("doc"), own_enums.alias("own_enums"),
         F.concat(own_enums, inner_enums).alias("enums"), nested.alias("nested"),
-    ).cast(_FLAT)
+    )
 
 
 def _brief(i: Column) -> Column:
@@ -183,11 +197,3 @@ def _brief(i: Column) -> Column:
 def _enum_values(restriction: Column) -> Column:
     values = F.transform(restriction["enumeration"], lambda v: v["_value"])
     return F.filter(values, lambda v: F.coalesce(v, F.lit("")) != "")
-
-
-def _unless_empty(values: Column) -> Column:
-    return F.when(F.size(values) > 0, values)
-
-
-def _unless_blank(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))

@@ -9,7 +9,7 @@ from tableloom.operators.enrich import QUOTE_TYPES, build_quotes, distinct_keys,
 from tableloom.session import fits_broadcast
 from tests.conftest import plan
 
-RAW = "symbol string, shortName string, regularMarketPrice double, lastPrice double, regularMarketPreviousClose double, previousClose double, volume long, currency string"
+RAW = "symbol string, shortName string, regularMarketPrice double, last_price double, regularMarketPreviousClose double, previousClose double, volume long, currency string"
 
 
 @pytest.fixture(scope="module")

@@ -181,6 +181,19 @@ def test_bad_formula_stays_text(spark):
     with pytest.warns(UserWarning, match="kept as text"):
         made = one(spark, Field("n", "name"), Field("f", "formula", formula="{{ n + 1 }}!"))
     assert made.first().f == "{{ n + 1 }}!"
+    with pytest.warns(UserWarning, match="kept as text"):
+        assert one(spark, Field("n", "name"), Field("f", "formula", formula="{{ n § }}")).first().f == "{{ n § }}"
+
+
+def test_rows_that_fail_keep_the_formula_text(spark):
+    made = one(
+        spark,
+        Field("n", "random_int", "integer", null_probability=0.5, constraint=Constraint(min=0, max=3)),
+        Field("f", "formula", formula="{{ 6 / n }}"),
+        Field("g", "formula", formula="{{ 'none' if n is none else n + 1 }}"),
+    )
+    for n, f, g in made.collect():
+        assert f == (str(6 / n) if n else "{{ 6 / n }}") and g == ("none" if n is None else str(n + 1))
 
 
 # --- several datasets ----------------------------------------------------------------------
