@@ -16,7 +16,11 @@ TYPE_GENERATORS = (
 
 # Whole words in a field name (any case) -> generator, tried in this order.
 NAME_GENERATORS = (
-    ("amount|value|price|total|sum|limit|fee|tax|charge|rate|interest|payment_amount|sttlm_amt|instd_amt|reqd_advd_amt|ccy_amt", "pydecimal"),
+    (
+        "amount|value|price|total|sum|limit|fee|tax|charge|rate|interest|payment_amount|sttlm_amt|instd_amt|"
+        "reqd_advd_amt|ccy_amt",
+        "pydecimal",
+    ),
     ("currency|ccy", "currency_code"),
     ("bic|swift", "swift"),
     ("iban", "iban"),

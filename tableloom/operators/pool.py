@@ -22,28 +22,28 @@ def index_pool(pool: DataFrame, column: str, buckets: int = BUCKETS) -> tuple[Da
     only the bucket totals (at most ``buckets`` rows) meet in one place, so no global sort is needed.
     A value held by many rows is unfolded in chunks spread over the tasks.
     """
-    counted = pool.groupBy(F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_count"))
-    counted = counted.withColumn("_bucket", bucket_of(F.col("_value"), buckets))
+    counted = pool.groupBy(F.col(column).alias("__value")).agg(F.count(F.lit(1)).alias("_count"))
+    counted = counted.withColumn("_bucket", bucket_of(F.col("__value"), buckets))
     totals = counted.groupBy("_bucket").agg(F.sum("_count").alias("_total"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     size = totals.agg(F.coalesce(F.sum("_total"), F.lit(0))).scalar()
 
-    inside = Window.partitionBy("_bucket").orderBy(F.col("_value").asc_nulls_last())
+    inside = Window.partitionBy("_bucket").orderBy(F.col("__value").asc_nulls_last())
     inside = inside.rowsBetween(Window.unboundedPreceding, -1)
     ranged = counted.select(
-        "_bucket", "_value", "_count", F.coalesce(F.sum("_count").over(inside), F.lit(0)).alias("_start")
+        "_bucket", "__value", "_count", F.coalesce(F.sum("_count").over(inside), F.lit(0)).alias("_start")
     ).join(F.broadcast(offsets), "_bucket", "left")  # every bucket has its offset; left keeps the counts reusable
     # a fixed number: the rows are few and small here, but unfold to the whole pool
     tasks = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = F.col("_offset") + F.col("_start")
     chunks = ranged.select(
-        "_value",
+        "__value",
         (first + F.col("_count")).alias("_end"),
         F.explode_outer(F.sequence(first, first + F.col("_count") - 1, F.lit(CHUNK).cast("bigint"))).alias("_from"),
     ).repartition(tasks, "_from")
     last = F.least(F.col("_from") + F.lit(CHUNK), F.col("_end")) - 1
-    return chunks.select(F.explode_outer(F.sequence("_from", last)).alias("_index"), "_value"), size
+    return chunks.select(F.explode_outer(F.sequence("_from", last)).alias("__index"), "__value"), size
 
 
 def pick_from_pool(df: DataFrame, pool: DataFrame, column: str, draw: Column, name: str) -> DataFrame:
@@ -53,6 +53,6 @@ def pick_from_pool(df: DataFrame, pool: DataFrame, column: str, draw: Column, na
     the pool only when its measured size allows.
     """
     indexed, size = index_pool(pool, column)
-    with_pick = df.withColumn("_pick", draw % F.nullif(size, F.lit(0).cast("bigint")))
-    joined = with_pick.join(indexed, F.col("_pick") == F.col("_index"), "left")
-    return joined.select(*df.columns, F.col("_value").alias(name))
+    with_pick = df.withColumn("__pick", draw % F.nullif(size, F.lit(0).cast("bigint")))
+    joined = with_pick.join(indexed, F.col("__pick") == F.col("__index"), "left")
+    return joined.select(*df.columns, F.col("__value").alias(name))

@@ -26,9 +26,9 @@ from tableloom.plans.spec import DatasetSpec, Field, Request
 
 # These never repeat between datasets of a run, whatever the homogeneity.
 ALWAYS_OWN = ("uuid4", "uuid_int", "shared_key")
-ROW_ID = "_row_id"
+ROW_ID = "__row_id"
 CHUNK_ROWS = 1 << 18
-ROWS_PER_TASK = 1 << 20
+ROWS_PER_TASK = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -91,7 +91,7 @@ def flat_dataset(
 ) -> DataFrame:
     """``spec.rows`` rows, or one per row of ``row_ids`` (one integer column, a different value per row)."""
     if row_ids is None:
-        base = spark.range(spec.rows).withColumnRenamed("id", ROW_ID)
+        base = row_numbers(spark, spec.rows).withColumnRenamed("id", ROW_ID)
     else:
         base = row_ids.toDF(ROW_ID)
     ids = [F.col(ROW_ID)]
@@ -111,6 +111,15 @@ def flat_dataset(
     return made.select(*kept, *[f.name for f in spec.fields])
 
 
+def row_numbers(spark: SparkSession, rows: int) -> DataFrame:
+    """``id`` 0 .. rows - 1, in tasks short enough to be repeated when an executor is lost."""
+    return spark.range(0, rows, 1, _tasks(spark, rows))
+
+
+def _tasks(spark: SparkSession, rows: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / ROWS_PER_TASK))
+
+
 def group_sizes(spark: SparkSession, spec: DatasetSpec, run: Run) -> DataFrame:
     """``(group_id, size)``: one row each, the rest shared out by random weights.
 
@@ -147,16 +156,15 @@ def grouped_dataset(
     columns = [f.name for f in (*group.parent_fields, *group.child_fields)] + ["parent_id"]
     parts = []
     if total:
-        tasks = max(1, math.ceil(max(total, group.num_groups) / ROWS_PER_TASK))
-        chunks = group_sizes(spark, spec, run).select(
-            "group_id", "size", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(CHUNK_ROWS).cast("bigint"))).alias("_from")
-        ).repartition(max(tasks, spark.sparkContext.defaultParallelism), "group_id", "_from")
+        starts = F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(CHUNK_ROWS).cast("bigint"))
+        chunks = group_sizes(spark, spec, run).select("group_id", "size", F.explode_outer(starts).alias("_from"))
+        chunks = chunks.repartition(_tasks(spark, max(total, group.num_groups)), "group_id", "_from")
         last = F.least(F.col("_from") + F.lit(CHUNK_ROWS), F.col("size")) - 1
-        rows = chunks.select(F.col("group_id").alias("_group"), F.explode_outer(F.sequence("_from", last)).alias("_child"))
-        parts.append(_family(rows, spec, run, [F.col("_group")], [F.col("_group"), F.col("_child")], "", pool_of))
+        rows = chunks.select(F.col("group_id").alias("__group"), F.explode_outer(F.sequence("_from", last)).alias("__child"))
+        parts.append(_family(rows, spec, run, [F.col("__group")], [F.col("__group"), F.col("__child")], "", pool_of))
     if flat:
-        rows = spark.range(flat).select(F.col("id").alias("_group"), F.lit(0).cast("bigint").alias("_child"))
-        parts.append(_family(rows, spec, run, [F.col("_group")], [F.col("_group")], "flat_", pool_of))
+        rows = row_numbers(spark, flat).select(F.col("id").alias("__group"), F.lit(0).cast("bigint").alias("__child"))
+        parts.append(_family(rows, spec, run, [F.col("__group")], [F.col("__group")], "flat_", pool_of))
     made = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return made.select(*columns)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tableloom.functions.draw import Draws
 from tableloom.functions.floats import float_text
+from tableloom.plans.generate import row_numbers
 from tableloom.plans.spec import Constraint, Field, Template
 from tableloom.sources.xsd import MAX_ELEMENTS, MAX_NESTED, template_rows
 
@@ -73,8 +74,8 @@ def sample_rows(
     row_ids: DataFrame | None = None,
 ) -> DataFrame:
     """Sample values, all text, for ``(name, generator, choices)`` fields."""
-    base = spark.range(rows).toDF("_row_id") if row_ids is None else row_ids.toDF("_row_id")
-    ids = [F.col("_row_id")]
+    base = row_numbers(spark, rows).toDF("__row_id") if row_ids is None else row_ids.toDF("__row_id")
+    ids = [F.col("__row_id")]
     values = [sample_value(n, g, c, Draws((seed, "sample", n), ids)).alias(n) for n, g, c in fields]
-    kept = [] if row_ids is None else [F.col("_row_id").alias("row_id")]
+    kept = [] if row_ids is None else [F.col("__row_id").alias("row_id")]
     return base.select(*kept, *values)

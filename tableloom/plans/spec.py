@@ -116,7 +116,10 @@ class GroupConfig:
             raise ValueError("num_groups must be at least 1")
         if not 1 <= self.split_pct <= 100:
             raise ValueError("split_pct must lie in 1..100")
-        _check_unique_names([*self.parent_fields, *self.child_fields])
+        members = [*self.parent_fields, *self.child_fields]
+        _check_unique_names(members)
+        if any(f.name.lower() == "parent_id" for f in members):
+            raise ValueError("parent_id is added to every grouped dataset and cannot be a field")
 
 
 @dataclass(frozen=True)
@@ -167,6 +170,13 @@ class Request:
         if self.overlap_ratio > 0:
             self._check_overlap()
 
+    @classmethod
+    def from_dict(cls, raw: Mapping) -> "Request":
+        known = _known(cls, raw)
+        known["datasets"] = tuple(DatasetSpec.from_dict(d) for d in known.get("datasets", ()))
+        known["exact_fields"] = tuple(known.get("exact_fields", ()))
+        return cls(**known)
+
     def _check_overlap(self):
         if not self.exact_fields:
             raise ValueError("exact_fields must be specified when overlap_ratio > 0")
@@ -209,6 +219,6 @@ def fields_from_json(text: str) -> tuple[Field, ...]:
 
 
 def _check_unique_names(items: Sequence[Field]) -> None:
-    names = [f.name for f in items]
+    names = [f.name.lower() for f in items]
     if len(set(names)) != len(names):
         raise ValueError(f"field names must differ: {names}")

@@ -352,6 +352,34 @@ _per_row(
     _streams("gen_formula", _FORMULAS[:4], {"units": (0, "null")}),
 )
 
+_RULES = (
+    Field("first_name", "first_name"),
+    Field("n", "random_int", "integer", null_probability=0.2, constraint=Constraint(min=0, max=20)),
+    Field("rate", "pydecimal", "float", constraint=Constraint(min=0, max=9, right_digits=2)),
+    Field("code", "formula", formula="{{ first_name[0]|lower }}{{ first_name[-2:] }}-{{ '%04d'|format(row) if row is defined else '0' }}"),
+    Field("size", "formula", formula="{% if n is none %}unknown{% elif n > 10 %}large{% else %}small {{ n * 2 }}{% endif %}"),
+    Field("share", "formula", formula="{{ 6 // n }} of {{ n }}"),
+    Field("twice", "formula", "float", formula="{{ (rate * 2)|round(1) }}"),
+    Field("either", "formula", formula="{{ n or 'nothing' }}{{ ', yes' if n == 7 or first_name == 'Ada' }}"),
+)
+_N = f"(CASE WHEN n__null < {share(0.2)} THEN NULL ELSE n % 21 END)"
+_RATE = "((rate % 901)::DOUBLE / 100)"
+_per_row(
+    "gen_formula_rules", "orders", "o_orderkey", _RULES,
+    {
+        "first_name": _FIRST,
+        "n": _N,
+        "rate": _RATE,
+        "code": f"lower(left({_FIRST}, 1)) || right({_FIRST}, 2) || '-0'",
+        "size": f"CASE WHEN {_N} IS NULL THEN 'unknown' WHEN {_N} > 10 THEN 'large' ELSE 'small ' || ({_N} * 2) END",
+        "share": f"CASE WHEN coalesce({_N}, 0) = 0 THEN '{{{{ 6 // n }}}} of {{{{ n }}}}' ELSE (6 // {_N}) || ' of ' || {_N} END",
+        # whole hundredths times two, rounded half to even at exact ties
+        "twice": "round_even((rate % 901)::DECIMAL(10,0) * 2 / 100, 1)::DOUBLE",
+        "either": f"CASE WHEN coalesce({_N}, 0) = 0 THEN 'nothing' ELSE {_N}::VARCHAR END || CASE WHEN {_N} = 7 OR {_FIRST} = 'Ada' THEN ', yes' ELSE '' END",
+    },
+    _streams("gen_formula_rules", _RULES[:3], {"n": (0, "null")}),
+)
+
 # --- several datasets in one run -----------------------------------------------------------
 
 _PAIR = _fields(("age", "random_int", "integer"), ("town", "city"), ("uid", "uuid4"), ("code", "bothify"))

@@ -28,7 +28,10 @@ _DATASETS = (
     "dataset_id string, run_id bigint, name string, table_name string, columns_json string, row_count bigint, "
     "homogeneity int, seed bigint, source string, created_at timestamp_ntz, changed_at timestamp_ntz, deleted boolean"
 )
-_RUNS = "run_id bigint, name string, template_name string, row_count bigint, homogeneity int, seed bigint, created_at timestamp_ntz"
+_RUNS = (
+    "run_id bigint, name string, template_name string, row_count bigint, homogeneity int, seed bigint, "
+    "created_at timestamp_ntz"
+)
 _TRANSFORMS = "source_dataset string, name string, config_json string, created_at timestamp_ntz"
 
 
@@ -135,7 +138,9 @@ class Catalog:
     def next_run_id(self) -> int:
         return (self.runs().agg(F.max("run_id")).first()[0] or 0) + 1
 
-    def save_run(self, datasets: dict[str, DataFrame], homogeneity: int, seed: int, template: str = "") -> tuple[int, dict[str, str]]:
+    def save_run(
+        self, datasets: dict[str, DataFrame], homogeneity: int, seed: int, template: str = ""
+    ) -> tuple[int, dict[str, str]]:
         """Save the datasets of one generation run under one run id."""
         run_id, ids = self.next_run_id(), {}
         for name, df in datasets.items():
@@ -144,7 +149,9 @@ class Catalog:
             self._append("runs", _RUNS, (run_id, name, template, rows, homogeneity, seed, _now()))
         return run_id, ids
 
-    def generate(self, request: Request, as_of: date | None = None, sources: dict[str, str] | None = None) -> tuple[int, dict[str, str]]:
+    def generate(
+        self, request: Request, as_of: date | None = None, sources: dict[str, str] | None = None
+    ) -> tuple[int, dict[str, str]]:
         """Generate the datasets of a request and save them as one run.
 
         ``sources`` maps the names that shared keys use to dataset ids of the catalog.
@@ -154,7 +161,9 @@ class Catalog:
         template = next((d.template for d in request.datasets if d.template), "")
         return self.save_run(made.datasets, request.homogeneity, made.seed, template)
 
-    def import_csv(self, path: str, owner: str, slug: str, file: str, name: str | None = None, max_rows: int | None = None) -> str:
+    def import_csv(
+        self, path: str, owner: str, slug: str, file: str, name: str | None = None, max_rows: int | None = None
+    ) -> str:
         """Import CSV files as a dataset that remembers where they came from."""
         rows = import_csv(self.spark, path, max_rows)
         return self.save(rows, name or f"{slug}/{file}", source=source_tag(owner, slug, file))
@@ -165,7 +174,13 @@ class Catalog:
         return self.save(quotes, name or f"Financial Batch ({quotes.count()} symbols)")
 
     def save_history(
-        self, ticks: DataFrame, symbols: Sequence[str], period: str = "1mo", interval: str = "1d", name: str | None = None, **columns
+        self,
+        ticks: DataFrame,
+        symbols: Sequence[str],
+        period: str = "1mo",
+        interval: str = "1d",
+        name: str | None = None,
+        **columns,
     ) -> str:
         """Save the bars of the asked symbols; it is an error when there are none."""
         history = require_rows(
@@ -173,7 +188,9 @@ class Catalog:
         )
         return self.save(history, name or f"Financial History ({len(symbols)} symbols, {period})")
 
-    def enrich(self, dataset_id: str, ticker_column: str, quotes: DataFrame, columns: Sequence[str], name: str | None = None) -> str:
+    def enrich(
+        self, dataset_id: str, ticker_column: str, quotes: DataFrame, columns: Sequence[str], name: str | None = None
+    ) -> str:
         """Save the dataset with quote columns looked up by its ticker column."""
         made = enrich(self.read(dataset_id), ticker_column, quotes, columns)
         return self.save(made, name or f"Enriched {self.get(dataset_id)['name']}")

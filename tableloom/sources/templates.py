@@ -9,10 +9,14 @@ from tableloom.plans.spec import Constraint, Field, Template
 
 _BOUNDS = ("min", "max", "min_age", "max_age", "values", "weights", "right_digits", "format", "start", "end")
 _NUMBERS = {"min": "double", "max": "double", "min_age": "int", "max_age": "int", "right_digits": "int"}
-_FIELD = "struct<_name:string,_type:string,_generator:string,_unique:string,_formula:string,_null_probability:string,_if:string,constraint:struct<{}>>"
+_ATTRIBUTES = ("name", "type", "generator", "unique", "formula", "null_probability", "if")
+_FIELD = (
+    f"struct<{','.join(f'_{a}:string' for a in _ATTRIBUTES)},"
+    f"constraint:struct<{','.join(f'_{b}:string' for b in _BOUNDS)}>>"
+)
 _SCHEMA = (
     "_name string, _category string, meta struct<_description:string,_version:string>, "
-    f"field array<{_FIELD.format(','.join(f'_{b}:string' for b in _BOUNDS))}>, "
+    f"field array<{_FIELD}>, "
     "relationship array<struct<_type:string,_source:string,_target:string>>"
 )
 
@@ -22,13 +26,14 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
 
     Numbers that cannot be read become NULL; absent attributes take their defaults.
     """
+    none = F.array().cast(f"array<{_FIELD}>")
     raw = spark.read.format("xml").option("rowTag", "template").option("useLegacyXMLParser", True).schema(_SCHEMA).load(path)
     return raw.select(
         F.coalesce("_name", F.lit("Untitled")).alias("name"),
         F.coalesce("_category", F.lit("General")).alias("category"),
         F.coalesce("meta._description", F.lit("")).alias("description"),
         F.coalesce("meta._version", F.lit("1.0")).alias("version"),
-        F.transform(F.coalesce("field", F.array().cast(f"array<{_FIELD.format(','.join(f'_{b}:string' for b in _BOUNDS))}>")), _field).alias("fields"),
+        F.transform(F.coalesce("field", none), _field).alias("fields"),
         F.col("relationship").alias("relationships"),
     )
 

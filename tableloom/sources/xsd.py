@@ -17,7 +17,10 @@ MAX_ELEMENTS = 50  # fixed value: elements looked at per schema
 MAX_NESTED = 10  # fixed value: nested elements looked at per element
 
 _ENUM = "simpleType:struct<restriction:struct<enumeration:array<struct<_value:string>>>>"
-_ATTRS = f"_name:string,_ref:string,_type:string,_minOccurs:string,_maxOccurs:string,annotation:struct<documentation:array<string>>,{_ENUM}"
+_ATTRS = (
+    "_name:string,_ref:string,_type:string,_minOccurs:string,_maxOccurs:string,"
+    f"annotation:struct<documentation:array<string>>,{_ENUM}"
+)
 
 
 def _element(depth: int) -> str:
@@ -39,7 +42,10 @@ _SCHEMA = (
     f"complexType array<{_complex(_element(_DEPTH - 1))}>, "
     "simpleType array<struct<_name:string,restriction:struct<enumeration:array<struct<_value:string>>>>>"
 )
-_FLAT = "struct<name:string,ref:string,type:string,type_name:string,ref_name:string,min:string,max:string,doc:string,own_enums:array<string>,enums:array<string>,nested:array<struct<name:string,type:string,min:string,max:string>>>"
+_FLAT = (
+    "struct<name:string,ref:string,type:string,type_name:string,ref_name:string,min:string,max:string,doc:string,"
+    "own_enums:array<string>,enums:array<string>,nested:array<struct<name:string,type:string,min:string,max:string>>>"
+)
 
 
 def read_xsd(spark: SparkSession, path: str) -> DataFrame:

@@ -272,6 +272,8 @@ def test_specs_from_json():
     assert len(dataset_specs_from_json(f"[{text}, {text}]")) == 2
     grouped = '{"name": "g", "rows": 3, "group_config": {"num_groups": 2, "parent_fields": [{"name": "p", "generator": "name"}]}}'
     assert dataset_specs_from_json(grouped)[0].group_config.parent_fields[0].name == "p"
+    request = Request.from_dict({"datasets": [{"name": "d", "rows": 2, "fields": [{"name": "a", "generator": "word"}]}], "seed": 3, "overlap_ratio": 0.5, "exact_fields": ["a"]})
+    assert request.datasets[0].rows == 2 and request.exact_fields == ("a",) and request.homogeneity == 50
     assert fields_from_json('[{"name": "a", "generator": "name"}]') == (Field("a", "name"),)
 
 
