@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os.path
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,16 +33,19 @@ NUMERIC_NAMES = ("BIGINT", "DOUBLE", "INTEGER", "FLOAT", "DECIMAL")
 TEXT_NAMES = ("VARCHAR", "STRING")
 
 
-def page(df: DataFrame, order: Sequence[str], page: int = 1, per_page: int = 100) -> DataFrame:
+def page(
+    df: DataFrame, order: Sequence[str], page: int = 1, per_page: int = 100, top_rows: int | None = None
+) -> DataFrame:
     """Rows ``(page - 1) * per_page`` onwards in a fixed order, at most ``per_page`` of them.
 
-    Near the start this is a top-k. Further down the rows before the page are counted by key
-    range and skipped, so that a deep page does not pull all earlier rows into one task.
+    Within the first ``top_rows`` rows this is a top-k. Further down the rows before the page are
+    counted by key range and skipped, so that a deep page does not pull all earlier rows into one task.
     """
+    top_rows = TOP_ROWS if top_rows is None else top_rows
     if page < 1 or not 1 <= per_page <= MAX_PER_PAGE:
         raise ValueError(f"page must be at least 1 and per_page 1..{MAX_PER_PAGE}")
     skip, rows = (page - 1) * per_page, df
-    while skip + per_page > TOP_ROWS:
+    while skip + per_page > top_rows:
         narrowed = _narrow(rows, order[0], skip, per_page)
         if narrowed is None:
             break
@@ -48,37 +53,49 @@ def page(df: DataFrame, order: Sequence[str], page: int = 1, per_page: int = 100
     return rows.orderBy(*order).offset(skip).limit(per_page)
 
 
-def _narrow(df: DataFrame, key: str, skip: int, take: int) -> tuple[DataFrame, int] | None:
+def _narrow(df: DataFrame, column: str, skip: int, take: int) -> tuple[DataFrame, int] | None:
     """Keep only the key range the page lies in; None when the range cannot shrink."""
-    if not isinstance(df.schema[key].dataType, T.NumericType) or df.where(F.col(key).isNull()).limit(1).count():
+    key = _rising_number(df, column)
+    if key is None:
         return None
     shares = [i / SPLITS for i in range(1, SPLITS)]
     cuts = sorted(set(df.select(F.percentile_approx(key, shares, 10_000)).first()[0] or []))
-    if not cuts:
-        return None
     part = F.lit(0)
     for cut in cuts:
-        part = part + F.when(F.col(key) > F.lit(cut), 1).otherwise(0)
-    sizes = dict(df.groupBy(part.alias("part")).count().collect())  # at most SPLITS rows
-    before, first, last = 0, None, None
-    for i in range(len(cuts) + 1):
-        size = sizes.get(i, 0)
-        if first is None and before + size > skip:
-            first, offset = i, skip - before
+        part = part + F.when(key > F.lit(cut), 1).otherwise(0)
+    part = F.when(F.col(column).isNull(), F.lit(-1)).otherwise(part)  # NULLs come first
+    sizes = sorted(df.groupBy(part.alias("part")).count().collect())  # at most SPLITS + 1 rows
+    before, kept = 0, []
+    for index, size in sizes:
+        if before + size > skip and before < skip + take:
+            kept.append(index)
+        if not kept:
+            skip_here = before + size
         before += size
-        if before >= skip + take or i == len(cuts):
-            last = i
-            break
-    if first is None or (first == 0 and last == len(cuts)):
-        return None
-    kept = df
-    if first > 0:
-        kept = kept.where(F.col(key) > F.lit(cuts[first - 1]))
-    if last < len(cuts):
-        kept = kept.where(F.col(key) <= F.lit(cuts[last]))
-    if sum(sizes.get(i, 0) for i in range(first, last + 1)) == sum(sizes.values()):
+    if not kept or len(kept) == len(sizes):
         return None
-    return kept, offset
+    offset = skip - (skip_here if sizes[0][0] not in kept else 0)
+    return df.where((part >= F.lit(kept[0])) & (part <= F.lit(kept[-1]))), offset
+
+
+def _rising_number(df: DataFrame, column: str) -> Column | None:
+    """A number that never falls as the column rises, to cut the column's range by."""
+    kind, col = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, T.NumericType):
+        return col
+    if isinstance(kind, T.DateType):
+        return F.unix_date(col)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(col)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz"), col)
+    if isinstance(kind, T.StringType):
+        low, high = df.agg(F.min(col).cast("binary"), F.max(col).cast("binary")).first()
+        shared = len(os.path.commonprefix([bytes(low or b""), bytes(high or b"")]))
+        # seven bytes after the part that all values share, as a 56-bit number
+        digits = F.rpad(F.hex(F.substring(col.cast("binary"), shared + 1, 7)), 14, "0")
+        return F.conv(digits, 16, 10).cast("bigint")
+    return None
 
 
 def newest(df: DataFrame, created: str, n: int | None = None, ties: Sequence[str] = ()) -> DataFrame:

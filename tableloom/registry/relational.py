@@ -36,6 +36,12 @@ def page_orders(spark, sf):
     return listing.page(load(spark, sf, "orders"), ["o_orderkey"], page=3, per_page=50)
 
 
+@query("SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100 OFFSET 1200")
+def page_deep(spark, sf):
+    """A page far down, found by counting key ranges instead of sorting all rows before it."""
+    return listing.page(load(spark, sf, "orders"), ["o_totalprice", "o_orderkey"], page=13, per_page=100, top_rows=200)
+
+
 @query(
     """SELECT * FROM (
     SELECT 'o_orderkey' AS name, 'BIGINT' AS type, 'numeric' AS kind, count(o_orderkey) AS filled, count(*) AS total FROM orders

@@ -37,6 +37,8 @@ def _complex(element: str) -> str:
 
 
 _DEPTH = 3
+# Start tags of elements and of named types, in document order.
+_STARTS = r"<(?:\w+:)?(element(?=[\s/>])|complexType(?=\s[^>]*?\bname\s*=))"
 _SCHEMA = (
     f"_xmlns string, _targetNamespace string, element array<{_element(_DEPTH)}>, "
     f"complexType array<{_complex(_element(_DEPTH - 1))}>, "
@@ -59,21 +61,29 @@ def xsd_fields(documents: DataFrame, document: str = "document", xsd: str = "xsd
 
     ``Document`` and unnamed elements are skipped, the first of a repeated name wins, and the first
     50 elements count. Enum values come from the named type or the referenced element, else from
-    the element itself. Elements directly under the schema precede those of its complex types.
+    the element itself.
     """
+    bare = F.regexp_replace(F.col(xsd), r"(?s)<!--.*?-->", "")
     parsed = documents.select(
         F.col(document).alias("document"),
         F.from_xml(F.col(xsd), _SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("x"),
+        F.regexp_extract_all(bare, F.lit(_STARTS), F.lit(1)).alias("starts"),
     )
-    empty = F.array().cast(f"array<{_FLAT}>")
-    top = F.coalesce(F.flatten(F.transform("x.element", lambda e: _with_inner(e, _DEPTH))), empty)
-    types = F.coalesce(F.flatten(F.transform("x.complexType", lambda c: _rows(_families(c, _DEPTH - 1)))), empty)
-    flat = parsed.select(
+    blocks = parsed.select(
         "document",
         F.coalesce("x._xmlns", F.lit("http://www.w3.org/2001/XMLSchema")).alias("namespace"),
-        F.concat(top, types).alias("every"),
+        F.coalesce(F.flatten(F.transform("x.element", lambda e: _with_inner(e, _DEPTH))), _no_rows()).alias("top"),
+        F.coalesce(
+            F.transform("x.complexType", lambda c: _rows(_families(c, _DEPTH - 1))), F.array().cast(f"array<array<{_FLAT}>>")
+        ).alias("types"),
+        F.filter(
+            F.transform("starts", lambda start, at: F.struct(start.alias("start"), at.alias("at"))),
+            lambda s: s["start"].startswith("complexType"),
+        ).alias("type_starts"),
+        F.size(F.filter("starts", lambda start: start == "element")).alias("elements"),
         F.col("x.simpleType").alias("simple"),
     )
+    flat = blocks.select("document", "namespace", _in_document_order().alias("every"), "simple")
     # enums are looked up inside the arrays, so that the rows unfolded below carry only their own field
     numbered = flat.select(
         "document", "namespace",
@@ -105,6 +115,35 @@ def xsd_fields(documents: DataFrame, document: str = "document", xsd: str = "xsd
     ).withColumn("mapped_generator", generator_for(F.col("name"), F.col("xsd_type"), F.col("enumeration_values").isNotNull()))
 
 
+def _in_document_order() -> Column:
+    """Elements under the schema and those of its named types, merged by where they start in the text.
+
+    A named type starts after some number of elements and its own elements follow at once; all other
+    places belong to the elements under the schema. Should the text hold elements that the parsed
+    form does not (nested deeper than it goes), types simply follow the elements.
+    """
+    placed_types = F.flatten(
+        F.transform(
+            "types",
+            lambda rows, j: F.transform(
+                rows, lambda e, k: F.struct((F.get("type_starts", j)["at"] - j + k).alias("at"), e.alias("e"))
+            ),
+        )
+    )
+    taken = F.transform(placed_types, lambda p: p["at"])
+    free = F.array_except(F.sequence(F.lit(0), F.greatest(F.col("elements") - 1, F.lit(0))), taken)
+    placed_top = F.transform("top", lambda e, i: F.struct(F.get(free, i).alias("at"), e.alias("e")))
+    merged = F.transform(F.array_sort(F.concat(placed_top, placed_types)), lambda p: p["e"])
+    simple_order = F.concat("top", F.flatten("types"))
+    whole = (F.size(simple_order) == F.col("elements")) & (F.size("types") == F.size("type_starts"))
+    mixed = F.get("type_starts", F.lit(0))["at"] < F.size("top")  # else all elements come first already
+    return F.when(whole & mixed, merged).otherwise(simple_order)
+
+
+def _no_rows() -> Column:
+    return F.array().cast(f"array<{_FLAT}>")
+
+
 def _looked_up(e: Column) -> Column:
     """Enum values of the element's named type, or of the first element it refers to."""
     by_type = F.flatten(

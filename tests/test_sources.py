@@ -178,6 +178,18 @@ def test_xsd_fields(spark, write, tmp_path):
     assert found.where("document LIKE '%bad.xsd'").count() == 0
 
 
+def test_document_order_with_types_first(spark):
+    text = """<xs:schema xmlns:xs="u"><!-- <xs:element name="no"/> -->
+      <xs:complexType name="T"><xs:sequence><xs:element name="a" type="xs:date"/><xs:element name="b"/></xs:sequence></xs:complexType>
+      <xs:element name="c"><xs:complexType><xs:sequence><xs:element name="a" type="xs:int"/><xs:element name="d"/></xs:sequence></xs:complexType></xs:element>
+      <xs:complexType name="U"><xs:choice><xs:element name="e"/></xs:choice></xs:complexType>
+      <xs:complexType name="Empty"/><xs:element name="f"/></xs:schema>"""
+    docs = spark.createDataFrame([("d", text)], "document string, xsd string")
+    rows = xsd.xsd_fields(docs).orderBy("position").collect()
+    assert [(r.position, r["name"]) for r in rows] == [(0, "a"), (1, "b"), (2, "c"), (4, "d"), (5, "e"), (6, "f")]
+    assert rows[0].xsd_type == "xs:date"
+
+
 def test_first_fifty_elements(spark):
     body = "".join(f"<xs:element name='e{i}' type='xs:int'/>" for i in range(60))
     docs = spark.createDataFrame([("d", f"<xs:schema xmlns:xs='u'>{body}</xs:schema>")], "document string, xsd string")

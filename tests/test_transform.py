@@ -124,6 +124,31 @@ def test_deep_pages_skip_by_key_range(spark, monkeypatch, page):
     assert [tuple(r) for r in listing.page(df, ["k", "id"], page, 10).collect()] == expected
 
 
+@pytest.mark.parametrize(
+    "key",
+    [
+        "concat('Customer#', lpad(id, 9, '0'))",
+        "CASE WHEN id > 300 THEN repeat('é', int(id / 100)) END",
+        "CASE WHEN id > 100 THEN id - 500 END",
+        "id * -0.5D",
+        "date_add(DATE '2024-01-01', int(id / 9))",
+        "timestamp_seconds(id * 1000)",
+        "CAST(timestamp_seconds(id * 1000) AS TIMESTAMP_NTZ)",
+        "CAST(NULL AS STRING)",
+    ],
+)
+def test_deep_pages_by_any_kind_of_key(spark, monkeypatch, tmp_path, key):
+    monkeypatch.setattr(listing, "TOP_ROWS", 50)
+    monkeypatch.setattr(listing, "SPLITS", 9)
+    df = spark.range(1000).select(F.expr(key).alias("k"), "id").repartition(4)
+    df.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    expected = [tuple(r) for r in stored.orderBy("k", "id").collect()]
+    for page in (1, 6, 23, 50, 51):
+        found = [tuple(r) for r in listing.page(stored, ["k", "id"], page, 20).collect()]
+        assert found == expected[(page - 1) * 20 : page * 20]
+
+
 def test_deep_page_of_one_repeated_key(spark, monkeypatch):
     monkeypatch.setattr(listing, "TOP_ROWS", 10)
     df = spark.range(100).select(F.lit(1).alias("k"), "id")
