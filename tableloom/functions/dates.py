@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from datetime import date, datetime, timedelta
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Length of each offset unit.
 UNITS = {
     "y": timedelta(days=365.24),
@@ -18,6 +21,11 @@ UNITS = {
 _OFFSET = re.compile(r"([+-]?\d+)([yMwdhms])")
 
 
+def iso_text(moment: Column) -> Column:
+    """``2024-06-01T10:30:00`` for a timestamp without zone."""
+    return F.replace(moment.cast("string"), F.lit(" "), F.lit("T"))
+
+
 def resolve_date(text: str, as_of: date) -> date:
     """The day that ``text`` means, seen from ``as_of``."""
     text = text.strip()

@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tableloom.functions.dates import iso_text
 from tableloom.functions.floats import float_text
 from tableloom.functions.rounding import round_half_even
 
@@ -170,7 +171,7 @@ class _Reader:
         elif value.kind == "double":
             column = float_text(column)
         elif value.kind == "timestamp_ntz":
-            column = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
+            column = iso_text(column)
         return F.coalesce(column.cast("string"), F.lit(self.null_text))
 
     def truth(self, value: _Value) -> Column:
@@ -513,7 +514,7 @@ def compile_condition(condition: str | None, types: Mapping[str, str], null_safe
     name, op, raw = m.group(1), m.group(2), m.group(3).strip()
     literal, kind = _literal(raw), types[name]
     if kind in ("date", "timestamp_ntz"):  # generated dates compare as ISO text
-        column, kind = F.date_format(F.col(name), "yyyy-MM-dd" if kind == "date" else "yyyy-MM-dd'T'HH:mm:ss"), "string"
+        column, kind = F.col(name).cast("string") if kind == "date" else iso_text(F.col(name)), "string"
     else:
         column = F.col(name).cast(kind)
     numeric_field, numeric_literal = kind in ("bigint", "double", "boolean"), not isinstance(literal, str)

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tableloom.functions import vocab
-from tableloom.functions.dates import resolve_date, years_before
+from tableloom.functions.dates import iso_text, resolve_date, years_before
 from tableloom.functions.draw import Draws, constant_array, draw_key
 from tableloom.functions.floats import float_text
 from tableloom.functions.rounding import round_half_even
@@ -90,7 +90,7 @@ def to_type(value: Column, field: Field) -> Column:
     target = field.spark_type
     if target == "string":
         if field.generator == "date_time" and not field.constraint.values:
-            return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
+            return iso_text(value)
         if field.generator == "pydecimal" and not field.constraint.values:
             return float_text(value)
     if target == "bigint" and field.generator == "pydecimal" and not field.constraint.values:

@@ -95,12 +95,17 @@ def flat_dataset(
     else:
         base = row_ids.toDF(ROW_ID)
     ids = [F.col(ROW_ID)]
+
+    def draws_of(f: Field) -> Draws:
+        return Draws(run.stream(spec.name, f), ids)
+
+    keyed, shared = _join_shared(base, spec.fields, draws_of, _pool_finder(spec, sources))
     made = _add_fields(
-        base,
+        keyed,
         spec.fields,
-        lambda f: Draws(run.stream(spec.name, f), ids),
+        draws_of,
         run,
-        pool_of=_pool_finder(spec, sources),
+        shared,
         pooled={
             name: generators.generate(f, Draws((run.seed, "pool", name), ids), run.as_of)
             for name, f in (pooled or {}).items()
@@ -175,8 +180,11 @@ def _family(rows, spec, run, parent_ids, child_ids, part, pool_of) -> DataFrame:
     def draws(kind: str, ids: Sequence[Column]) -> Callable[[Field], Draws]:
         return lambda f: Draws((*run.stream(spec.name, f, kind), part), ids)
 
-    made = _add_fields(rows, group.parent_fields, draws("parent_", parent_ids), run, pool_of)
-    made = _add_fields(made, group.child_fields, draws("child_", child_ids), run, pool_of, group.parent_fields)
+    parent_draws, child_draws = draws("parent_", parent_ids), draws("child_", child_ids)
+    keyed, shared = _join_shared(rows, group.parent_fields, parent_draws, pool_of)
+    keyed, more = _join_shared(keyed, group.child_fields, child_draws, pool_of)
+    made = _add_fields(keyed, group.parent_fields, parent_draws, run, shared)
+    made = _add_fields(made, group.child_fields, child_draws, run, more, group.parent_fields)
     if part:
         return made.withColumn("parent_id", F.lit(None).cast("string"))
     key = Field("parent_id", "uuid4")
@@ -197,12 +205,26 @@ def _pool_finder(spec: DatasetSpec, sources: Mapping[str, DataFrame] | None):
     return find
 
 
+def _join_shared(
+    df: DataFrame,
+    fields: Sequence[Field],
+    draws_of: Callable[[Field], Draws],
+    pool_of: Callable[[], tuple[DataFrame, str] | None],
+) -> tuple[DataFrame, dict[str, Column]]:
+    """Draw all shared keys first: a join then shuffles row numbers and keys, not generated columns."""
+    shared = {}
+    for f in fields:
+        if f.generator == "shared_key":
+            df, shared[f.name] = _shared_value(df, f, draws_of(f), pool_of())
+    return df, shared
+
+
 def _add_fields(
     df: DataFrame,
     fields: Sequence[Field],
     draws_of: Callable[[Field], Draws],
     run: Run,
-    pool_of: Callable[[], tuple[DataFrame, str] | None],
+    shared: Mapping[str, Column],
     known: Sequence[Field] = (),
     pooled: Mapping[str, Column] | None = None,
     in_pool: Column | None = None,
@@ -220,11 +242,11 @@ def _add_fields(
         if tested in later and tested not in types:
             raise ValueError(f"condition of {f.name!r} reads {tested!r}, which comes later")
         reads = _reads(f) if f.generator == "formula" else set()
-        if pending and (f.generator == "shared_key" or reads & pending.keys() or tested in pending):
+        if pending and (reads & pending.keys() or tested in pending):
             df, pending = df.withColumns(pending), {}
         draws = draws_of(f)
         if f.generator == "shared_key":
-            df, value = _shared_value(df, f, draws, pool_of())
+            value = shared[f.name]
         elif f.generator == "formula":
             value = _formula_value(f, types, run.null_text)
         else:
@@ -244,7 +266,7 @@ def _add_fields(
 def _shared_value(df: DataFrame, f: Field, draws: Draws, pool) -> tuple[DataFrame, Column]:
     if pool is None:
         return df, F.lit("").cast(f.spark_type)
-    picked = f"_picked_{f.name}"
+    picked = f"__picked_{f.name}"
     return pick_from_pool(df, pool[0], pool[1], draws.u(), picked), F.col(picked).cast(f.spark_type)
 
 

@@ -12,8 +12,9 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the settings that change results: all timestamps are handled in UTC."""
+    """Pin the settings that change results: timestamps are handled in UTC, and bad casts fail."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.ansi.enabled", "true")
     return spark
 
 

@@ -13,6 +13,7 @@ from tableloom.plans import generate as plans
 from tableloom.plans.generate import Run, flat_dataset, generate, group_sizes, grouped_dataset
 from tableloom.plans.spec import Constraint, DatasetSpec, Field, GroupConfig, Request, SharedKey
 from tableloom.registry.sql import hash_of
+from tests.conftest import plan
 
 AS_OF = date(2024, 2, 29)
 
@@ -336,5 +337,18 @@ def test_shared_key_joins_without_broadcast(spark, no_broadcast):
     assert made.count() == 500 and made.where("k IS NULL").count() == 0
 
 
+def test_flat_generation_does_not_shuffle(spark):
+    spec = DatasetSpec("d", 1000, (*SIMPLE, Field("f", "formula", formula="{{ first_name }} {{ age }}")))
+    assert "Exchange" not in plan(flat_dataset(spark, spec, Run(1)))
+
+
+def test_shared_key_joins_carry_row_numbers_only(spark, no_broadcast):
+    pool = spark.range(1000).withColumnRenamed("id", "k")
+    spec = DatasetSpec("s", 500, (Field("n", "name"), Field("k", "shared_key", "integer")), shared_key=SharedKey("pool", "k"))
+    text = plan(flat_dataset(spark, spec, Run(1), {"pool": pool}))
+    assert "SortMergeJoin" in text and "Exchange" not in text[: text.index("SortMergeJoin")]
+    assert "concat_ws" in text[: text.index("SortMergeJoin")]  # names are made after the join
+
+
 def test_cut_points_stay_in_range():
     assert cut_point(0) == 0 and cut_point(1.0) == 2**63 - 1
