@@ -109,9 +109,9 @@ def import_csv(spark: SparkSession, path: str, max_rows: int | None = None, sep:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in normalize_names(list(header))])
     # all fields of a line are parsed, so a short line is noticed whatever columns are asked for
     text = reader.option("header", True).option("mode", "DROPMALFORMED").option("columnPruning", False).schema(schema).csv(path)
-    if max_rows is not None:
-        text = text.limit(max_rows)
-    return settle_types(text)
+    # types hold for all rows, so it does not matter which rows the cap keeps in a repeated task
+    typed = settle_types(text)
+    return typed if max_rows is None else typed.limit(max_rows)
 
 
 def find_separator(lines: list[str]) -> str:

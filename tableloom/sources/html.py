@@ -59,7 +59,7 @@ def listing_rows(pages: DataFrame, page_id: str, html: str) -> DataFrame:
 
     Rows with fewer than three cells or without a well-formed id are dropped.
     """
-    area = F.regexp_extract(F.col(html), r"(?is)<div[^>]*class=\"[^\"]*business-area[^\"]*\"[^>]*>.*?<a\b[^>]*>(.*?)</a", 1)
+    area = F.regexp_extract(F.col(html), r"(?is)<div[^>]*class=[\"'][^\"']*business-area[^\"']*[\"'][^>]*>.*?<a\b[^>]*>(.*?)</a", 1)
     rows = pages.select(
         F.col(page_id).alias("page_id"),
         visible_text(area).alias("business_area"),
