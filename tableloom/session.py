@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_LOCAL_FOLDERS: dict[str, str] = {}  # by application; local sessions without the setting
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -21,17 +22,19 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a local session may fall back to a folder of its own; on a cluster a missing
-    setting is an error, since a machine-local path would be lost with its machine.
+    Only a local session, where driver and executors are one process, may fall back to a
+    temporary folder of its own; on a cluster a missing setting is an error, since a
+    machine-local path would be lost with its machine.
     """
-    folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getConf().get(CHECKPOINT_SETTING)
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getConf().get(CHECKPOINT_SETTING)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="tableloom-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="tableloom-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def new_work_path(spark: SparkSession, label: str) -> str:
@@ -39,6 +42,14 @@ def new_work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = new_work_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> bool:
     """Measure ``df`` and say whether it is small enough to copy to every executor.
 
