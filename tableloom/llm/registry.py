@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import line_dedup, mixing, url_filter
+from tableloom.llm import lang_id, line_dedup, mixing, near_dup, sentence_piece, url_filter
 
 RULES = (
     url_filter.Rule("block", "net", "/"),
@@ -13,6 +13,7 @@ RULES = (
     url_filter.Rule("block", "example.com", "/de/"),
     url_filter.Rule("allow", "org", "/fr/"),
 )
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPAM_NAMES = ("casino-win", "cheap-pills", "free-bets", "spam-farm")  # host names whose pages are listed
 
 
@@ -20,6 +21,18 @@ def _load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _remainder(doc_id: Column, of: int) -> Column:
+    """crc32 of the id as text; a missing id reads as empty."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _load(spark, sf_dir, "documents")
+    model = lang_id.fit(docs.filter(_remainder(F.col("doc_id"), 5) != 0))
+    held_out = (_remainder(F.col("doc_id"), 5) == 0).alias("held_out")
+    return lang_id.classify(docs, model).select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(_load(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -29,6 +42,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_load(spark, sf_dir, "documents"))
+
+
 def listed_urls(pages: DataFrame) -> DataFrame:
     """The block list: canonical URLs of all pages on hosts with a listed name as one of their labels."""
     host, path = url_filter.url_parts(F.col("url"))
@@ -43,7 +60,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_mixing, op9_url_filter)}
+def op10_sentence_piece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
+    return sentence_piece.encode(_load(spark, sf_dir, "documents"), sentence_piece.read_model(model_path))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_line_dedup, op3_mixing, op5_near_duplicates, op9_url_filter, op10_sentence_piece)
+}
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -65,7 +65,8 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], s
 
         arrow = to_arrow_schema(kind)
         for out in fn(dict(zip(b.schema.names, b.columns, strict=True)) for b in batches):
-            arrays = [pa.array(out[f.name], type=f.type, from_pandas=False) for f in arrow]
+            cols = [out[f.name] for f in arrow]
+            arrays = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, kind)
