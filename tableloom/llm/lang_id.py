@@ -19,6 +19,7 @@ BITS = 14  # n-grams are hashed to 2**BITS features
 ORDERS = (1, 2, 3)
 PIECE = 1 << 20  # code points of a text handled at a time
 MAX_MODEL_BYTES = 256 << 20
+FULL_LENGTH = 200
 UNKNOWN = "und"
 
 
@@ -59,7 +60,11 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass(frozen=True)
 class Centroids:
-    """What a prediction needs. ``limit`` is the largest accepted distance from each centroid."""
+    """What a prediction needs. ``limit`` is the largest accepted distance (1 - cosine) from each centroid.
+
+    A text of a few letters lies far from every centroid, so below ``FULL_LENGTH`` letters the least cosine
+    shrinks in proportion.
+    """
 
     langs: list[str]
     idf: np.ndarray
@@ -70,12 +75,14 @@ class Centroids:
         """Language, cosine (0 to 1) and whether the distance from the nearest centroid is too large."""
         if not self.langs or not has_letter(text):
             return UNKNOWN, 0.0, True
-        vector = self.idf * _ngram_counts(text)
-        norm = np.sqrt(vector @ vector)
+        counts = _ngram_counts(text)
+        vector = self.idf * counts
+        norm, letters = np.sqrt(vector @ vector), counts.sum() / len(ORDERS)
         cosines = self.weights @ vector / norm if norm else np.zeros(len(self.langs), np.float32)
         best = int(cosines.argmax())
         score = min(1.0, max(0.0, float(cosines[best])))
-        return self.langs[best], score, 1 - score > self.limit[best]
+        least = (1 - self.limit[best]) * min(1.0, letters / FULL_LENGTH)
+        return self.langs[best], score, bool(score < least)
 
 
 def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
@@ -117,7 +124,7 @@ def fit(
     docs: DataFrame,
     clusters: int = 3,
     sample_per_lang: int = 400,
-    reject_share: float = 0.25,
+    reject_share: float = 0.1,
     rounds: int = 10,
     doc_id: str = "doc_id",
     text: str = "text",

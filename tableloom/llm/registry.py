@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import lang_id, line_dedup, mixing, near_dup, sentence_piece, url_filter
+from tableloom.llm import bloom_lm, lang_id, line_dedup, mixing, near_dup, sentence_piece, url_filter
 
 RULES = (
     url_filter.Rule("block", "net", "/"),
@@ -46,6 +46,14 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_load(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _load(spark, sf_dir, "documents")
+    model = bloom_lm.train(docs.filter(_remainder(F.col("doc_id"), 7) != 2))
+    held_out = (_remainder(F.col("doc_id"), 7) == 2).alias("held_out")
+    scores = bloom_lm.score(docs, model)
+    return scores.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def listed_urls(pages: DataFrame) -> DataFrame:
     """The block list: canonical URLs of all pages on hosts with a listed name as one of their labels."""
     host, path = url_filter.url_parts(F.col("url"))
@@ -66,7 +74,7 @@ def op10_sentence_piece(spark: SparkSession, sf_dir: str, model_path: str = MODE
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_line_dedup, op3_mixing, op5_near_duplicates, op9_url_filter, op10_sentence_piece)
+    for f in (op1_language_id, op2_line_dedup, op3_mixing, op5_near_duplicates, op6_lm_scores, op9_url_filter, op10_sentence_piece)
 }
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
