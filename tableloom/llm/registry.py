@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import bloom_lm, lang_id, line_dedup, mixing, near_dup, sentence_piece, url_filter
+from tableloom.llm import bloom_lm, lang_id, line_dedup, mixing, near_dup, pii, sentence_piece, url_filter
 
 RULES = (
     url_filter.Rule("block", "net", "/"),
@@ -42,6 +42,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_load(spark, sf_dir, "documents"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    others = [F.array_remove(kinds, k) for k in pii.KINDS[:4]]
+    count = [(F.size("spans") - F.size(o)).cast("long").alias(f"n_{k}") for k, o in zip(pii.KINDS, others, strict=False)]
+    base = pii.spelled(F.filter("spans", lambda s: s["kind"] != "term"))
+    return found.select("doc_id", *count, F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_load(spark, sf_dir, "documents"))
 
@@ -74,7 +83,7 @@ def op10_sentence_piece(spark: SparkSession, sf_dir: str, model_path: str = MODE
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_line_dedup, op3_mixing, op5_near_duplicates, op6_lm_scores, op9_url_filter, op10_sentence_piece)
+    for f in (op1_language_id, op2_line_dedup, op3_mixing, op4_personal_data, op5_near_duplicates, op6_lm_scores, op9_url_filter, op10_sentence_piece)
 }
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
