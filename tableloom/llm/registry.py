@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import bloom_lm, lang_id, line_dedup, mixing, near_dup, pii, sentence_piece, url_filter
+from tableloom.llm import bloom_lm, hamming, lang_id, line_dedup, mixing, near_dup, pii, sentence_piece, url_filter, vp_tree
 
 RULES = (
     url_filter.Rule("block", "net", "/"),
@@ -63,6 +63,16 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = hamming.sign_codes(_load(spark, sf_dir, "embeddings"))
+    return hamming.nearest_codes(codes, codes.filter(F.col("id") % 100 == 0))
+
+
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = vp_tree.usable_vectors(_load(spark, sf_dir, "embeddings"))
+    return vp_tree.nearest_vectors(vectors, vectors.filter(F.col("id") % 20 == 0))
+
+
 def listed_urls(pages: DataFrame) -> DataFrame:
     """The block list: canonical URLs of all pages on hosts with a listed name as one of their labels."""
     host, path = url_filter.url_parts(F.col("url"))
@@ -83,7 +93,7 @@ def op10_sentence_piece(spark: SparkSession, sf_dir: str, model_path: str = MODE
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_line_dedup, op3_mixing, op4_personal_data, op5_near_duplicates, op6_lm_scores, op9_url_filter, op10_sentence_piece)
+    for f in (op1_language_id, op2_line_dedup, op3_mixing, op4_personal_data, op5_near_duplicates, op6_lm_scores, op7_hamming_search, op8_vector_search, op9_url_filter, op10_sentence_piece)
 }
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -130,6 +140,18 @@ SELECT doc_id, size, source_size, target,
        (CASE WHEN source_size = 0 THEN 0 ELSE (floor(target)::BIGINT // source_size) * size
         + greatest(0, least(size, floor(target)::BIGINT % source_size - start)) END)::BIGINT AS taken
 FROM placed""",
+    "op7_hamming_search": """
+WITH codes AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(range(1, 1 + len(q.embedding)),
+                                 lambda i: ((q.embedding[i] > 0) <> (c.embedding[i] > 0))::INT))::BIGINT AS distance
+  FROM codes q JOIN codes c ON len(q.embedding) = len(c.embedding) AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id))::INT AS rank, vec_id, distance
+FROM pairs QUALIFY rank <= 10""",
     "op9_url_filter": r"""
 WITH parts AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '^(?s).*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
