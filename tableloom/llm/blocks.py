@@ -19,8 +19,10 @@ def search_blocks(
     ``rows`` and ``queries`` have the columns ``id, width, vector``; only equal widths meet. Both are dealt by a hash of
     the id to blocks of about ``row_block`` and ``query_block``, and every two blocks meet in one task, which calls
     ``search`` and hands on its k best per query (``query_id, vec_id, best``, smaller is better). Those are merged
-    per query, combined before the shuffle.
+    per query, combined before the shuffle. Queries that repeat an id are one, with the smallest vector.
     """
+    one = F.min(F.struct("width", "vector")).alias("one")
+    queries = queries.groupBy("id").agg(one).select("id", "one.width", "one.vector")
     row_blocks = 1 + rows.count() // row_block
     query_blocks = 1 + queries.count() // query_block
     tasks = row_blocks * query_blocks
