@@ -9,13 +9,13 @@ from tableloom.functions.draw import Draws
 from tableloom.functions.floats import float_text
 from tableloom.plans.generate import row_numbers
 from tableloom.plans.spec import Constraint, Field, Template
-from tableloom.sources.xsd import MAX_ELEMENTS, MAX_NESTED, template_rows
+from tableloom.sources.xsd import template_rows
 
 # Sample values by generator, picked at random where there are several.
 SAMPLE_CHOICES = {
     "boolean": ["true", "false"],
-    "currency_code": "EUR USD GBP CHF JPY CAD AUD SEK NOK DKK PLN CZK".split(),
-    "country_code": "DE FR GB IT ES NL BE AT CH PL SE NO DK FI PT".split(),
+    "currency_code": ["EUR", "USD", "GBP", "CHF", "JPY", "CAD", "AUD", "SEK", "NOK", "DKK", "PLN", "CZK"],
+    "country_code": ["DE", "FR", "GB", "IT", "ES", "NL", "BE", "AT", "CH", "PL", "SE", "NO", "DK", "FI", "PT"],
     "name": ["John Smith", "Maria Garcia", "Hans Mueller", "Sophie Dubois", "Luca Rossi", "Anna Kowalski"],
     "company": ["Acme Corp", "Global Finance Ltd", "EuroBank SA", "Nordic Trade AB", "Mediterranean Shipping"],
     "swift": ["BOFAUS3NXXX"],
@@ -29,17 +29,14 @@ SAMPLE_CHOICES = {
     "phone_number": ["+49 30 12345678"],
     "email": ["user@example.com"],
 }
-SAMPLE_ROWS = 10
 
 
 def message_template(fields: DataFrame, name: str, category: str = "ISO 20022", rules: str = "broad") -> Template:
     """The fields of one message as a template; a name that no column can bear is made one."""
-    most = MAX_ELEMENTS * (MAX_NESTED + 1)
-    rows = template_rows(fields, rules).orderBy("position", "child").head(most + 1)
-    if len(rows) > most:
+    if fields.select("document").distinct().limit(2).count() > 1:
         raise ValueError("a template is made from the fields of one message; filter them by document first")
     made = []
-    for row in rows:
+    for row in template_rows(fields, rules).orderBy("position", "child").collect():
         bounds = Constraint(values=row["values"]) if row["values"] else Constraint()
         plain = "".join(ch if ch.isascii() and (ch.isalnum() or ch == "_") else "_" for ch in row["name"])
         made.append(Field(plain if not plain[0].isdigit() else f"_{plain}", row["generator"], row["type"], constraint=bounds))
@@ -70,10 +67,12 @@ def sample_rows(
     spark: SparkSession,
     fields: list[tuple[str, str, list[str] | None]],
     seed: int,
-    rows: int = SAMPLE_ROWS,
+    rows: int | None = None,
     row_ids: DataFrame | None = None,
 ) -> DataFrame:
-    """Sample values, all text, for ``(name, generator, choices)`` fields."""
+    """Sample values, all text, for ``(name, generator, choices)`` fields: ``rows`` of them, or one per row id."""
+    if (rows is None) == (row_ids is None):
+        raise ValueError("give either a number of rows or row ids")
     base = row_numbers(spark, rows).toDF("__row_id") if row_ids is None else row_ids.toDF("__row_id")
     ids = [F.col("__row_id")]
     values = [sample_value(n, g, c, Draws((seed, "sample", n), ids)).alias(n) for n, g, c in fields]

@@ -211,23 +211,62 @@ def _schemas(spark, sf) -> DataFrame:
 
 
 _FIELDS = """SELECT p_partkey AS document, f.* FROM part, LATERAL (VALUES
-      ('Kind', 'KindCode', 0, p_size::VARCHAR, 'About ' || p_name || ' text', p_brand || ',' || p_type, 'random_element'),
-      ('Other', 'Inline', 1, '1', NULL, p_size::VARCHAR, 'random_element'),
-      ('Inline', '', 1, '1', NULL, p_size::VARCHAR, 'random_element'),
-      ('Part', '', 1, '1', NULL, NULL, 'text'),
-      ('due_date', 'xs:string', 1, '1', NULL, NULL, 'date_between'),
-      ('Total', 'xs:decimal', 0, '1', NULL, NULL, 'pydecimal'),
-      ('iban', 't:Text', 1, '1', NULL, NULL, 'iban'),
-      ('Valid', 'xs:boolean', 1, '1', NULL, NULL, 'boolean')
-    ) f(name, xsd_type, min_occurs, max_occurs, documentation, enums, mapped_generator)"""
-
-
-@query(_FIELDS)
+      (1, 'Kind', 'KindCode', 0, p_size::VARCHAR, 'About ' || p_name || ' text', p_brand || ',' || p_type, 'random_element', ''),
+      (2, 'Other', 'Inline', 1, '1', NULL, p_size::VARCHAR, 'random_element', ''),
+      (3, 'Inline', '', 1, '1', NULL, p_size::VARCHAR, 'random_element', ''),
+      (4, 'Part', '', 1, '1', NULL, NULL, 'text', 'due_date,Total,iban'),
+      (5, 'due_date', 'xs:string', 1, '1', NULL, NULL, 'date_between', ''),
+      (6, 'Total', 'xs:decimal', 0, '1', NULL, NULL, 'pydecimal', ''),
+      (7, 'iban', 't:Text', 1, '1', NULL, NULL, 'iban', ''),
+      (10, 'Valid', 'xs:boolean', 1, '1', NULL, NULL, 'boolean', '')
+    ) f(position, name, xsd_type, min_occurs, max_occurs, documentation, enums, mapped_generator, inside)"""
+
+
+@query(_FIELDS.replace("f.* FROM", "'urn:test' AS namespace, f.* FROM"))
 def xsd_fields(spark, sf):
-    found = xsd.xsd_fields(_schemas(spark, sf))
-    return found.withColumn("enums", F.array_join("enumeration_values", ",")).drop(
-        "namespace", "position", "enumeration_values", "nested"
+    found = xsd.xsd_fields(_schemas(spark, sf)).withColumn("inside", F.array_join("nested.name", ","))
+    return found.withColumn("enums", F.array_join("enumeration_values", ",")).drop("enumeration_values", "nested")
+
+
+def _wide_schemas(spark, sf) -> DataFrame:
+    """Per supplier: ``60 + s_nationkey`` elements in a row, 15 children of one, seven levels, a group and inner enums."""
+    supplier = load(spark, sf, "supplier")
+    row = F.transform(
+        F.sequence(F.lit(1), F.col("s_nationkey") + 60),
+        lambda i: F.concat(F.lit('<xs:element name="e'), i.cast("string"), F.lit('" type="xs:int"/>')),
     )
+    children = "".join(f'<xs:element name="c{i}" type="xs:date"/>' for i in range(15))
+    levels = "".join(f'<xs:complexType><xs:sequence><xs:sequence><xs:element name="d{i}">' for i in range(1, 8))
+    deep = f'<xs:element name="d0">{levels}' + "</xs:element></xs:sequence></xs:sequence></xs:complexType>" * 7 + "</xs:element>"
+    enums = lambda part: F.concat(F.lit('<xs:restriction><xs:enumeration value="'), part, F.lit('"/></xs:restriction>'))
+    text_ = F.concat(
+        F.lit('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><!-- <xs:element name="no"/> -->'), F.array_join(row, ""),
+        F.lit(f'<xs:element name="Wide"><xs:complexType><xs:sequence>{children}</xs:sequence></xs:complexType></xs:element>{deep}'),
+        F.lit('<xs:group name="g"><xs:choice><xs:element name="in_group" type="xs:boolean"/></xs:choice></xs:group>'),
+        F.lit('<xs:element name="Simple"><xs:complexType><xs:simpleContent>'), enums(F.lit("x")),
+        F.lit('</xs:simpleContent><xs:attribute name="a"><xs:simpleType>'), enums(F.col("s_name")),
+        F.lit("</xs:simpleType></xs:attribute></xs:complexType></xs:element></xs:schema>"),
+    )
+    return supplier.select(F.col("s_suppkey").alias("document"), text_.alias("xsd"))
+
+
+_WIDE = """WITH n AS (SELECT s_suppkey AS document, s_nationkey + 60 AS n, s_name FROM supplier)
+    SELECT document, (i - 1)::INT AS position, 'e' || i AS name, 'xs:int' AS xsd_type, 'random_int' AS mapped_generator,
+      NULL::VARCHAR AS enums, '' AS inside FROM n, LATERAL (SELECT unnest(range(1, n + 1)) AS i)
+    UNION ALL SELECT document, n::INT, 'Wide', '', 'text', NULL, 'c0,c1,c2,c3,c4,c5,c6,c7,c8,c9,c10,c11,c12,c13,c14' FROM n
+    UNION ALL SELECT document, (n + 1 + i)::INT, 'c' || i, 'xs:date', 'date_between', NULL, '' FROM n, LATERAL (SELECT unnest(range(15)) AS i)
+    UNION ALL SELECT document, (n + 16 + i)::INT, 'd' || i, '', 'text', NULL,
+      coalesce((SELECT string_agg('d' || j, ',' ORDER BY j) FROM range(8) t(j) WHERE j > i), '') FROM n, LATERAL (SELECT unnest(range(8)) AS i)
+    UNION ALL SELECT document, (n + 24)::INT, 'in_group', 'xs:boolean', 'boolean', NULL, '' FROM n
+    UNION ALL SELECT document, (n + 25)::INT, 'Simple', '', 'random_element', 'x,' || s_name, '' FROM n"""
+
+
+@query(_WIDE)
+def xsd_wide_fields(spark, sf):
+    """More than 50 elements, more than ten children, seven levels, a group, and enums in content and attributes."""
+    found = xsd.xsd_fields(_wide_schemas(spark, sf)).withColumn("inside", F.array_join("nested.name", ","))
+    found = found.withColumn("enums", F.array_join("enumeration_values", ","))
+    return found.select("document", "position", "name", "xsd_type", "mapped_generator", "enums", "inside")
 
 
 @query(
@@ -240,17 +279,17 @@ def xsd_nested_fields(spark, sf):
 
 
 @query(
-    f"""SELECT document, name, CASE WHEN regexp_matches(lower(xsd_type), 'decimal|amount|price|rate') THEN 'float'
+    f"""SELECT document, position, -1 AS child, name, CASE WHEN regexp_matches(lower(xsd_type), 'decimal|amount|price|rate') THEN 'float'
       WHEN regexp_matches(lower(xsd_type), 'numeric|integer|year|index') THEN 'integer'
       WHEN regexp_matches(lower(xsd_type), 'date|time|timestamp') THEN 'date'
       WHEN regexp_matches(lower(xsd_type), 'boolean|indicator') THEN 'boolean' ELSE 'string' END AS type,
       mapped_generator AS generator, enums AS "values"
     FROM ({_FIELDS}) UNION ALL
-    SELECT p_partkey, f.* FROM part, LATERAL (VALUES ('Part_due_date', 'string', 'date_between', NULL::VARCHAR),
-      ('Part_Total', 'float', 'pydecimal', NULL), ('Part_iban', 'string', 'iban', NULL)) f(a, b, c, d)"""
+    SELECT p_partkey, 4, f.* FROM part, LATERAL (VALUES (0, 'Part_due_date', 'string', 'date_between', NULL::VARCHAR),
+      (1, 'Part_Total', 'float', 'pydecimal', NULL), (2, 'Part_iban', 'string', 'iban', NULL)) f(n, a, b, c, d)"""
 )
 def message_template_rows(spark, sf):
-    return xsd.template_rows(xsd.xsd_fields(_schemas(spark, sf))).drop("position", "child")
+    return xsd.template_rows(xsd.xsd_fields(_schemas(spark, sf)))
 
 
 # --- field mapping -------------------------------------------------------------------------

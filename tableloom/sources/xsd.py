@@ -1,52 +1,25 @@
 """XSD schemas as rows of fields, and message fields as template fields.
 
-A schema document is one row, so references between its parts are resolved inside the row and
-no join or shuffle is needed.
+A schema document is one row. Its elements nest to any depth, which no column type can follow, so the tree is walked
+once per document by a streaming parser inside the tasks; everything after that is columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from xml.parsers import expat
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.functions.fieldmap import field_type_for, generator_for, local_name
+from tableloom.functions.fieldmap import field_type_for, generator_for
 
-MAX_ELEMENTS = 50  # fixed value: elements looked at per schema
-MAX_NESTED = 10  # fixed value: nested elements looked at per element
-
-_ENUM = "simpleType:struct<restriction:struct<enumeration:array<struct<_value:string>>>>"
-_ATTRS = (
-    "_name:string,_ref:string,_type:string,_minOccurs:string,_maxOccurs:string,"
-    f"annotation:struct<documentation:array<string>>,{_ENUM}"
-)
-
-
-def _element(depth: int) -> str:
-    if not depth:
-        return f"struct<{_ATTRS}>"
-    inner = _element(depth - 1)
-    return f"struct<{_ATTRS},complexType:{_complex(inner)}>"
-
-
-def _complex(element: str) -> str:
-    part = f"struct<element:array<{element}>>"
-    extended = f"complexContent:struct<extension:struct<sequence:{part}>>"
-    return f"struct<sequence:struct<element:array<{element}>,choice:{part}>,choice:{part},all:{part},{extended}>"
-
-
-_DEPTH = 3
-# Start tags of elements and of named types, in document order.
-_STARTS = r"<(?:\w+:)?(element(?=[\s/>])|complexType(?=\s[^>]*?\bname\s*=))"
-_SCHEMA = (
-    f"_xmlns string, _targetNamespace string, element array<{_element(_DEPTH)}>, "
-    f"complexType array<{_complex(_element(_DEPTH - 1))}>, "
-    "simpleType array<struct<_name:string,restriction:struct<enumeration:array<struct<_value:string>>>>>"
-)
-_FLAT = (
-    "struct<name:string,ref:string,type:string,type_name:string,ref_name:string,min:string,max:string,doc:string,"
-    "own_enums:array<string>,enums:array<string>,nested:array<struct<name:string,type:string,min:string,max:string>>>"
+XSD_NAMESPACE = "http://www.w3.org/2001/XMLSchema"
+_NESTED = "array<struct<name:string,type:string,min:string,max:string>>"
+_FIELD = (
+    "struct<position:int,name:string,type:string,ref:string,min:string,max:string,doc:string,"
+    f"enums:array<string>,nested:{_NESTED}>"
 )
 
 
@@ -56,105 +29,131 @@ def read_xsd(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.col("_metadata.file_path").alias("document"), F.col("value").alias("xsd"))
 
 
+class _Walk:
+    """The elements of one document in document order, with what stands below them."""
+
+    def __init__(self, text: str):
+        self.namespace = XSD_NAMESPACE
+        self.elements: list[dict] = []
+        self.type_enums: dict[str, list[str]] = {}
+        self._path: list[str] = []  # local names from the root down
+        self._open: list[tuple[int, dict]] = []  # depth and row of the open elements
+        self._types: list[str | None] = []  # names of the open simple types
+        self._words: list[str] | None = None  # of the documentation that is being read
+        parser = expat.ParserCreate("utf-8", "}")
+        parser.buffer_text = True
+        parser.StartNamespaceDeclHandler = self._declare
+        parser.StartElementHandler, parser.EndElementHandler = self._start, self._end
+        parser.CharacterDataHandler = self._text
+        parser.DefaultHandler = lambda _: None  # entities of the document itself stay unresolved
+        parser.Parse(text.encode("utf-8", "surrogatepass"), True)
+
+    def _declare(self, prefix: str | None, uri: str | None) -> None:
+        if not self._path and not prefix and uri:
+            self.namespace = uri
+
+    def _start(self, full: str, attributes: dict[str, str]) -> None:
+        name = full.rpartition("}")[2]
+        if name == "element":
+            row = {key: attributes.get(key) for key in ("name", "type", "ref")}
+            row |= {"min": attributes.get("minOccurs"), "max": attributes.get("maxOccurs"), "doc": None, "enums": [], "nested": []}
+            for depth, outer in self._open:
+                below = self._path[depth + 1 :]
+                if "complexType" in below and "sequence" in below[below.index("complexType") :]:
+                    outer["nested"].append(row)
+            self.elements.append(row)
+            self._open.append((len(self._path), row))
+        elif name == "simpleType":
+            self._types.append(attributes.get("name"))
+        elif name == "enumeration" and self._path[-1:] == ["restriction"] and attributes.get("value"):
+            for _, outer in self._open:
+                outer["enums"].append(attributes["value"])
+            for type_name in self._types:
+                if type_name:
+                    self.type_enums.setdefault(type_name, []).append(attributes["value"])
+        elif name == "documentation" and self._open and self._path[self._open[-1][0] :] == ["element", "annotation"]:
+            if self._open[-1][1]["doc"] is None:
+                self._words = []
+        self._path.append(name)
+
+    def _end(self, _: str) -> None:
+        name = self._path.pop()
+        if name == "element":
+            self._open.pop()
+        elif name == "simpleType":
+            self._types.pop()
+        elif name == "documentation" and self._words is not None and self._open and len(self._path) == self._open[-1][0] + 2:
+            self._open[-1][1]["doc"] = " ".join("".join(self._words).split())
+            self._words = None
+
+    def _text(self, text: str) -> None:
+        if self._words is not None:
+            self._words.append(text)
+
+    def fields(self) -> list[dict]:
+        """Named elements, the first of each name; enums of the reference or named type, else those inside."""
+        first: dict[str, dict] = {}
+        for row in self.elements:
+            first.setdefault(row["name"] or "", row)
+        out = []
+        for position, row in enumerate(self.elements):
+            if not row["name"] or row["name"] == "Document" or first[row["name"]] is not row:
+                continue
+            if row["ref"]:
+                found = first.get(_local(row["ref"]), {}).get("enums")
+            else:
+                found = self.type_enums.get(_local(row["type"] or ""))
+            nested = [{key: n[key] for key in ("name", "type", "min", "max")} for n in row["nested"] if n["name"]]
+            out.append(row | {"position": position, "enums": found or row["enums"] or None, "nested": nested})
+        return out
+
+
+def _local(name: str) -> str:
+    return name.rpartition("}")[2].rpartition(":")[2]
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        namespaces, fields = [], []
+        for text in batch.column("xsd").to_pylist():
+            try:
+                walk = _Walk(text or "")
+                namespaces.append(walk.namespace)
+                fields.append(walk.fields())
+            except expat.ExpatError:  # no schema, no rows
+                namespaces.append(None)
+                fields.append([])
+        names = ("name", "type", "min", "max")
+        nested = pa.list_(pa.struct([(n, pa.string()) for n in names]))
+        kinds = [("position", pa.int32()), *[(n, pa.string()) for n in ("name", "type", "ref", "min", "max", "doc")]]
+        field = pa.struct([*kinds, ("enums", pa.list_(pa.string())), ("nested", nested)])
+        made = [batch.column("document"), pa.array(namespaces, pa.string()), pa.array(fields, pa.list_(field))]
+        yield pa.RecordBatch.from_arrays(made, ["document", "namespace", "fields"])
+
+
 def xsd_fields(documents: DataFrame, document: str = "document", xsd: str = "xsd") -> DataFrame:
-    """One row per named element of every schema document, in document order.
+    """One row per named element of every schema document, in document order, wherever it stands.
 
-    ``Document`` and unnamed elements are skipped, the first of a repeated name wins, and the first
-    50 elements count. Enum values come from the named type or the referenced element, else from
-    the element itself.
+    ``position`` counts all elements; ``Document`` and unnamed elements are skipped and the first of a repeated name
+    wins. Enum values come from the referenced element or the named type, else from anywhere inside the element.
+    ``nested`` holds the named elements inside it that stand in a sequence of a complex type, at any depth. Texts that
+    are no XML give no row.
     """
-    bare = F.regexp_replace(F.col(xsd), r"(?s)<!--.*?-->", "")
-    parsed = documents.select(
-        F.col(document).alias("document"),
-        F.from_xml(F.col(xsd), _SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("x"),
-        F.regexp_extract_all(bare, F.lit(_STARTS), F.lit(1)).alias("starts"),
-    )
-    blocks = parsed.select(
-        "document",
-        F.coalesce("x._xmlns", F.lit("http://www.w3.org/2001/XMLSchema")).alias("namespace"),
-        F.coalesce(F.flatten(F.transform("x.element", lambda e: _with_inner(e, _DEPTH))), _no_rows()).alias("top"),
-        F.coalesce(
-            F.transform("x.complexType", lambda c: _rows(_families(c, _DEPTH - 1))), F.array().cast(f"array<array<{_FLAT}>>")
-        ).alias("types"),
-        F.filter(
-            F.transform("starts", lambda start, at: F.struct(start.alias("start"), at.alias("at"))),
-            lambda s: s["start"].startswith("complexType"),
-        ).alias("type_starts"),
-        F.size(F.filter("starts", lambda start: start == "element")).alias("elements"),
-        F.col("x.simpleType").alias("simple"),
-    )
-    flat = blocks.select("document", "namespace", _in_document_order().alias("every"), "simple")
-    # enums are looked up inside the arrays, so that the rows unfolded below carry only their own field
-    numbered = flat.select(
-        "document", "namespace",
-        F.transform(F.slice("every", 1, MAX_ELEMENTS), lambda e: e["name"]).alias("names"),
-        F.transform(
-            F.slice("every", 1, MAX_ELEMENTS),
-            lambda e, at: F.struct(at.alias("position"), e.alias("e"), _looked_up(e).alias("found")),
-        ).alias("elements"),
-    )
-    first = numbered.select(
-        "document", "namespace",
-        F.filter(
-            "elements",
-            lambda f: (F.coalesce(f["e"]["name"], F.lit("")) != "")
-            & (f["e"]["name"] != "Document")
-            & (F.array_position("names", f["e"]["name"]) == f["position"] + 1),
-        ).alias("fields"),
-    )
-    named = first.select("document", "namespace", F.explode_outer("fields").alias("f")).where(F.col("f").isNotNull())
-    named = named.select("document", "namespace", "f.*")
+    rows = documents.select(F.col(document).alias("document"), F.col(xsd).alias("xsd"))
+    kind = documents.schema[document].dataType.simpleString()
+    parsed = rows.mapInArrow(_parse, f"document {kind}, namespace string, fields array<{_FIELD}>")
+    named = parsed.select("document", "namespace", F.explode("fields").alias("f")).select("document", "namespace", "f.*")
     return named.select(
-        "document", "namespace", "position", F.col("e.name").alias("name"),
-        F.coalesce(F.nullif("e.type", F.lit("")), F.col("e.ref"), F.lit("")).alias("xsd_type"),
-        F.coalesce(F.col("e.min").try_cast("int"), F.lit(1)).alias("min_occurs"),
-        F.coalesce("e.max", F.lit("1")).alias("max_occurs"),
-        F.nullif(F.trim(F.regexp_replace("e.doc", r"\s+", " ")), F.lit("")).alias("documentation"),
-        F.when(F.size("found") > 0, F.col("found")).when(F.size("e.enums") > 0, F.col("e.enums")).alias("enumeration_values"),
-        F.filter(F.slice("e.nested", 1, MAX_NESTED), lambda n: F.coalesce(n["name"], F.lit("")) != "").alias("nested"),
+        "document", "namespace", "position", "name",
+        F.coalesce(F.nullif("type", F.lit("")), F.col("ref"), F.lit("")).alias("xsd_type"),
+        F.coalesce(F.col("min").try_cast("int"), F.lit(1)).alias("min_occurs"),
+        F.coalesce("max", F.lit("1")).alias("max_occurs"),
+        F.nullif("doc", F.lit("")).alias("documentation"),
+        F.col("enums").alias("enumeration_values"),
+        "nested",
     ).withColumn("mapped_generator", generator_for(F.col("name"), F.col("xsd_type"), F.col("enumeration_values").isNotNull()))
 
 
-def _in_document_order() -> Column:
-    """Elements under the schema and those of its named types, merged by where they start in the text.
-
-    A named type starts after some number of elements and its own elements follow at once; all other
-    places belong to the elements under the schema. Should the text hold elements that the parsed
-    form does not (nested deeper than it goes), types simply follow the elements.
-    """
-    placed_types = F.flatten(
-        F.transform(
-            "types",
-            lambda rows, j: F.transform(
-                rows, lambda e, k: F.struct((F.get("type_starts", j)["at"] - j + k).alias("at"), e.alias("e"))
-            ),
-        )
-    )
-    taken = F.transform(placed_types, lambda p: p["at"])
-    free = F.array_except(F.sequence(F.lit(0), F.greatest(F.col("elements") - 1, F.lit(0))), taken)
-    placed_top = F.transform("top", lambda e, i: F.struct(F.get(free, i).alias("at"), e.alias("e")))
-    merged = F.transform(F.array_sort(F.concat(placed_top, placed_types)), lambda p: p["e"])
-    simple_order = F.concat("top", F.flatten("types"))
-    whole = (F.size(simple_order) == F.col("elements")) & (F.size("types") == F.size("type_starts"))
-    mixed = F.get("type_starts", F.lit(0))["at"] < F.size("top")  # else all elements come first already
-    return F.when(whole & mixed, merged).otherwise(simple_order)
-
-
-def _no_rows() -> Column:
-    return F.array().cast(f"array<{_FLAT}>")
-
-
-def _looked_up(e: Column) -> Column:
-    """Enum values of the element's named type, or of the first element it refers to."""
-    by_type = F.flatten(
-        F.transform(
-            F.filter("simple", lambda s: s["_name"] == e["type_name"]), lambda s: _enum_values(s["restriction"])
-        )
-    )
-    by_ref = F.get(F.filter("every", lambda other: other["name"] == e["ref_name"]), 0)["enums"]
-    return F.when(F.coalesce(e["ref"], F.lit("")) != "", by_ref).otherwise(by_type)
-
-
 def nested_fields(fields: DataFrame) -> DataFrame:
     """One row per child element of the fields, numbered from 0."""
     inner = fields.select("document", F.col("name").alias("parent"), F.posexplode("nested").alias("position", "n"))
@@ -185,60 +184,3 @@ def template_rows(fields: DataFrame, rules: str = "broad") -> DataFrame:
         )
     )
     return parents.unionByName(children)
-
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
-def _with_inner(e: Column, depth: int) -> Column:
-    """An element and all elements inside it, outermost first."""
-    if not depth:
-        return F.array(_flat(e, F.array().cast(f"array<struct<seq:boolean,rows:array<{_FLAT}>>>")))
-    return _let(_families(e["complexType"], depth - 1), lambda f: F.concat(F.array(_flat(e, f)), _rows(f)))
-
-
-def _families(c: Column, depth: int) -> Column:
-    """Every child element with the elements inside it, and whether it stands in a sequence."""
-    extended = c["complexContent"]["extension"]["sequence"]["element"]
-    in_sequence = _joined(c["sequence"]["element"], c["sequence"]["choice"]["element"], extended)
-    beside = _joined(c["choice"]["element"], c["all"]["element"])
-    marked = F.concat(
-        F.transform(in_sequence, lambda e: F.struct(e.alias("e"), F.lit(True).alias("seq"))),
-        F.transform(beside, lambda e: F.struct(e.alias("e"), F.lit(False).alias("seq"))),
-    )
-    return F.transform(marked, lambda m: F.struct(m["seq"].alias("seq"), _with_inner(m["e"], depth).alias("rows")))
-
-
-def _joined(*parts: Column) -> Column:
-    return F.flatten(F.filter(F.array(*parts), lambda part: part.isNotNull()))
-
-
-def _rows(families: Column) -> Column:
-    return F.flatten(F.transform(families, lambda f: f["rows"]))
-
-
-def _flat(e: Column, families: Column) -> Column:
-    """The element's own row; nested are the elements with a sequence between them and it."""
-    nested = F.flatten(
-        F.transform(families, lambda f: F.when(f["seq"], F.transform(f["rows"], _brief)).otherwise(F.get(f["rows"], 0)["nested"]))
-    )
-    inner_enums = F.flatten(F.transform(_rows(families), lambda i: i["own_enums"]))
-    own_enums = F.coalesce(_enum_values(e["simpleType"]["restriction"]), F.array().cast("array<string>"))
-    return F.struct(
-        e["_name"].alias("name"), e["_ref"].alias("ref"), e["_type"].alias("type"),
-        local_name(e["_type"]).alias("type_name"), local_name(e["_ref"]).alias("ref_name"),
-        e["_minOccurs"].alias("min"), e["_maxOccurs"].alias("max"),
-        F.get(e["annotation"]["documentation"], F.lit(0)).alias("doc"), own_enums.alias("own_enums"),
-        F.concat(own_enums, inner_enums).alias("enums"), nested.alias("nested"),
-    )
-
-
-def _brief(i: Column) -> Column:
-    return F.struct(*[i[part].alias(part) for part in ("name", "type", "min", "max")])
-
-
-def _enum_values(restriction: Column) -> Column:
-    values = F.transform(restriction["enumeration"], lambda v: v["_value"])
-    return F.filter(values, lambda v: F.coalesce(v, F.lit("")) != "")

@@ -190,11 +190,32 @@ def test_document_order_with_types_first(spark):
     assert rows[0].xsd_type == "xs:date"
 
 
-def test_first_fifty_elements(spark):
-    body = "".join(f"<xs:element name='e{i}' type='xs:int'/>" for i in range(60))
-    docs = spark.createDataFrame([("d", f"<xs:schema xmlns:xs='u'>{body}</xs:schema>")], "document string, xsd string")
-    found = xsd.xsd_fields(docs)
-    assert found.count() == 50 and found.select("mapped_generator").distinct().collect()[0][0] == "random_int"
+def test_no_element_is_too_far_or_too_deep(spark):
+    many = "".join(f"<xs:element name='e{i}' type='xs:int'/>" for i in range(70))
+    deep = "<xs:element name='d0'>" + "".join(
+        f"<xs:complexType><xs:sequence><xs:sequence><xs:element name='d{i}'>" for i in range(1, 8)
+    ) + "</xs:element></xs:sequence></xs:sequence></xs:complexType>" * 7 + "</xs:element>"
+    group = "<xs:group name='g'><xs:sequence><xs:element name='in_group'/></xs:sequence></xs:group>"
+    simple = (
+        "<xs:element name='s'><xs:complexType><xs:simpleContent><xs:restriction base='b'><xs:enumeration value='x'/></xs:restriction>"
+        "</xs:simpleContent><xs:attribute name='a'><xs:simpleType><xs:restriction><xs:enumeration value='y'/></xs:restriction>"
+        "</xs:simpleType></xs:attribute></xs:complexType></xs:element>"
+    )
+    docs = spark.createDataFrame([("d", f"<xs:schema xmlns:xs='u'>{many}{deep}{group}{simple}</xs:schema>")], "document string, xsd string")
+    rows = {r["name"]: r for r in xsd.xsd_fields(docs).collect()}
+    assert [r["name"] for r in sorted(rows.values(), key=lambda r: r.position)] == (
+        [f"e{i}" for i in range(70)] + [f"d{i}" for i in range(8)] + ["in_group", "s"]
+    )
+    assert rows["e69"].mapped_generator == "random_int" and rows["s"].enumeration_values == ["x", "y"]
+    assert [n["name"] for n in rows["d0"].nested] == [f"d{i}" for i in range(1, 8)] and rows["d7"].nested == []
+    template = message_template(xsd.xsd_fields(docs), "msg")
+    assert len(template.fields) == 80 + 28
+
+
+def test_entities_stay_unresolved(spark):
+    text = "<!DOCTYPE s [<!ENTITY a 'secret'>]><s xmlns='u'><element name='x'><annotation><documentation>one &a; two</documentation></annotation></element></s>"
+    docs = spark.createDataFrame([("d", text), (None, None)], "document string, xsd string")
+    assert [r.documentation for r in xsd.xsd_fields(docs).collect()] == ["one two"]
 
 
 def test_message_template_can_be_generated(spark):
@@ -212,7 +233,7 @@ def test_demo_fields_and_samples(spark):
     assert demo.count() == 15 and builtin.domains(spark).count() == 5 and builtin.messages(spark).count() == 12
     template = message_template(demo, "demo")
     assert template.fields[4].constraint.values == "EUR,USD,GBP,CHF,JPY"
-    rows = sample_rows(spark, [("a", "swift", None), ("b", "job", None), ("c", "random_element", ["x"])], 1).collect()
+    rows = sample_rows(spark, [("a", "swift", None), ("b", "job", None), ("c", "random_element", ["x"])], 1, 10).collect()
     assert [tuple(r) for r in rows] == [("BOFAUS3NXXX", "[job]", "x")] * 10
 
 
