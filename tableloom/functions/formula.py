@@ -315,9 +315,13 @@ class _Reader:
             made = rest if op == "%" else F.try_divide((a.column - rest).cast("double"), b.column).cast(kind)
             return _Value(made, kind)
         if op == "**":
-            return _Value(F.pow(a.column, b.column).cast(kind), kind)
-        apply = {"+": operator.add, "-": operator.sub, "*": operator.mul}[op]
-        return _Value(apply(a.column, b.column), kind)
+            made = F.pow(a.column, b.column)
+            made = made if kind == "double" else made.try_cast(kind)
+        else:
+            made = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](a.column, b.column)
+        if kind == "bigint":  # a result beyond 64 bits ends as the row's text, not the job
+            self._fails(made.isNull())
+        return _Value(made, kind)
 
     def _number(self, value: _Value) -> _Value:
         if value.kind == "boolean":

@@ -355,12 +355,13 @@ def _uuid4(c: Cell) -> Column:
 
 @generator("uuid_int")
 def _uuid_int(c: Cell) -> Column:
-    """A non-negative 63-bit integer; with ``unique`` two swap-and-mix rounds keep ids below 2**62 apart."""
+    """A non-negative 63-bit integer; with ``unique`` three swap-and-mix rounds keep row numbers below 2**62 apart."""
     if not c.unique or len(c.draws.ids) != 1:
         return c.draws.u()
     low31 = (1 << 31) - 1
-    left = F.shiftright(c.draws.ids[0], 31).bitwiseAND(F.lit(low31))
-    right = c.draws.ids[0].bitwiseAND(F.lit(low31))
+    row = c.draws.ids[0]
+    row = F.when(row < F.lit(1 << 62), row).otherwise(F.raise_error(F.lit("unique ids need row numbers below 2**62")))
+    left, right = F.shiftright(row, 31), row.bitwiseAND(F.lit(low31))
     for k in ("round0", "round1", "round2"):
         mixed = Draws((*c.draws.stream, k), [right]).u().bitwiseAND(F.lit(low31))
         left, right = right, left.bitwiseXOR(mixed)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableloom.operators.order import order_key
+from tableloom.operators.transform import wide_sum
 
 # Accepted intervals and look-back periods.
 INTERVALS = {
@@ -74,7 +75,8 @@ def ohlcv_bars(
         F.max("_price").alias("high"),
         F.min("_price").alias("low"),
         F.max_by("_price", "_order").alias("close"),
-        F.coalesce(F.sum("_volume"), F.lit(0)).alias("volume"),
+        # a sum beyond 64 bits is NULL
+        F.when(F.count("_volume") == 0, F.lit(0)).otherwise(wide_sum(F.col("_volume")).try_cast("bigint")).alias("volume"),
     )
 
 

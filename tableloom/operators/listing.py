@@ -6,7 +6,7 @@ import os.path
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,13 +112,11 @@ def search(df: DataFrame, text: str, id_column: str, name_column: str, area_colu
 
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """The first row of every key in ``order``; rows are folded before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    if not rest:
+    """The first row of every key in ``order``; each task keeps one row per key before the shuffle."""
+    if set(df.columns) <= set(keys):
         return df.distinct()
-    row = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    picked = [F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns]
-    return df.groupBy(*keys).agg(row).select(*picked)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
 
 
 def in_category(df: DataFrame, area_column: str, domains: DataFrame, domain_id: str | int) -> DataFrame:
@@ -144,7 +142,7 @@ def text_columns(df: DataFrame) -> list[str]:
     return [n for n, t in describe(df) if t in TEXT_NAMES]
 
 
-def chart_series(df: DataFrame, order: Sequence[str], x: str | None = None, y: str | None = None, n: int = 100) -> DataFrame:
+def chart_series(df: DataFrame, order: Sequence[str], n: int, x: str | None = None, y: str | None = None) -> DataFrame:
     """``(x, y)`` of the first ``n`` rows; by default the first text and the first numeric column."""
     texts, numbers = text_columns(df), numeric_columns(df)
     x = x or (texts[0] if texts else None)

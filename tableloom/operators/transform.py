@@ -121,7 +121,7 @@ def dedup(
     result does not depend on task order. NULLs sort last in both directions.
     """
     if strategy not in STRATEGIES:
-        raise ValueError("strategy must be keep_first, keep_last, or keep_none")
+        raise ValueError(f"unknown dedup strategy {strategy!r}")
     if not keys:
         raise ValueError("at least one key column is needed")
     for name in keys:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tableloom.functions.labels import magnitude_label, symbol_array
 from tableloom.operators import bars, enrich, listing, transform
+from tableloom.operators.order import order_key
 from tableloom.operators.transform import Aggregation, OrderBy
 from tableloom.registry.sql import load
 
@@ -69,7 +70,7 @@ def describe_orders(spark, sf):
 
 @query("SELECT o_orderstatus AS x, o_orderkey AS y FROM orders ORDER BY o_orderkey LIMIT 100")
 def chart_series(spark, sf):
-    return listing.chart_series(load(spark, sf, "orders"), ["o_orderkey"])
+    return listing.chart_series(load(spark, sf, "orders"), ["o_orderkey"], 100)
 
 
 @query(
@@ -279,6 +280,22 @@ def enrich_left(spark, sf):
     return _enriched(spark, sf, F.col("l_partkey"))
 
 
+@query(
+    f"""SELECT t.ticker, q.regularMarketPrice AS "regularMarketPrice", count(*) AS n
+    FROM (SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'P2' ELSE 'P' || l_partkey END AS ticker FROM lineitem) t
+    LEFT JOIN (SELECT 'P' || p_partkey AS symbol, p_retailprice AS regularMarketPrice FROM part WHERE p_partkey % 3 <> 0) q
+      ON t.ticker = q.symbol GROUP BY ALL"""
+)
+def enrich_only_ticker(spark, sf):
+    """Rows that are nothing but their ticker, half of them alike, looked up without a broadcast."""
+    hot = F.when(F.col("l_orderkey") % 2 == 0, F.lit(2).cast("bigint")).otherwise(F.col("l_partkey"))
+    rows = load(spark, sf, "lineitem").select(F.concat(F.lit("P"), hot.cast("string")).alias("ticker"))
+    part = load(spark, sf, "part").where(F.col("p_partkey") % 3 != 0)
+    quotes = part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"), F.col("p_retailprice").alias("regularMarketPrice"))
+    made = enrich.enrich(rows, "ticker", quotes, ["regularMarketPrice"], broadcast_rows=0)
+    return made.groupBy("ticker", "regularMarketPrice").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(_ENRICHED.format(key="CASE WHEN l.l_orderkey % 3 = 0 THEN 2 ELSE l.l_partkey END", quotes=_PART_QUOTES))
 def enrich_hot_ticker(spark, sf):
     """A third of all rows share one ticker, and the quotes count as too large to broadcast."""
@@ -295,8 +312,9 @@ def enrich_hot_ticker(spark, sf):
       max(value) AS high, min(value) AS low, count(*) AS n FROM events GROUP BY event_type)"""
 )
 def quote_snapshot(spark, sf):
-    when = F.struct("ts", "event_id")
-    raw = load(spark, sf, "events").groupBy(F.col("event_type").alias("symbol")).agg(
+    events = load(spark, sf, "events")
+    when = order_key(events, ["ts", "event_id"])
+    raw = events.groupBy(F.col("event_type").alias("symbol")).agg(
         F.max_by("value", when).alias("regularMarketPrice"),
         F.min_by("value", when).alias("previousClose"),
         F.max("value").alias("dayHigh"),
@@ -357,6 +375,30 @@ def ohlcv_bars_5m(spark, sf):
     return _bars(spark, sf, "5m")
 
 
+def _minute_bars(minutes: int):
+    """The remaining intervals below an hour, registered alike."""
+
+    def bars_of(spark, sf):
+        return _bars(spark, sf, f"{minutes}m")
+
+    bars_of.__name__ = f"ohlcv_bars_{minutes}m"
+    return query(_BARS.format(start=_MINUTES.format(us=minutes * 60_000_000), where=""))(bars_of)
+
+
+def _last_bars(period: str, span: str):
+    def bars_of(spark, sf):
+        return _bars(spark, sf, "1d", period)
+
+    bars_of.__name__ = f"ohlcv_last_{period}"
+    return query(_BARS.format(start="ts::DATE", where=f"WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL {span}"))(bars_of)
+
+
+for _minutes in (1, 2, 15, 30):
+    _minute_bars(_minutes)
+for _period, _span in (("1d", "1 DAY"), ("1mo", "1 MONTH"), ("3mo", "3 MONTH"), ("6mo", "6 MONTH"), ("1y", "1 YEAR"), ("2y", "2 YEAR"), ("5y", "5 YEAR"), ("10y", "10 YEAR")):
+    _last_bars(_period, _span)
+
+
 @query(_BARS.format(start="DATE '1970-01-01' + (epoch_us(ts) // 86400000000 // 5 * 5)::INT", where=""))
 def ohlcv_bars_5d(spark, sf):
     return _bars(spark, sf, "5d")

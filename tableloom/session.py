@@ -51,11 +51,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> bool:
-    """Measure ``df`` and say whether it is small enough to copy to every executor.
-
-    Rows are counted first; their size is only added up when there are few of them.
-    """
-    if df.count() > max_rows:
-        return False
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
-    return size <= max_bytes
+    """Measure ``df`` in one aggregate and say whether it is small enough to copy to every executor."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8 for c in df.columns), F.lit(0))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes

@@ -58,19 +58,31 @@ def test_enrich_keeps_rows_and_types(spark, raw):
 
 def test_hot_keys_are_salted(spark, no_broadcast, monkeypatch):
     monkeypatch.setattr(joins, "HOT_SHARE", 8)
-    monkeypatch.setattr(joins, "SALTS", 4)
+    monkeypatch.setattr(joins, "SPREAD", 1)
     source = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), "id"
     )
     table = spark.createDataFrame([("hot", 1.5), ("k2", 2.5), ("k5", 3.5), ("other", 9.0)], "key string, price double")
     made = joins.lookup(source, "k", table, "key", {"price": F.col("price")}, broadcast_rows=0)
-    assert "SortMergeJoin" in plan(made) and joins._hot_keys(source, "k") == ["hot"]
+    assert "SortMergeJoin" in plan(made) and joins._hot_keys(source, "k") == (["hot"], 1 / 3)
     prices = {"hot": 1.5, "k2": 2.5, "k5": 3.5}
     rows = made.collect()
     assert len(rows) == 3000 and all(r.price == prices.get(r.k) for r in rows)
     assert sorted(r.id for r in rows) == list(range(3000))
 
 
+def test_hot_rows_that_are_alike_part(spark, no_broadcast):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        source = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("k"))
+        table = spark.createDataFrame([("hot", 1.5)], "key string, price double")
+        made = joins.lookup(source, "k", table, "key", {"price": F.col("price")}, broadcast_rows=0)
+        sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 40_000 and max(sizes) < 2 * 40_000 / 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_broadcast_only_what_was_measured(spark):
     df = spark.range(100).select(F.repeat(F.lit("x"), 100).alias("s"))
     assert fits_broadcast(df, 100) and not fits_broadcast(df, 99) and not fits_broadcast(df, 100, 5000)

@@ -228,7 +228,7 @@ def test_overlap_uses_the_first_specs(spark):
 def test_overlap_errors():
     with pytest.raises(ValueError, match="exact_fields must be specified"):
         overlap(0.5, ())
-    with pytest.raises(ValueError, match="'nonexistent' not found"):
+    with pytest.raises(ValueError, match="no field 'nonexistent'"):
         overlap(0.5, ("nonexistent",))
     group = DatasetSpec("g", 10, group_config=GroupConfig(2, 50, PAIR[:1], PAIR[1:]))
     with pytest.raises(ValueError, match="grouped"):

@@ -159,10 +159,10 @@ def test_describe_and_chart(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     assert ("ts", "TIMESTAMP") in listing.describe(events) and ("value", "DOUBLE") in listing.describe(events)
     assert listing.numeric_columns(events) == ["event_id", "user_id", "value"]
-    made = listing.chart_series(events, ["event_id"])
+    made = listing.chart_series(events, ["event_id"], 100)
     assert made.columns == ["x", "y"] and made.count() == 100
     with pytest.raises(ValueError):
-        listing.chart_series(events.select("ts"), ["ts"])
+        listing.chart_series(events.select("ts"), ["ts"], 100)
 
 
 def test_search_keeps_one_row_per_id(spark):
