@@ -12,6 +12,7 @@ finite weight is left at every position.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -30,7 +31,8 @@ UNIGRAM, BPE = 1, 2  # fixed values: model types of the file format
 DONE = float("-inf")  # the score where nothing merges
 UNKNOWN_PENALTY = 10.0  # fixed value: how far below the lowest score an uncovered character lies
 MAX_MODEL_BYTES = 64 << 20
-CACHE_SEGMENTS = 200_000  # segments a worker remembers before it starts over
+CACHE_SEGMENTS = 250_000  # segments in each of two generations that a worker remembers
+LONG_SEGMENT = 64
 CACHE_PAIRS = 400_000  # piece pairs a worker remembers
 
 
@@ -68,12 +70,18 @@ class PieceTransducer:
             node[""] = i
         lowest = min((self.scores[i] for i in self.ids.values()), default=0.0)
         self.unknown_weight = UNKNOWN_PENALTY - lowest
-        # No piece has a blank after another character: a path can be cut there, and its parts remembered.
-        self.can_cut = not any(BLANK in piece.lstrip(BLANK) for piece in self.ids)
+        # Where no piece spans a place, every path can be cut there, and its parts remembered. A run is blanks and the
+        # letters, or the other characters, that follow them; numerals count as others.
+        numerals = re.escape("".join(sorted({c for p in self.ids for c in p if c.isalnum() and not c.isalpha()})))
+        letters, others = rf"[^\W\d_{numerals}]", rf"(?:[^\w{BLANK}]+|[\d_{numerals}]+)"
+        self.runs = re.compile(rf"{BLANK}*{letters}+|{BLANK}*{others}+|{BLANK}+").findall
+        bare = [piece.lstrip(BLANK) for piece in self.ids]
+        self.can_cut = not any(BLANK in piece or len(self.runs(piece)) > 1 for piece in bare)
         self.longest = max(map(len, self.ids), default=1)
         self.piece_score = {p: self.scores[i] for p, i in self.ids.items()}
         self.merges: dict[str, list[tuple[float, str, str]] | None] = {}  # at most one entry per piece and character
-        self.found: dict[str, tuple[int, ...]] = {}
+        self.found: dict[str, tuple[int, ...]] = {}  # segments of late
+        self.before: dict[str, tuple[int, ...]] = {}  # and those before them
         self.agree: dict[tuple[str, str], bool] = {}
 
     def normalise(self, text: str) -> str:
@@ -143,6 +151,8 @@ class PieceTransducer:
         """The one path of finite weight: long arcs are tried first, and states without a way on are left for good."""
         n, at, last = len(text), 0, ""
         path: list[str] = []
+        if not text:
+            return path
         options, dead = [self._arcs(text, 0)], set()
         agree = self.agree
         while at < n:
@@ -188,45 +198,41 @@ class PieceTransducer:
     def _segment_ids(self, segment: str) -> tuple[int, ...]:
         path = self._merge_path(segment) if self.kind == BPE else self._light_path(segment)
         out: list[int] = []
-        unknown = False
         for piece in path:
             if (i := self.ids.get(piece)) is not None:
                 out.append(i)
             elif self.fallback:
                 out.extend(self.bytes[b] for b in piece.encode("utf-8"))
-            elif not (unknown and self.kind == UNIGRAM):  # neighbouring unknown characters are one piece
+            else:
                 out.append(self.unknown)
-            unknown = i is None
         return tuple(out)
 
-    def _segments(self, text: str) -> list[str]:
-        """``text`` cut before every run of blanks that follows another character."""
-        parts = text.split(BLANK)
-        out, blanks = ([parts[0]] if parts[0] else []), 0
-        for part in parts[1:]:
-            blanks += 1
-            if part:
-                out.append(BLANK * blanks + part)
-                blanks = 0
-        return [*out, BLANK * blanks] if blanks else out
-
     def encode(self, text: str | None) -> list[int]:
         """Ids of the whole text; none for NULL and the empty text."""
         normal = self.normalise(text or "")
-        if not self.can_cut:
-            return list(self._segment_ids(normal))
-        found, out = self.found, []
-        for segment in self._segments(normal):
-            ids = found.get(segment)
-            if ids is None:
-                if len(found) >= CACHE_SEGMENTS:
-                    found.clear()
-                ids = self._segment_ids(segment)
-                if len(segment) <= 64:
-                    found[segment] = ids
-            out += ids
+        out: list[int] = []
+        for segment in _segments(normal) if self.can_cut else [normal]:
+            ids = self.found.get(segment)
+            out += self._remembered(segment) if ids is None else ids
+        if not self.fallback:  # neighbouring unknown characters are one piece
+            out = [i for k, i in enumerate(out) if i != self.unknown or not k or out[k - 1] != i]
         return out
 
+    def _remembered(self, segment: str) -> tuple[int, ...]:
+        """Ids of a segment that is not among the recent ones: those before, or the paths of its runs."""
+        if (ids := self.before.pop(segment, None)) is None:
+            runs = self.runs(segment) if self.can_cut else [segment]
+            if len(runs) == 1:
+                ids = self._segment_ids(segment)
+            else:
+                parts = [self.found.get(run) or self._remembered(run) for run in runs]
+                ids = tuple(i for part in parts for i in part)
+        if len(segment) <= LONG_SEGMENT:
+            if len(self.found) >= CACHE_SEGMENTS:
+                self.found, self.before = {}, self.found
+            self.found[segment] = ids
+        return ids
+
     def decode(self, ids: Sequence[int]) -> str:
         """The text of the ids, without the blank put in front; bytes that are no UTF-8 become U+FFFD."""
         out, raw = [], bytearray()
@@ -247,6 +253,18 @@ class PieceTransducer:
         return text.replace(BLANK, " ")
 
 
+def _segments(text: str) -> list[str]:
+    """``text`` cut before every run of blanks that follows another character."""
+    parts = text.split(BLANK)
+    out, blanks = ([parts[0]] if parts[0] else []), 0
+    for part in parts[1:]:
+        blanks += 1
+        if part:
+            out.append(BLANK * blanks + part)
+            blanks = 0
+    return [*out, BLANK * blanks] if blanks else out
+
+
 def _decoded(raw: bytearray) -> str:
     return raw.decode("utf-8", "replace")
 
