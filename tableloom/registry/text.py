@@ -93,6 +93,41 @@ def messages_union(spark, sf):
     return every.select("message_id", "message_name", F.col("xsd_url").isNull().alias("no_link"), "page_id")
 
 
+def _loose_pages(spark, sf) -> DataFrame:
+    """Pages as they are found: sections or tables, end tags left out, bare attributes, entities and comments."""
+    part = load(spark, sf, "part")
+    key = F.col("p_partkey").cast("string")
+    link = lambda tag: F.concat(F.lit("<a class=x href=&#47;message/"), key, F.lit(f"&#x2F;download>{tag}</a>"))
+    message = F.concat(F.lit("pacs."), F.lpad("p_size", 3, "0"), F.lit(".001.02"))
+    table = F.concat(
+        F.lit("<!-- <tr><td>camt.001.001.01<td>no<td>no --><table><tr><th>Id<tr><td>"), message,
+        F.lit("<td>Caf&eacute; &#8364; &unknown; &lt;"), key, F.lit("&gt;<td><i>Org&nbsp;&amp; Co</i>"), link("get"), F.lit("</table>"),
+    )
+    sections = F.concat(
+        F.lit('<details><summary>S</summary><div class="views-row odd"><span class="views-field a"> '), message,
+        F.lit("</span> <span class='views-field'>"), "p_name", F.lit('</span><span class="views-field">'), "p_brand", F.lit("</span></div>"),
+        F.lit('<div class="views-row"><span class="views-field">short</span></div></details><script>var a = "<a href=/message/1/download>x</a>"</script>'),
+    )
+    return part.select(F.col("p_partkey").alias("page_id"), F.when(F.col("p_partkey") % 2 == 0, table).otherwise(sections).alias("html"))
+
+
+_LOOSE = """SELECT p_partkey AS page_id, 'pacs.' || lpad(p_size::VARCHAR, 3, '0') || '.001.02' AS message_id,
+    CASE WHEN p_partkey % 2 = 0 THEN 'Café € &unknown; <' || p_partkey || '>' ELSE p_name END AS message_name,
+    CASE WHEN p_partkey % 2 = 0 THEN 'Org & Coget' ELSE p_brand END AS submitting_org,
+    CASE WHEN p_partkey % 2 = 0 THEN '/message/' || p_partkey || '/download' END AS xsd_url FROM part"""
+
+
+@query(_LOOSE)
+def html_loose_rows(spark, sf):
+    return html.listing_rows(_loose_pages(spark, sf), "page_id", "html").drop("position", "business_area")
+
+
+@query("SELECT 'get' AS name, '/message/' || min(p_partkey) || '/download' AS href FROM part WHERE p_partkey % 2 = 0")
+def html_loose_anchors(spark, sf):
+    """Comments and scripts hold no link; the first of equal names wins."""
+    return html.anchors(_loose_pages(spark, sf), "page_id", "html", "/message/")
+
+
 _DOMAINS = "(VALUES " + ", ".join(f"({text(i)}, {text(n)})" for i, n in builtin.DOMAINS) + ") d(id, name)"
 _MESSAGES = "(VALUES " + ", ".join(f"({text(i)}, {text(a)})" for i, _, a in builtin.MESSAGES) + ") m(message_id, area)"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,27 +14,46 @@ MESSAGE_ID = r"^[a-z]+\.[0-9]{3}\.[0-9]{3}\.[0-9]{2,3}$"
 DOWNLOAD_PARTS = ("/message/", "/download")
 MIN_CELLS = 3
 
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-_ANCHOR = r"(?is)<a\s[^>]*>.*?</a\s*>"
-_ROW = r"(?is)<tr\b[^>]*>.*?</tr\s*>"
-_CELL = r"(?is)<td\b[^>]*>.*?</td\s*>"
-_HREF = r"(?is)<a\s[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+# Comments, scripts and styles hold no markup of the page.
+_HIDDEN = r"(?is)<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)"
+_ANCHOR = r"(?is)<a\s[^>]*>.*?(?=</a\b|<a\s|$)"
+_ROW_START = r"<tr\b[^>]*>|<div\b[^>]*\bviews-row\b[^>]*>"
+_CELL_START = r"<td\b[^>]*>|<span\b[^>]*\bviews-field\b[^>]*>"
+# End tags may be left out: a row or cell lasts until the next one starts, at the latest.
+_ROW = rf"(?is)(?:{_ROW_START}).*?(?={_ROW_START}|</tr\b|</table\b|</details\b|$)"
+_CELL = rf"(?is)(?:{_CELL_START}).*?(?={_CELL_START}|</td\b|<th\b|$)"
+_HREF = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 
 
 def visible_text(html: Column) -> Column:
-    """Text of an HTML fragment without tags, common entities decoded, trimmed."""
+    """Text of an HTML fragment without tags, entities decoded, trimmed."""
     text = F.regexp_replace(html, r"(?s)<[^>]*>", "")
     return F.regexp_replace(_decoded(text), r"^\s+|\s+$", "")
 
 
 def _decoded(text: Column) -> Column:
-    for entity, char in _ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Numeric and named entities as characters, a fixed space as a plain one; unknown ones stay as they are."""
+    pieces = F.transform(F.split(text, "(?=&)"), _decoded_piece)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+
+
+def _decoded_piece(piece: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for pair in {**name2codepoint, "apos": 39}.items() for x in pair])
+    decimal = F.regexp_extract(piece, r"^&#([0-9]{1,7});", 1).try_cast("int")
+    hexadecimal = F.conv(F.nullif(F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});", 1), F.lit("")), 16, 10).try_cast("int")
+    name = F.regexp_extract(piece, r"^&([A-Za-z][A-Za-z0-9]*);", 1)
+    code = F.coalesce(decimal, hexadecimal, F.try_element_at(names, name))
+    real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(code == 160, 32).otherwise(code)), 8, "0")), "UTF-32")
+    return F.when(real, F.concat(char, F.regexp_replace(piece, "^&[^;]*;", ""))).otherwise(piece)
 
 
 def href_of(html: Column) -> Column:
-    return _decoded(F.concat(F.regexp_extract(html, _HREF, 1), F.regexp_extract(html, _HREF, 2)))
+    return _decoded(F.concat(*[F.regexp_extract(html, _HREF, i) for i in (1, 2, 3)]))
+
+
+def _page(html: str) -> Column:
+    return F.regexp_replace(F.col(html), _HIDDEN, "")
 
 
 def _all(html: Column, pattern: str) -> Column:
@@ -44,7 +65,7 @@ def anchors(pages: DataFrame, page_id: str, html: str, token: str, id_pattern: s
 
     With ``id_pattern`` its first group is the id, and links without one are left out.
     """
-    links = pages.select(F.col(page_id).alias("_page"), F.posexplode_outer(_all(F.col(html), _ANCHOR)).alias("_at", "_a"))
+    links = pages.select(F.col(page_id).alias("_page"), F.posexplode_outer(_all(_page(html), _ANCHOR)).alias("_at", "_a"))
     named = links.select(visible_text(F.col("_a")).alias("name"), href_of(F.col("_a")).alias("href"), "_page", "_at")
     named = named.where((F.col("name") != "") & F.col("href").contains(token))
     firsts = first_per(named, ["name"], ["_page", "_at"])
@@ -55,15 +76,15 @@ def anchors(pages: DataFrame, page_id: str, html: str, token: str, id_pattern: s
 
 
 def listing_rows(pages: DataFrame, page_id: str, html: str) -> DataFrame:
-    """Message rows of HTML tables: page, id, name, organisation, area and download link.
+    """Message rows of HTML tables and of ``views-row`` sections: page, id, name, organisation, area and download link.
 
     Rows with fewer than three cells or without a well-formed id are dropped.
     """
-    area = F.regexp_extract(F.col(html), r"(?is)<div[^>]*class=[\"'][^\"']*business-area[^\"']*[\"'][^>]*>.*?<a\b[^>]*>(.*?)</a", 1)
+    area = F.regexp_extract(_page(html), r"(?is)<div[^>]*class=[\"'][^\"']*business-area[^\"']*[\"'][^>]*>.*?<a\b[^>]*>(.*?)</a", 1)
     rows = pages.select(
         F.col(page_id).alias("page_id"),
         visible_text(area).alias("business_area"),
-        F.posexplode_outer(_all(F.col(html), _ROW)).alias("position", "_row"),
+        F.posexplode_outer(_all(_page(html), _ROW)).alias("position", "_row"),
     )
     cells = rows.select("page_id", "business_area", "position", _all(F.col("_row"), _CELL).alias("_cells"))
     cells = cells.where(F.size("_cells") >= MIN_CELLS)
