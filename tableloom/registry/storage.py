@@ -36,6 +36,37 @@ def csv_roundtrip(spark, sf) -> DataFrame:
     return import_csv(spark, path)
 
 
+_NOTES = """SELECT o_orderkey AS id, 'line "one" of ' || o_orderkey || chr(10) || 'second; line, ' || o_orderpriority AS note,
+    o_totalprice AS price FROM orders"""
+
+
+@query(_NOTES)
+def csv_line_breaks(spark, sf):
+    """Values with quotes, separators and line breaks survive an export and an import."""
+    note = F.concat(F.lit('line "one" of '), F.col("o_orderkey").cast("string"), F.lit("\nsecond; line, "), "o_orderpriority")
+    rows = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), note.alias("note"), F.col("o_totalprice").alias("price"))
+    return import_csv(spark, export(rows, new_work_path(spark, "notes"), "notes", "1", "csv"))
+
+
+@query("SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance FROM supplier")
+def csv_swapped_columns(spark, sf):
+    """Files with the same columns in another order are matched by name."""
+    rows = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    path = new_work_path(spark, "swapped")
+    rows.where("id % 2 = 0").write.option("header", True).csv(f"{path}/even")
+    rows.where("id % 2 = 1").select("balance", "id", "name").write.option("header", True).csv(f"{path}/odd")
+    return import_csv(spark, f"{path}/*")
+
+
+@query("SELECT 700::BIGINT AS rows, 700::BIGINT AS known")
+def csv_max_rows(spark, sf):
+    """A cap keeps that many rows of the files, whichever tasks hold them."""
+    rows = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    kept = import_csv(spark, export(rows.repartition(9, "id"), new_work_path(spark, "capped"), "capped", "1", "csv"), max_rows=700)
+    known = kept.join(rows, ["id", "price"], "left_semi").agg(F.count(F.lit(1)).alias("known"))
+    return kept.agg(F.count(F.lit(1)).alias("rows")).withColumn("known", known.scalar())
+
+
 @query("SELECT * FROM customer")
 def parquet_roundtrip(spark, sf):
     path = export(load(spark, sf, "customer"), new_work_path(spark, "parquet"), "customers", "1", "parquet")

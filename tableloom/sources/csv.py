@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Collection
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,9 @@ from pyspark.sql import types as T
 
 from tableloom.sources.reserved import RESERVED_WORDS, TYPE_FUNCTION_WORDS
 
-# Separators tried on the first lines.
+# Separators that are tried.
 SEPARATORS = (",", "|", ";", "\t")
-HEAD_LINES, HEAD_ROWS = 20, 2000
+HEAD_ROWS = 2000  # tried first, to leave most types out of the pass over all rows
 
 _TIME = r"[ T](\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6}\d*)?)?)"
 _MARK = r"([-/. ])"  # the same mark stands twice in a date
@@ -95,34 +96,67 @@ def normalize_names(names: list[str], keywords: Collection[str] = RESERVED_WORDS
 def import_csv(spark: SparkSession, path: str, max_rows: int | None = None, sep: str | None = None) -> DataFrame:
     """Read CSV files with a header line; rows with a wrong number of fields are skipped.
 
-    The separator is found from the first lines unless given. Types are settled over all rows, so a
-    skipped row never widens a column. With ``max_rows`` only that many rows are kept (in file order
-    for a single file).
+    Quoted values may hold line breaks, so a file is read by one task and large data should come as many files. Files
+    whose headers hold the same names in another order are read by name; other names are an error. The separator is
+    found from all lines unless given, and types are settled over all rows, so a skipped row never widens a column.
+    With ``max_rows`` only that many rows are kept (in file order for a single file).
     """
     if max_rows is not None and max_rows <= 0:
         raise ValueError(f"invalid max_rows: {max_rows}")
-    head = [row.value for row in spark.read.text(path).head(HEAD_LINES)]
-    reader = spark.read.option("sep", sep or find_separator(head)).option("quote", '"').option("escape", '"')
-    header = reader.csv(path).first()
-    if header is None:
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    sep = sep or find_separator(lines)
+    reader = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True)
+    groups = _headers(lines, sep)
+    if not groups:
         raise ValueError(f"no header line in {path}")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in normalize_names(list(header))])
+    first = next(iter(groups))
+    if any(set(header) != set(first) for header in groups):
+        raise ValueError(f"the files below {path} differ in their columns: {sorted(groups)}")
     # all fields of a line are parsed, so a short line is noticed whatever columns are asked for
-    text = reader.option("header", True).option("mode", "DROPMALFORMED").option("columnPruning", False).schema(schema).csv(path)
-    # types hold for all rows, so it does not matter which rows the cap keeps in a repeated task
+    reader = reader.option("header", True).option("mode", "DROPMALFORMED").option("columnPruning", False)
+    parts = []
+    for header, files in groups.items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in header])
+        parts.append(reader.schema(schema).csv(path if len(groups) == 1 else files).select(*first))
+    text = reduce(DataFrame.unionByName, parts)
+    # types hold for all rows, so it does not matter which rows the cap keeps
     typed = settle_types(text)
-    return typed if max_rows is None else typed.limit(max_rows)
-
-
-def find_separator(lines: list[str]) -> str:
-    """The separator that splits most lines into the same number of fields, and into most fields."""
-
-    def score(sep: str) -> tuple[int, int]:
-        widths = Counter(line.count(sep) for line in lines if line and sep in line)
-        width, alike = max(widths.items(), key=lambda item: (item[1], item[0]), default=(0, 0))
-        return alike, width
-
-    return max(SEPARATORS, key=score)
+    return typed if max_rows is None else _first_rows(typed, max_rows)
+
+
+def _headers(lines: DataFrame, sep: str) -> dict[tuple[str, ...], list[str]]:
+    """The files by their column names; a file's header is its first line."""
+    places = lines.select("file", "value", F.monotonically_increasing_id().alias("at"))
+    first = places.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, header in sorted(first.collect()):  # one row per file
+        names = next(csv.reader([header.removeprefix("\ufeff")], delimiter=sep), None)
+        if names:
+            groups.setdefault(tuple(normalize_names(names)), []).append(file)
+    return groups
+
+
+def _first_rows(df: DataFrame, n: int) -> DataFrame:
+    """``n`` rows, the first of every task in turn: tasks are counted, and all but one are kept whole or not at all."""
+    numbered = df.withColumn("_at", F.monotonically_increasing_id())
+    task, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = numbered.groupBy(task.alias("task")).count().orderBy("task").toLocalIterator()  # one row per task
+    for at, size in sizes:
+        if n <= size:
+            return numbered.where((task < F.lit(at)) | ((task == F.lit(at)) & (place < F.lit(n)))).drop("_at")
+        n -= size
+    return df
+
+
+def find_separator(lines: DataFrame) -> str:
+    """The separator that splits most lines into the same number of fields, and into most fields; quotes are left out."""
+    bare = F.regexp_replace("value", r'"[^"]*"?', "")
+    order = F.array(*[F.lit(sep) for sep in SEPARATORS])
+    width = lambda sep: F.length(bare) - F.length(F.replace(bare, sep, F.lit("")))
+    splits = lines.select(F.explode(F.transform(order, lambda sep, i: F.struct(i.alias("i"), width(sep).alias("n")))).alias("s"))
+    alike = splits.where("s.n > 0").groupBy("s.i", "s.n").count()
+    best = alike.orderBy(F.desc("count"), F.desc("n"), "i").first()
+    return SEPARATORS[best[0] if best else 0]
 
 
 def settle_types(text: DataFrame) -> DataFrame:
@@ -130,8 +164,7 @@ def settle_types(text: DataFrame) -> DataFrame:
 
     The first rows rule out most types for good; only the others are tried on all rows.
     """
-    head = text.sparkSession.createDataFrame(text.head(HEAD_ROWS), text.schema)
-    possible = _fitting(head, {c: _KINDS for c in text.columns}, blank_fits=True)
+    possible = _fitting(text.limit(HEAD_ROWS), {c: _KINDS for c in text.columns}, blank_fits=True)
     left = _fitting(text, {c: kinds for c, kinds in possible.items() if kinds}, blank_fits=False)
     typed = []
     for c in text.columns:

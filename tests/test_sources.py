@@ -97,6 +97,20 @@ def test_row_cap(spark, write):
         import_csv(spark, path, max_rows=0)
 
 
+def test_line_breaks_in_quotes(spark, write):
+    path = write("q.csv", 'id;note\n1;"two\nlines; and ""quotes"""\n2;plain\n')
+    assert [tuple(r) for r in import_csv(spark, path).collect()] == [(1, 'two\nlines; and "quotes"'), (2, "plain")]
+
+
+def test_files_meet_by_name(spark, write, tmp_path):
+    write("m/a.csv", "id,note\n1,x\n")
+    write("m/b.csv", "Note,ID\ny,2\n")
+    assert sorted(map(tuple, import_csv(spark, str(tmp_path / "m")).collect())) == [(1, "x"), (2, "y")]
+    write("m/c.csv", "id,other\n3,z\n")
+    with pytest.raises(ValueError, match="differ in their columns"):
+        import_csv(spark, str(tmp_path / "m"))
+
+
 def test_listing_of_csv_files(spark, write, tmp_path):
     write("a/one.CSV", "x\n1\n")
     write("a/b/two.csv", "x\n")
