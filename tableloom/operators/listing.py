@@ -5,13 +5,14 @@ from __future__ import annotations
 import os.path
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_PER_PAGE = 1000
-TOP_ROWS = 100_000
+NEAR_ROWS = 1000  # rows that may be sorted just to be skipped
 SPLITS = 200
 
 # SQL names the reference types print under.
@@ -33,52 +34,47 @@ NUMERIC_NAMES = ("BIGINT", "DOUBLE", "INTEGER", "FLOAT", "DECIMAL")
 TEXT_NAMES = ("VARCHAR", "STRING")
 
 
-def page(
-    df: DataFrame, order: Sequence[str], page: int = 1, per_page: int = 100, top_rows: int | None = None
-) -> DataFrame:
+def page(df: DataFrame, order: Sequence[str], page: int = 1, per_page: int = 100) -> DataFrame:
     """Rows ``(page - 1) * per_page`` onwards in a fixed order, at most ``per_page`` of them.
 
-    Within the first ``top_rows`` rows this is a top-k. Further down the rows before the page are
-    counted by key range and skipped, so that a deep page does not pull all earlier rows into one task.
+    The rows before the page are counted by ranges of the order's first column and skipped; inside a range that is one
+    value, the next column is counted. So no task keeps more than ``NEAR_ROWS`` rows and a page, however
+    deep, unless more rows are alike in all columns of the order.
     """
-    top_rows = TOP_ROWS if top_rows is None else top_rows
     if page < 1 or not 1 <= per_page <= MAX_PER_PAGE:
         raise ValueError(f"page must be at least 1 and per_page 1..{MAX_PER_PAGE}")
-    skip, rows = (page - 1) * per_page, df
-    while skip + per_page > top_rows:
-        narrowed = _narrow(rows, order[0], skip, per_page)
-        if narrowed is None:
-            break
-        rows, skip = narrowed
-    return rows.orderBy(*order).offset(skip).limit(per_page)
+    pieces = _pieces(df, list(order), 0, (page - 1) * per_page, per_page)
+    return reduce(DataFrame.unionByName, pieces).orderBy(*order) if pieces else df.limit(0)
 
 
-def _narrow(df: DataFrame, column: str, skip: int, take: int) -> tuple[DataFrame, int] | None:
-    """Keep only the key range the page lies in; None when the range cannot shrink."""
-    key = _rising_number(df, column)
-    if key is None:
-        return None
-    shares = [i / SPLITS for i in range(1, SPLITS)]
-    cuts = sorted(set(df.select(F.percentile_approx(key, shares, 10_000)).first()[0] or []))
-    part = F.lit(0)
-    for cut in cuts:
-        part = part + F.when(key > F.lit(cut), 1).otherwise(0)
-    part = F.when(F.col(column).isNull(), F.lit(-1)).otherwise(part)  # NULLs come first
+def _pieces(df: DataFrame, order: list[str], depth: int, skip: int, take: int) -> list[DataFrame]:
+    """The page's rows by ranges of the order; ``df`` has one value in each of the first ``depth`` columns."""
+    if skip <= NEAR_ROWS or depth == len(order):
+        return [df.orderBy(*order).offset(skip).limit(take)]
+    part = _ranges(df, order[depth])
     sizes = sorted(df.groupBy(part.alias("part")).count().collect())  # at most SPLITS + 1 rows
-    before, kept = 0, []
+    if len(sizes) < 2:
+        low, high = df.agg(F.min(order[depth]), F.max(order[depth])).first()
+        return _pieces(df, order, depth + 1 if low == high else len(order), skip, take)
+    out, before = [], 0
     for index, size in sizes:
-        if before + size > skip and before < skip + take:
-            kept.append(index)
-        if not kept:
-            skip_here = before + size
+        first, last = max(skip, before), min(skip + take, before + size)
+        if first < last:
+            out += _pieces(df.where(part == F.lit(index)), order, depth, first - before, last - first)
         before += size
-    if not kept or len(kept) == len(sizes):
-        return None
-    offset = skip - (skip_here if sizes[0][0] not in kept else 0)
-    return df.where((part >= F.lit(kept[0])) & (part <= F.lit(kept[-1]))), offset
+    return out
+
+
+def _ranges(df: DataFrame, column: str) -> Column:
+    """The number of the range of ``column`` that a row lies in, about ``SPLITS`` of them; -1 for NULL, which comes first."""
+    key = _rising_number(df, column)
+    shares = [i / SPLITS for i in range(1, SPLITS)]
+    cuts = sorted(set(df.select(F.percentile_approx(key, shares, 10_000)).first()[0] or []))
+    part = reduce(lambda total, cut: total + F.when(key > F.lit(cut), 1).otherwise(0), cuts, F.lit(0))
+    return F.when(F.col(column).isNull(), F.lit(-1)).otherwise(part)
 
 
-def _rising_number(df: DataFrame, column: str) -> Column | None:
+def _rising_number(df: DataFrame, column: str) -> Column:
     """A number that never falls as the column rises, to cut the column's range by."""
     kind, col = df.schema[column].dataType, F.col(column)
     if isinstance(kind, T.NumericType):
@@ -89,13 +85,15 @@ def _rising_number(df: DataFrame, column: str) -> Column | None:
         return F.unix_micros(col)
     if isinstance(kind, T.TimestampNTZType):
         return F.timestamp_diff("MICROSECOND", F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz"), col)
-    if isinstance(kind, T.StringType):
+    if isinstance(kind, T.BooleanType):
+        return col.cast("int")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
         low, high = df.agg(F.min(col).cast("binary"), F.max(col).cast("binary")).first()
         shared = len(os.path.commonprefix([bytes(low or b""), bytes(high or b"")]))
         # seven bytes after the part that all values share, as a 56-bit number
         digits = F.rpad(F.hex(F.substring(col.cast("binary"), shared + 1, 7)), 14, "0")
         return F.conv(digits, 16, 10).cast("bigint")
-    return None
+    raise ValueError(f"rows cannot be paged by {column!r} of type {kind.simpleString()}")
 
 
 def newest(df: DataFrame, created: str, n: int | None = None, ties: Sequence[str] = ()) -> DataFrame:

@@ -40,7 +40,13 @@ def page_orders(spark, sf):
 @query("SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100 OFFSET 1200")
 def page_deep(spark, sf):
     """A page far down, found by counting key ranges instead of sorting all rows before it."""
-    return listing.page(load(spark, sf, "orders"), ["o_totalprice", "o_orderkey"], page=13, per_page=100, top_rows=200)
+    return listing.page(load(spark, sf, "orders"), ["o_totalprice", "o_orderkey"], page=13, per_page=100)
+
+
+@query("SELECT * FROM orders ORDER BY o_orderstatus, o_orderkey LIMIT 40 OFFSET 1400")
+def page_deep_ties(spark, sf):
+    """The first column of the order has three values: the page is found inside one by the next column."""
+    return listing.page(load(spark, sf, "orders"), ["o_orderstatus", "o_orderkey"], page=36, per_page=40)
 
 
 @query(

@@ -117,7 +117,7 @@ def test_pages(spark):
 
 @pytest.mark.parametrize("page", [1, 7, 50, 99, 100, 101])
 def test_deep_pages_skip_by_key_range(spark, monkeypatch, page):
-    monkeypatch.setattr(listing, "TOP_ROWS", 100)
+    monkeypatch.setattr(listing, "NEAR_ROWS", 100)
     monkeypatch.setattr(listing, "SPLITS", 7)
     df = spark.range(1000).select((F.col("id") / 3).cast("int").alias("k"), "id").repartition(5)
     expected = [(i // 3, i) for i in range((page - 1) * 10, min(1000, page * 10))]
@@ -138,7 +138,7 @@ def test_deep_pages_skip_by_key_range(spark, monkeypatch, page):
     ],
 )
 def test_deep_pages_by_any_kind_of_key(spark, monkeypatch, tmp_path, key):
-    monkeypatch.setattr(listing, "TOP_ROWS", 50)
+    monkeypatch.setattr(listing, "NEAR_ROWS", 50)
     monkeypatch.setattr(listing, "SPLITS", 9)
     df = spark.range(1000).select(F.expr(key).alias("k"), "id").repartition(4)
     df.write.parquet(str(tmp_path / "t"))
@@ -150,7 +150,7 @@ def test_deep_pages_by_any_kind_of_key(spark, monkeypatch, tmp_path, key):
 
 
 def test_deep_page_of_one_repeated_key(spark, monkeypatch):
-    monkeypatch.setattr(listing, "TOP_ROWS", 10)
+    monkeypatch.setattr(listing, "NEAR_ROWS", 10)
     df = spark.range(100).select(F.lit(1).alias("k"), "id")
     assert [r.id for r in listing.page(df, ["k", "id"], 5, 10).collect()] == list(range(40, 50))
 
