@@ -12,12 +12,13 @@ from collections.abc import Sequence
 from dataclasses import asdict, is_dataclass
 from datetime import date, datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableloom.operators import transform
 from tableloom.operators.bars import ohlcv_bars
-from tableloom.operators.enrich import enrich, quote_snapshot, require_rows
+from tableloom.operators.enrich import enrich, quote_snapshot
 from tableloom.operators.listing import describe, newest, page
 from tableloom.plans.generate import generate
 from tableloom.plans.spec import Request, check_table_name
@@ -136,7 +137,22 @@ class Catalog:
         return dataset_id
 
     def next_run_id(self) -> int:
-        return (self.runs().agg(F.max("run_id")).first()[0] or 0) + 1
+        """A run id nobody else has: the first free number whose folder this call creates itself."""
+        run_id = (self.runs().agg(F.max("run_id")).first()[0] or 0) + 1
+        while not self._reserve(f"{self.root}/run_ids/{run_id}"):
+            run_id += 1
+        return run_id
+
+    def _reserve(self, path: str) -> bool:
+        """Create an empty file; False if it is there already. The file system lets one of several callers win."""
+        target, files = self._files(path)
+        try:
+            files.create(target, False).close()
+        except Py4JJavaError as error:
+            if files.exists(target):
+                return False
+            raise error
+        return True
 
     def save_run(
         self, datasets: dict[str, DataFrame], homogeneity: int, seed: int, template: str = ""
@@ -170,8 +186,10 @@ class Catalog:
 
     def save_quotes(self, raw: DataFrame, symbols: Sequence[str], name: str | None = None) -> str:
         """Save the quotes of the asked symbols; it is an error when none is known."""
-        quotes = require_rows(quote_snapshot(raw, symbols))
-        return self.save(quotes, name or f"Financial Batch ({quotes.count()} symbols)")
+        made = self._save_some(quote_snapshot(raw, symbols), name, "No valid quote data")
+        if name is None:
+            self.rename(made, f"{self.get(made)['row_count']} quotes")
+        return made
 
     def save_history(
         self,
@@ -183,17 +201,23 @@ class Catalog:
         **columns,
     ) -> str:
         """Save the bars of the asked symbols; it is an error when there are none."""
-        history = require_rows(
-            ohlcv_bars(ticks, interval, period, symbols, **columns), "No history data for any of the requested symbols"
-        )
-        return self.save(history, name or f"Financial History ({len(symbols)} symbols, {period})")
+        history = ohlcv_bars(ticks, interval, period, symbols, **columns)
+        return self._save_some(history, name or f"Bars of {len(symbols)} symbols over {period}", "no bars of the asked symbols")
+
+    def _save_some(self, df: DataFrame, name: str | None, error: str) -> str:
+        """Save once, then look at what was written: an empty dataset is removed and is an error."""
+        made = self.save(df, name or "")
+        if not self.get(made)["row_count"]:
+            self.delete(made)
+            raise ValueError(error)
+        return made
 
     def enrich(
         self, dataset_id: str, ticker_column: str, quotes: DataFrame, columns: Sequence[str], name: str | None = None
     ) -> str:
         """Save the dataset with quote columns looked up by its ticker column."""
         made = enrich(self.read(dataset_id), ticker_column, quotes, columns)
-        return self.save(made, name or f"Enriched {self.get(dataset_id)['name']}")
+        return self.save(made, name or f"{self.get(dataset_id)['name']} with quotes")
 
     def aggregate(self, dataset_id: str, name: str, group_by: Sequence[str], aggregations, **options) -> str:
         made = transform.aggregate(self.read(dataset_id), group_by, aggregations, **options)

@@ -85,6 +85,29 @@ def test_runs_are_numbered(spark, catalog):
     assert catalog.get(ids["a"])["seed"] == 42
 
 
+def test_run_ids_are_taken_once(spark, catalog):
+    other = type(catalog)(spark, catalog.root)
+    assert [catalog.next_run_id(), other.next_run_id(), catalog.next_run_id()] == [1, 2, 3]
+
+
+def test_a_local_session_without_the_setting_gets_one_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master, applicationId = "local[2]", "app-of-this-test"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    folder = session.shared_folder(Session())
+    assert folder == session.shared_folder(Session()) and folder.startswith("/")
+
+
 def test_shared_folder_comes_from_the_session(spark):
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert session.shared_folder(spark) == folder
@@ -121,17 +144,17 @@ def test_everything_can_be_saved(spark, catalog, tmp_path):
 
     raw = spark.createDataFrame([("aa", 10.0, 8.0), ("bb", 5.0, None)], "symbol string, regularMarketPrice double, previousClose double")
     quotes = catalog.save_quotes(raw, ["aa", "zz"])
-    assert catalog.get(quotes)["name"] == "Financial Batch (1 symbols)"
+    assert catalog.get(quotes)["name"] == "1 quotes"
     with pytest.raises(ValueError, match="No valid quote data"):
         catalog.save_quotes(raw, ["zz"])
     enriched = catalog.enrich(ids["made"], "sym", catalog.read(quotes), ["change"])
-    assert catalog.get(enriched)["name"] == "Enriched made" and catalog.read(enriched).count() == 30
+    assert catalog.get(enriched)["name"] == "made with quotes" and catalog.read(enriched).count() == 30
     assert {(r.sym, r.change) for r in catalog.read(enriched).collect()} == {("aa", 2.0), ("bb", None), ("cc", None)}
 
     ticks = raw.select("symbol", F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.col("regularMarketPrice").alias("price"), F.lit(1).alias("volume"))
     history = catalog.save_history(ticks, ["aa"], "5d")
-    assert catalog.get(history)["name"] == "Financial History (1 symbols, 5d)" and catalog.read(history).count() == 1
-    with pytest.raises(ValueError, match="No history data"):
+    assert catalog.get(history)["name"] == "Bars of 1 symbols over 5d" and catalog.read(history).count() == 1
+    with pytest.raises(ValueError, match="no bars"):
         catalog.save_history(ticks, ["zz"])
 
     (tmp_path / "f.csv").write_text("A b,c\n1,x\n2,y\n")
