@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tableloom.llm.bloom import BlockedBloom
 from tableloom.llm.components import components
 from tableloom.llm.words import WordHashes, lower_words, map_batches, mix
 from tableloom.session import materialise
@@ -21,7 +22,7 @@ BANDS, BAND_ROWS = 24, 5  # at a similarity of 0.85 all bands miss a pair once i
 HASHES = BANDS * BAND_ROWS
 BATCH = 24  # signature values compared between two looks at the posterior
 MISS = 1e-6  # posterior probability of losing a pair at each look
-MEMBERS = 512  # nodes of a block
+BLOCK_SHINGLES = 1 << 20  # shingles of a block of nodes
 PAIRS_PER_BLOCK = 4096
 CHUNK = 512  # shingles hashed at a time
 
@@ -121,6 +122,22 @@ def _prune(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return map_batches(both.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
+def _texts_of(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """``asked`` (doc_id, copy, ...) with ``text``; a Bloom filter keeps all other texts out of the shuffle."""
+    bloom = BlockedBloom.build(asked.select("copy").distinct(), "copy")
+    if bloom:
+        texts = texts.filter(bloom.possible(texts.sparkSession, F.col("copy")))
+    return asked.join(texts, ["doc_id", "copy"])
+
+
+def _same(held: np.ndarray, found: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    at = np.searchsorted(held, found)
+    at[at == len(held)] = 0
+    common = int((held[at] == found).sum())
+    return 100 * common >= percent * (len(held) + len(found) - common)
+
+
 def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full shingle sets are similar enough.
 
@@ -132,9 +149,8 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int)
     dealt = pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)))
     asked = dealt.select("b", "block", F.col("a").alias("node"), F.lit(1).alias("role"))
     hubs = dealt.select("b", "block", F.col("b").alias("node"), F.lit(0).alias("role")).distinct()
-    asked = asked.unionByName(hubs).join(nodes.select("node", "doc_id", "copy"), "node")
-    asked = materialise(asked, "asked")
-    rows = asked.join(texts, ["doc_id", "copy"]).select("b", "block", "role", "node", "text")
+    asked = materialise(asked.unionByName(hubs).join(nodes.select("node", "doc_id", "copy"), "node"), "asked")
+    rows = _texts_of(asked, texts).select("b", "block", "role", "node", "text")
     rows = rows.repartition("b", "block").sortWithinPartitions("b", "block", "role")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -148,10 +164,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int)
                     hub, held = (b, block), found
                     continue
                 assert hub == (b, block)
-                at = np.searchsorted(held, found)
-                at[at == len(held)] = 0
-                common = int((held[at] == found).sum())
-                if 100 * common >= percent * (len(held) + len(found) - common):
+                if _same(held, found, percent):
                     left.append(node)
                     right.append(b)
             yield {"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())}
@@ -159,51 +172,72 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int)
     return materialise(map_batches(rows, run, "a long, b long"), "links")
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of nodes with different labels in the buckets of ``members`` (key, node, hub, label, n, sig, count).
+def _sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node, n, sig, set`` of the wanted nodes; ``set`` holds the shingles' hashes."""
+    asked = nodes.join(wanted, "node", "left_semi")
+    rows = _texts_of(asked, texts).select("node", "n", "sig", "text")
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        hashes = WordHashes()
+        for batch in batches:
+            found = [shingles(x.as_py(), hashes).tobytes() for x in batch["text"]]
+            yield {k: batch[k] for k in ("node", "n", "sig")} | {"set": pa.array(found, pa.binary())}
+
+    return materialise(map_batches(rows, run, "node long, n long, sig binary, set binary"), "sets")
+
 
-    A bucket is cut into blocks of about ``MEMBERS`` nodes, and every two blocks meet in a group of their own; only
-    survivors leave a task.
+def _link_across(members: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes with different labels in the buckets of ``members`` (key, band, blocks, node, label, n, sig, set).
+
+    A bucket is cut into blocks of bounded size, and every two blocks meet in a group of their own. A pair is looked
+    at in its first common band only; a task emits no pairs but the links that join labels it has not joined yet.
     """
-    blocks = F.ceil(F.col("count") / F.lit(float(MEMBERS))).cast("int")
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "hub", "label", "n", "sig"
-    )
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    names = ("key", "i", "j", "band", "own", "node", "label", "n", "sig", "set")
+    dealt = dealt.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).select(*names)
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def survivors(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         if len({r[6] for r in rows}) < 2:
             return
-        own, node, hub, label, n = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6, 7))
+        band, one_block = rows[0][3] * BAND_ROWS, rows[0][1] == rows[0][2]
+        own, node, label, n = (np.array([r[k] for r in rows]) for k in (4, 5, 6, 7))
         sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint32).reshape(-1, HASHES)
-        one_block = rows[0][1] == rows[0][2]
+        sets = [np.frombuffer(r[9], np.uint64) for r in rows]
         for at in range(len(rows) - 1):
             rest = slice(at + 1, None)
-            fit = (label[rest] != label[at]) & (node[rest] != hub[at]) & (hub[rest] != node[at])
-            fit &= 100 * np.minimum(n[rest], n[at]) >= percent * np.maximum(n[rest], n[at])
+            fit = (label[rest] != label[at]) & (100 * np.minimum(n[rest], n[at]) >= percent * np.maximum(n[rest], n[at]))
             if not one_block:
                 fit &= own[rest] != own[at]
-            if len(found := at + 1 + np.flatnonzero(fit)):
-                likely = found[_likely(sig[found], np.broadcast_to(sig[at], (len(found), HASHES)), percent)]
-                for other in likely:
-                    yield max(node[at], node[other]), min(node[at], node[other])
+            found = at + 1 + np.flatnonzero(fit)
+            if band and len(found):
+                earlier = (sig[found, :band] == sig[at, :band]).reshape(len(found), -1, BAND_ROWS)
+                found = found[~earlier.all(axis=2).any(axis=1)]
+            if len(found):
+                found = found[_likely(sig[found], np.broadcast_to(sig[at], (len(found), HASHES)), percent)]
+            for other in found:
+                if label[other] != label[at] and _same(sets[at], sets[other], percent):
+                    yield int(node[at]), int(node[other])
+                    label[label == label[other]] = label[at]
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         key, held = None, []
         for batch in batches:
             found = []
-            for row in zip(*(batch[c].to_pylist() for c in ("key", "i", "j", "own", "node", "hub", "label", "n", "sig")), strict=True):
+            for row in zip(*(batch[c].to_pylist() for c in names), strict=True):
                 if row[:3] != key:
-                    found += survivors(held)
+                    found += links(held)
                     key, held = row[:3], []
                 held.append(row)
-            yield {"a": [int(x[0]) for x in found], "b": [int(x[1]) for x in found]}
-        found = list(survivors(held))
-        yield {"a": [int(x[0]) for x in found], "b": [int(x[1]) for x in found]}
+            yield _pairs(found)
+        yield _pairs(list(links(held)))
+
+    return materialise(map_batches(dealt, run, "a long, b long").distinct(), "links")
+
 
-    return map_batches(dealt, run, "a long, b long").distinct()
+def _pairs(found: list[tuple[int, int]]) -> dict:
+    return {"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())}
 
 
 def near_duplicates(
@@ -219,10 +253,10 @@ def near_duplicates(
 
     Equal sets are folded to one node first. Candidates share a band of the MinHash signature. Every node of a band's
     bucket is compared with the bucket's smallest node; links found so far give components, and only nodes of
-    different components meet in a second comparison of the same buckets, in blocks. So a group of near copies costs
-    a few comparisons per document, and no link between components is lost. A comparison looks at the signatures in
-    batches and drops a pair once its posterior chance of reaching ``percent`` is below ``MISS``; the survivors'
-    full sets decide.
+    different components meet in a second comparison of the same buckets, in blocks that bring their sets along and
+    emit only what joins components. So no pairs of a group leave a task, and no link between components is lost. A
+    comparison looks at the signatures in batches and drops a pair once its posterior chance of reaching ``percent``
+    is below ``MISS``; the survivors' full sets decide.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("copy", F.xxhash64("text"))
     id_type = docs.schema[doc_id].dataType.simpleString()
@@ -235,18 +269,21 @@ def near_duplicates(
     keys = [
         F.xxhash64(F.lit(b), F.substring("sig", b * BAND_ROWS * 4 + 1, BAND_ROWS * 4)) for b in range(BANDS)
     ]
-    banded = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("count"))
+    banded = nodes.select("node", "n", F.posexplode(F.array(*keys)).alias("band", "key"))
+    total = F.sum("n").alias("total")
+    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("count"), total)
     hubs = materialise(hubs.filter(F.col("count") > 1), "hubs")
     shared = materialise(banded.join(hubs, "key"), "buckets")
     stars = shared.filter(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = _confirm(_prune(stars, nodes, percent), nodes, rows, percent)
     labels = components(nodes, links)
-    labelled = materialise(shared.filter(F.col("count") > 2).join(labels, "node"), "labelled")
+    labelled = materialise(shared.filter(F.col("count") > 2).drop("n").join(labels, "node"), "labelled")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = materialise(mixed.filter(F.col("low") != F.col("high")).select("key"), "mixed")
-    members = labelled.join(mixed, "key").join(nodes.select("node", "n", "sig"), "node")
-    more = _confirm(_across(members, percent), nodes, rows, percent)
+    members = materialise(labelled.join(mixed, "key"), "members")
+    blocks = F.ceil(F.col("total") / F.lit(float(BLOCK_SHINGLES))).cast("long")
+    members = members.withColumn("blocks", blocks).join(_sets(members.select("node"), nodes, rows), "node")
+    more = _link_across(members, percent)
     if not more.isEmpty():
         labels = components(nodes, links.unionByName(more))
     labels = materialise(labels, "labels")

@@ -5,18 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tableloom.llm.bloom import MAX_FILTER_BYTES, BlockedBloom
 from tableloom.llm.words import LOWER, UPPER
 from tableloom.session import materialise
 
-LANES = 8  # 64-bit words of a block; a key sets one bit in each
-BLOCK_BYTES = LANES * 8
-BITS_PER_KEY = 16
-MAX_FILTER_BYTES = 128 << 20
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -52,37 +47,6 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
-def _hashes(key: Column) -> tuple[Column, Column]:
-    return F.xxhash64(key), F.xxhash64(F.lit(1), key)
-
-
-class BlockedBloom:
-    """Bit blocks of 64 bytes; all bits of a key lie in one block."""
-
-    def __init__(self, blocks: np.ndarray):
-        self.blocks = blocks
-
-    @staticmethod
-    def build(listed: DataFrame, key: str, max_bytes: int = MAX_FILTER_BYTES) -> BlockedBloom | None:
-        """The filter of all keys, set by a distributed OR; None if it would be larger than ``max_bytes``."""
-        n = 1 + listed.count() * BITS_PER_KEY // (8 * BLOCK_BYTES)
-        if n * BLOCK_BYTES > max_bytes:
-            return None
-        place, bits = _hashes(F.col(key))
-        lanes = [F.shiftrightunsigned(bits, 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(LANES)]
-        rows = listed.select(F.pmod(place, F.lit(n)).alias("block"), *[x.alias(f"b{i}") for i, x in enumerate(lanes)])
-        ored = [F.expr(f"bit_or(shiftleft(1L, b{i}))").alias(f"w{i}") for i in range(LANES)]
-        blocks = np.zeros((n, LANES), np.int64)
-        for row in rows.groupBy("block").agg(*ored).toLocalIterator():  # at most max_bytes in all
-            blocks[row[0]] = row[1:]
-        return BlockedBloom(blocks.view(np.uint64))
-
-    def may_hold(self, place: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        block = self.blocks[np.mod(place.astype(np.int64), len(self.blocks))]
-        shift = (bits.astype(np.int64).view(np.uint64)[:, None] >> np.arange(0, 6 * LANES, 6, dtype=np.uint64)) & np.uint64(63)
-        return ((block >> shift) & np.uint64(1)).all(axis=1)
-
-
 def judge_urls(
     pages: DataFrame,
     listed: DataFrame,
@@ -101,24 +65,14 @@ def judge_urls(
     Plan: a filter of two bytes per listed URL goes to every worker if that is at most ``max_filter_bytes``; pages it
     rules out need no shuffle, the others meet the list in an exact join. A larger list is joined without the filter.
     """
-    spark = pages.sparkSession
     listed = materialise(listed.select("canonical").filter(F.col("canonical") > "").distinct(), "listed-urls")
     host, path = url_parts(F.col(url))
     parts = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     parts = parts.withColumn("_canonical", canonical_url(F.col("host"), F.col("path")))
     bloom = BlockedBloom.build(listed, "canonical", max_filter_bytes)
-    if bloom is None:
-        maybe = F.col("_canonical") > ""
-    else:
-        shared = spark.sparkContext.broadcast(bloom)
-
-        @F.pandas_udf("boolean")
-        def possible(place, bits):
-            import pandas as pd
-
-            return pd.Series(shared.value.may_hold(place.to_numpy(), bits.to_numpy()))
-
-        maybe = (F.col("_canonical") > "") & possible(*_hashes(F.col("_canonical")))
+    maybe = F.col("_canonical") > ""
+    if bloom:
+        maybe &= bloom.possible(pages.sparkSession, F.col("_canonical"))
     parts = parts.withColumn("_maybe", maybe)
     sure = parts.filter(~F.col("_maybe")).withColumn("listed", F.lit(False))
     exact = listed.withColumn("_hit", F.lit(True))

@@ -81,7 +81,7 @@ def test_all_links_between_groups(spark):
 
 
 def test_shuffled_joins_and_small_blocks(spark, no_broadcast, monkeypatch):
-    monkeypatch.setattr(near_dup, "MEMBERS", 4)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 500)
     monkeypatch.setattr(near_dup, "PAIRS_PER_BLOCK", 3)
     rows = corpus(8)
     assert run(spark, rows) == brute(rows)

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tableloom.llm.url_filter import BlockedBloom, Rule, judge_urls
+from tableloom.llm.bloom import BlockedBloom
+from tableloom.llm.url_filter import Rule, judge_urls
 
 RULES = (Rule("block", "net"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"))
 URLS = [
