@@ -301,14 +301,15 @@ def _random_int(c: Cell) -> Column:
     if low > high:
         raise ValueError(f"min {low} is above max {high}")
     span = high - low + 1
+    if c.unique and len(c.draws.ids) != 1:  # rows of a group have no common number to permute
+        warnings.warn("integers of a group's rows are not kept unique", stacklevel=2)
+        return c.draws.below(span) + F.lit(low).cast("bigint")
     at = _distinct_below(c, span) if c.unique else c.draws.below(span)
     return at + F.lit(low).cast("bigint")
 
 
 def _distinct_below(c: Cell, span: int) -> Column:
     """A different value of 0 .. span - 1 for every row id, by a fixed stride through the range."""
-    if len(c.draws.ids) != 1:
-        raise ValueError("unique integers need a dataset with one row number")
     stride = draw_key(*c.draws.stream, "stride") % max(1, min(span, (1 << 62) // span)) + 1
     while math.gcd(stride, span) != 1:
         stride += 1

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+BUCKETS = 4096  # at least; more for pools of more rows than BUCKET_ROWS each
+BUCKET_ROWS = 1 << 20
 CHUNK = 1 << 16
+TASK_ROWS = 1 << 22  # rows that one task unfolds
 
 
 def bucket_of(value: Column, buckets: int = BUCKETS) -> Column:
@@ -19,9 +23,11 @@ def index_pool(pool: DataFrame, column: str, buckets: int = BUCKETS) -> tuple[Da
     """Number the pool rows 0 .. n - 1 by (bucket, value); returns ``(_index, _value)`` and n.
 
     Equal values are counted before anything is shuffled, buckets are numbered side by side, and
-    only the bucket totals (at most ``buckets`` rows) meet in one place, so no global sort is needed.
+    only the bucket totals (``buckets`` rows, or one per ``BUCKET_ROWS`` pool rows) meet in one place, so no global sort is needed.
     A value held by many rows is unfolded in chunks spread over the tasks.
     """
+    rows = pool.count()
+    buckets = max(buckets, 1 << (rows // BUCKET_ROWS).bit_length())
     counted = pool.groupBy(F.col(column).alias("__value")).agg(F.count(F.lit(1)).alias("_count"))
     counted = counted.withColumn("_bucket", bucket_of(F.col("__value"), buckets))
     totals = counted.groupBy("_bucket").agg(F.sum("_count").alias("_total"))
@@ -34,8 +40,8 @@ def index_pool(pool: DataFrame, column: str, buckets: int = BUCKETS) -> tuple[Da
     ranged = counted.select(
         "_bucket", "__value", "_count", F.coalesce(F.sum("_count").over(inside), F.lit(0)).alias("_start")
     ).join(F.broadcast(offsets), "_bucket", "left")  # every bucket has its offset; left keeps the counts reusable
-    # a fixed number: the rows are few and small here, but unfold to the whole pool
-    tasks = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the rows are few and small here, but unfold to the whole pool
+    tasks = max(int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_ROWS))
     first = F.col("_offset") + F.col("_start")
     chunks = ranged.select(
         "__value",

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableloom.functions.fieldmap import NAME_GENERATORS, TYPE_GENERATORS, field_type_for, generator_for
 from tableloom.plans.generate import Run, flat_dataset
+from tableloom.plans.message import message_template
+from tableloom.plans.spec import dataset_specs_from_json
 from tableloom.registry.generation import AS_OF, SEED
 from tableloom.registry.sql import draws, load, pick, text
 from tableloom.session import new_work_path
@@ -215,6 +219,18 @@ _MADE = draws(
     {"size": (SEED, "size", 0), "roll": (SEED, "size", "null"), "kind": (SEED, "kind", 0)},
 )
 QUERIES["template_dataset"] = template_dataset
+
+
+@query(
+    f"""WITH n AS (SELECT max(p_size) AS top FROM part)
+    SELECT row_id, (size % top + 1)::BIGINT AS size FROM ({draws("SELECT unnest(range(100)) AS row_id", ["row_id"], {"size": (SEED, "size", 0)})}), n"""
+)
+def json_dataset(spark, sf):
+    """A dataset described as JSON, with bounds from a table and no row count: 100 rows."""
+    top = load(spark, sf, "part").agg(F.max("p_size")).first()[0]
+    described = {"name": "sizes", "fields": [{"name": "size", "type": "integer", "generator": "random_int", "constraint": {"min": 1, "max": top}}]}
+    (spec,) = dataset_specs_from_json(json.dumps(described))
+    return flat_dataset(spark, spec, _RUN, keep_row_id=True)
 ORACLES["template_dataset"] = f"""WITH p AS (SELECT p_size, p_name FROM part WHERE p_partkey = 4),
     a AS (SELECT row_id, CASE WHEN roll >= {1 << 62} THEN size % p_size + 1 END AS size, kind, p_name FROM ({_MADE}), p),
     b AS (SELECT row_id, size, CASE WHEN size > 3 THEN CASE WHEN kind < {round((1 << 63) / 3)} THEN '<1M' ELSE p_name END END AS kind FROM a)
@@ -327,6 +343,20 @@ def message_template_rows(spark, sf):
     return xsd.template_rows(xsd.xsd_fields(_schemas(spark, sf)))
 
 
+@query(
+    f"""WITH one AS (SELECT * FROM ({_FIELDS}) WHERE document = (SELECT max(p_partkey) FROM part))
+    SELECT name, mapped_generator AS generator, coalesce(enums, '') AS choices FROM one
+    UNION ALL VALUES ('Part_due_date', 'date_between', ''), ('Part_Total', 'pydecimal', ''), ('Part_iban', 'iban', '')"""
+)
+def message_template_fields(spark, sf):
+    """The template of one message of many, field by field."""
+    fields = xsd.xsd_fields(_schemas(spark, sf))
+    last = load(spark, sf, "part").agg(F.max("p_partkey")).first()[0]
+    template = message_template(fields.where(F.col("document") == last), "message")
+    rows = [(f.name, f.generator, f.constraint.values or "") for f in template.fields]
+    return spark.createDataFrame(rows, "name string, generator string, choices string")
+
+
 # --- field mapping -------------------------------------------------------------------------
 
 _KEYWORDS = sorted({w for words, _ in NAME_GENERATORS for w in words.split("|")})

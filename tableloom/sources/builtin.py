@@ -30,17 +30,17 @@ DEMO_FIELDS = [
     ("CreationDateTime", "ISODateTime", "date_time", 1, "Date and time of message creation", None),
     ("NumberOfTransactions", "Max15NumericText", "random_int", 1, None, None),
     ("TotalAmount", "DecimalNumber", "pydecimal", 1, "Total transaction amount", None),
-    ("Currency", "ActiveCurrencyCode", "currency_code", 1, None, "EUR USD GBP CHF JPY".split()),
-    ("Status", "TransactionStatus", "random_element", 1, None, "ACCC ACSP ACSC ACCP RJCT PDNG".split()),
+    ("Currency", "ActiveCurrencyCode", "currency_code", 1, None, ["EUR", "USD", "GBP", "CHF", "JPY"]),
+    ("Status", "TransactionStatus", "random_element", 1, None, ["ACCC", "ACSP", "ACSC", "ACCP", "RJCT", "PDNG"]),
     ("DebtorName", "Max140Text", "name", 1, None, None),
     ("DebtorIBAN", "IBAN2007Identifier", "iban", 1, None, None),
     ("CreditorName", "Max140Text", "name", 1, None, None),
     ("CreditorIBAN", "IBAN2007Identifier", "iban", 1, None, None),
     ("BIC", "BICIdentifier", "swift", 1, None, None),
-    ("ChargeBearer", "ChargeBearerType1Code", "random_element", 1, None, "DEBT CRED SHAR SLEV".split()),
-    ("Purpose", "Max140Text", "random_element", 0, None, "SALA SUPP TAXS INTC TRAD CONS GOVT".split()),
+    ("ChargeBearer", "ChargeBearerType1Code", "random_element", 1, None, ["DEBT", "CRED", "SHAR", "SLEV"]),
+    ("Purpose", "Max140Text", "random_element", 0, None, ["SALA", "SUPP", "TAXS", "INTC", "TRAD", "CONS", "GOVT"]),
     ("RemittanceInfo", "Max140Text", "text", 0, "Unstructured remittance information", None),
-    ("Country", "CountryCode", "country_code", 1, None, "DE FR GB IT ES NL BE AT CH".split()),
+    ("Country", "CountryCode", "country_code", 1, None, ["DE", "FR", "GB", "IT", "ES", "NL", "BE", "AT", "CH"]),
 ]
 
 
