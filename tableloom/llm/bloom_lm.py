@@ -1,8 +1,8 @@
 """A language model of words and word pairs in a log-frequency Bloom filter, and scores of texts under it.
 
 The filter holds every n-gram whose share of all tokens is at least 1 / ``STORED``: there are at most ``STORED`` of each
-order, and as an n-gram of c times the least count makes at most c entries, the filter has a size bound that does not
-depend on the corpus. An n-gram's count c is stored as 1 + floor(log2(c / least)) entries, found again by probing until
+order, and as an n-gram of c times the least count makes at most c entries, there are at most three times ``STORED``
+entries (words, pairs, starts of texts) of ``BITS_PER_ENTRY`` bits: 60 MB, whatever the corpus. An n-gram's count c is stored as 1 + floor(log2(c / least)) entries, found again by probing until
 one misses.
 """
 
@@ -20,12 +20,12 @@ from tableloom.llm.words import WordHashes, lower_words, map_batches, mix, signe
 from tableloom.session import materialise
 
 END, START = b" end", b" start"  # words hold no blank, so these are none
-STORED = 20_000_000  # 4 bytes of filter each at most
+STORED = 20_000_000
 PROBES, BITS_PER_ENTRY = 4, 8  # about 2.4 in 100 probes for an absent n-gram hit
 FREQUENT = 500_000  # at most so many words have a count of a FREQUENT-th of all tokens
 CHUNK = 400_000  # tokens scored at a time
 COUNTED = 1_500_000  # tokens counted at a time
-TOKENS_PER_SEGMENT = 1 << 15
+TOKENS_PER_SEGMENT, MOST_SEGMENTS = 1 << 15, 1 << 16
 WEIGHT = 0.7  # of the longer n-gram against the shorter one
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -193,7 +193,7 @@ def train(docs: DataFrame, text: str = "text", stored: int = STORED, frequent: i
     """
     texts = docs.select(F.col(text).alias("text"))
     total = texts.agg(F.coalesce(F.sum(word_count(F.col("text"))), F.lit(0)) + F.count(F.lit(1))).first()[0]
-    segments = 1 << (total // TOKENS_PER_SEGMENT).bit_length()
+    segments = min(MOST_SEGMENTS, 1 << (total // TOKENS_PER_SEGMENT).bit_length())
     least = max(1, -(-total // stored))
     sums = count_ngrams(texts, segments).repartition("seg").groupBy("seg", "kind", "h").agg(F.sum("n").alias("n"))
     stats = materialise(_build(sums.sortWithinPartitions("seg"), least), "ngrams")

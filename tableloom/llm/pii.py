@@ -8,6 +8,7 @@ entity, log(N / n(c)). Words whose share reaches a threshold are sanitised where
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -92,7 +93,19 @@ def _hash(value: str) -> int:
 
 def _near_words(text: str, spans: list[tuple[str, Span]]) -> Iterator[tuple[int, int, int, int]]:
     """Entity, word, start and end of the ``WINDOW`` words before and after each entity, without those in an entity."""
-    taken = [(s[0], s[1]) for _, s in spans]
+    starts: list[int] = []  # of the stretches that entities take up
+    ends: list[int] = []
+    for start, end, _ in (s for _, s in spans):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+
+    def free(match: re.Match) -> bool:
+        at = bisect_left(starts, match.end()) - 1  # the last stretch that starts before the word ends
+        return at < 0 or ends[at] <= match.start()
+
     for kind, (start, end, value) in spans:
         entity = _hash(f"{kind}:{value}")
         around = []
@@ -108,7 +121,7 @@ def _near_words(text: str, spans: list[tuple[str, Span]]) -> Iterator[tuple[int,
                 break
             around.append(match)
         for match in around:
-            if len(match[0]) > 1 and not any(a < match.end() and match.start() < b for a, b in taken):
+            if len(match[0]) > 1 and free(match):
                 yield entity, _hash(match[0].lower()), match.start(), match.end()
 
 
