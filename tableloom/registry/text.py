@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableloom.functions.fieldmap import NAME_GENERATORS, TYPE_GENERATORS, field_type_for, generator_for
+from tableloom.functions.fieldmap import field_type_for, generator_for
 from tableloom.plans.generate import Run, flat_dataset
 from tableloom.plans.message import message_template
 from tableloom.plans.spec import dataset_specs_from_json
@@ -359,17 +359,58 @@ def message_template_fields(spark, sf):
 
 # --- field mapping -------------------------------------------------------------------------
 
-_KEYWORDS = sorted({w for words, _ in NAME_GENERATORS for w in words.split("|")})
+# Fixed values, written a second time so that the rules themselves are compared.
+_TYPE_RULES = [
+    ("decimal", "pydecimal"),
+    ("int", "random_int"),
+    ("date", "date_between"),
+    ("boolean", "boolean"),
+    ("time", "date_time"),
+]
+_NAME_RULES = [
+    ((
+        "amount|value|price|total|sum|limit|fee|tax|charge|rate|interest|payment_amount|sttlm_amt|"
+        "instd_amt|reqd_advd_amt|ccy_amt"
+    ), "pydecimal"),
+    ("currency|ccy", "currency_code"),
+    ("bic|swift", "swift"),
+    ("iban", "iban"),
+    ("bban", "bban"),
+    ("email|electronic_mail", "email"),
+    ("phone|telephone|contact|mobile|fax", "phone_number"),
+    ("country|ctry|nation|cntry", "country_code"),
+    ("city|town|municipality", "city"),
+    ("postal_code|zip|post_code|pstl_cd", "zipcode"),
+    ("address|street|adr|line|pstl_adr", "street_address"),
+    ("name|nm|full_name|surname|last_name|first_name|gvn_nm|faml_nm|middl_nm", "name"),
+    ("date|dt|timestamp|datetime|cre_dt|due_date|reqd_exctn_dt|intnd_to_dt", "date_between"),
+    ("uri|url|link|website|web", "url"),
+    ("description|desc|purpose|purp|note|rmk|instr|addtl_inf", "text"),
+    ("id|identifier|ref|reference|acct_id|tx_id|msg_id|msg_rcpt|end_to_end_id|uetr|clr_sys_ref", "bothify"),
+    ("account|acct|acct_id", "bban"),
+    ("bank|financial_institution|instg_agt|instd_agt|agt", "company"),
+    ("status|stat|sts", "random_element"),
+    ("type|tp|kind|categ|ctgy", "random_element"),
+    ("code|cd", "bothify"),
+    ("percent|pctg|pct", "pydecimal"),
+    ("quantity|qty|count|nb|number|nmbr|total_qty", "random_int"),
+    ("boolean|flag|indicator|ind|active|enabled|yes_no|authntcn_ind", "boolean"),
+    ("credit|debit|cdt|dbt|charge", "random_element"),
+    ("exchange|xchg_rate|rate|fx_rate", "pydecimal"),
+    ("sequence|seq|order|ordr", "random_int"),
+    ("version|vrsn", "random_int"),
+]
+_KEYWORDS = sorted({w for words, _ in _NAME_RULES for w in words.split("|")})
 _TYPES = ["", "xs:string", "DecimalNumber", "xs:int", "ISODate", "YesNoIndicator", "xs:boolean", "ISOTime", "ISODateTime", "{urn}Max15NumericText", "AmountRate", "xs:integer"]
 
 
 def _rule_sql(name: str, kind: str, edge: str) -> str:
     """The mapping as CASE; ``edge`` is a pattern pair for the border of a word."""
     before, after = edge.split("@")
-    rules = [f"WHEN contains({kind}, {text(part)}) THEN {text(made)}" for part, made in TYPE_GENERATORS]
+    rules = [f"WHEN contains({kind}, {text(part)}) THEN {text(made)}" for part, made in _TYPE_RULES]
     rules += [
         f"WHEN regexp_matches({name}, {text('(?i)' + before + '(' + words + ')' + after)}) THEN {text(made)}"
-        for words, made in NAME_GENERATORS
+        for words, made in _NAME_RULES
     ]
     return f"CASE {' '.join(rules)} ELSE 'text' END"
 
