@@ -2,8 +2,8 @@
 
 The filter holds every n-gram whose share of all tokens is at least 1 / ``STORED``: there are at most ``STORED`` of each
 order, and as an n-gram of c times the least count makes at most c entries, there are at most three times ``STORED``
-entries (words, pairs, starts of texts) of ``BITS_PER_ENTRY`` bits: 60 MB, whatever the corpus. An n-gram's count c is stored as 1 + floor(log2(c / least)) entries, found again by probing until
-one misses.
+entries (words, pairs, starts of texts) of ``BITS_PER_ENTRY`` bits: 60 MB, whatever the corpus. An n-gram's count c is
+stored as 1 + floor(log2(c / least)) entries, found again by probing until one misses.
 """
 
 from __future__ import annotations
