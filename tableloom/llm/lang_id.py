@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, BooleanType, StringType, StructField, StructType
 
 from tableloom.llm.words import map_batches
+from tableloom.session import materialise
 
 BITS = 14  # n-grams are hashed to 2**BITS features
 ORDERS = (1, 2, 3)
@@ -120,6 +121,20 @@ def _cluster(vectors: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.n
     return centroids, np.array([cosines[nearest == c, c].mean() if (nearest == c).any() else 0 for c in range(len(centroids))])
 
 
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """``doc_id, lang``: per language the ``most`` ids with the smallest hashes.
+
+    Hashes over a bound that about twice as many pass are left out first, so a language with most of all rows
+    sends no more rows to its task than any other.
+    """
+    ids = rows.select("doc_id", "lang").withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))
+    near = ids.join(counts, "lang").filter(F.col("draw").cast("double") * F.col("all") <= F.lit((2.0 * most + 100) * (1 << 40)))
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    ranked = near.distinct().withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= most).select("doc_id", "lang")
+
+
 def fit(
     docs: DataFrame,
     clusters: int = 3,
@@ -141,9 +156,11 @@ def fit(
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     frequencies, n = _document_frequencies(rows.select("text"))
     idf = np.log((1 + n) / (1 + frequencies)).astype(np.float32)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample_per_lang)
-    picked = rows.join(ids.select("doc_id", "lang").distinct(), ["doc_id", "lang"])
+    ids = materialise(_sample(rows, sample_per_lang), "sample")
+    langs = ids.select("lang").distinct().count()
+    if (size := langs * clusters * 4 * (1 << BITS)) > MAX_MODEL_BYTES:
+        raise ValueError(f"centroids of {size} bytes are too large to copy to every worker")
+    picked = rows.join(F.broadcast(ids), ["doc_id", "lang"])  # as few ids as texts to cluster
 
     def vectors(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -171,9 +188,6 @@ def fit(
     id_type = docs.schema[doc_id].dataType.simpleString()
     counted = map_batches(picked.select("doc_id", "lang", "text"), vectors, f"doc_id {id_type}, lang string, at array<int>, n array<long>")
     schema = "lang string, cluster int, mean double, centroid array<float>"
-    size = ids.select("lang").distinct().count() * clusters * 4 * (1 << BITS)
-    if size > MAX_MODEL_BYTES:
-        raise ValueError(f"centroids of {size} bytes are too large to copy to every worker")
     model = sorted(counted.groupBy("lang").applyInPandas(centroids, schema).toLocalIterator(), key=lambda r: (r.lang, r.cluster))
     weights = np.array([r.centroid for r in model], np.float32).reshape(-1, 1 << BITS)
     limit = np.array([1 - reject_share * r["mean"] for r in model])
