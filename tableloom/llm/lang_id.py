@@ -129,7 +129,7 @@ def _sample(rows: DataFrame, most: int) -> DataFrame:
     """
     ids = rows.select("doc_id", "lang").withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))
-    near = ids.join(counts, "lang").filter(F.col("draw").cast("double") * F.col("all") <= F.lit((2.0 * most + 100) * (1 << 40)))
+    near = ids.join(F.broadcast(counts), "lang").filter(F.col("draw").cast("double") * F.col("all") <= F.lit((2.0 * most + 100) * (1 << 40)))
     order = Window.partitionBy("lang").orderBy("draw", "doc_id")
     ranked = near.distinct().withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= most).select("doc_id", "lang")
