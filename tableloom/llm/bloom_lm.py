@@ -24,7 +24,7 @@ STORED = 20_000_000
 PROBES, BITS_PER_ENTRY = 4, 8  # about 2.4 in 100 probes for an absent n-gram hit
 FREQUENT = 500_000  # at most so many words have a count of a FREQUENT-th of all tokens
 CHUNK = 400_000  # tokens scored at a time
-COUNTED = 1_500_000  # tokens counted at a time
+COUNTED = 1_000_000  # tokens counted at a time
 TOKENS_PER_SEGMENT, MOST_SEGMENTS = 1 << 15, 1 << 16
 WEIGHT = 0.7  # of the longer n-gram against the shorter one
 _STEP = np.uint64(0x9E3779B97F4A7C15)

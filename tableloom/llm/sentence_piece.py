@@ -31,9 +31,9 @@ UNIGRAM, BPE = 1, 2  # fixed values: model types of the file format
 DONE = float("-inf")  # the score where nothing merges
 UNKNOWN_PENALTY = 10.0  # fixed value: how far below the lowest score an uncovered character lies
 MAX_MODEL_BYTES = 64 << 20
-CACHE_SEGMENTS = 250_000  # segments in each of two generations that a worker remembers
+CACHE_SEGMENTS = 180_000  # segments in each of two generations that a worker remembers
 LONG_SEGMENT = 64
-CACHE_PAIRS = 400_000  # piece pairs a worker remembers
+CACHE_PAIRS = 250_000  # piece pairs a worker remembers
 
 
 @dataclass

@@ -18,7 +18,8 @@ from pyspark.sql.types import StructType
 WHITE = " \t\n\x0b\f\r"
 _WORD_GAP = "[ \\t\\n\\x0B\\f\\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CACHE_WORDS = 400_000  # words a task remembers before it starts over: bounds its memory
+PART_ROWS = 1000  # rows of a batch that a task handles, and hands on, at a time: bounds its memory
+CACHE_WORDS = 250_000  # words a task remembers before it starts over: bounds its memory
 
 
 def word_count(text: Column) -> Column:
@@ -60,11 +61,17 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], s
     """``fn`` gets an iterator of column dictionaries (Arrow arrays) per task and yields dictionaries of columns."""
     kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(start, PART_ROWS)
+                yield dict(zip(part.schema.names, part.columns, strict=True))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(kind)
-        for out in fn(dict(zip(b.schema.names, b.columns, strict=True)) for b in batches):
+        for out in fn(parts(batches)):
             cols = [out[f.name] for f in arrow]
             arrays = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
