@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +15,16 @@ _LOCAL_FOLDERS: dict[str, str] = {}  # by application; local sessions without th
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the settings that change results: timestamps are handled in UTC, and bad casts fail."""
+    """Pin the settings that change results: timestamps are handled in UTC, and bad casts fail.
+
+    Python workers started from here on find this package where the driver did, whatever folder they run in.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.ansi.enabled", "true")
+    environment, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([home, *paths])
     return spark
 
 
