@@ -1,9 +1,9 @@
 """A language model of words and word pairs in a log-frequency Bloom filter, and scores of texts under it.
 
-The filter holds every n-gram whose share of all tokens is at least 1 / ``STORED``: there are at most ``STORED`` of each
-order, and as an n-gram of c times the least count makes at most c entries, there are at most three times ``STORED``
-entries (words, pairs, starts of texts) of ``BITS_PER_ENTRY`` bits: 60 MB, whatever the corpus. An n-gram's count c is
-stored as 1 + floor(log2(c / least)) entries, found again by probing until one misses.
+The filter holds every n-gram and grows with their number: a count c is stored as 1 + floor(log2(c)) entries of
+``BITS_PER_ENTRY`` bits, found again by probing until one misses. It lies in segments by hash, a table of one row each.
+Up to ``BROADCAST`` bytes, counted before anything is collected, all segments go to every worker; beyond, the n-grams
+that texts ask for go to their segments and the answers come back, with the same scores.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +21,14 @@ from tableloom.llm.words import WordHashes, lower_words, map_batches, mix, signe
 from tableloom.session import materialise
 
 END, START = b" end", b" start"  # words hold no blank, so these are none
-STORED = 20_000_000
+STORED = 1 << 62  # n-grams with less than such a share of all tokens are left out: none
+BROADCAST = 128 << 20  # bytes of a filter that is sent to the workers
 PROBES, BITS_PER_ENTRY = 4, 8  # about 2.4 in 100 probes for an absent n-gram hit
 FREQUENT = 500_000  # at most so many words have a count of a FREQUENT-th of all tokens
 CHUNK = 400_000  # tokens scored at a time
+PIECE = 2048  # tokens of a row that waits for answers
 COUNTED = 1_000_000  # tokens counted at a time
-TOKENS_PER_SEGMENT, MOST_SEGMENTS = 1 << 15, 1 << 16
+TOKENS_PER_SEGMENT = 1 << 15
 WEIGHT = 0.7  # of the longer n-gram against the shorter one
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,9 +66,13 @@ def _pairs(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
     return mix(before * _STEP + tokens)
 
 
+def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
+    shift = np.uint64(64 - segments.bit_length() + 1)
+    return (mix(keys) >> shift).astype(np.int32) if segments > 1 else np.zeros(len(keys), np.int32)
+
+
 def count_ngrams(texts: DataFrame, segments: int) -> DataFrame:
     """``seg, kind, h, n``: partial counts; kind 1 are tokens, 0 pairs and the start of a text."""
-    shift = np.uint64(64 - segments.bit_length() + 1)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         hashes = WordHashes()
@@ -73,8 +80,7 @@ def count_ngrams(texts: DataFrame, segments: int) -> DataFrame:
             first = before[before == np.uint64(hashes[START])]
             for kind, keys in ((1, tokens), (0, np.concatenate((_pairs(tokens, before), first)))):
                 found, n = np.unique(keys, return_counts=True)
-                seg = (mix(found) >> shift).astype(np.int32) if segments > 1 else np.zeros(len(found), np.int32)
-                yield {"seg": seg, "kind": np.full(len(found), kind, np.int8), "h": signed(found), "n": n.astype(np.int64)}
+                yield {"seg": _segment(found, segments), "kind": np.full(len(found), kind, np.int8), "h": signed(found), "n": n.astype(np.int64)}
 
     return map_batches(texts.select("text"), run, "seg int, kind tinyint, h long, n long")
 
@@ -110,7 +116,7 @@ def _segment_filter(keys: np.ndarray, counts: np.ndarray, least: int) -> bytes:
 
 
 def _build(counts: DataFrame, least: int) -> DataFrame:
-    """``kind, h, n, bits``: the counts of all tokens (kind 1), and one filter per segment (kind 2, h the segment)."""
+    """``kind, h, n, bits``: the counts of all tokens (kind 1), and one filter per segment (kind 2, h the segment, n its bytes)."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -119,7 +125,7 @@ def _build(counts: DataFrame, least: int) -> DataFrame:
         def flush() -> dict:
             keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
             bits = _segment_filter(keys.astype(np.int64).view(np.uint64), n, least)
-            return {"kind": [2], "h": [int(current)], "n": [len(keys)], "bits": [bits]}
+            return {"kind": [2], "h": [int(current)], "n": [len(bits)], "bits": [bits]}
 
         for batch in batches:
             seg, kind, h, n = (batch[c].to_numpy() for c in ("seg", "kind", "h", "n"))
@@ -153,9 +159,7 @@ class FrequencyFilter:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The quantised count of each key: the number of probes that hit in a row."""
-        segments = len(self.bits)
-        shift = np.uint64(64 - segments.bit_length() + 1)
-        seg = (mix(keys) >> shift).astype(np.int64) if segments > 1 else np.zeros(len(keys), np.int64)
+        seg = _segment(keys, len(self.bits))
         out, alive, level = np.zeros(len(keys), np.int64), np.flatnonzero(self.bits[seg] > 0), 0
         while len(alive):
             level += 1
@@ -174,9 +178,15 @@ class FrequencyFilter:
 
 @dataclass
 class Model:
-    """``tokens``: a table (h, n) of exact counts; ``words`` and ``counts``: the frequent ones of it, sorted."""
+    """``tokens``: a table (h, n) of exact counts; ``words`` and ``counts``: the frequent ones of it, sorted.
+
+    ``filter`` is None if it is too large to be sent; ``parts`` (seg, bits) are its ``segments`` as a table.
+    """
 
-    filter: FrequencyFilter
+    filter: FrequencyFilter | None
+    parts: DataFrame
+    segments: int
+    least: int
     tokens: DataFrame
     words: np.ndarray
     counts: np.ndarray
@@ -184,29 +194,177 @@ class Model:
     distinct: int
 
 
-def train(docs: DataFrame, text: str = "text", stored: int = STORED, frequent: int = FREQUENT) -> Model:
+def train(
+    docs: DataFrame, text: str = "text", stored: int = STORED, frequent: int = FREQUENT, broadcast: int = BROADCAST
+) -> Model:
     """Count the tokens and pairs of all texts and store them in the filter.
 
     Tasks count what they read and shuffle one row per distinct n-gram and chunk; one shuffle by segment adds the
-    counts up and lays out each segment's bits. The filter is collected in segments and sent to the workers. Exact
-    counts stay a table: only words with at least a ``frequent``-th of all tokens leave it, at most ``frequent`` of them.
+    counts up and lays out each segment's bits. A filter of at most ``broadcast`` bytes is collected in segments and sent
+    to the workers, a larger one stays a table. Exact counts stay a table: only words with at least a ``frequent``-th
+    of all tokens leave it, at most ``frequent`` of them. N-grams with less than a ``stored``-th of all tokens are left
+    out of the filter; by default none is.
     """
     texts = docs.select(F.col(text).alias("text"))
     total = texts.agg(F.coalesce(F.sum(word_count(F.col("text"))), F.lit(0)) + F.count(F.lit(1))).first()[0]
-    segments = min(MOST_SEGMENTS, 1 << (total // TOKENS_PER_SEGMENT).bit_length())
+    segments = 1 << (total // TOKENS_PER_SEGMENT).bit_length()
     least = max(1, -(-total // stored))
     sums = count_ngrams(texts, segments).repartition("seg").groupBy("seg", "kind", "h").agg(F.sum("n").alias("n"))
     stats = materialise(_build(sums.sortWithinPartitions("seg"), least), "ngrams")
     tokens = stats.filter(F.col("kind") == 1).select("h", "n")
     common = tokens.filter(F.col("n") * frequent >= total).toArrow().sort_by("h")
+    held = stats.filter(F.col("kind") == 2)
+    parts = held.select(F.col("h").cast("int").alias("seg"), "bits")
+    size = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    built = _collected(parts, segments, size, least) if size + 16 * segments <= broadcast else None
+    words, counts = common["h"].to_numpy(), common["n"].to_numpy()
+    return Model(built, parts, segments, least, tokens, words, counts, total, tokens.count())
+
+
+def _collected(parts: DataFrame, segments: int, size: int, least: int) -> FrequencyFilter:
     bits, starts = np.zeros(segments, np.uint64), np.zeros(segments, np.int64)
-    data, end = [], 0
-    for seg, raw in stats.filter(F.col("kind") == 2).select("h", "bits").toLocalIterator():
-        data.append(np.frombuffer(raw, np.uint8))
+    data, end = np.zeros(size, np.uint8), 0
+    for seg, raw in parts.toLocalIterator():
+        data[end : end + len(raw)] = np.frombuffer(raw, np.uint8)
         bits[seg], starts[seg] = len(raw) * 8, end
         end += len(raw)
-    built = FrequencyFilter(np.concatenate([*data, np.zeros(0, np.uint8)]), starts, bits, least)
-    return Model(built, tokens, common["h"].to_numpy(), common["n"].to_numpy(), total, tokens.count())
+    return FrequencyFilter(data, starts, bits, least)
+
+
+@dataclass
+class _Scorer:
+    """What every worker gets."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    below: int
+
+    def sums(self, tokens: np.ndarray, word: np.ndarray, context: np.ndarray, pair: np.ndarray, at: np.ndarray) -> dict:
+        """Columns of the rows that start at ``at``; ``word``, ``context`` and ``pair`` are the filter's counts."""
+        key = signed(tokens)
+        place = np.minimum(np.searchsorted(self.words, key), max(0, len(self.words) - 1))
+        common = self.words[place] == key if len(self.words) else np.zeros(len(key), bool)
+        base = np.zeros(len(key))
+        base[common] = np.log10((self.counts[place[common]] + 1) / self.below)
+        alone = (word + 1) / self.below
+        chance = WEIGHT * np.minimum(1.0, pair / np.maximum(context, 1)) + (1 - WEIGHT) * alone
+        chance = np.log10(np.where(context > 0, chance, alone))
+        ends = np.append(at[1:], len(key))
+        rare = np.append(0, np.cumsum(~common))[np.append(at, len(key))].astype(np.int32)
+        return {
+            "n_tokens": ends - at,
+            "n_known": np.add.reduceat(common.astype(np.int64), at),
+            "base": np.add.reduceat(base, at),
+            "chance": np.add.reduceat(chance, at),
+            "rare": pa.ListArray.from_arrays(pa.array(rare), pa.array(key[~common])),
+        }
+
+
+def _probes(rows: DataFrame, segments: int, id_type: str) -> DataFrame:
+    """For every chunk of texts, rows of its tokens (seg NULL, ``first`` the token before them), and by segment its n-grams."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        hashes, task = WordHashes(), TaskContext.get().partitionId() << 33
+        for number, (parts, tokens, before, at) in enumerate(_chunks(batches, hashes, CHUNK), task):
+            ends = np.append(at[1:], len(tokens))
+            cuts = [(b, i, c) for (b, i), start, end in zip(parts, at, ends, strict=True) for c in range(start, end, PIECE)]
+            places = np.array([c for _, _, c in cuts])
+            yield {
+                "chunk": np.full(len(cuts), number),
+                "seg": pa.nulls(len(cuts), pa.int32()),
+                "row": [b["row"][i].as_py() for b, i, _ in cuts],
+                "doc_id": [b["doc_id"][i].as_py() for b, i, _ in cuts],
+                "first": signed(before[places]),
+                "keys": pa.ListArray.from_arrays(pa.array(np.append(places, len(tokens)).astype(np.int32)), pa.array(signed(tokens))),
+            }
+            keys = np.unique(np.concatenate((tokens, before, _pairs(tokens, before))))
+            seg = _segment(keys, segments)
+            order = np.argsort(seg, kind="stable")
+            keys, seg = keys[order], seg[order]
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(seg)) + 1))
+            n = len(edges)
+            yield {
+                "chunk": np.full(n, number),
+                "seg": seg[edges],
+                "row": pa.nulls(n, pa.int64()),
+                "doc_id": [None] * n,
+                "first": pa.nulls(n, pa.int64()),
+                "keys": pa.ListArray.from_arrays(pa.array(np.append(edges, len(keys)).astype(np.int32)), pa.array(signed(keys))),
+            }
+
+    schema = f"chunk long, seg int, row long, doc_id {id_type}, first long, keys array<long>"
+    return materialise(map_batches(rows, run, schema), "probes")
+
+
+def _answers(probes: DataFrame, model: Model) -> DataFrame:
+    """``chunk, keys, levels``: each segment's filter comes first and what chunks ask of it streams by."""
+    least = model.least
+    asked = probes.filter("seg IS NOT NULL").select("seg", F.lit(1).alias("role"), "chunk", "keys", F.lit(None).cast("binary").alias("bits"))
+    held = model.parts.select(
+        "seg", F.lit(0).alias("role"), F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("array<long>").alias("keys"), "bits"
+    )
+    rows = asked.unionByName(held).repartition("seg").sortWithinPartitions("seg", "role")
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        current, part = None, None
+        for batch in batches:
+            seg, role = batch["seg"].to_numpy(), batch["role"].to_numpy()
+            edges = np.flatnonzero((np.diff(seg) != 0) | (role[:-1] == 0)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(seg)], strict=True):
+                if role[a] == 0:
+                    raw = np.frombuffer(batch["bits"][a].as_py(), np.uint8)
+                    current, part = seg[a], FrequencyFilter(raw, np.zeros(1, np.int64), np.array([len(raw) * 8], np.uint64), least)
+                    continue
+                keys = batch["keys"].slice(a, b - a)
+                found = keys.flatten()
+                levels = part.levels(found.to_numpy().view(np.uint64)) if current == seg[a] else np.zeros(len(found), np.int64)
+                offsets = pa.array(np.append(0, np.cumsum(keys.value_lengths().to_numpy())).astype(np.int32))
+                yield {
+                    "chunk": batch["chunk"].slice(a, b - a),
+                    "keys": pa.ListArray.from_arrays(offsets, found),
+                    "levels": pa.ListArray.from_arrays(offsets, pa.array(levels.astype(np.int8))),
+                }
+
+    return map_batches(rows, run, "chunk long, keys array<long>, levels array<tinyint>")
+
+
+def _score_by_shuffle(rows: DataFrame, model: Model, id_type: str, scorer: _Scorer, schema: str) -> DataFrame:
+    """The n-grams of each chunk are asked for once; a task holds one chunk's answers while its texts stream by."""
+    probes, least = _probes(rows, model.segments, id_type), model.least
+    shared = rows.sparkSession.sparkContext.broadcast(scorer)
+    nothing = (F.lit(None).cast(t).alias(c) for c, t in (("row", "long"), ("doc_id", id_type), ("first", "long")))
+    answers = _answers(probes, model).select("chunk", F.lit(0).alias("role"), *nothing, "keys", "levels")
+    texts = probes.filter("seg IS NULL").select(
+        "chunk", F.lit(1).alias("role"), "row", "doc_id", "first", "keys", F.lit(None).cast("array<tinyint>").alias("levels")
+    )
+    both = answers.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "role")
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        current, held, keys, counts = None, [], np.zeros(0, np.uint64), np.zeros(0)
+        for batch in batches:
+            chunk, role = batch["chunk"].to_numpy(), batch["role"].to_numpy()
+            edges = np.flatnonzero((np.diff(chunk) != 0) | (np.diff(role) != 0)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(chunk)], strict=True):
+                own = batch["keys"].slice(a, b - a)
+                found = own.flatten().to_numpy().view(np.uint64)
+                if role[a] == 0:
+                    held = held if current == chunk[a] else []
+                    current = chunk[a]
+                    held.append((found, batch["levels"].slice(a, b - a).flatten().to_numpy()))
+                    continue
+                assert current == chunk[a]
+                if held:
+                    keys, level = (np.concatenate(x) for x in zip(*held, strict=True))
+                    order = np.argsort(keys)
+                    keys, counts, held = keys[order], _restored(level[order].astype(np.int64), least), []
+                at = np.append(0, np.cumsum(own.value_lengths().to_numpy()))[:-1]
+                before = np.append(np.uint64(0), found[:-1])
+                before[at] = batch["first"].slice(a, b - a).to_numpy().view(np.uint64)
+                word, context, pair = (counts[np.searchsorted(keys, x)] for x in (found, before, _pairs(found, before)))
+                own_rows = {c: batch[c].slice(a, b - a) for c in ("row", "doc_id")}
+                yield own_rows | shared.value.sums(found, word, context, pair, at)
+
+    return map_batches(both, run, schema)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,39 +381,27 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     """
     spark = docs.sparkSession
     below = model.total + model.distinct + 1
-    shared = spark.sparkContext.broadcast((model.filter, model.words, model.counts))
+    scorer = _Scorer(model.words, model.counts, below)
     id_type = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")
     )
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        lm, words, counts = shared.value
-        hashes = WordHashes()
-        for parts, tokens, before, at in _chunks(batches, hashes, CHUNK):
-            key = signed(tokens)
-            place = np.minimum(np.searchsorted(words, key), max(0, len(words) - 1))
-            common = words[place] == key if len(words) else np.zeros(len(key), bool)
-            base = np.zeros(len(key))
-            base[common] = np.log10((counts[place[common]] + 1) / below)
-            alone = (lm.counts(tokens) + 1) / below
-            context, pair = lm.counts(before), lm.counts(_pairs(tokens, before))
-            chance = WEIGHT * np.minimum(1.0, pair / np.maximum(context, 1)) + (1 - WEIGHT) * alone
-            chance = np.log10(np.where(context > 0, chance, alone))
-            ends = np.append(at[1:], len(key))
-            rare = np.append(0, np.cumsum(~common))[np.append(at, len(key))].astype(np.int32)
-            yield {
-                "row": [b["row"][i].as_py() for b, i in parts],
-                "doc_id": [b["doc_id"][i].as_py() for b, i in parts],
-                "n_tokens": ends - at,
-                "n_known": np.add.reduceat(common.astype(np.int64), at),
-                "base": np.add.reduceat(base, at),
-                "chance": np.add.reduceat(chance, at),
-                "rare": pa.ListArray.from_arrays(pa.array(rare), pa.array(key[~common])),
-            }
-
     schema = f"row long, doc_id {id_type}, n_tokens long, n_known long, base double, chance double, rare array<long>"
-    parts = materialise(map_batches(rows, run, schema), "scores")
+    if model.filter is None:
+        parts = _score_by_shuffle(rows, model, id_type, scorer, schema)
+    else:
+        shared = spark.sparkContext.broadcast((model.filter, scorer))
+
+        def run(batches: Iterator[dict]) -> Iterator[dict]:
+            lm, own = shared.value
+            hashes = WordHashes()
+            for found, tokens, before, at in _chunks(batches, hashes, CHUNK):
+                names = {c: [b[c][i].as_py() for b, i in found] for c in ("row", "doc_id")}
+                yield names | own.sums(tokens, lm.counts(tokens), lm.counts(before), lm.counts(_pairs(tokens, before)), at)
+
+        parts = map_batches(rows, run, schema)
+    parts = materialise(parts, "scores")
     asked = parts.select("row", "doc_id", F.explode("rare").alias("h")).join(model.tokens, "h", "left")
     n = F.coalesce("n", F.lit(0))
     looked_up = asked.select(

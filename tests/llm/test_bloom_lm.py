@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tableloom.llm import bloom_lm
 from tests.llm.tables import documents
@@ -78,3 +79,24 @@ def test_known_texts_score_better(spark):
     rows = [(i, " ".join(words)) for i in range(50)]
     found = {r[0]: r[5] for r in run(spark, rows, [(1, "blue bird sings at dawn"), (2, "dawn at sings bird blue")])}
     assert found[1] > found[2] + 3
+
+
+@pytest.mark.parametrize("options", [{}, {"frequent": 5}, {"stored": 60}])
+def test_filter_too_large_to_send_gives_the_same_scores(spark, monkeypatch, options):
+    monkeypatch.setattr(bloom_lm, "TOKENS_PER_SEGMENT", 64)
+    assert bloom_lm.train(documents(spark, ROWS), broadcast=0).filter is None
+    sent, shuffled = run(spark, ROWS, ASKED, **options), run(spark, ROWS, ASKED, broadcast=0, **options)
+    assert [r[:4] for r in sent] == [r[:4] for r in shuffled] and len(sent) == len(ASKED)
+    for a, b in zip(sent, shuffled, strict=True):
+        assert a[4:] == pytest.approx(b[4:], rel=1e-9)
+    assert run(spark, [], [(1, "a b"), (2, None)], broadcast=-1) == [(1, 3, 0, 0, 0.0, 0.0), (2, 1, 0, 0, 0.0, 0.0)]
+
+
+@pytest.mark.parametrize("broadcast", [bloom_lm.BROADCAST, 0])
+def test_rare_ngrams_count_in_a_large_corpus(spark, broadcast):
+    many = spark.range(22).select(F.col("id").alias("doc_id"), F.expr("repeat('a b ', 500000)").alias("text"))
+    docs = many.union(spark.createDataFrame([(30, "seldom seen")], "doc_id long, text string"))
+    model = bloom_lm.train(docs, broadcast=broadcast)
+    assert model.least == 1
+    known, other = sorted(map(tuple, bloom_lm.score(spark.createDataFrame([(1, "seldom seen"), (2, "seen seldom")], "doc_id long, text string"), model).collect()))
+    assert known[2] == other[2] == 3 and known[5] > other[5] + 3
