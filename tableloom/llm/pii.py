@@ -1,8 +1,11 @@
 """Personal data: formats found by pattern, and the words near them that reveal them.
 
-A value found by pattern is a protected entity. How much a word tells about an entity is their pointwise mutual
-information over all documents, PMI(c; t) = log(N n(c,t) / (n(c) n(t))), as a share of all there is to know about the
-entity, log(N / n(c)). Words whose share reaches a threshold are sanitised wherever they stand near the entity.
+A value found by pattern is a protected entity, and so are the parts that it shares with others of its kind: an email's
+domain and name, an IP's first three numbers, a card's first six digits, a phone number without its last four. So values
+seen once are judged by those like them. How much a word tells about an entity is their pointwise mutual information
+over all documents, PMI(c; t) = log(N n(c,t) / (n(c) n(t))), as a share of all there is to know about the entity,
+log(N / n(c)). Words whose share reaches a threshold, and whose meeting with the entity is no chance, are sanitised
+wherever they stand in a document with the entity.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from math import log
 
 import pyarrow as pa
 import xxhash
@@ -20,9 +24,9 @@ from tableloom.llm.words import CACHE_WORDS, map_batches
 from tableloom.session import materialise
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW = 8  # words on either side of an entity that count as near
 DISCLOSURE = 0.8
-SUPPORT = 3  # documents with both word and entity, below which a share is chance
+SUPPORT = 1  # documents with both word and entity
+CHANCE = 0.01  # with which any pair at all may be taken that only meets by chance
 HELD = 300_000  # counts a task holds before it hands them on
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -91,8 +95,22 @@ def _hash(value: str) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(value.encode("utf-8", "surrogatepass")), "big", signed=True)
 
 
-def _near_words(text: str, spans: list[tuple[str, Span]]) -> Iterator[tuple[int, int, int, int]]:
-    """Entity, word, start and end of the ``WINDOW`` words before and after each entity, without those in an entity."""
+def _parts(kind: str, value: str) -> list[str]:
+    """The spelling of a value and of what it shares with others."""
+    if kind == "email":
+        name, _, domain = value.rpartition("@")
+        parts = [f"domain:{domain}", f"name:{name}"]
+    elif kind == "ip":
+        parts = [f"net:{value.rpartition('.')[0]}"]
+    elif kind == "card":
+        parts = [f"issuer:{value[:6]}"]
+    else:
+        parts = [f"area:{value[:-4]}"]
+    return [f"{kind}:{value}", *parts]
+
+
+def _free_words(text: str, spans: list[tuple[str, Span]]) -> Iterator[tuple[int, int, int]]:
+    """Word, start and end of all words that don't touch an entity."""
     starts: list[int] = []  # of the stretches that entities take up
     ends: list[int] = []
     for start, end, _ in (s for _, s in spans):
@@ -101,39 +119,42 @@ def _near_words(text: str, spans: list[tuple[str, Span]]) -> Iterator[tuple[int,
         else:
             starts.append(start)
             ends.append(end)
-
-    def free(match: re.Match) -> bool:
+    for match in _WORD.finditer(text):
         at = bisect_left(starts, match.end()) - 1  # the last stretch that starts before the word ends
-        return at < 0 or ends[at] <= match.start()
-
-    for kind, (start, end, value) in spans:
-        entity = _hash(f"{kind}:{value}")
-        around = []
-        reach = 64
-        while True:  # a piece of text that surely holds enough words
-            before = list(_WORD.finditer(text, max(0, start - reach), start))
-            if len(before) > WINDOW or reach >= start:
-                break
-            reach *= 4
-        around += before[-WINDOW:]
-        for n, match in enumerate(_WORD.finditer(text, end)):
-            if n == WINDOW:
-                break
-            around.append(match)
-        for match in around:
-            if len(match[0]) > 1 and free(match):
-                yield entity, _hash(match[0].lower()), match.start(), match.end()
+        if len(match[0]) > 1 and (at < 0 or ends[at] <= match.start()):
+            yield _hash(match[0].lower()), match.start(), match.end()
 
 
 def _describe(batches: Iterator[dict]) -> Iterator[dict]:
     for batch in batches:
-        spans, near = [], []
+        spans, entities, words = [], [], []
         for x in batch["text"]:
             text = x.as_py() or ""
             found = base_spans(text)
-            spans.append([{"kind": k, "start": s[0], "end": s[1], "entity": _hash(f"{k}:{s[2]}")} for k, s in found])
-            near.append([{"entity": e, "term": t, "start": a, "end": b} for e, t, a, b in _near_words(text, found)])
-        yield {c: batch[c] for c in ("row", "doc_id", "copy")} | {"spans": spans, "near": near}
+            spans.append([{"kind": k, "start": s[0], "end": s[1]} for k, s in found])
+            entities.append(list({_hash(part) for k, s in found for part in _parts(k, s[2])}))
+            words.append([{"term": t, "start": a, "end": b} for t, a, b in _free_words(text, found)] if found else [])
+        yield {c: batch[c] for c in ("row", "doc_id", "copy")} | {"spans": spans, "entities": entities, "words": words}
+
+
+def _pair_counts(batches: Iterator[dict]) -> Iterator[dict]:
+    """In how many of the task's documents entity and word meet, handed on whenever many are held."""
+    counts: dict[tuple[int, int], int] = {}
+
+    def hand_on() -> dict:
+        made = {"entity": [e for e, _ in counts], "term": [t for _, t in counts], "n": list(counts.values())}
+        counts.clear()
+        return made
+
+    for batch in batches:
+        for entities, terms in zip(batch["entities"], batch["terms"], strict=True):
+            found = terms.as_py()
+            for entity in entities.as_py():
+                for term in found:
+                    counts[entity, term] = counts.get((entity, term), 0) + 1
+                if len(counts) >= HELD:
+                    yield hand_on()
+    yield hand_on()
 
 
 def _term_counts(batches: Iterator[dict]) -> Iterator[dict]:
@@ -166,20 +187,36 @@ def _term_counts(batches: Iterator[dict]) -> Iterator[dict]:
 
 
 def disclosures(described: DataFrame, texts: DataFrame, threshold: float, support: int) -> DataFrame:
-    """``entity, term, share``: the pairs whose words reveal at least ``threshold`` of the entity's information."""
-    total = described.count()
-    near = described.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
+    """``entity, term, share``: the pairs whose words reveal at least ``threshold`` of the entity's information.
+
+    The chance that so many of the rarer one's documents hold the other is at most exp(-n D(k / n, q)), D the relative
+    entropy and q the other's share of documents; times the number of meetings in all documents it must stay below
+    ``CHANCE``. A single meeting has a chance of at least 1 / N, so where that is too much entities of one document
+    aren't paired.
+    """
+    terms_of = F.array_distinct("words.term")
+    meetings = F.sum(F.size("entities").cast("double") * F.size(terms_of))
+    total, tests = described.agg(F.count(F.lit(1)), F.coalesce(meetings, F.lit(0.0))).first()
+    fewest = max(support, 1 if tests <= CHANCE * total else 2)
+    linked = described.select("row", F.explode("entities").alias("entity"))
+    values = materialise(linked.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")), "entities")
+    asked = linked.join(values.filter(F.col("with_entity") >= fewest), "entity").groupBy("row").agg(F.collect_list("entity").alias("entities"))
+    met = described.filter(F.size("words") > 0).select("row", terms_of.alias("terms")).join(asked, "row")
+    pairs = map_batches(met.select("entities", "terms"), _pair_counts, "entity long, term long, n long")
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both")).filter(F.col("both") >= fewest)
     pairs = materialise(pairs, "pairs")
-    values = described.select("row", F.explode("spans").alias("x")).select("row", "x.entity").distinct()
-    values = materialise(values.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")), "entities")
     terms = map_batches(texts.select("text"), _term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
     asked = pairs.select("term").distinct()
     terms = materialise(terms.join(asked, "term", "left_semi"), "terms")
-    known = pairs.join(values, "entity").join(terms, "term").filter(F.col("with_entity") < total)
+    known = pairs.join(values, "entity").join(terms, "term").filter((F.col("with_entity") < total) & (F.col("with_term") < total))
     information = F.log(F.lit(float(total)) / F.col("with_entity"))
     shared = F.log(F.lit(float(total)) * F.col("both") / (F.col("with_entity") * F.col("with_term")))
-    return known.select("entity", "term", (shared / information).alias("share")).filter(F.col("share") >= threshold)
+    share = F.when(F.col("with_entity") < total, shared / information)
+    n, k = F.least("with_entity", "with_term"), F.col("both")
+    q = F.greatest("with_entity", "with_term") / F.lit(float(total))
+    without = F.when((k < n) & (q < 1), (n - k) * F.log((n - k) / (n * (1 - q)))).otherwise(0.0)
+    sure = (shared > 0) & (k * F.log(k / (n * q)) + without >= log(max(tests, 1.0) / CHANCE))
+    return known.filter(sure).select("entity", "term", share.alias("share")).filter(F.col("share") >= threshold)
 
 
 def find_personal_data(
@@ -187,30 +224,32 @@ def find_personal_data(
 ) -> DataFrame:
     """``doc_id, copy, spans``: an array of (kind, start, end) in code points, by start, then kind, for every row.
 
-    Kinds are email, ip, card and phone by pattern, and ``term`` for words that reveal such a value nearby. Whole texts are
+    Kinds are email, ip, card and phone by pattern, and ``term`` for words that reveal such a value in the same text. Whole texts are
     searched; NULL and empty texts have no spans. Documents are counted by row, repeated rows and copies included.
     ``copy`` is a hash of the text. Other columns are ignored.
 
-    Plan: one pass finds the values and the words around them and is written as a narrow table, from which pairs and
-    values are counted; a second counts documents per word, combined in each task. The pairs over the threshold meet
-    the narrow table again in a join on entity and word that can be split where a pair is hot. Texts never shuffle.
+    Plan: one pass finds the values and, in documents with any, the places of all words as hashes, from which pairs and
+    values are counted; a second counts documents per word. Both counts are combined in each task. Of each document
+    the entities and words of any pair over the threshold meet again, and then the pairs. Texts never shuffle.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("copy"), "text"
     )
     id_type = docs.schema[doc_id].dataType.simpleString()
-    span = "array<struct<kind:string,start:int,end:int,entity:bigint>>"
-    near = "array<struct<entity:bigint,term:bigint,start:int,end:int>>"
-    described = map_batches(rows, _describe, f"row long, doc_id {id_type}, copy long, spans {span}, near {near}")
-    described = materialise(described, "described")
+    span = "array<struct<kind:string,start:int,end:int>>"
+    words = "array<struct<term:bigint,start:int,end:int>>"
+    schema = f"row long, doc_id {id_type}, copy long, spans {span}, entities array<bigint>, words {words}"
+    described = materialise(map_batches(rows, _describe, schema), "described")
     revealing = materialise(disclosures(described, rows, threshold, support), "disclosures")
-    found = described.select("row", F.explode("near").alias("x")).select("row", "x.*")
+    held = described.select("row", F.explode("entities").alias("entity"))
+    held = held.join(revealing.select("entity").distinct(), "entity", "left_semi")
+    found = described.select("row", F.explode("words").alias("x")).select("row", "x.*")
+    found = found.join(revealing.select("term").distinct(), "term", "left_semi").join(held, "row")
     found = found.join(revealing.select("entity", "term"), ["entity", "term"])
     one = F.struct(F.lit("term").alias("kind"), F.col("start"), F.col("end"))
     added = found.groupBy("row").agg(F.collect_set(one).alias("added"))
-    joined = described.drop("near").join(added, "row", "left")
-    base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    both = F.concat(base, F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
+    joined = described.drop("entities", "words").join(added, "row", "left")
+    both = F.concat("spans", F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
     keyed = F.transform(both, lambda s: F.struct(s["start"].alias("start"), _rank(s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     ordered = F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return joined.select("doc_id", "copy", ordered.alias("spans"))

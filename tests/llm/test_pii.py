@@ -97,3 +97,21 @@ def test_sanitised_texts(spark):
 
 def test_no_rows(spark):
     assert pii.find_personal_data(documents(spark, [])).collect() == []
+
+
+def terms(spark, rows):
+    texts, found = dict(rows), pii.find_personal_data(documents(spark, rows)).collect()
+    return {r.doc_id: {texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "term"} for r in found}
+
+
+def test_values_seen_once_or_twice(spark):
+    rows = [(i, f"plain text number {i} about the weather and more") for i in range(2000)]
+    far = "and the weather " * 20
+    # every address stands in one document; they share a domain
+    rows += [(3000 + i, f"Zorblax {far} person{i}@corp.example the weather") for i in range(6)]
+    rows += [(4000 + i, f"Quimby {far} 10.1.2.3 the weather") for i in range(2)]
+    rows += [(5000, "Hapax the weather 10.7.7.7 about")]
+    found = terms(spark, rows)
+    assert all(found[3000 + i] == {"Zorblax"} for i in range(6))
+    assert all(found[4000 + i] == {"Quimby"} for i in range(2))
+    assert not any(words for doc, words in found.items() if doc < 3000 or doc == 5000)
