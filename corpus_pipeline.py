@@ -25,8 +25,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    judged = near_dup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    """Of each group of near duplicates, from a similarity of 0.8, the document with the smallest id stays."""
+    judged = near_dup.near_duplicates(docs, percent=80).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.select(*COLUMNS).join(judged, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 

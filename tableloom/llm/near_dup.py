@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import cache
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +18,25 @@ from tableloom.llm.words import WordHashes, lower_words, map_batches, mix
 from tableloom.session import materialise
 
 WIDTH = 5  # words of a shingle
-BANDS, BAND_ROWS = 24, 5  # at a similarity of 0.85 all bands miss a pair once in a million
-HASHES = BANDS * BAND_ROWS
+BAND_ROWS = 5
 BATCH = 24  # signature values compared between two looks at the posterior
-MISS = 1e-6  # posterior probability of losing a pair at each look
+MISS = 1e-6  # probability of losing a pair at the threshold by its bands, and the posterior one at each look
 BLOCK_SHINGLES = 1 << 20  # shingles of a block of nodes
 PAIRS_PER_BLOCK = 4096
 CHUNK = 512  # shingles hashed at a time
 
 
+def bands(percent: int) -> int:
+    """So many that a pair of this similarity shares none with a chance of at most ``MISS``: 24 at 85, 35 at 80."""
+    return 1 if percent >= 100 else ceil(log(MISS) / log(1 - (percent / 100) ** BAND_ROWS))
+
+
+HASHES = bands(85) * BAND_ROWS
+
+
 @cache
-def _families() -> tuple[np.ndarray, np.ndarray]:
-    drawn = np.random.Generator(np.random.PCG64(2024)).integers(0, 1 << 63, (2, HASHES), dtype=np.uint64)
+def _families(size: int) -> tuple[np.ndarray, np.ndarray]:
+    drawn = np.random.Generator(np.random.PCG64(2024)).integers(0, 1 << 63, (2, size), dtype=np.uint64)
     return drawn[0] * np.uint64(2) + np.uint64(1), drawn[1]
 
 
@@ -46,11 +53,11 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(code)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
+def signature(found: np.ndarray, size: int = HASHES) -> np.ndarray:
     """MinHash values, 32 bits each."""
-    factor, shift = _families()
+    factor, shift = _families(size)
     short = found >> np.uint64(32)
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(size, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(short), CHUNK):
         np.minimum(least, (short[start : start + CHUNK, None] * factor + shift).min(axis=0), out=least)
     return (least >> np.uint64(32)).astype(np.uint32)
@@ -64,7 +71,7 @@ def least_matches(percent: int, miss: float = MISS) -> tuple[int, ...]:
     probability that it reaches t is that of at most m successes in n + 1 draws of chance t.
     """
     t, out = percent / 100, []
-    for n in range(BATCH, HASHES + 1, BATCH):
+    for n in range(BATCH, bands(percent) * BAND_ROWS + 1, BATCH):
         chance, m = 0.0, -1
         while chance < miss:
             m += 1
@@ -86,10 +93,10 @@ def _likely(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), HASHES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.uint32)
 
 
-def _describe(batches: Iterator[dict]) -> Iterator[dict]:
+def _describe(batches: Iterator[dict], size: int) -> Iterator[dict]:
     hashes = WordHashes()
     for batch in batches:
         sizes, digests, signatures = [], [], []
@@ -97,7 +104,7 @@ def _describe(batches: Iterator[dict]) -> Iterator[dict]:
             found = shingles(x.as_py(), hashes)
             sizes.append(len(found))
             digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-            signatures.append(signature(found).tobytes() if len(found) else None)
+            signatures.append(signature(found, size).tobytes() if len(found) else None)
         yield {
             "doc_id": batch["doc_id"],
             "copy": batch["copy"],
@@ -203,7 +210,7 @@ def _link_across(members: DataFrame, percent: int) -> DataFrame:
             return
         band, one_block = rows[0][3] * BAND_ROWS, rows[0][1] == rows[0][2]
         own, node, label, n = (np.array([r[k] for r in rows]) for k in (4, 5, 6, 7))
-        sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint32).reshape(-1, HASHES)
+        sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint32).reshape(len(rows), -1)
         sets = [np.frombuffer(r[9], np.uint64) for r in rows]
         for at in range(len(rows) - 1):
             rest = slice(at + 1, None)
@@ -215,7 +222,7 @@ def _link_across(members: DataFrame, percent: int) -> DataFrame:
                 earlier = (sig[found, :band] == sig[at, :band]).reshape(len(found), -1, BAND_ROWS)
                 found = found[~earlier.all(axis=2).any(axis=1)]
             if len(found):
-                found = found[_likely(sig[found], np.broadcast_to(sig[at], (len(found), HASHES)), percent)]
+                found = found[_likely(sig[found], np.broadcast_to(sig[at], (len(found), sig.shape[1])), percent)]
             for other in found:
                 if label[other] != label[at] and _same(sets[at], sets[other], percent):
                     yield int(node[at]), int(node[other])
@@ -260,14 +267,15 @@ def near_duplicates(
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("copy", F.xxhash64("text"))
     id_type = docs.schema[doc_id].dataType.simpleString()
-    described = map_batches(rows, _describe, f"doc_id {id_type}, copy long, n long, digest binary, sig binary")
+    size = bands(percent) * BAND_ROWS
+    described = map_batches(rows, lambda batches: _describe(batches, size), f"doc_id {id_type}, copy long, n long, digest binary, sig binary")
     described = materialise(described, "described")
     alike = Window.partitionBy("digest").orderBy("doc_id", "copy")
     usable = described.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     nodes = usable.withColumn("rank", F.row_number().over(alike)).filter(F.col("rank") == 1).drop("rank")
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keys = [
-        F.xxhash64(F.lit(b), F.substring("sig", b * BAND_ROWS * 4 + 1, BAND_ROWS * 4)) for b in range(BANDS)
+        F.xxhash64(F.lit(b), F.substring("sig", b * BAND_ROWS * 4 + 1, BAND_ROWS * 4)) for b in range(bands(percent))
     ]
     banded = nodes.select("node", "n", F.posexplode(F.array(*keys)).alias("band", "key"))
     total = F.sum("n").alias("total")

@@ -69,3 +69,18 @@ def test_decoding_gives_the_mixed_texts_back(spark):
     model = sentence_piece.read_model(corpus_pipeline.MODEL_PATH)
     coded = sentence_piece.encode(docs, model)
     assert {r.doc_id: r.text for r in sentence_piece.decode(coded, model).collect()} == {r[0]: r[1] for r in corpus()[:20]}
+
+
+def test_pairs_between_80_and_85_are_near_duplicates(spark):
+    drawn, rows = random.Random(5), []
+    for i in range(0, 40, 2):
+        words = [f"w{drawn.randrange(10**6)}" for _ in range(204)]
+        rows.append((i, " ".join(words)))
+        for k in (30, 80, 130, 180):  # 200 shingles, 180 of them in both: 180 / 220
+            words[k] = "other"
+        rows.append((i + 1, " ".join(words)))
+    for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True):
+        x, y = test_near_dup.sets(a), test_near_dup.sets(b)
+        assert 0.80 < len(x & y) / len(x | y) < 0.85
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
