@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import bloom_lm, hamming, lang_id, line_dedup, mixing, near_dup, pii, sentence_piece, url_filter, vp_tree
+from tableloom.llm import bloom_lm, hamming, lang_id, line_dedup, mixing, near_dup, ngram_join, pii, sentence_piece, url_filter, vp_tree
 
 RULES = (
     url_filter.Rule("block", "net", "/"),
@@ -91,15 +91,38 @@ def op10_sentence_piece(spark: SparkSession, sf_dir: str, model_path: str = MODE
     return sentence_piece.encode(_load(spark, sf_dir, "documents"), sentence_piece.read_model(model_path))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(_load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_line_dedup, op3_mixing, op4_personal_data, op5_near_duplicates, op6_lm_scores, op7_hamming_search, op8_vector_search, op9_url_filter, op10_sentence_piece)
+    for f in (op1_language_id, op2_line_dedup, op3_mixing, op4_personal_data, op5_near_duplicates, op6_lm_scores, op7_hamming_search, op8_vector_search, op9_url_filter, op10_sentence_piece, op11_ngram_join)
 }
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op11_ngram_join": rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS shingle
+  FROM words
+), sizes AS (
+  SELECT doc_id, count(*)::BIGINT AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * common >= 85 * (s.n + t.n - common)
+), reached AS (
+  SELECT doc_id AS start, doc_id AS y FROM documents UNION SELECT r.start, l.y FROM reached r JOIN links l ON l.x = r.y
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, (SELECT min(y) FROM reached WHERE start = d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id""",
     "op2_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, pos, line, {_LOWER.format(f"trim(line, {_WHITE})")} AS key
