@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import bloom_lm, hamming, lang_id, line_dedup, mixing, near_dup, ngram_join, pii, sentence_piece, url_filter, vp_tree
+from tableloom.llm import bloom_lm, hamming, lang_id, line_dedup, mixing, near_dup, ngram_join, nra_search, pii, sentence_piece, url_filter, vp_tree
 
 RULES = (
     url_filter.Rule("block", "net", "/"),
@@ -95,15 +95,38 @@ def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(_load(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nra_search.search(_load(spark, sf_dir, "documents"), _load(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_line_dedup, op3_mixing, op4_personal_data, op5_near_duplicates, op6_lm_scores, op7_hamming_search, op8_vector_search, op9_url_filter, op10_sentence_piece, op11_ngram_join)
+    for f in (op1_language_id, op2_line_dedup, op3_mixing, op4_personal_data, op5_near_duplicates, op6_lm_scores, op7_hamming_search, op8_vector_search, op9_url_filter, op10_sentence_piece, op11_ngram_join, op12_lexical_search)
 }
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op12_lexical_search": rf"""
+WITH found AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}') AS t FROM documents
+), whole AS (
+  SELECT count(*)::BIGINT AS docs, sum(len(t))::BIGINT AS length FROM found WHERE len(t) > 0
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}')) AS term FROM benchmark
+), postings AS (
+  SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM found)
+  WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, n, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM postings, whole GROUP BY term, docs
+), scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length))))::BIGINT AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term), whole GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50""",
     "op11_ngram_join": rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents

@@ -22,7 +22,7 @@ def test_matches_sql(spark, con, name):
     assert "CartesianProduct" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_thirteen_and_the_pipeline_are_registered():
     names = entry_module.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names
