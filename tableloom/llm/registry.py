@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import bloom_lm, hamming, lang_id, line_dedup, mixing, near_dup, ngram_join, nra_search, pii, sentence_piece, url_filter, vp_tree
+from tableloom.llm import bloom_lm, conversations, hamming, lang_id, line_dedup, mixing, near_dup, ngram_join, nra_search, pii, sentence_piece, url_filter, vp_tree
 
 RULES = (
     url_filter.Rule("block", "net", "/"),
@@ -99,16 +99,92 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nra_search.search(_load(spark, sf_dir, "documents"), _load(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _load(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), rows)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_line_dedup, op3_mixing, op4_personal_data, op5_near_duplicates, op6_lm_scores, op7_hamming_search, op8_vector_search, op9_url_filter, op10_sentence_piece, op11_ngram_join, op12_lexical_search)
+    for f in (op1_language_id, op2_line_dedup, op3_mixing, op4_personal_data, op5_near_duplicates, op6_lm_scores, op7_hamming_search, op8_vector_search, op9_url_filter, op10_sentence_piece, op11_ngram_join, op12_lexical_search, op13_conversation_repair)
 }
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _edited(state: str, cost: str, letter: str, line: str) -> str:
+    """A state's struct after one more edit, in SQL."""
+    return f"{{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{letter}', 'lines': {state}.lines || {line}}}"
+
+
+def _inserted(of: str) -> str:
+    """The structs s0 to s3 of ``of`` after any inserts, in SQL: f2 and f3 are the least ways to the states 2 and 3."""
+    two = ", ".join(_edited(f"{of}.s{q}", "2", "I", "['user:']") for q in (0, 1, 3))
+    f2 = f"list_min([{of}.s2, {two}])"
+    return f"SELECT *, list_min([s3, {_edited('f2', '2', 'I', "['assistant:']")}]) AS f3 FROM (SELECT *, {f2} AS f2 FROM {of})"
+
+
+def _repair_step() -> str:
+    """One row's edits on the structs of all states, in SQL."""
+    states = ("s0", "s1", "f2", "f3")
+    stays = {"s0": [], "s1": [], "f2": [], "f3": []}
+    for state, initial, to in (("s0", "s", "s1"), ("s0", "u", "f2"), ("s1", "u", "f2"), ("f2", "a", "f3"), ("f3", "u", "f2")):
+        price = f"(CASE WHEN fault < 2 AND left(role, 1) = '{initial}' THEN fault ELSE 1000000000 END)"
+        stays[to].append(_edited(state, price, "K", "[role || ':' || text]"))
+    for state, role, to in (("s0", "user", "f2"), ("s1", "user", "f2"), ("f2", "assistant", "f3"), ("f3", "user", "f2")):
+        price = "(CASE WHEN fault < 2 THEN 2 + fault ELSE 1000000000 END)"
+        stays[to].append(_edited(state, price, "R", f"['{role}:' || text]"))
+    return ", ".join(f"list_min([{', '.join([_edited(s, '3', 'D', '[]'), *stays[s]])}]) AS s{q}" for q, s in enumerate(states))
+
+
+_FAR_STATE = "{'cost': 1000000000::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}"
 ORACLES = {
+    "op13_conversation_repair": rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM range(256) t(i))
+), drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations
+), planted AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda x: ascii(x)::BIGINT)),
+                            lambda c, b: xor(crc[1 + xor(c & 255, b)], c >> 8)), 4294967295) % 20 AS fate FROM drawn, crc
+), rows AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS time
+  FROM planted WHERE fate <> 0
+), seen AS (
+  SELECT *, right(rtrim(text, {_WHITE}), 1) AS ending,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM rows
+), faults AS (
+  SELECT *, CASE WHEN ending = '' THEN 3 WHEN pos > min(pos) OVER (PARTITION BY conv_id, role, text) THEN 2
+                 WHEN ending NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS pair
+  FROM seen
+), states AS (
+  SELECT DISTINCT conv_id, 1::BIGINT AS pos, {{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}} AS s0, {_FAR_STATE} AS s1,
+         {_FAR_STATE} AS s2, {_FAR_STATE} AS s3 FROM faults
+  UNION ALL
+  SELECT conv_id, pos + 1, {_repair_step()}
+  FROM ({_inserted("states")}) JOIN faults USING (conv_id, pos)
+), ended AS (
+  SELECT conv_id, list_min([s0, f3]) AS best FROM ({_inserted("states")}) AS ended
+  WHERE pos = (SELECT 1 + max(f.pos) FROM faults f WHERE f.conv_id = ended.conv_id)
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 3) AS blank,
+         count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counts USING (conv_id) LEFT JOIN ended USING (conv_id)""",
     "op12_lexical_search": rf"""
 WITH found AS (
   SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}') AS t FROM documents
