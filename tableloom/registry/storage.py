@@ -42,10 +42,10 @@ _NOTES = """SELECT o_orderkey AS id, 'line "one" of ' || o_orderkey || chr(10) |
 
 @query(_NOTES)
 def csv_line_breaks(spark, sf):
-    """Values with quotes, separators and line breaks survive an export and an import."""
+    """Values with quotes, separators and line breaks survive an export to one file and an import by many tasks."""
     note = F.concat(F.lit('line "one" of '), F.col("o_orderkey").cast("string"), F.lit("\nsecond; line, "), "o_orderpriority")
     rows = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), note.alias("note"), F.col("o_totalprice").alias("price"))
-    return import_csv(spark, export(rows, new_work_path(spark, "notes"), "notes", "1", "csv"))
+    return import_csv(spark, export(rows.coalesce(1), new_work_path(spark, "notes"), "notes", "1", "csv"))
 
 
 @query("SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance FROM supplier")
@@ -58,6 +58,23 @@ def csv_swapped_columns(spark, sf):
     return import_csv(spark, f"{path}/*")
 
 
+@query(
+    """SELECT o_orderkey AS id, 'a "quoted"' || chr(13) || chr(10) || 'note; of ' || o_orderkey AS note FROM orders
+    ORDER BY o_orderkey // (SELECT 1 + max(o_orderkey) // 7 FROM orders), o_orderkey LIMIT 1000"""
+)
+def csv_first_rows(spark, sf):
+    """A cap over several files keeps the first files' rows, by name and then by line, line breaks in values or not."""
+    orders = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    part = F.expr("id div (1 + bigint(top) div 7)")
+    note = F.concat(F.lit('a "quoted"\r\nnote; of '), F.col("id").cast("string"))
+    top = orders.agg(F.max("id").alias("top"))
+    rows = orders.withColumn("top", top.scalar()).select("id", note.alias("note"), part.alias("part"))
+    path = new_work_path(spark, "files")
+    ordered = rows.repartition("part").sortWithinPartitions("part", "id")
+    ordered.write.partitionBy("part").option("header", True).option("escape", '"').csv(path)
+    return import_csv(spark, f"{path}/*", max_rows=1000)
+
+
 @query("SELECT 700::BIGINT AS rows, 700::BIGINT AS known")
 def csv_max_rows(spark, sf):
     """A cap keeps that many rows of the files, whichever tasks hold them."""
@@ -120,6 +137,24 @@ def csv_listing(spark, sf):
     )
 
 
+# --- pages ---------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT o_orderkey, o_orderpriority, o_orderdate, true AS few_files FROM orders
+    ORDER BY o_orderpriority, o_orderkey LIMIT 100 OFFSET ((SELECT count(*) FROM orders) * 3 // 4 // 100 * 100)"""
+)
+def page_indexed(spark, sf):
+    """A deep page of a snapshot saved in page order: its index names the files to open."""
+    catalog = Catalog(spark, new_work_path(spark, "catalog"))
+    orders = load(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    order = ("o_orderpriority", "o_orderkey")
+    saved = catalog.save(orders, "orders", page_order=order)
+    total = catalog.get(saved)["row_count"]
+    page, _ = catalog.rows(saved, order, total * 3 // 4 // 100 + 1, 100)
+    return page.withColumn("few_files", F.lit(len(page.inputFiles()) <= 3))
+
+
 # --- catalog -------------------------------------------------------------------------------
 
 

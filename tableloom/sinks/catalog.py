@@ -23,11 +23,12 @@ from tableloom.operators.listing import describe, newest, page
 from tableloom.plans.generate import generate
 from tableloom.plans.spec import Request, check_table_name
 from tableloom.sinks.export import write_snapshot
+from tableloom.sinks.page_index import indexed_page, write_index, write_ordered
 from tableloom.sources.csv import import_csv, source_tag
 
 _DATASETS = (
     "dataset_id string, run_id bigint, name string, table_name string, columns_json string, row_count bigint, "
-    "homogeneity int, seed bigint, source string, created_at timestamp_ntz, changed_at timestamp_ntz, deleted boolean"
+    "homogeneity int, seed bigint, source string, created_at timestamp_ntz, changed_at timestamp_ntz, deleted boolean, page_order string"
 )
 _RUNS = (
     "run_id bigint, name string, template_name string, row_count bigint, homogeneity int, seed bigint, "
@@ -111,10 +112,16 @@ class Catalog:
         return self.spark.read.parquet(self._path(entry["table_name"]))
 
     def rows(self, dataset_id: str, order: Sequence[str], page_number: int = 1, per_page: int = 100) -> tuple[DataFrame, int]:
-        """One page of a dataset in a fixed order, and its total row count; no rows for an unknown id."""
+        """One page of a dataset in a fixed order, and its total row count; no rows for an unknown id.
+
+        A dataset saved in this order has an index: the page opens the files it lies in, however deep it is.
+        """
         entry = self.get(dataset_id)
         if entry is None:
             return self.spark.createDataFrame([], "none string"), 0
+        if entry["page_order"] and json.loads(entry["page_order"])[: len(order)] == list(order):
+            table = entry["table_name"]
+            return indexed_page(self.spark, self._path(table), self._index(table), page_number, per_page), entry["row_count"]
         return page(self.read(dataset_id), order, page_number, per_page), entry["row_count"]
 
     def columns(self, dataset_id: str) -> list[tuple[str, str]]:
@@ -124,15 +131,27 @@ class Catalog:
     def _path(self, table_name: str) -> str:
         return f"{self.root}/data/{check_table_name(table_name)}"
 
+    def _index(self, table_name: str) -> str:
+        return f"{self.root}/pages/{check_table_name(table_name)}"
+
     # --- changes ----------------------------------------------------------------------------
 
-    def save(self, df: DataFrame, name: str, run_id=None, homogeneity=None, seed=None, source=None) -> str:
-        """Write ``df`` as a new snapshot, then register it with the row count of what was written."""
+    def save(self, df: DataFrame, name: str, run_id=None, homogeneity=None, seed=None, source=None, page_order: Sequence[str] = ()) -> str:
+        """Write ``df`` as a new snapshot, then register it with the row count of what was written.
+
+        With ``page_order`` the snapshot is sorted by these columns and gets an index of its files for ``rows``.
+        """
         dataset_id = str(uuid.uuid4())
         table = check_table_name(f"dataset_{dataset_id}")
-        path = write_snapshot(df, self._path(table))
-        rows, now = self.spark.read.parquet(path).count(), _now()
-        entry = (dataset_id, run_id, name, table, json.dumps(df.columns), rows, homogeneity, seed, source, now, now, False)
+        path = self._path(table)
+        if page_order:
+            write_ordered(df, path, page_order)
+            rows = write_index(self.spark, path, self._index(table), page_order)
+        else:
+            write_snapshot(df, path)
+            rows = self.spark.read.parquet(path).count()
+        now, order = _now(), json.dumps(list(page_order)) if page_order else None
+        entry = (dataset_id, run_id, name, table, json.dumps(df.columns), rows, homogeneity, seed, source, now, now, False, order)
         self._append("datasets", _DATASETS, entry)
         return dataset_id
 
@@ -243,8 +262,9 @@ class Catalog:
         entry = self.get(dataset_id)
         if entry is None or not self._change(dataset_id, deleted=True):
             return False
-        target, files = self._files(self._path(entry["table_name"]))
-        files.delete(target, True)
+        for path in (self._path(entry["table_name"]), self._index(entry["table_name"])):
+            target, files = self._files(path)
+            files.delete(target, True)
         return True
 
     def _change(self, dataset_id: str, **change) -> bool:

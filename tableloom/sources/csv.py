@@ -5,14 +5,15 @@ from __future__ import annotations
 import csv
 import re
 import unicodedata
-from collections.abc import Collection
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableloom.sources.csv_records import read_records
 from tableloom.sources.reserved import RESERVED_WORDS, TYPE_FUNCTION_WORDS
 
 # Separators that are tried.
@@ -96,54 +97,80 @@ def normalize_names(names: list[str], keywords: Collection[str] = RESERVED_WORDS
 def import_csv(spark: SparkSession, path: str, max_rows: int | None = None, sep: str | None = None) -> DataFrame:
     """Read CSV files with a header line; rows with a wrong number of fields are skipped.
 
-    Quoted values may hold line breaks, so a file is read by one task and large data should come as many files. Files
-    whose headers hold the same names in another order are read by name; other names are an error. The separator is
-    found from all lines unless given, and types are settled over all rows, so a skipped row never widens a column.
-    With ``max_rows`` only that many rows are kept (in file order for a single file).
+    Large files are read by many tasks, also those whose quoted values hold line breaks (``csv_records``). Files whose
+    headers hold the same names in another order are read by name; other names are an error. The separator is found
+    from all lines unless given, and types are settled over all rows, so a skipped row never widens a column. With
+    ``max_rows`` only the first rows are kept, in the order of the files' names and then of their lines.
     """
     if max_rows is not None and max_rows <= 0:
         raise ValueError(f"invalid max_rows: {max_rows}")
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"))
     sep = sep or find_separator(lines)
-    reader = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True)
     groups = _headers(lines, sep)
     if not groups:
         raise ValueError(f"no header line in {path}")
-    first = next(iter(groups))
-    if any(set(header) != set(first) for header in groups):
-        raise ValueError(f"the files below {path} differ in their columns: {sorted(groups)}")
-    # all fields of a line are parsed, so a short line is noticed whatever columns are asked for
-    reader = reader.option("header", True).option("mode", "DROPMALFORMED").option("columnPruning", False)
-    parts = []
-    for header, files in groups.items():
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in header])
-        parts.append(reader.schema(schema).csv(path if len(groups) == 1 else files).select(*first))
+    first = groups[0].names
+    if any(set(g.names) != set(first) for g in groups):
+        raise ValueError(f"the files below {path} differ in their columns: {sorted(g.names for g in groups)}")
+    reader = spark.read.option("sep", sep).option("quote", '"').option("escape", '"')
+    parts = [_rows_of(spark, reader, g, path if len(groups) == 1 else g.files, sep).select(*first, *_PLACE) for g in groups]
     text = reduce(DataFrame.unionByName, parts)
     # types hold for all rows, so it does not matter which rows the cap keeps
-    typed = settle_types(text)
-    return typed if max_rows is None else _first_rows(typed, max_rows)
+    typed = settle_types(text, first)
+    return (typed if max_rows is None else _first_rows(typed, max_rows)).select(*first)
+
+
+_PLACE = ("#file", "#block", "#at")  # of a row: its file, where its split starts, its place in there; no header name has a #
+_PLAIN, _BROKEN, _RETURNS = range(3)  # lines are records; quoted values hold line breaks; lines end in a bare carriage return
+
+
+@dataclass(frozen=True)
+class _Group:
+    """Files with the same columns that are read alike."""
+
+    names: tuple[str, ...]
+    kind: int
+    files: list[str]
+
+
+def _rows_of(spark: SparkSession, reader: DataFrameReader, group: _Group, paths: str | list[str], sep: str) -> DataFrame:
+    """The files' rows as text, with ``_PLACE``."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in group.names])
+    if group.kind == _BROKEN:
+        options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1", "columnNameOfCorruptRecord": "#bad"}
+        records = read_records(spark, group.files, sep).where(F.trim("text") != "")
+        fields = F.from_csv("text", T.StructType([*schema, T.StructField("#bad", T.StringType())]).toDDL(), options)
+        rows = records.select(fields.alias("row"), *[F.col(c).alias(n) for c, n in zip(("file", "block", "at"), _PLACE, strict=True)])
+        return rows.where(F.col("row.#bad").isNull()).select("row.*", *[F.col(f"`{n}`") for n in _PLACE]).drop("#bad")
+    # all fields of a line are parsed, so a short line is noticed whatever columns are asked for
+    reader = reader.option("header", True).option("mode", "DROPMALFORMED").option("columnPruning", False)
+    rows = reader.option("multiLine", group.kind == _RETURNS).schema(schema).csv(paths)
+    places = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return rows.select("*", *[p.alias(n) for p, n in zip(places, _PLACE, strict=True)])
 
 
-def _headers(lines: DataFrame, sep: str) -> dict[tuple[str, ...], list[str]]:
-    """The files by their column names; a file's header is its first line."""
+def _headers(lines: DataFrame, sep: str) -> list[_Group]:
+    """The files by their column names and by how they are read; a file's header is its first line."""
     places = lines.select("file", "value", F.monotonically_increasing_id().alias("at"))
-    first = places.groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file, header in sorted(first.collect()):  # one row per file
-        names = next(csv.reader([header.removeprefix("\ufeff")], delimiter=sep), None)
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    first = places.groupBy("file").agg(F.min_by("value", "at").alias("header"), F.max(odd).alias("odd"))
+    groups: dict[tuple, list[str]] = {}
+    for file, header, broken in sorted(first.collect()):  # one row per file
+        header = header.removeprefix("\ufeff").removesuffix("\r")
+        kind = _RETURNS if "\r" in header else _BROKEN if broken else _PLAIN
+        names = next(csv.reader([header.partition("\r")[0]], delimiter=sep), None)
         if names:
-            groups.setdefault(tuple(normalize_names(names)), []).append(file)
-    return groups
+            groups.setdefault((tuple(normalize_names(names)), kind), []).append(file)
+    return [_Group(names, kind, files) for (names, kind), files in groups.items()]
 
 
 def _first_rows(df: DataFrame, n: int) -> DataFrame:
-    """``n`` rows, the first of every task in turn: tasks are counted, and all but one are kept whole or not at all."""
-    numbered = df.withColumn("_at", F.monotonically_increasing_id())
-    task, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = numbered.groupBy(task.alias("task")).count().orderBy("task").toLocalIterator()  # one row per task
-    for at, size in sizes:
+    """``n`` rows of the first files by name; of the last of these, the rows of its first lines."""
+    file, block, at = (F.col(f"`{c}`") for c in _PLACE)
+    for name, size in df.groupBy(file.alias("file")).count().orderBy("file").toLocalIterator():  # one row per file
         if n <= size:
-            return numbered.where((task < F.lit(at)) | ((task == F.lit(at)) & (place < F.lit(n)))).drop("_at")
+            part = df.where(file == F.lit(name)).orderBy(block, at).limit(n)
+            return df.where(file < F.lit(name)).unionByName(part)
         n -= size
     return df
 
@@ -159,18 +186,18 @@ def find_separator(lines: DataFrame) -> str:
     return SEPARATORS[best[0] if best else 0]
 
 
-def settle_types(text: DataFrame) -> DataFrame:
-    """Cast every text column to the first type that all its values fit.
+def settle_types(text: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Cast every text column of ``names`` to the first type that all its values fit; other columns stay.
 
     The first rows rule out most types for good; only the others are tried on all rows.
     """
-    possible = _fitting(text.limit(HEAD_ROWS), {c: _KINDS for c in text.columns}, blank_fits=True)
+    possible = _fitting(text.limit(HEAD_ROWS), {c: _KINDS for c in names}, blank_fits=True)
     left = _fitting(text, {c: kinds for c, kinds in possible.items() if kinds}, blank_fits=False)
     typed = []
-    for c in text.columns:
+    for c in names:
         kinds = left.get(c)
         typed.append(kinds[0].value(F.col(c)).cast(kinds[0].type).alias(c) if kinds else F.col(c))
-    return text.select(*typed)
+    return text.select(*typed, *[F.col(f"`{c}`") for c in text.columns if c not in names])
 
 
 def _fitting(text: DataFrame, tried: dict[str, list[_Kind]], blank_fits: bool) -> dict[str, list[_Kind]]:

@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime
 
 import pytest
@@ -8,8 +9,9 @@ from tableloom.functions.labels import symbol_list
 from tableloom.plans.generate import generate
 from tableloom.plans.message import message_template, sample_rows
 from tableloom.plans.spec import Constraint, DatasetSpec, Field, Request, check_column_name, check_table_name, dataset_specs_from_json, fields_from_json
-from tableloom.sources import builtin, html, templates, xsd
+from tableloom.sources import builtin, csv_records, html, templates, xsd
 from tableloom.sources.csv import import_csv, list_csv, normalize_names, source_tag
+from tableloom.sources.csv_records import ends_inside
 
 
 @pytest.fixture
@@ -102,6 +104,71 @@ def test_line_breaks_in_quotes(spark, write):
     assert [tuple(r) for r in import_csv(spark, path).collect()] == [(1, 'two\nlines; and "quotes"'), (2, "plain")]
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files of some kilobytes are read by many tasks."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def _quoted(values, drawn):
+    held = [str(v) for v in values]
+    return ",".join('"' + v.replace('"', '""') + '"' if any(c in v for c in '",\r\n') or drawn.random() < 0.2 else v for v in held)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_one_file_with_line_breaks_is_read_by_many_tasks(spark, tmp_path, small_splits, seed):
+    drawn = random.Random(seed)
+    end = drawn.choice(("\n", "\r\n"))
+    pool = ["plain", 'say ""', '"', "a,b", "two\nlines", "crlf\r\nin it", "\n\n", "x" * 400 + "\n" + "y" * 500, 'q"\n"q', ",\n,", "long " * 30]
+    rows = [(i, drawn.choice(pool), drawn.choice(pool)) for i in range(300)]
+    text = end.join(["id,left,right", *(_quoted(r, drawn) for r in rows)]) + end * drawn.randrange(3)
+    path = tmp_path / "broken.csv"
+    path.write_bytes(text.encode())
+    lines = spark.read.option("lineSep", "\n").text(str(path))
+    assert lines.rdd.getNumPartitions() > 5
+    assert sorted(map(tuple, import_csv(spark, str(path)).collect())) == rows
+    assert sorted(map(tuple, import_csv(spark, str(path), max_rows=137).collect())) == rows[:137]
+
+
+def test_splits_that_are_too_many_to_send(spark, tmp_path, small_splits, no_broadcast, monkeypatch):
+    monkeypatch.setattr(csv_records, "fits_broadcast", lambda df: False)
+    rows = [(i, f"a {i}\n" * (i % 40)) for i in range(150)]
+    path = tmp_path / "many.csv"
+    path.write_text("id,note\n" + "".join(f'{i},"{x}"\n' for i, x in rows))
+    assert sorted((r.id, r.note or "") for r in import_csv(spark, str(path)).collect()) == rows
+
+
+def test_values_longer_than_splits_and_files_read_in_different_ways(spark, write, tmp_path, small_splits):
+    long = "\n".join(f'line {i} with a "quote"' for i in range(400))
+    write("k/a.csv", "id,note\n1,x\n2,y\n")
+    quoted = '"' + long.replace('"', '""') + '"'
+    write("k/b.csv", f"note,id\n{quoted},3\n\nshort\n{quoted},4\nlast,5")
+    (tmp_path / "k/c.csv").write_bytes(b"id,note\r6,mac\r7,old\r")
+    found = sorted(map(tuple, import_csv(spark, str(tmp_path / "k")).collect()))
+    assert found == [(1, "x"), (2, "y"), (3, long), (4, long), (5, "last"), (6, "mac"), (7, "old")]
+    assert sorted(map(tuple, import_csv(spark, str(tmp_path / "k"), max_rows=4).collect())) == found[:4]
+
+
+def test_a_quote_that_never_closes_takes_the_rest(spark, write):
+    path = write("open.csv", 'id,note\n1,"a\nb"\n2,"open\nto the\nend')
+    assert [tuple(r) for r in import_csv(spark, path).collect()][0] == (1, "a\nb")
+
+
+@pytest.mark.parametrize(
+    "line, outside, inside",
+    [
+        ("plain", False, True), ("", False, True), ('1,"open', True, False), ('"', True, False), ('end"', False, False), ('a,"b",c', False, False),
+        ('x ""two"" y', False, True), ('1,"a ""b"" c', True, False), ('5" pipe', False, False), (',"', True, False), ('"",""', False, True),
+    ],
+)
+def test_state_behind_a_line(line, outside, inside):
+    assert (ends_inside(line, False, ","), ends_inside(line, True, ",")) == (outside, inside)
+
+
 def test_files_meet_by_name(spark, write, tmp_path):
     write("m/a.csv", "id,note\n1,x\n")
     write("m/b.csv", "Note,ID\ny,2\n")

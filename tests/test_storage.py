@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tableloom import session
 from tableloom.operators.transform import Aggregation, OrderBy
 from tableloom.plans.spec import Constraint, DatasetSpec, Field, Request, SharedKey
+from tableloom.sinks import page_index
 from tableloom.sinks.catalog import Catalog
 from tableloom.sinks.export import export, friendly_name, write_snapshot
 
@@ -161,3 +162,57 @@ def test_everything_can_be_saved(spark, catalog, tmp_path):
     imported = catalog.import_csv(str(tmp_path / "f.csv"), "me", "set", "f.csv", max_rows=1)
     entry = catalog.get(imported)
     assert (entry["name"], entry["source"], entry["columns"], entry["row_count"]) == ("set/f.csv", "kaggle:me/set/f.csv", ["a_b", "c"], 1)
+
+
+# --- pages ---------------------------------------------------------------------------------
+
+
+@pytest.fixture
+def paged(spark, tmp_path):
+    """3000 rows in files of at most 70, half of them with one key, some without."""
+    k = F.when(F.col("id") % 2 == 0, F.lit(5)).when(F.col("id") % 31 == 0, F.lit(None)).otherwise(F.col("id") % 97)
+    rows = spark.range(3000).select(k.cast("int").alias("k"), "id", F.lit("x").alias("file"), F.lit(1).alias("start"))
+    path, index = str(tmp_path / "rows"), str(tmp_path / "index")
+    page_index.write_ordered(rows, path, ["k"], file_rows=70)
+    assert page_index.write_index(spark, path, index, ["k"]) == 3000
+    return rows, path, index
+
+
+def test_pages_follow_the_order_and_lose_no_row(spark, paged):
+    rows, path, index = paged
+    found = []
+    for number in range(1, 9):
+        found += page_index.indexed_page(spark, path, index, number, 400).collect()
+    assert len({r.id for r in found}) == len(found) == 3000 and found[0].asDict().keys() == {"k", "id", "file", "start"}
+    assert [r.k for r in found] == [r.k for r in rows.orderBy("k").collect()]
+    assert page_index.indexed_page(spark, path, index, 9, 400).collect() == []
+
+
+def test_a_deep_page_opens_few_files(spark, paged):
+    _, path, index = paged
+    files = spark.read.parquet(index).collect()
+    assert len(files) > 40 and max(f.rows for f in files) <= 70
+    page = page_index.indexed_page(spark, path, index, 140, 20)
+    assert len(page.inputFiles()) <= 3 and page.count() == 20
+    with pytest.raises(ValueError):
+        page_index.indexed_page(spark, path, index, 0, 20)
+
+
+def test_the_index_finds_the_page_of_a_key(spark, paged):
+    rows, _, index = paged
+    before = rows.where("k < 60 or k is null").count()
+    low, high = page_index.page_of(spark, index, [60], 100)
+    assert low <= 1 + before // 100 <= high <= low + 1
+    assert page_index.page_of(spark, index, [1000], 100) == (31, 31)
+
+
+def test_catalog_pages_use_the_index(spark, catalog):
+    rows = spark.range(500).select((F.col("id") * 7 % 500).alias("n"), F.col("id").cast("string").alias("s"))
+    saved = catalog.save(rows, "paged", page_order=["n"])
+    page, total = catalog.rows(saved, ["n"], 3, 50)
+    assert ([r.n for r in page.collect()], total) == (list(range(100, 150)), 500)
+    other, _ = catalog.rows(saved, ["s"], 1, 3)
+    assert [r.s for r in other.collect()] == ["0", "1", "10"]
+    assert catalog.rename(saved, "new name") and catalog.rows(saved, ["n"], 10, 50)[0].first().n == 450
+    assert catalog.rows(catalog.save(rows.limit(0), "none", page_order=["n"]), ["n"], 1, 5)[0].collect() == []
+    assert catalog.delete(saved) and not Path(catalog._index(f"dataset_{saved}")).exists()
