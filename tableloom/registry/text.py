@@ -132,6 +132,36 @@ def html_loose_anchors(spark, sf):
     return html.anchors(_loose_pages(spark, sf), "page_id", "html", "/message/")
 
 
+def _nested_pages(spark, sf) -> DataFrame:
+    """Tables inside cells: the outer row is a message itself, holds the inner cells, and its link stands below them."""
+    part = load(spark, sf, "part")
+    key = F.col("p_partkey").cast("string")
+    message = lambda area, c: F.concat(F.lit(f"{area}."), F.lpad(c, 3, "0"), F.lit(".001.02"))
+    inner = F.concat(
+        F.lit("<table><tr><td>"), message("camt", F.col("p_size").cast("string")), F.lit("<td>inner "), key,
+        F.lit("</td><td><div>Org <span>I</span></div></td></tr><tr><td>too<td>short</table>"),
+    )
+    link = F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("<p><a href='/message/"), key, F.lit("/download'>x</a>")))
+    page = F.concat(
+        F.lit("<div class=\"x business-area\"><p>Area: <a href='#'>"), "p_brand", F.lit("</a></div><table><tbody><tr><td>"),
+        message("pacs", F.col("p_size").cast("string")), F.lit("<td>"), "p_name", F.lit("<td>see"), inner, link, F.lit("</td></tr></table>"),
+    )
+    return part.select(F.col("p_partkey").alias("page_id"), page.alias("html"))
+
+
+@query(
+    """SELECT p_partkey AS page_id, position, area || '.' || lpad(p_size::VARCHAR, 3, '0') || '.001.02' AS message_id,
+      CASE WHEN position = 0 THEN p_name ELSE 'inner ' || p_partkey END AS message_name,
+      CASE WHEN position = 0 THEN 'seecamt.' || lpad(p_size::VARCHAR, 3, '0') || '.001.02inner ' || p_partkey || 'Org Itooshort' || CASE
+        WHEN p_partkey % 3 = 0 THEN '' ELSE 'x' END ELSE 'Org I' END AS submitting_org, p_brand AS business_area,
+      CASE WHEN position = 0 AND p_partkey % 3 <> 0 THEN '/message/' || p_partkey || '/download' END AS xsd_url
+    FROM part, (VALUES (0, 'pacs'), (1, 'camt')) r(position, area)"""
+)
+def html_nested_rows(spark, sf):
+    """Rows and cells follow the tree, also through tables inside cells."""
+    return html.listing_rows(_nested_pages(spark, sf), "page_id", "html")
+
+
 _DOMAINS = "(VALUES " + ", ".join(f"({text(i)}, {text(n)})" for i, n in builtin.DOMAINS) + ") d(id, name)"
 _MESSAGES = "(VALUES " + ", ".join(f"({text(i)}, {text(a)})" for i, _, a in builtin.MESSAGES) + ") m(message_id, area)"
 

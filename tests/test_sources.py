@@ -418,3 +418,45 @@ def test_identifiers():
 
 def test_symbol_list():
     assert symbol_list(" aapl, msft\n\ngoog,,") == ["AAPL", "MSFT", "GOOG"]
+
+
+# --- nested HTML ---------------------------------------------------------------------------
+
+
+def _rows(page):
+    listing = html.Listing(page)
+    return [(len(r.cells), listing.texts(r), r.download) for r in listing.rows], listing.area
+
+
+def test_rows_and_cells_follow_the_tree():
+    page = (
+        "<table><tr><td>1<td>2<table><tr><td>a</td><td>b<td>c</tr></table><td>3 <a href='/message/9/download'>x</a></tr>"
+        "<tr><th>h<td>only</table><div class='business-area'>B <a>Area &amp; more"
+    )
+    rows, area = _rows(page)
+    assert rows == [(6, ["1", "2abc", "a"], "/message/9/download"), (3, ["a", "b", "c"], None), (1, ["only"], None)]
+    assert area == "Area & more"
+
+
+def test_end_tags_close_nothing_around_their_table():
+    rows, _ = _rows("<table><tr><td>1<table><tr><td>a</td></td></tr></tr></div></table>still one<td>2<td>3</table>after<td>loose")
+    assert [r[:2] for r in rows] == [(4, ["1astill one", "a", "2"]), (1, ["a"])]
+
+
+def test_sections_nest_like_divs():
+    page = (
+        "<div class='views-row'><div><span class='views-field'>1</span></div><span class='views-field'>2<span>b</span></span>"
+        "<div class='views-row'><span class='views-field'>i</span></div></div><span class='views-field'>outside</span>"
+    )
+    assert [r[:2] for r in _rows(page)[0]] == [(3, ["1", "2b", "i"]), (1, ["i"])]
+
+
+@pytest.mark.parametrize("page", ["", "<", "<td>", "</table></tr>", "<!--", "<table><tr><td>" * 300, "<script>" + "<td>" * 9, "a < b <tr", "<a href='x'>" * 50])
+def test_broken_pages_are_walked(page):
+    _rows(page), list(html.links_of(page))
+
+
+def test_depth_of_nesting_has_no_limit():
+    deep = "<table><tr><td>x" * 500 + "</table>" * 500
+    rows, _ = _rows(deep)
+    assert [r[0] for r in rows] == list(range(500, 0, -1)) and rows[-1][1] == ["x"]
