@@ -1,15 +1,17 @@
 """Formulas and conditions, compiled once on the driver to plain columns.
 
-A formula is template text: ``{{ field | filter }}`` places and ``{% if %}`` blocks over the fields
-before it. Where a row would make the template fail (arithmetic on NULL, division by zero), the row
-gets the formula's own text.
+A formula is template text: ``{{ field | filter }}`` places and ``{% if %}``, ``{% for %}``, ``{% set %}`` and
+``{% macro %}`` blocks over the fields before it. A loop becomes a higher-order function over an array, a namespace
+its accumulator, an assignment a column bound to a name. Where a row would make the template fail (arithmetic on NULL,
+division by zero), the row gets the formula's own text.
 """
 
 from __future__ import annotations
 
 import operator
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,7 +25,7 @@ from tableloom.functions.rounding import round_half_even
 _PART = re.compile(r"(\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\})", re.S)
 _TOKEN = re.compile(
     r"\s*(?:(?P<number>\d+\.\d+|\d+)|(?P<text>'[^']*'|\"[^\"]*\")|(?P<name>[A-Za-z_]\w*)"
-    r"|(?P<op>\*\*|//|==|!=|<=|>=|[-+*/%~|(),<>.:\[\]]))"
+    r"|(?P<op>\*\*|//|==|!=|<=|>=|[-+*/%~|(),<>.:=\[\]]))"
 )
 _WORDS = ("if", "else", "and", "or", "not", "is", "in")
 _CONDITION = re.compile(r"^\s*(\w+)\s*(>=|<=|!=|==|>|<)\s*(.+)\s*$")
@@ -36,6 +38,7 @@ _COMPARE = {
     "!=": operator.ne,
 }
 _NUMBERS = ("bigint", "double")
+_SQL_KINDS = {"undefined": "string", "null": "string"}
 
 
 class FormulaError(ValueError):
@@ -52,6 +55,18 @@ class _Value:
 
 
 _UNDEFINED = "undefined"
+_LIST = "list:"  # and the kind of its elements
+_LOOP, _SPACE = "loop", "namespace"  # their literal is a dictionary of values
+_OPENING = {"for": "endfor", "if": "endif", "macro": "endmacro"}
+_ASSIGNED = re.compile(r"\{%-?\s*set\s+(\w+)\s*\.")
+MOST_ITEMS = 100_000  # of a range: a row that asks for more fails
+
+
+@dataclass(frozen=True)
+class _Macro:
+    parameters: tuple[tuple[str, "_Value | None"], ...]
+    body: list[str]
+    scope: dict[str, "_Value"]
 
 
 # --- formulas ------------------------------------------------------------------------------
@@ -97,10 +112,10 @@ def _block(parts: list[str], reader: "_Reader", ends: Sequence[str] = ()) -> tup
             word = (_inside(part).split() or [""])[0]
             if word in ends:
                 return made, parts
-            if word != "if":
+            if word not in _STATEMENTS:
                 raise FormulaError(f"unsupported statement {part!r}")
-            column, parts = _if(parts, reader)
-            made.append(column)
+            column, parts = _STATEMENTS[word](parts, reader)
+            made += [] if column is None else [column]
             continue
         else:
             made.append(F.lit(part))
@@ -113,8 +128,11 @@ def _block(parts: list[str], reader: "_Reader", ends: Sequence[str] = ()) -> tup
 def _if(parts: list[str], reader: "_Reader") -> tuple[Column, list[str]]:
     test = reader.truth(reader.value_of(_inside(parts[0]).split(None, 1)[-1]))
     outer, reader.failures = reader.failures, []
+    scope = reader.scope
+    reader.scope = dict(scope)
     then, parts = _block(parts[1:], reader, ("elif", "else", "endif"))
     then_failures, reader.failures = reader.failures, []
+    then_scope, reader.scope = reader.scope, dict(scope)
     word = _inside(parts[0]).split()[0]
     if word == "elif":
         other, parts = _if(parts, reader)
@@ -123,13 +141,74 @@ def _if(parts: list[str], reader: "_Reader") -> tuple[Column, list[str]]:
         otherwise, parts = _block(parts[1:], reader, ("endif",)) if word == "else" else ([], parts)
         parts = parts[1:]
     reader.failures = outer + reader.guarded(test, then_failures) + reader.guarded(~test, reader.failures)
+    reader.scope = reader.merged(test, then_scope, reader.scope)
     return F.when(test, F.concat(F.lit(""), *then)).otherwise(F.concat(F.lit(""), *otherwise)), parts
 
 
+def _enclosed(parts: list[str], ends: Sequence[str]) -> tuple[list[str], list[str]]:
+    """The parts up to the statement of this block that is in ``ends``, and those from there on."""
+    depth = 0
+    for at, part in enumerate(parts):
+        inside = _inside(part) if part.startswith("{%") else ""
+        word = (inside.split() or [""])[0]
+        if word in ends and not depth:
+            return parts[:at], parts[at:]
+        if word in _OPENING or (word == "set" and "=" not in inside):
+            depth += 1
+        elif word in (*_OPENING.values(), "endset"):
+            depth -= 1
+    raise FormulaError(f"{' or '.join(ends)} is missing")
+
+
+def _for(parts: list[str], reader: "_Reader") -> tuple[Column, list[str]]:
+    """A loop: its body once per item, joined; with a namespace that it assigns to, item after item."""
+    target, items, kind = reader.loop_head(_inside(parts[0]))
+    body, parts = _enclosed(parts[1:], ("else", "endfor"))
+    otherwise = []
+    if _inside(parts[0]) == "else":
+        otherwise, parts = _enclosed(parts[1:], ("endfor",))
+    spaces = [n for n in dict.fromkeys(_ASSIGNED.findall("".join(body))) if n in reader.scope and reader.scope[n].kind == _SPACE]
+    size = F.size(items).cast("bigint")
+    made = reader.accumulated(target, items, kind, size, body, spaces) if spaces else reader.repeated(target, items, kind, size, body)
+    if otherwise:
+        outer, reader.failures = reader.failures, []
+        empty, _ = _block(otherwise, reader)
+        reader.failures = outer + reader.guarded(size == 0, reader.failures)
+        made = F.when(size == 0, F.concat(F.lit(""), *empty)).otherwise(made)
+    return made, parts[1:]
+
+
+def _set(parts: list[str], reader: "_Reader") -> tuple[None, list[str]]:
+    """``set name = value``, ``set space.name = value``, ``set name = namespace(...)``, or a block up to ``endset``."""
+    inside = _inside(parts[0])
+    if "=" not in inside:
+        name = inside.split(None, 1)[-1].strip()
+        body, rest = _enclosed(parts[1:], ("endset",))
+        made, _ = _block(body, reader)
+        reader.scope[name] = _Value(F.concat(F.lit(""), *made), "string")
+        return None, rest[1:]
+    reader.assign(inside)
+    return None, parts[1:]
+
+
+def _macro(parts: list[str], reader: "_Reader") -> tuple[None, list[str]]:
+    body, rest = _enclosed(parts[1:], ("endmacro",))
+    name, parameters = reader.macro_head(_inside(parts[0]))
+    reader.macros[name] = _Macro(parameters, body, dict(reader.scope))
+    return None, rest[1:]
+
+
+_STATEMENTS = {"if": _if, "for": _for, "set": _set, "macro": _macro}
+
+
 def _inside(part: str) -> str:
     return part[2:-2].strip("-").strip()
 
 
+def _failed(failures: list[Column]) -> Column:
+    return F.coalesce(_any(failures), F.lit(False)) if failures else F.lit(False)
+
+
 def _any(tests: Sequence[Column]) -> Column:
     return reduce(operator.or_, tests)
 
@@ -154,6 +233,192 @@ class _Reader:
         self.failures: list[Column] = []
         self.tokens: list[tuple[str, str]] = []
         self.at = 0
+        self.scope: dict[str, _Value] = {}  # names bound by loops, assignments and parameters
+        self.macros: dict[str, _Macro] = {}
+        self.calls: list[str] = []
+
+    # --- blocks -------------------------------------------------------------------------------
+
+    def merged(self, test: Column, then: dict[str, _Value], other: dict[str, _Value]) -> dict[str, _Value]:
+        """What the names stand for behind an ``if`` whose branches bound them differently."""
+        out = {}
+        for name in {**other, **then}:
+            a, b = (scope.get(name) or self._named(name, {}) for scope in (then, other))
+            if a is b:
+                out[name] = a
+            elif a.kind == b.kind == _SPACE:
+                out[name] = _Value(F.lit(None), _SPACE, self.merged(test, a.literal, b.literal))
+            else:
+                out[name] = self._either(test, a, b)
+        return out
+
+    def loop_head(self, inside: str) -> tuple[str, Column, str]:
+        """``for name in items [if test]``: the name, the items as an array, and their kind."""
+        self.tokens, self.at = _tokens(inside), 1
+        target = self._next("name")
+        if not target:
+            raise FormulaError(f"a loop needs a name: {inside!r}")
+        self._need("word", "in")
+        items, kind = self._items(self._or())
+        if self._next("word", "if"):
+            rest = self.at
+
+            def tested(item: Column) -> Column:
+                self.at = rest
+                with self._inner({target: _Value(item, kind)}) as failures:
+                    test = self.truth(self._or())
+                    return F.struct(test.alias("holds"), _failed(failures()).alias("failed"))
+
+            tests = F.transform(items, tested)
+            self._fails(F.exists(tests, lambda t: t["failed"]))
+            items = F.filter(items, lambda item, at: F.get(tests, at)["holds"])
+        if self.at != len(self.tokens):
+            raise FormulaError(f"unexpected {self.tokens[self.at][1]!r} in {inside!r}")
+        return target, items, kind
+
+    def _items(self, value: _Value) -> tuple[Column, str]:
+        if value.kind.startswith(_LIST):
+            return F.coalesce(value.column, F.array().cast(f"array<{value.kind.removeprefix(_LIST)}>")), value.kind.removeprefix(_LIST)
+        if value.kind not in ("string", _UNDEFINED):
+            raise FormulaError(f"{value.kind} has no items")
+        self._fails(value.column.isNull())
+        return F.filter(F.split(F.coalesce(value.column, F.lit("")), ""), lambda c: c != ""), "string"
+
+    @contextmanager
+    def _inner(self, names: dict[str, _Value]) -> Iterator[Callable[[], list[Column]]]:
+        """Bind names and collect failures for a while; both are as before afterwards."""
+        scope, outer = self.scope, self.failures
+        self.scope, self.failures = {**scope, **names}, []
+        try:
+            yield lambda: self.failures
+        finally:
+            self.scope, self.failures = scope, outer
+
+    @staticmethod
+    def _loop(at: Column, size: Column) -> _Value:
+        at = at.cast("bigint")
+        numbers = {"index": at + 1, "index0": at, "revindex": size - at, "revindex0": size - at - 1, "length": size}
+        known = {name: _Value(column, "bigint") for name, column in numbers.items()}
+        return _Value(F.lit(None), _LOOP, known | {"first": _Value(at == 0, "boolean"), "last": _Value(at == size - 1, "boolean")})
+
+    def repeated(self, target: str, items: Column, kind: str, size: Column, body: list[str]) -> Column:
+        def once(item: Column, at: Column) -> Column:
+            with self._inner({target: _Value(item, kind), "loop": self._loop(at, size)}) as failures:
+                made, _ = _block(body, self)
+                return F.struct(F.concat(F.lit(""), *made).alias("text"), _failed(failures()).alias("failed"))
+
+        pieces = F.transform(items, once)
+        self._fails(F.exists(pieces, lambda p: p["failed"]))
+        return F.array_join(F.transform(pieces, lambda p: p["text"]), "")
+
+    def accumulated(self, target: str, items: Column, kind: str, size: Column, body: list[str], spaces: list[str]) -> Column:
+        """A loop that assigns to namespaces: they, the text and whether it failed go from item to item."""
+        held = [(space, name, value) for space in spaces for name, value in self.scope[space].literal.items()]
+
+        def known(state: Column) -> dict[str, _Value]:
+            found: dict[str, dict[str, _Value]] = {space: {} for space in spaces}
+            for i, (space, name, value) in enumerate(held):
+                found[space][name] = _Value(state[f"v{i}"], value.kind)
+            return {space: _Value(F.lit(None), _SPACE, names) for space, names in found.items()}
+
+        def step(state: Column, item: Column) -> Column:
+            with self._inner({target: _Value(item["item"], kind), "loop": self._loop(item["at"], size), **known(state)}) as failures:
+                made, _ = _block(body, self)
+                after = []
+                for i, (space, name, value) in enumerate(held):
+                    new = self.scope[space].literal[name]
+                    if new.kind != value.kind:
+                        raise FormulaError(f"{space}.{name} is {value.kind} before and {new.kind} behind an item")
+                    after.append(new.column.alias(f"v{i}"))
+                if any(len(self.scope[space].literal) != sum(h[0] == space for h in held) for space in spaces):
+                    raise FormulaError("a loop cannot add names to a namespace")
+                failed = state["failed"] | _failed(failures())
+                return F.struct(F.concat(state["text"], *made).alias("text"), failed.alias("failed"), *after)
+
+        start = [value.column.cast(_SQL_KINDS.get(value.kind, value.kind)).alias(f"v{i}") for i, (_, _, value) in enumerate(held)]
+        zero = F.struct(F.lit("").alias("text"), F.lit(False).alias("failed"), *start)
+        numbered = F.transform(items, lambda item, at: F.struct(item.alias("item"), at.alias("at")))
+        end = F.aggregate(numbered, zero, step)
+        self._fails(end["failed"])
+        self.scope = {**self.scope, **known(end)}
+        return end["text"]
+
+    def assign(self, inside: str) -> None:
+        self.tokens, self.at = _tokens(inside), 1
+        name = self._next("name")
+        if not name:
+            raise FormulaError(f"an assignment needs a name: {inside!r}")
+        space = None
+        if self._next("op", "."):
+            space, name = name, self._next("name")
+            if self.scope.get(space, _Value(F.lit(None), _UNDEFINED)).kind != _SPACE:
+                raise FormulaError(f"{space!r} is no namespace")
+        self._need("op", "=")
+        if self.tokens[self.at : self.at + 2] == [("name", "namespace"), ("op", "(")]:
+            self.at += 2
+            value = _Value(F.lit(None), _SPACE, self._keywords())
+        else:
+            value = self._choice()
+        if self.at != len(self.tokens) or not name:
+            raise FormulaError(f"cannot read {inside!r}")
+        if space:
+            value, name = _Value(F.lit(None), _SPACE, {**self.scope[space].literal, name: value}), space
+        self.scope[name] = value
+
+    def _keywords(self) -> dict[str, _Value]:
+        """``name=value, ...`` up to the closing bracket."""
+        found = {}
+        while not self._next("op", ")"):
+            name = self._next("name")
+            self._need("op", "=")
+            found[name or ""] = self._choice()
+            if not self._next("op", ","):
+                self._need("op", ")")
+                break
+        return found
+
+    def macro_head(self, inside: str) -> tuple[str, tuple[tuple[str, _Value | None], ...]]:
+        self.tokens, self.at = _tokens(inside), 1
+        name, parameters = self._next("name"), []
+        self._need("op", "(")
+        while not self._next("op", ")"):
+            parameter = self._next("name")
+            if not name or not parameter:
+                raise FormulaError(f"cannot read {inside!r}")
+            parameters.append((parameter, self._choice() if self._next("op", "=") else None))
+            if not self._next("op", ","):
+                self._need("op", ")")
+                break
+        return name or "", tuple(parameters)
+
+    def _called(self, name: str) -> _Value:
+        """The text of a macro's body with its parameters bound; the names around the call are not seen."""
+        if name in self.calls:
+            raise FormulaError(f"macro {name!r} calls itself")
+        macro, args, named = self.macros[name], [], {}
+        self._need("op", "(")
+        while not self._next("op", ")"):
+            if self.tokens[self.at + 1 : self.at + 2] == [("op", "=")]:
+                key = self._next("name")
+                self._need("op", "=")
+                named[key] = self._choice()
+            else:
+                args.append(self._choice())
+            if not self._next("op", ","):
+                self._need("op", ")")
+                break
+        known = [p for p, _ in macro.parameters]
+        if len(args) > len(known) or not set(named) <= set(known[len(args) :]):
+            raise FormulaError(f"macro {name!r} does not take these values")
+        bound = {p: default or _Value(F.lit(""), _UNDEFINED) for p, default in macro.parameters}
+        bound |= dict(zip(known, args, strict=False)) | named
+        tokens, at, scope = self.tokens, self.at, self.scope
+        self.scope = {**macro.scope, **bound}
+        self.calls.append(name)
+        made, _ = _block(macro.body, self)
+        self.calls.pop()
+        self.tokens, self.at, self.scope = tokens, at, scope
+        return _Value(F.concat(F.lit(""), *made), "string")
 
     def value_of(self, expression: str) -> _Value:
         self.tokens, self.at = _tokens(expression), 0
@@ -165,6 +430,8 @@ class _Reader:
     # --- values as text and truth -------------------------------------------------------------
 
     def text(self, value: _Value) -> Column:
+        if value.kind.startswith(_LIST) or value.kind in (_LOOP, _SPACE):
+            raise FormulaError(f"{value.kind} has no text here")
         column = value.column
         if value.kind == "boolean":
             column = F.initcap(column.cast("string"))
@@ -176,7 +443,9 @@ class _Reader:
 
     def truth(self, value: _Value) -> Column:
         column = value.column
-        if value.kind in ("string", _UNDEFINED):
+        if value.kind.startswith(_LIST):
+            column = F.size(column) > 0
+        elif value.kind in ("string", _UNDEFINED):
             column = column != ""
         elif value.kind in _NUMBERS:
             column = column != 0
@@ -251,7 +520,7 @@ class _Reader:
             if op := self._next("op", *_COMPARE):
                 value = self._compared(op, value, self._sum())
             elif self._next("word", "in"):
-                value = _Value(self._string(self._sum()).contains(self._string(value)), "boolean")
+                value = self._contained(value, self._sum())
             else:
                 break
         if self._next("word", "is"):
@@ -263,6 +532,13 @@ class _Reader:
             value = _Value(~known[word] if negated else known[word], "boolean")
         return value
 
+    def _contained(self, value: _Value, place: _Value) -> _Value:
+        if place.kind.startswith(_LIST):
+            if value.kind != place.kind.removeprefix(_LIST):
+                raise FormulaError(f"{value.kind} cannot be looked for in {place.kind}")
+            return _Value(F.coalesce(F.array_contains(place.column, value.column), F.lit(False)), "boolean")
+        return _Value(self._string(place).contains(self._string(value)), "boolean")
+
     def _compared(self, op: str, a: _Value, b: _Value) -> _Value:
         left, right = (self._number(v).column if v.kind == "boolean" else v.column for v in (a, b))
         kinds = ["number" if v.kind in (*_NUMBERS, "boolean") else "string" if v.kind == _UNDEFINED else v.kind for v in (a, b)]
@@ -361,6 +637,12 @@ class _Reader:
                 value = self._indexed(value)
             elif self._next("op", "."):
                 name = self._next("name")
+                if value.kind in (_LOOP, _SPACE):
+                    value = self._attribute(value, name or "")
+                    continue
+                if name in ("split", "join") and value.kind == "string":
+                    value = self._split(value, self._arguments()) if name == "split" else self._joined_by(value, self._arguments())
+                    continue
                 if name not in _METHODS or self.tokens[self.at : self.at + 1] != [("op", "(")]:
                     raise FormulaError(f"unknown attribute {name!r}")
                 self._fails(value.column.isNull())
@@ -368,9 +650,77 @@ class _Reader:
             else:
                 return value
 
+    def _attribute(self, value: _Value, name: str) -> _Value:
+        if name in value.literal:
+            return value.literal[name]
+        if value.kind == _SPACE:
+            return _Value(F.lit(""), _UNDEFINED)
+        if name == "cycle" and (args := self._arguments()):
+            turn = value.literal["index0"].column % len(args)
+            return self._one_of(args, turn)
+        raise FormulaError(f"unknown attribute {name!r} of a loop")
+
+    def _one_of(self, values: list[_Value], turn: Column) -> _Value:
+        found = values[-1]
+        for i in range(len(values) - 2, -1, -1):
+            found = self._either(turn == i, values[i], found)
+        return found
+
+    def _split(self, value: _Value, args: list[_Value]) -> _Value:
+        self._fails(value.column.isNull())
+        if not args:
+            words = F.split(F.regexp_replace(value.column, r"(?U)^\s+|\s+$", ""), r"(?U)\s+")
+            return _Value(F.filter(words, lambda w: w != ""), f"{_LIST}string")
+        if len(args) != 1 or not isinstance(args[0].literal, str) or not args[0].literal:
+            raise FormulaError("text is split by literal text")
+        return _Value(F.split(value.column, re.sub(r"([^\w\s])", r"\\\1", args[0].literal), -1), f"{_LIST}string")
+
+    def _joined_by(self, sep: _Value, args: list[_Value]) -> _Value:
+        if len(args) != 1:
+            raise FormulaError("one list can be joined")
+        return self._list_filter("join", args[0], [sep])
+
+    def _range(self, args: list[_Value]) -> _Value:
+        if not 1 <= len(args) <= 3 or any(a.kind != "bigint" for a in args):
+            raise FormulaError("a range takes one to three whole numbers")
+        start, stop = (F.lit(0).cast("bigint"), args[0].column) if len(args) == 1 else (args[0].column, args[1].column)
+        step = args[2].column if len(args) == 3 else F.lit(1).cast("bigint")
+        span = F.when(step > 0, stop - start).otherwise(start - stop)
+        count = F.when(span > 0, F.ceil(F.try_divide(span, F.abs(step)))).otherwise(F.lit(0)).cast("bigint")
+        self._fails(start.isNull() | stop.isNull() | F.coalesce(step == 0, F.lit(True)) | (count > MOST_ITEMS))
+        numbers = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.least(count, F.lit(MOST_ITEMS)) - 1, F.lit(0)))
+        made = F.when(count > 0, F.transform(numbers, lambda i: start + i * step))
+        return _Value(F.coalesce(made, F.array().cast("array<bigint>")), f"{_LIST}bigint")
+
+    def _literal_list(self) -> _Value:
+        values = []
+        while not self._next("op", "]"):
+            values.append(self._choice())
+            if not self._next("op", ","):
+                self._need("op", "]")
+                break
+        kinds = {v.kind for v in values} or {"string"}
+        if len(kinds) > 1 or kinds & {_UNDEFINED, _LOOP, _SPACE, "null"}:
+            raise FormulaError("the items of a list are of one kind")
+        kind = kinds.pop()
+        return _Value(F.array(*[v.column for v in values]).cast(f"array<{kind}>"), f"{_LIST}{kind}")
+
+    def _item(self, value: _Value, at: int) -> _Value:
+        found = F.try_element_at(value.column, F.lit(at + 1 if at >= 0 else at))
+        kind = value.kind.removeprefix(_LIST)
+        if kind == "string":
+            return _Value(F.coalesce(found, F.lit("")), kind)
+        self._fails(found.isNull())
+        return _Value(found, kind)
+
     def _indexed(self, value: _Value) -> _Value:
-        """``text[i]`` or ``text[a:b]`` by literal positions; outside the text there is nothing."""
+        """``text[i]`` or ``text[a:b]`` by literal positions, or an item of a list; outside there is nothing."""
         first = self._position()
+        if value.kind.startswith(_LIST):
+            if first is None:
+                raise FormulaError("an index is missing")
+            self._need("op", "]")
+            return self._item(value, first)
         text, length = self._string(value), F.length(value.column)
         if self._next("op", ":"):
             last = self._position()
@@ -410,9 +760,22 @@ class _Reader:
             return _Value(F.lit(int(text)).cast("bigint"), "bigint", int(text))
         if (text := self._next("text")) is not None:
             return _Value(F.lit(text[1:-1]), "string", text[1:-1])
+        if self._next("op", "["):
+            return self._literal_list()
         name = self._next("name")
         if not name:
             raise FormulaError("a value is missing")
+        if self.tokens[self.at : self.at + 1] == [("op", "(")]:
+            if name in self.macros:
+                return self._called(name)
+            if name == "range":
+                return self._range(self._arguments())
+            raise FormulaError(f"unknown function {name!r}")
+        return self._named(name, self.scope)
+
+    def _named(self, name: str, scope: dict[str, _Value]) -> _Value:
+        if name in scope:
+            return scope[name]
         if name in self.types:
             return _Value(F.col(name).cast(self.types[name]), self.types[name])
         if name.lower() in ("true", "false"):
@@ -423,7 +786,43 @@ class _Reader:
 
     # --- filters ------------------------------------------------------------------------------
 
+    def _list_filter(self, name: str, value: _Value, args: list[_Value]) -> _Value:
+        """Filters of lists; text is a list of its characters. Text is sorted and told apart without case."""
+        items, kind = self._items(value)
+        listed = _Value(items, f"{_LIST}{kind}")
+        texts = F.transform(items, lambda x: self.text(_Value(x, kind)))
+        if name == "join" and len(args) <= 1:
+            sep = self.text(args[0]) if args else F.lit("")
+            parts = F.transform(texts, lambda t, at: F.when(at == 0, t).otherwise(F.concat(sep, t)))
+            return _Value(F.array_join(parts, ""), "string")
+        if args:
+            raise FormulaError(f"filter {name!r} of a list takes no values")
+        if name == "list":
+            return listed
+        if name in ("length", "count"):
+            return _Value(F.size(items).cast("bigint"), "bigint")
+        if name in ("first", "last"):
+            return self._item(listed, 0 if name == "first" else -1)
+        if name == "reverse":
+            return _Value(F.reverse(items), listed.kind)
+        fold = (lambda x: F.lower(x)) if kind == "string" else (lambda x: x)
+        if name == "sort":
+            keyed = F.transform(items, lambda x, at: F.struct(fold(x).alias("key"), at.alias("at"), x.alias("x")))
+            return _Value(F.transform(F.array_sort(keyed), lambda k: k["x"]), listed.kind)
+        if name == "unique":
+            keys = F.transform(items, fold)
+            return _Value(F.filter(items, lambda x, at: F.array_position(keys, fold(x)) == at + 1), listed.kind)
+        if name == "sum" and kind in _NUMBERS:
+            total = F.aggregate(items, F.lit(0).cast(kind), lambda a, x: F.try_add(a, x))
+            self._fails(total.isNull())
+            return _Value(total, kind)
+        raise FormulaError(f"unknown filter {name!r} for a list")
+
     def _filter(self, name: str, value: _Value, args: list[_Value]) -> _Value:
+        if value.kind.startswith(_LIST) and name not in ("default", "d") or (value.kind == "string" and name in ("list", "join")):
+            return self._list_filter(name, value, args)
+        if value.kind.startswith(_LIST):
+            return value
         text, literals = self.text(value), [a.literal for a in args]
         if name in _TEXT_FILTERS and not args:
             return _Value(_TEXT_FILTERS[name](text), "string")

@@ -13,7 +13,7 @@ from tableloom.functions.dates import resolve_date, years_before
 from tableloom.plans.generate import Run, flat_dataset, generate, grouped_dataset
 from tableloom.plans.message import SAMPLE_CHOICES, sample_rows
 from tableloom.plans.spec import Constraint, DatasetSpec, Field, GroupConfig, Request, SharedKey
-from tableloom.registry.sql import draws, letters, load, padded, pick, share
+from tableloom.registry.sql import draws, letters, load, padded, pick, share, text
 from tableloom.sources.builtin import DEMO_FIELDS
 
 QUERIES, ORACLES = {}, {}
@@ -380,6 +380,30 @@ _per_row(
     _streams("gen_formula_rules", _RULES[:3], {"n": (0, "null")}),
 )
 
+_STEPS = "{% for i in range(n) %}{{ i * i }}{{ ',' if not loop.last }}{% else %}none{% endfor %}"
+_LOOPS = (
+    Field("first_name", "first_name"),
+    Field("n", "random_int", "integer", null_probability=0.2, constraint=Constraint(min=0, max=9)),
+    Field("steps", "formula", formula=_STEPS),
+    Field("letters", "formula", formula="{% set name = first_name|lower %}{% for c in name if c != 'a' %}{{ loop.index }}{{ c }}{% endfor %}/{{ name|length }}"),
+    Field("total", "formula", "integer", formula="{% set ns = namespace(sum=0) %}{% for i in range(1, 6) %}{% set ns.sum = ns.sum + i * (n or 1) %}{% endfor %}{{ ns.sum }}"),
+    Field("tags", "formula", formula="{% macro tag(x, close=true) %}<{{ x }}>{{ '</' ~ x ~ '>' if close }}{% endmacro %}{% for w in ['b', first_name] %}{{ tag(w, loop.first) }}{% endfor %}"),
+)
+_M = f"(CASE WHEN n__null < {share(0.2)} THEN NULL ELSE n % 10 END)"
+_per_row(
+    "gen_formula_loops", "orders", "o_orderkey", _LOOPS,
+    {
+        "first_name": _FIRST,
+        "n": _M,
+        "steps": f"CASE WHEN {_M} IS NULL THEN {text(_STEPS)} WHEN {_M} = 0 THEN 'none' ELSE array_to_string(list_transform(range(({_M})::BIGINT), lambda i: i * i), ',') END",
+        "letters": f"""array_to_string(list_transform(range(1, 1 + length(replace(lower({_FIRST}), 'a', ''))),
+            lambda i: i || substr(replace(lower({_FIRST}), 'a', ''), i::BIGINT, 1)), '') || '/' || length({_FIRST})""",
+        "total": f"15 * CASE WHEN coalesce({_M}, 0) = 0 THEN 1 ELSE {_M} END",
+        "tags": f"'<b></b><' || {_FIRST} || '>'",
+    },
+    _streams("gen_formula_loops", _LOOPS[:2], {"n": (0, "null")}),
+)
+
 # --- several datasets in one run -----------------------------------------------------------
 
 _PAIR = _fields(("age", "random_int", "integer"), ("town", "city"), ("uid", "uuid4"), ("code", "bothify"))

@@ -19,6 +19,31 @@ def row(spark):
     "formula, text",
     [
         ("plain", "plain"),
+        ("{% for i in range(3) %}{{ i }},{% endfor %}", "0,1,2,"),
+        ("{% for i in range(1, n + 1) %}{{ loop.index }}/{{ loop.length }}{{ '' if loop.last else ' ' }}{% endfor %}", "1/4 2/4 3/4 4/4"),
+        ("{% for i in range(5, 0, -2) %}{{ i }}{% endfor %}|{% for i in range(0) %}x{% else %}none{% endfor %}", "531|none"),
+        ("{% for w in s.split() %}{{ loop.index0 }}{{ w|upper }}{% if not loop.last %}-{% endif %}{% endfor %}", "0AB-1CD"),
+        ("{% for w in 'a,b,,c'.split(',') if w %}[{{ w }}{{ loop.revindex }}]{% endfor %}", "[a3][b2][c1]"),
+        ("{% for c in s %}{{ c if c != ' ' else '_' }}{% endfor %}", "Ab_cD"),
+        ("{% for i in range(2) %}{% for c in 'xy' %}{{ i }}{{ c }}{{ n }}{{ loop.first }} {% endfor %}{% endfor %}", "0x4True 0y4False 1x4True 1y4False "),
+        ("{% for i in range(3) %}{{ loop.cycle('odd', 'even') }} {% endfor %}", "odd even odd "),
+        ("{% for x in [1, 2, 3] -%} {{ x * n }} {%- endfor %}{{ [3, 1]|sum }}", "48124"),
+        ("{% for i in range(2) %}{{ 4 / (n - 4) }}{% endfor %}", "{% for i in range(2) %}{{ 4 / (n - 4) }}{% endfor %}"),
+        ("{% for i in range(3) %}{{ 6 // (i + 1) if i else 'z' }}{% endfor %}", "z32"),
+        ("{% for i in range(m) %}x{% endfor %}", "{% for i in range(m) %}x{% endfor %}"),
+        ("{% for x in nothing %}a{% else %}b{% endfor %}", "b"),
+        ("{% set x = n * 2 %}{{ x }}{% set x = x + 1 %}-{{ x }}", "8-9"),
+        ("{% set x = 1 %}{% for i in range(3) %}{% set x = 7 %}{{ x }}{% endfor %}{{ x }}", "7771"),
+        ("{% if n > 3 %}{% set k = 'big' %}{% else %}{% set k = 'small' %}{% endif %}{{ k }}", "big"),
+        ("{% set t %}<{{ s }}>{% endset %}{{ t|length }}{{ t }}", "7<Ab cD>"),
+        ("{% set ns = namespace(total=0, text='') %}{% for i in range(4) %}{% set ns.total = ns.total + i * n %}{% set ns.text = ns.text ~ i %}"
+         "{% if i == 2 %}{% set ns.total = ns.total + 100 %}{% endif %}{{ ns.total }};{% endfor %}{{ ns.total }} {{ ns.text }}", "0;4;112;124;124 0123"),
+        ("{% set ns = namespace(n=0) %}{% for i in range(3) %}{% for j in range(i) %}{% set ns.n = ns.n + 1 %}{% endfor %}{% endfor %}{{ ns.n }}", "3"),
+        ("{% macro tag(x, y='!') %}<{{ x }}{{ y }}>{% endmacro %}{{ tag(n) }}{{ tag(s, y=n) }}{{ tag(tag(1))|upper }}", "<4!><Ab cD4><<1!>!>"),
+        ("{% macro star(k) %}{% for i in range(k) %}*{% endfor %}{% endmacro %}{% for i in range(3) %}{{ star(i) }}.{% endfor %}", ".*.**."),
+        ("{{ 'b a B c'.split()|sort|join(', ') }} {{ ['b', 'a', 'B']|unique|join }} {{ s|list|join('-') }}", "a, b, B, c ba A-b- -c-D"),
+        ("{{ 'a' in ['a', 'b'] }} {{ n in [1, 2] }} {{ 'x,y,z'.split(',')[1] }}{{ ['p']|first }}{{ [1, 5]|last }}{{ '-'.join(['u', 'v']) }}", "True False yp5u-v"),
+        ("{{ range(4)|join(s) }} {{ range(7)|length }} {{ range(3)|reverse|join }}", "0Ab cD1Ab cD2Ab cD3 7 210"),
         ("", ""),
         ("{{ s }}", "Ab cD"),
         ("{{ s|lower|replace(' ', '') }}!", "abcd!"),
@@ -69,7 +94,7 @@ def test_formulas(row, formula, text):
     assert row.select(compile_formula(formula, types).alias("f")).first().f == text
 
 
-@pytest.mark.parametrize("formula", ["{{ s + 1 }}", "{{ s|nope }}", "{{ n ) }}", "{{ }}", "{{ s| }}", "{{ n § }}", "{{ s|replace(n) }}", "{% for x in s %}{% endfor %}", "{% if n %}", "{{ s.split() }}", "{{ n[0] }}", "{{ n > s }}"])
+@pytest.mark.parametrize("formula", ["{{ s + 1 }}", "{{ s|nope }}", "{{ n ) }}", "{{ }}", "{{ s| }}", "{{ n § }}", "{{ s|replace(n) }}", "{% for x in n %}{% endfor %}", "{% for x in s %}", "{% include 's' %}", "{% macro a(x) %}{{ a(x) }}{% endmacro %}{{ a(1) }}", "{% set ns = namespace(a=1) %}{% for i in s %}{% set ns.a = s %}{% endfor %}", "{% set q.a = 1 %}", "{{ [1, 'a'] }}", "{{ lipsum(3) }}", "{% if n %}", "{{ s.split() }}", "{{ n[0] }}", "{{ n > s }}"])
 def test_bad_formulas(formula):
     with pytest.raises(FormulaError):
         compile_formula(formula, TYPES)
