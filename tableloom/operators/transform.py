@@ -19,6 +19,10 @@ from tableloom.plans.spec import check_column_name
 FUNCTIONS = ("sum", "avg", "min", "max", "count", "count_distinct", "first", "last")
 STRATEGIES = ("keep_first", "keep_last", "keep_none")
 DIRECTIONS = ("asc", "desc")
+# Distinct counts by sketch: the count itself, or the sketch to merge with others later.
+SKETCHES = ("count_distinct_approx", "distinct_sketch")
+SKETCH_BITS = 14  # log2 of a sketch's registers
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)  # relative standard error of a count, 0.8 %
 
 
 @dataclass(frozen=True)
@@ -28,7 +32,7 @@ class Aggregation:
     alias: str = ""
 
     def __post_init__(self):
-        if self.function not in FUNCTIONS:
+        if self.function not in (*FUNCTIONS, *SKETCHES):
             raise ValueError(f"unknown aggregate function: {self.function!r}")
         check_column_name(self.column)
         check_column_name(self.name)
@@ -72,7 +76,9 @@ def aggregate(
     """Group by one or more columns (NULL is a group of its own).
 
     ``order_by`` fixes what first and last mean; without it they are unspecified. With
-    ``numeric_text`` sum, avg, min and max read text as numbers and fail on other text.
+    ``numeric_text`` sum, avg, min and max read text as numbers and fail on other text. ``count_distinct_approx`` counts
+    with a standard error of ``SKETCH_ERROR``, in one pass and with a bounded state per group; ``distinct_sketch`` gives
+    that state as binary, for ``merge_sketches``.
     """
     if not group_by or not aggregations:
         raise ValueError("at least one group column and one aggregation are needed")
@@ -94,10 +100,39 @@ def _aggregate(df: DataFrame, a: Aggregation, order_by: Sequence[str], numeric_t
         order = order_key(df, order_by)
         pick = F.min_by if a.function == "first" else F.max_by
         return pick(column, order)
+    if a.function in SKETCHES:
+        sketch = F.hll_sketch_agg(_sketched(column, dtype), F.lit(SKETCH_BITS))
+        return sketch if a.function == "distinct_sketch" else F.hll_sketch_estimate(sketch)
     plain = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "count_distinct": F.count_distinct}
     return plain[a.function](column)
 
 
+def _sketched(column: Column, dtype: T.DataType) -> Column:
+    """Values as a type that sketches take; equal values stay equal, others differ."""
+    if isinstance(dtype, (T.StringType, T.BinaryType, T.LongType)):
+        return column
+    if isinstance(dtype, T.IntegralType):
+        return column.cast("bigint")
+    if isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType):
+        column = F.when(column == 0, F.lit(0.0)).otherwise(column)  # one zero, as in an exact count
+    return column.cast("string")
+
+
+def merge_sketches(df: DataFrame, group_by: Sequence[str], sketches: Sequence[str]) -> DataFrame:
+    """One row per group of the ``sketches`` columns of any number of aggregates, without their rows.
+
+    The merged columns are sketches again; ``sketch_count`` reads one. A group without a sketch has that of no value.
+    """
+    for name in (*group_by, *sketches):
+        check_column_name(name)
+    return df.groupBy(*group_by).agg(*[F.hll_union_agg(F.col(c)).alias(c) for c in sketches])
+
+
+def sketch_count(sketch: str | Column) -> Column:
+    """The distinct count that a sketch stands for; 0 for NULL."""
+    return F.coalesce(F.hll_sketch_estimate(sketch), F.lit(0)).cast("bigint")
+
+
 def wide_sum(column: Column) -> Column:
     """Exact sum of 64-bit integers as a decimal.
 

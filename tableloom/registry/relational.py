@@ -10,6 +10,8 @@ from tableloom.operators import bars, enrich, listing, transform
 from tableloom.operators.order import order_key
 from tableloom.operators.transform import Aggregation, OrderBy
 from tableloom.registry.sql import load
+from tableloom.session import new_work_path
+from tableloom.sinks.catalog import Catalog
 
 QUERIES, ORACLES = {}, {}
 
@@ -166,6 +168,25 @@ def agg_group(spark, sf):
     )
 
 
+@query(
+    """SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_shipdate) AS days, true AS orders_close, true AS days_close
+    FROM lineitem GROUP BY l_returnflag"""
+)
+def agg_distinct_sketch(spark, sf):
+    """Distinct counts of two snapshots merged from their sketches, next to the exact counts; close is four standard errors."""
+    lines = load(spark, sf, "lineitem")
+    catalog = Catalog(spark, new_work_path(spark, "catalog"))
+    specs = [Aggregation("l_orderkey", "distinct_sketch", "orders_sketch"), Aggregation("l_shipdate", "distinct_sketch", "days_sketch")]
+    halves = [lines.where(F.col("l_linenumber") % 2 == i) for i in (0, 1)]
+    saved = [catalog.save(transform.aggregate(half, ["l_returnflag"], specs), f"half {i}") for i, half in enumerate(halves)]
+    merged = transform.merge_sketches(catalog.read(saved[0]).unionByName(catalog.read(saved[1])), ["l_returnflag"], ["orders_sketch", "days_sketch"])
+    exact = transform.aggregate(lines, ["l_returnflag"], [Aggregation("l_orderkey", "count_distinct", "orders"), Aggregation("l_shipdate", "count_distinct", "days")])
+    close = [
+        (F.abs(transform.sketch_count(f"{c}_sketch") - F.col(c)) <= 4 * transform.SKETCH_ERROR * F.col(c)).alias(f"{c}_close") for c in ("orders", "days")
+    ]
+    return exact.join(merged, "l_returnflag").select("l_returnflag", "orders", "days", *close)
+
+
 @query(
     """SELECT o_orderstatus, sum(d) AS sum_rank, round(avg(d), 6) AS avg_rank, min(d) AS min_rank, max(d) AS max_rank,
       count(d) AS count_rank

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tableloom.operators import listing
+from tableloom.operators import listing, transform
 from tableloom.operators.order import order_key
 from tableloom.operators.transform import Aggregation, OrderBy, aggregate, dedup, filter_by
 from tests.conftest import plan
@@ -209,3 +209,20 @@ def test_first_and_last_are_folded_in_hash_tables(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     made = aggregate(orders, ["o_custkey"], [Aggregation("o_totalprice", "first")], ["o_orderdate", "o_orderkey"])
     assert "SortAggregate" not in plan(made)
+
+
+def test_sketches_count_and_merge(spark):
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("k"), (F.col("id") % 20_000).alias("n"), (F.col("id") % 7 / 2).alias("d"), F.lit(None).cast("int").alias("z"))
+    counts = transform.aggregate(rows, ["k"], [Aggregation(c, "count_distinct_approx", c) for c in ("n", "d", "z")]).collect()
+    exact = {r.k: r.n for r in rows.groupBy("k").agg(F.count_distinct("n").alias("n")).collect()}
+    assert all(abs(r.n - exact[r.k]) <= 4 * transform.SKETCH_ERROR * exact[r.k] and (r.d, r.z) == (7, 0) for r in counts)
+    parts = [transform.aggregate(rows.where(test), ["k"], [Aggregation("n", "distinct_sketch", "s")]) for test in ("n < 9000", "n >= 5000")]
+    merged = transform.merge_sketches(parts[0].unionByName(parts[1]), ["k"], ["s"]).select("k", transform.sketch_count("s").alias("n")).collect()
+    whole = transform.aggregate(rows, ["k"], [Aggregation("n", "distinct_sketch", "s")]).select("k", transform.sketch_count("s").alias("n")).collect()
+    assert sorted(map(tuple, merged)) == sorted(map(tuple, whole))
+
+
+def test_sketches_see_one_zero_and_all_types(spark):
+    rows = spark.sql("SELECT 1 AS k, * FROM VALUES (0.0D, DATE '2024-01-01', 1.50BD, true), (-0.0D, DATE '2024-01-01', 1.5BD, false), (NULL, NULL, NULL, NULL) t(a, b, c, d)")
+    found = transform.aggregate(rows, ["k"], [Aggregation(c, "count_distinct_approx", c) for c in "abcd"]).first()
+    assert tuple(found) == (1, 1, 1, 1, 2)
