@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tableloom.functions import vocab
 from tableloom.functions.dates import iso_text, resolve_date, years_before
-from tableloom.functions.draw import Draws, constant_array, draw_key
+from tableloom.functions.draw import DistinctDraws, Draws, constant_array
 from tableloom.functions.floats import float_text
 from tableloom.functions.rounding import round_half_even
 from tableloom.plans.spec import Constraint, Field
@@ -44,6 +44,7 @@ class Cell:
         return self.draws.pick(values, k)
 
 
+_ALWAYS_UNIQUE = ("uuid4", "uuid_int")  # by the hash of the row's id
 _GENERATORS: dict[str, Callable[[Cell], Column]] = {}
 
 
@@ -62,17 +63,19 @@ def generator_names() -> list[str]:
 
 def generate(field: Field, draws: Draws, as_of: date) -> Column:
     """The field's value in its declared type, before NULL rolls and conditions."""
-    cell = Cell(draws, field.constraint, as_of, field.unique)
     choices = field.constraint.choices()
-    make = _GENERATORS.get(field.generator)
-    if choices:
-        value = _choice(cell)
-    elif make is None:
+    make = _choice if choices else _GENERATORS.get(field.generator)
+    if make is None:
         warnings.warn(f"unknown generator {field.generator!r} of field {field.name!r}: using word", stacklevel=2)
-        value = _word(cell)
-    else:
-        value = make(cell)
-    return to_type(value, field)
+        make = _word
+    if field.unique and (choices or field.generator not in _ALWAYS_UNIQUE):
+        if field.generator == "text" and not choices:
+            warnings.warn(f"texts of field {field.name!r} are not kept unique", stacklevel=2)
+        else:
+            first = DistinctDraws(draws)
+            make(Cell(first, field.constraint, as_of, True))
+            draws = first.planned()
+    return to_type(make(Cell(draws, field.constraint, as_of, field.unique)), field)
 
 
 def value_kind(field: Field) -> str:
@@ -291,7 +294,7 @@ def _bothify(c: Cell) -> Column:
 
 @generator("boolean")
 def _boolean(c: Cell) -> Column:
-    return c.draws.u() % F.lit(2) == F.lit(0)
+    return c.draws.below(2) == F.lit(0)
 
 
 @generator("random_int", "pyint")
@@ -301,22 +304,7 @@ def _random_int(c: Cell) -> Column:
     if low > high:
         raise ValueError(f"min {low} is above max {high}")
     span = high - low + 1
-    if c.unique and len(c.draws.ids) != 1:  # rows of a group have no common number to permute
-        warnings.warn("integers of a group's rows are not kept unique", stacklevel=2)
-        return c.draws.below(span) + F.lit(low).cast("bigint")
-    at = _distinct_below(c, span) if c.unique else c.draws.below(span)
-    return at + F.lit(low).cast("bigint")
-
-
-def _distinct_below(c: Cell, span: int) -> Column:
-    """A different value of 0 .. span - 1 for every row id, by a fixed stride through the range."""
-    stride = draw_key(*c.draws.stream, "stride") % max(1, min(span, (1 << 62) // span)) + 1
-    while math.gcd(stride, span) != 1:
-        stride += 1
-    row = c.draws.ids[0]
-    row = F.when(row < F.lit(span), row).otherwise(F.raise_error(F.lit(f"more rows than the {span} unique values")))
-    offset = draw_key(*c.draws.stream, "offset") % span
-    return (row * F.lit(stride).cast("bigint") + F.lit(offset).cast("bigint")) % F.lit(span).cast("bigint")
+    return c.draws.below(span) + F.lit(low).cast("bigint")
 
 
 def _decimal_bounds(bounds: Constraint) -> tuple[float, float, int]:

@@ -9,7 +9,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tableloom.functions import generators
@@ -21,12 +21,13 @@ from tableloom.functions.formula import (
     condition_field,
     formula_fields,
 )
-from tableloom.operators.pool import pick_from_pool
+from tableloom.operators.pool import bucket_of, pick_from_pool
 from tableloom.plans.spec import DatasetSpec, Field, Request
 
 # These never repeat between datasets of a run, whatever the homogeneity.
 ALWAYS_OWN = ("uuid4", "uuid_int", "shared_key")
 ROW_ID = "__row_id"
+RANK = "__rank"
 CHUNK_ROWS = 1 << 18
 ROWS_PER_TASK = 1 << 22
 
@@ -94,10 +95,13 @@ def flat_dataset(
         base = row_numbers(spark, spec.rows).withColumnRenamed("id", ROW_ID)
     else:
         base = row_ids.toDF(ROW_ID)
+        if any(f.unique for f in spec.fields):
+            base = _ranked(base)
     ids = [F.col(ROW_ID)]
+    rank = F.col(RANK) if RANK in base.columns else None
 
     def draws_of(f: Field) -> Draws:
-        return Draws(run.stream(spec.name, f), ids)
+        return Draws(run.stream(spec.name, f), ids, rank)
 
     keyed, shared = _join_shared(base, spec.fields, draws_of, _pool_finder(spec, sources))
     made = _add_fields(
@@ -107,7 +111,7 @@ def flat_dataset(
         run,
         shared,
         pooled={
-            name: generators.generate(f, Draws((run.seed, "pool", name), ids), run.as_of)
+            name: generators.generate(f, Draws((run.seed, "pool", name), ids, rank), run.as_of)
             for name, f in (pooled or {}).items()
         },
         in_pool=F.col(ROW_ID) < F.lit(pool_size),
@@ -116,6 +120,27 @@ def flat_dataset(
     return made.select(*kept, *[f.name for f in spec.fields])
 
 
+def _ranked(ids: DataFrame) -> DataFrame:
+    """Row ids with their place among all, ``RANK``: buckets are numbered side by side, only their totals meet."""
+    bucketed = ids.withColumn("_bucket", bucket_of(F.col(ROW_ID)))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = bucketed.groupBy("_bucket").count().select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(ROW_ID)).cast("bigint") - 1
+    numbered = bucketed.withColumn("_inside", inside).join(F.broadcast(offsets), "_bucket")  # a row per bucket
+    return numbered.select(ROW_ID, (F.col("_before") + F.col("_inside")).alias(RANK))
+
+
+def _with_starts(sizes: DataFrame) -> DataFrame:
+    """``group_id, size`` with the number of rows in all groups before, summed up in blocks of groups first."""
+    blocked = sizes.withColumn("_block", F.shiftright("group_id", 16))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocked.groupBy("_block").agg(F.sum("size").alias("_total"))
+    blocks = blocks.select("_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_block").orderBy("group_id").rowsBetween(Window.unboundedPreceding, -1)
+    started = blocked.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(blocks, "_block")
+    return started.select("group_id", "size", (F.col("_before") + F.col("_inside")).alias("_start"))
+
+
 def row_numbers(spark: SparkSession, rows: int) -> DataFrame:
     """``id`` 0 .. rows - 1, in tasks short enough to be repeated when an executor is lost."""
     return spark.range(0, rows, 1, _tasks(spark, rows))
@@ -162,25 +187,32 @@ def grouped_dataset(
     parts = []
     if total:
         starts = F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(CHUNK_ROWS).cast("bigint"))
-        chunks = group_sizes(spark, spec, run).select("group_id", "size", F.explode_outer(starts).alias("_from"))
+        sizes = group_sizes(spark, spec, run)
+        distinct = any(f.unique for f in group.child_fields)
+        sizes = _with_starts(sizes) if distinct else sizes.withColumn("_start", F.lit(0).cast("bigint"))
+        chunks = sizes.select("group_id", "size", "_start", F.explode_outer(starts).alias("_from"))
         chunks = chunks.repartition(_tasks(spark, max(total, group.num_groups)), "group_id", "_from")
         last = F.least(F.col("_from") + F.lit(CHUNK_ROWS), F.col("size")) - 1
-        rows = chunks.select(F.col("group_id").alias("__group"), F.explode_outer(F.sequence("_from", last)).alias("__child"))
-        parts.append(_family(rows, spec, run, [F.col("__group")], [F.col("__group"), F.col("__child")], "", pool_of))
+        rows = chunks.select("_start", F.col("group_id").alias("__group"), F.explode_outer(F.sequence("_from", last)).alias("__child"))
+        rows = rows.withColumn(RANK, F.col("_start") + F.col("__child")).drop("_start")
+        ranks = (F.col("__group"), F.col(RANK))
+        parts.append(_family(rows, spec, run, [F.col("__group")], [F.col("__group"), F.col("__child")], "", pool_of, ranks))
     if flat:
         rows = row_numbers(spark, flat).select(F.col("id").alias("__group"), F.lit(0).cast("bigint").alias("__child"))
-        parts.append(_family(rows, spec, run, [F.col("__group")], [F.col("__group")], "flat_", pool_of))
-    made = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return made.select(*columns)
+        # numbered on from the groups and their rows, so no value repeats across the parts
+        ranks = (F.col("__group") + F.lit(group.num_groups), F.col("__group") + F.lit(total))
+        parts.append(_family(rows, spec, run, [F.col("__group")], [F.col("__group")], "flat_", pool_of, ranks))
+    parts = [part.select(*columns) for part in parts]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _family(rows, spec, run, parent_ids, child_ids, part, pool_of) -> DataFrame:
+def _family(rows, spec, run, parent_ids, child_ids, part, pool_of, ranks) -> DataFrame:
     group = spec.group_config
 
-    def draws(kind: str, ids: Sequence[Column]) -> Callable[[Field], Draws]:
-        return lambda f: Draws((*run.stream(spec.name, f, kind), part), ids)
+    def draws(kind: str, ids: Sequence[Column], rank: Column) -> Callable[[Field], Draws]:
+        return lambda f: Draws((*run.stream(spec.name, f, kind), part), ids, rank, run.stream(spec.name, f, kind))
 
-    parent_draws, child_draws = draws("parent_", parent_ids), draws("child_", child_ids)
+    parent_draws, child_draws = draws("parent_", parent_ids, ranks[0]), draws("child_", child_ids, ranks[1])
     keyed, shared = _join_shared(rows, group.parent_fields, parent_draws, pool_of)
     keyed, more = _join_shared(keyed, group.child_fields, child_draws, pool_of)
     made = _add_fields(keyed, group.parent_fields, parent_draws, run, shared)

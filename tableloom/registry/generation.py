@@ -190,6 +190,28 @@ ORACLES["gen_unique"] = (
     "SELECT count(*) AS n, count(*) AS codes, count(*) AS bigs, true AS low_ok, true AS high_ok, true AS big_ok FROM orders"
 )
 
+_CODE = {"unique": True, "constraint": Constraint(format="??-###??")}
+
+
+def gen_unique_fields(spark, sf):
+    """Fields of several kinds marked unique, over the keys of a table and over the rows of groups: counts of their values."""
+    fields = (Field("code", "bothify", **_CODE), Field("seen", "date_time", "timestamp", True), Field("address", "ipv4", unique=True))
+    ids = load(spark, sf, "orders").select("o_orderkey")
+    flat = flat_dataset(spark, DatasetSpec("gen_unique_fields", 1, fields), RUN, row_ids=ids)
+    group = GroupConfig(40, 75, (Field("firm", "bothify", **_CODE),), (Field("tag", "bothify", **_CODE),))
+    grouped = grouped_dataset(spark, DatasetSpec("gen_unique_groups", _rows(spark, sf, "orders"), group_config=group), RUN)
+    counts = [F.count_distinct(c).alias(c) for c in ("code", "seen", "address")]
+    one = flat.agg(F.count(F.lit(1)).alias("n"), *counts)
+    parents = F.count_distinct(F.when(F.col("parent_id").isNotNull(), F.col("firm"))).alias("firms")
+    other = grouped.agg(F.count(F.lit(1)).alias("grouped"), F.count_distinct("tag").alias("tags"), parents).first()
+    return one.withColumns({c: F.lit(other[c]).cast("bigint") for c in ("grouped", "tags", "firms")})
+
+
+QUERIES["gen_unique_fields"] = gen_unique_fields
+ORACLES["gen_unique_fields"] = (
+    "SELECT count(*) AS n, count(*) AS code, count(*) AS seen, count(*) AS address, count(*) AS grouped, count(*) AS tags, 40::BIGINT AS firms FROM orders"
+)
+
 # --- people, web, banking, text ------------------------------------------------------------
 
 _F = _fields(

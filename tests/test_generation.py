@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tableloom.functions.draw import Draws, cut_point, draw_key
+from tableloom.functions.draw import Draws, cut_point, draw_key, permuted
 from tableloom.functions.generators import generate as value_of
 from tableloom.functions.generators import generator_names
 from tableloom.plans import generate as plans
@@ -152,6 +152,52 @@ def test_unique_integers_and_too_small_a_range(spark):
         one(spark, tight, rows=201).collect()
 
 
+@pytest.mark.parametrize(
+    "generator, constraint, space",
+    [
+        ("bothify", {"format": "?#"}, 520), ("bothify", {"format": "??????????##########"}, None), ("zipcode", {}, 100_000),
+        ("date_between", {"start": "2024-01-01", "end": "2024-12-31"}, 366), ("date_of_birth", {"min_age": 20, "max_age": 60}, None),
+        ("random_element", {"values": ",".join(f"v{i}" for i in range(300)), "weights": ",".join(["1"] * 300)}, 300), ("iban", {}, None),
+        ("ipv4", {}, None), ("date_time", {}, None), ("pydecimal", {"min": 0, "max": 3, "right_digits": 2}, 301), ("email", {}, None),
+        ("street_address", {}, None), ("swift", {}, None), ("bban", {}, None), ("phone_number", {}, None), ("random_int", {"min": -150, "max": 150}, 301),
+    ],
+)
+def test_every_generator_can_be_unique(spark, generator, constraint, space):
+    unique = Field("u", generator, unique=True, constraint=Constraint(**constraint))
+    rows = min(space or 3000, 3000)
+    found = [r.u for r in one(spark, unique, rows=rows).collect()]
+    assert len(set(found)) == len(found) == rows
+    if space and space <= 3000:  # all of them, and in no plain order
+        assert found != sorted(found)
+        with pytest.raises(Exception, match="unique values"):
+            one(spark, unique, rows=space + 1).collect()
+
+
+def test_sparse_row_ids_share_a_tight_range(spark):
+    spec = DatasetSpec("d", 1, (Field("u", "random_int", "integer", unique=True, constraint=Constraint(min=1, max=500)),))
+    ids = spark.range(500).select((F.col("id") * F.col("id") * 10**10 - 7).alias("id"))
+    made = flat_dataset(spark, spec, Run(3), row_ids=ids, keep_row_id=True).collect()
+    assert sorted(r.u for r in made) == list(range(1, 501)) and len({r.row_id for r in made}) == 500
+    again = flat_dataset(spark, spec, Run(3), row_ids=ids.repartition(7), keep_row_id=True).collect()
+    assert sorted(map(tuple, made)) == sorted(map(tuple, again))
+
+
+def test_grouped_rows_are_unique_in_both_parts(spark):
+    code = {"constraint": Constraint(format="?##"), "unique": True}
+    group = GroupConfig(60, 70, parent_fields=(Field("firm", "bothify", **code),), child_fields=(Field("tag", "bothify", **code),))
+    made = generate(spark, Request((DatasetSpec("d", 5000, group_config=group),), seed=4), date(2024, 1, 1)).datasets["d"].collect()
+    children, flat = [r for r in made if r.parent_id], [r for r in made if not r.parent_id]
+    assert len({r.tag for r in made}) == 5000 == len(made)
+    assert len({(r.firm, r.parent_id) for r in children}) == len({r.firm for r in children}) == 60
+    assert len({r.firm for r in flat} | {r.firm for r in children}) == len(flat) + 60
+
+
+def test_permutation_reaches_every_number(spark):
+    for size in (1, 2, 3, 97, 1000):
+        found = spark.range(size).select(permuted(F.col("id"), size, 5).alias("p")).collect()
+        assert sorted(r.p for r in found) == list(range(size))
+
+
 def test_unknown_generator_warns(spark):
     with pytest.warns(UserWarning, match="unknown generator"):
         one(spark, Field("x", "nope"))
