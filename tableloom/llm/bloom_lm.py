@@ -398,7 +398,10 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             hashes = WordHashes()
             for found, tokens, before, at in _chunks(batches, hashes, CHUNK):
                 names = {c: [b[c][i].as_py() for b, i in found] for c in ("row", "doc_id")}
-                yield names | own.sums(tokens, lm.counts(tokens), lm.counts(before), lm.counts(_pairs(tokens, before)), at)
+                word = lm.counts(tokens)
+                context = np.append(word[:1], word[:-1])  # but for a text's first, a token's context is the token before it
+                context[at] = lm.counts(before[at])
+                yield names | own.sums(tokens, word, context, lm.counts(_pairs(tokens, before)), at)
 
         parts = map_batches(rows, run, schema)
     parts = materialise(parts, "scores")
