@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tableloom.llm import lang_id, line_dedup, mixing, near_dup, sentence_piece
@@ -13,7 +13,10 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or too far from every language learned from the labelled ones, go."""
+    """Documents without a letter, or too far from every language learned from the labelled ones, go.
+
+    NULL and empty texts have no letter; rows that repeat an id or a text are judged alike.
+    """
     model = lang_id.fit(docs)
     return lang_id.classify(docs, model, keep=COLUMNS).filter(~F.col("rejected")).select(*COLUMNS)
 
@@ -25,9 +28,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, from a similarity of 0.8, the document with the smallest id stays."""
-    judged = near_dup.near_duplicates(docs, percent=80).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.select(*COLUMNS).join(judged, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """Of each group of near duplicates, from a similarity of 0.8, the document with the smallest id stays.
+
+    Rows that share an id are judged each by its own text; of rows with one id and text a single one stays. Rows without
+    an id, texts that are NULL or without words belong to no group and stay, the latter once per id.
+    """
+    judged = near_dup.near_duplicates(docs, percent=80, with_copy=True).filter("kept")
+    judged = judged.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).distinct()
+    copied = docs.select(*COLUMNS, F.xxhash64("text").alias("_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_copy"))
+    kept = copied.join(judged, same, "left_semi")
+    nameless = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    alike = Window.partitionBy("doc_id", "_text", nameless).orderBy("lang", "source", "n_chars")
+    return kept.withColumn("_rank", F.row_number().over(alike)).filter("_rank = 1").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

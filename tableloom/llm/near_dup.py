@@ -248,9 +248,9 @@ def _pairs(found: list[tuple[int, int]]) -> dict:
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text", with_copy: bool = False
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``: one row per row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept``, and if asked ``copy`` (``xxhash64`` of the text): one row per row of ``docs``.
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their sets of 5-word shingles (words as in
     ``words``; fewer than five words are one shingle). ``component_id`` is the smallest id that links reach, and
@@ -301,4 +301,5 @@ def near_duplicates(
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     out = described.drop("sig").join(named, "digest", "left").withColumn("component_id", own)
     kept = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    copies = ["copy"] if with_copy else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), *copies)

@@ -84,3 +84,11 @@ def test_pairs_between_80_and_85_are_near_duplicates(spark):
         assert 0.80 < len(x & y) / len(x | y) < 0.85
     kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), "")
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
+
+
+def test_near_duplicates_on_repeated_ids_stay_out(spark):
+    a, b = "one text that has more than five words", "another text with other words in it"
+    rows = [(1, a), (1, a), (1, b), (0, b), (2, a), (3, ""), (3, ""), (None, a), (None, a), (4, None), (5, "")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), "").collect()
+    found = sorted(((r.doc_id, r.text) for r in kept), key=str)
+    assert found == sorted([(1, a), (0, b), (3, ""), (None, a), (None, a), (4, None), (5, "")], key=str)
