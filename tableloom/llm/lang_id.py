@@ -125,10 +125,11 @@ def _sample(rows: DataFrame, most: int) -> DataFrame:
     """``doc_id, lang``: per language the ``most`` ids with the smallest hashes.
 
     Hashes over a bound that about twice as many pass are left out first, so a language with most of all rows
-    sends no more rows to its task than any other.
+    sends no more rows to its task than any other. The bound follows the number of different ids, so ids that many
+    rows repeat don't lower it.
     """
     ids = rows.select("doc_id", "lang").withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.03).alias("all"))
     near = ids.join(F.broadcast(counts), "lang").filter(F.col("draw").cast("double") * F.col("all") <= F.lit((2.0 * most + 100) * (1 << 40)))
     order = Window.partitionBy("lang").orderBy("draw", "doc_id")
     ranked = near.distinct().withColumn("rank", F.row_number().over(order))
@@ -148,7 +149,8 @@ def fit(
     """Centroids of all languages in ``lang``; rows without a language or a letter teach nothing.
 
     Document frequencies come from all labelled texts. The centroids are clustered from at most ``sample_per_lang``
-    texts per language, those with the smallest hash of their id; this bounds each language's task. A document is
+    texts per language, those with the smallest hash of their id (of rows that share one, the least text); this bounds
+    each language's task. A document is
     accepted within ``1 - reject_share * (mean cosine of the centroid's members)``. The model has ``clusters`` rows of
     2**14 floats per language and is refused beyond ``MAX_MODEL_BYTES``, which is over a thousand languages.
     """
@@ -161,6 +163,7 @@ def fit(
     if (size := langs * clusters * 4 * (1 << BITS)) > MAX_MODEL_BYTES:
         raise ValueError(f"centroids of {size} bytes are too large to copy to every worker")
     picked = rows.join(F.broadcast(ids), ["doc_id", "lang"])  # as few ids as texts to cluster
+    picked = picked.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def vectors(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:

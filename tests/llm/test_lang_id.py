@@ -66,3 +66,10 @@ def test_held_out_accuracy(spark):
     assert len(rows) == docs.count() and len(held) > 20
     assert sum(r.lang_pred == r.lang for r in held) / len(held) >= 0.95
     assert sum(r.rejected for r in rows) / len(rows) < 0.02
+
+
+def test_ids_that_many_rows_repeat_lose_no_language(spark):
+    german = [(i, "das ist ein kurzer deutscher satz über das wetter", "de") for i in range(30)]
+    french = [(1000 + i % 5, "ceci est une phrase en français sur le temps", "fr") for i in range(20_000)]
+    model = lang_id.fit(documents(spark, german + french))
+    assert sorted(set(model.langs)) == ["de", "fr"]
