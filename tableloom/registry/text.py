@@ -253,14 +253,16 @@ QUERIES["template_dataset"] = template_dataset
 
 @query(
     f"""WITH n AS (SELECT max(p_size) AS top FROM part)
-    SELECT row_id, (size % top + 1)::BIGINT AS size FROM ({draws("SELECT unnest(range(100)) AS row_id", ["row_id"], {"size": (SEED, "size", 0)})}), n"""
+    SELECT row_id, (size % top + 1)::BIGINT AS size FROM ({draws("SELECT o_orderkey AS row_id FROM orders", ["row_id"], {"size": (SEED, "size", 0)})}), n"""
 )
 def json_dataset(spark, sf):
-    """A dataset described as JSON, with bounds from a table and no row count: 100 rows."""
+    """A dataset described as JSON, with bounds from one table and a row per key of another."""
     top = load(spark, sf, "part").agg(F.max("p_size")).first()[0]
     described = {"name": "sizes", "fields": [{"name": "size", "type": "integer", "generator": "random_int", "constraint": {"min": 1, "max": top}}]}
     (spec,) = dataset_specs_from_json(json.dumps(described))
-    return flat_dataset(spark, spec, _RUN, keep_row_id=True)
+    return flat_dataset(spark, spec, _RUN, row_ids=load(spark, sf, "orders").select("o_orderkey"), keep_row_id=True)
+
+
 ORACLES["template_dataset"] = f"""WITH p AS (SELECT p_size, p_name FROM part WHERE p_partkey = 4),
     a AS (SELECT row_id, CASE WHEN roll >= {1 << 62} THEN size % p_size + 1 END AS size, kind, p_name FROM ({_MADE}), p),
     b AS (SELECT row_id, size, CASE WHEN size > 3 THEN CASE WHEN kind < {round((1 << 63) / 3)} THEN '<1M' ELSE p_name END END AS kind FROM a)
