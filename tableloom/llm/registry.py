@@ -13,6 +13,7 @@ RULES = (
     url_filter.Rule("block", "example.com", "/de/"),
     url_filter.Rule("allow", "org", "/fr/"),
 )
+REMEMBERED = 500_000  # segments; a query that does nothing else has the memory
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPAM_NAMES = ("casino-win", "cheap-pills", "free-bets", "spam-farm")  # host names whose pages are listed
 
@@ -88,7 +89,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentence_piece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
-    return sentence_piece.encode(_load(spark, sf_dir, "documents"), sentence_piece.read_model(model_path))
+    model = sentence_piece.read_model(model_path)
+    return sentence_piece.encode(_load(spark, sf_dir, "documents"), model, remembered=REMEMBERED)
 
 
 def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,7 @@ class PieceTransducer:
     """Compiled from the bytes of a model file; encodes and decodes texts."""
 
     model: bytes
+    remembered: int = CACHE_SEGMENTS
     pieces: list[str] = field(init=False)
     scores: list[float] = field(init=False)
 
@@ -228,7 +229,7 @@ class PieceTransducer:
                 parts = [self.found.get(run) or self._remembered(run) for run in runs]
                 ids = tuple(i for part in parts for i in part)
         if len(segment) <= LONG_SEGMENT:
-            if len(self.found) >= CACHE_SEGMENTS:
+            if len(self.found) >= self.remembered:
                 self.found, self.before = {}, self.found
             self.found[segment] = ids
         return ids
@@ -272,12 +273,12 @@ def _decoded(raw: bytearray) -> str:
 _compiled: dict[int, PieceTransducer] = {}
 
 
-def _transducer(model: bytes) -> PieceTransducer:
+def _transducer(model: bytes, remembered: int = CACHE_SEGMENTS) -> PieceTransducer:
     """Compiled once per worker process."""
-    key = hash(model)
+    key = hash((model, remembered))
     if key not in _compiled:
         _compiled.clear()
-        _compiled[key] = PieceTransducer(model)
+        _compiled[key] = PieceTransducer(model, remembered)
     return _compiled[key]
 
 
@@ -289,12 +290,15 @@ def read_model(path: str | Path) -> bytes:
     return data
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+def encode(
+    docs: DataFrame, model: bytes, text: str = "text", keep: Sequence[str] = ("doc_id",), remembered: int = CACHE_SEGMENTS
+) -> DataFrame:
     """The columns of ``keep`` with ``ids``, ``n_tokens`` and ``round_trip`` (whether decoding gives the text back).
 
     Whole texts are encoded; NULL and empty texts have no ids, and NULL reads as empty. The round trip fails only for
     texts that hold U+2581 itself, and where the model normalises blanks or lacks byte fallback. Repeated rows are
-    encoded alike; other columns are ignored. No shuffle.
+    encoded alike; other columns are ignored. No shuffle. A worker remembers up to 2 * ``remembered`` segments, some 300
+    bytes each; the ids do not depend on it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("text"))
@@ -302,7 +306,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: Sequence[str
     made = [StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("round_trip", BooleanType())]
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        machine = _transducer(shared.value)
+        machine = _transducer(shared.value, remembered)
         for batch in batches:
             ids, same = [], []
             for x in batch["text"]:
