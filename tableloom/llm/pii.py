@@ -15,6 +15,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from math import log
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,7 @@ DISCLOSURE = 0.8
 SUPPORT = 1  # documents with both word and entity
 CHANCE = 0.01  # with which any pair at all may be taken that only meets by chance
 HELD = 300_000  # counts a task holds before it hands them on
+SCREENED = 500_000  # most frequent words that are sent to the tasks: 8 MB, whatever the corpus
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -137,8 +139,17 @@ def _describe(batches: Iterator[dict]) -> Iterator[dict]:
         yield {c: batch[c] for c in ("row", "doc_id", "copy")} | {"spans": spans, "entities": entities, "words": words}
 
 
-def _pair_counts(batches: Iterator[dict]) -> Iterator[dict]:
-    """In how many of the task's documents entity and word meet, handed on whenever many are held."""
+def _most_documents(with_entity: int, total: int, threshold: float) -> float:
+    """A word in more documents than this cannot reveal ``threshold`` of an entity, even if it is in all of the entity's."""
+    return total * (with_entity / total) ** threshold * (1 + 1e-9)
+
+
+def _pair_counts(batches: Iterator[dict], frequent: tuple[np.ndarray, np.ndarray], total: int, threshold: float) -> Iterator[dict]:
+    """In how many of the task's documents entity and word meet, handed on whenever many are held.
+
+    ``frequent`` are words with their documents; those too frequent for an entity are no pair with it.
+    """
+    words, documents = frequent
     counts: dict[tuple[int, int], int] = {}
 
     def hand_on() -> dict:
@@ -148,9 +159,11 @@ def _pair_counts(batches: Iterator[dict]) -> Iterator[dict]:
 
     for batch in batches:
         for entities, terms in zip(batch["entities"], batch["terms"], strict=True):
-            found = terms.as_py()
-            for entity in entities.as_py():
-                for term in found:
+            found = np.array(terms.as_py(), np.int64)
+            at = np.minimum(np.searchsorted(words, found), max(0, len(words) - 1))
+            often = np.where(words[at] == found, documents[at], 0) if len(words) else np.zeros(len(found))
+            for entity, with_entity in ((e["entity"], e["with_entity"]) for e in entities.as_py()):
+                for term in found[often <= _most_documents(with_entity, total, threshold)].tolist():
                     counts[entity, term] = counts.get((entity, term), 0) + 1
                 if len(counts) >= HELD:
                     yield hand_on()
@@ -192,7 +205,7 @@ def disclosures(described: DataFrame, texts: DataFrame, threshold: float, suppor
     The chance that so many of the rarer one's documents hold the other is at most exp(-n D(k / n, q)), D the relative
     entropy and q the other's share of documents; times the number of meetings in all documents it must stay below
     ``CHANCE``. A single meeting has a chance of at least 1 / N, so where that is too much entities of one document
-    aren't paired.
+    aren't paired. Words are counted first: one that is too frequent to reveal enough of an entity is not paired with it.
     """
     terms_of = F.array_distinct("words.term")
     meetings = F.sum(F.size("entities").cast("double") * F.size(terms_of))
@@ -200,14 +213,19 @@ def disclosures(described: DataFrame, texts: DataFrame, threshold: float, suppor
     fewest = max(support, 1 if tests <= CHANCE * total else 2)
     linked = described.select("row", F.explode("entities").alias("entity"))
     values = materialise(linked.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")), "entities")
-    asked = linked.join(values.filter(F.col("with_entity") >= fewest), "entity").groupBy("row").agg(F.collect_list("entity").alias("entities"))
+    one = F.struct("entity", "with_entity")
+    asked = linked.join(values.filter(F.col("with_entity") >= fewest), "entity").groupBy("row").agg(F.collect_list(one).alias("entities"))
+    terms = map_batches(texts.select("text"), _term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
+    terms = materialise(terms.filter(F.col("with_term") >= fewest), "terms")
+    often = terms.filter(F.col("with_term") > _most_documents(fewest, max(total, 1), threshold)).orderBy(F.desc("with_term"), "term").limit(SCREENED)
+    often = often.toArrow().sort_by("term")  # at most SCREENED rows; pairs of words beyond are dropped by the share alone
+    sent = texts.sparkSession.sparkContext.broadcast((often["term"].to_numpy(), often["with_term"].to_numpy()))
     met = described.filter(F.size("words") > 0).select("row", terms_of.alias("terms")).join(asked, "row")
-    pairs = map_batches(met.select("entities", "terms"), _pair_counts, "entity long, term long, n long")
+    pairs = map_batches(
+        met.select("entities", "terms"), lambda batches: _pair_counts(batches, sent.value, total, threshold), "entity long, term long, n long"
+    )
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both")).filter(F.col("both") >= fewest)
     pairs = materialise(pairs, "pairs")
-    terms = map_batches(texts.select("text"), _term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
-    asked = pairs.select("term").distinct()
-    terms = materialise(terms.join(asked, "term", "left_semi"), "terms")
     known = pairs.join(values, "entity").join(terms, "term").filter((F.col("with_entity") < total) & (F.col("with_term") < total))
     information = F.log(F.lit(float(total)) / F.col("with_entity"))
     shared = F.log(F.lit(float(total)) * F.col("both") / (F.col("with_entity") * F.col("with_term")))

@@ -1,10 +1,13 @@
 import random
 import re
+from math import log
 
 import pytest
 from pyspark.sql import functions as F
 
 from tableloom.llm import pii
+from tableloom.llm.words import map_batches
+from tableloom.session import materialise
 from tests.llm.tables import documents
 
 PATTERNS = (
@@ -115,3 +118,51 @@ def test_values_seen_once_or_twice(spark):
     assert all(found[3000 + i] == {"Zorblax"} for i in range(6))
     assert all(found[4000 + i] == {"Quimby"} for i in range(2))
     assert not any(words for doc, words in found.items() if doc < 3000 or doc == 5000)
+
+
+def revealed(rows, threshold, support):
+    """The disclosures by plain counting, pair by pair."""
+    held = []
+    for _, text in rows:
+        spans = pii.base_spans(text or "")
+        entities = {pii._hash(part) for k, s in spans for part in pii._parts(k, s[2])}
+        words = {pii._hash(w.lower()) for w in pii._WORD.findall(text or "") if len(w) > 1}
+        free = {t for t, _, _ in pii._free_words(text or "", spans)} if spans else set()
+        held.append((entities, words, free))
+    total = len(rows)
+    tests = sum(len(e) * len(f) for e, _, f in held)
+    fewest = max(support, 1 if tests <= pii.CHANCE * total else 2)
+    out = {}
+    for entity in {e for es, _, _ in held for e in es}:
+        inside = [f for es, _, f in held if entity in es]
+        for term in set().union(*inside):
+            both, own, other = sum(term in f for f in inside), len(inside), sum(term in w for _, w, _ in held)
+            if both < fewest or own >= total or other >= total:
+                continue
+            shared, n, q = log(total * both / (own * other)), min(own, other), max(own, other) / total
+            rest = (n - both) * log((n - both) / (n * (1 - q))) if both < n and q < 1 else 0.0
+            sure = shared > 0 and both * log(both / (n * q)) + rest >= log(max(tests, 1) / pii.CHANCE)
+            if sure and shared / log(total / own) >= threshold:
+                out[entity, term] = shared / log(total / own)
+    return out
+
+
+@pytest.mark.parametrize("screened", [pii.SCREENED, 3, 0])
+@pytest.mark.parametrize("threshold", [0.3, 0.8])
+def test_disclosures_as_counted_plainly(spark, monkeypatch, threshold, screened):
+    monkeypatch.setattr(pii, "SCREENED", screened)
+    drawn = random.Random(9)
+    common = [f"word{chr(97 + i)}" for i in range(20)]
+    rows = [(i, " ".join(drawn.choices(common, k=12))) for i in range(900)]
+    for person in range(25):
+        secret = f"Projekt{chr(65 + person)}"
+        for copy in range(drawn.randrange(2, 9)):
+            rest = drawn.choices(common, k=5) + ([secret] if drawn.random() < 0.85 else [])
+            rows.append((1000 + 20 * person + copy, f"mail p{person}@firm{person % 7}.org " + " ".join(rest)))
+    texts = documents(spark, rows).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("copy"), "text")
+    span = "array<struct<kind:string,start:int,end:int>>"
+    schema = f"row long, doc_id long, copy long, spans {span}, entities array<bigint>, words array<struct<term:bigint,start:int,end:int>>"
+    described = materialise(map_batches(texts, pii._describe, schema), "described")
+    found = {(r.entity, r.term): r.share for r in pii.disclosures(described, texts, threshold, 1).collect()}
+    plain = revealed(rows, threshold, 1)
+    assert found.keys() == plain.keys() and len(plain) > 10 and all(abs(found[k] - plain[k]) < 1e-9 for k in plain)
