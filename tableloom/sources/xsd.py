@@ -167,20 +167,21 @@ def nested_fields(fields: DataFrame) -> DataFrame:
 
 
 def template_rows(fields: DataFrame, rules: str = "broad") -> DataFrame:
-    """Message fields as template fields, each parent followed by its children as ``parent_child``."""
-    parents = fields.select(
-        "document", "position", F.lit(-1).alias("child"), "name",
-        field_type_for(F.col("xsd_type"), rules).alias("type"),
-        F.col("mapped_generator").alias("generator"),
+    """Message fields as template fields, each parent followed by its children as ``parent_child``; reads ``fields`` once."""
+    own = F.struct(
+        F.lit(-1).alias("child"), F.col("name").alias("label"), F.col("xsd_type").alias("kind"),
         F.array_join("enumeration_values", ",").alias("values"),
     )
-    children = (
-        fields.select("document", "position", F.col("name").alias("parent"), F.posexplode("nested").alias("child", "n"))
-        .select(
-            "document", "position", "child", F.concat_ws("_", "parent", "n.name").alias("name"),
-            field_type_for(F.col("n.type"), rules).alias("type"),
-            generator_for(F.col("n.name"), F.col("n.type"), F.lit(False)).alias("generator"),
-            F.lit(None).cast("string").alias("values"),
-        )
+    inner = F.transform(
+        F.coalesce("nested", F.array()),
+        lambda n, i: F.struct(i.alias("child"), n["name"].alias("label"), n["type"].alias("kind"), F.lit(None).cast("string").alias("values")),
+    )
+    spread = fields.select("document", "position", "name", "mapped_generator", F.explode(F.concat(F.array(own), inner)).alias("f"))
+    parent = F.col("f.child") < 0
+    return spread.select(
+        "document", "position", F.col("f.child").alias("child"),
+        F.when(parent, F.col("name")).otherwise(F.concat_ws("_", "name", "f.label")).alias("name"),
+        field_type_for(F.col("f.kind"), rules).alias("type"),
+        F.when(parent, F.col("mapped_generator")).otherwise(generator_for(F.col("f.label"), F.col("f.kind"), F.lit(False))).alias("generator"),
+        F.col("f.values").alias("values"),
     )
-    return parents.unionByName(children)

@@ -1,6 +1,8 @@
 import random
+import uuid
 from datetime import date, datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,9 +11,11 @@ from tableloom.functions.labels import symbol_list
 from tableloom.plans.generate import generate
 from tableloom.plans.message import message_template, sample_rows
 from tableloom.plans.spec import Constraint, DatasetSpec, Field, Request, check_column_name, check_table_name, dataset_specs_from_json, fields_from_json
+from tableloom.registry import text
 from tableloom.sources import builtin, csv_records, html, templates, xsd
 from tableloom.sources.csv import import_csv, list_csv, normalize_names, source_tag
 from tableloom.sources.csv_records import ends_inside
+from tests.conftest import plan
 
 
 @pytest.fixture
@@ -309,6 +313,14 @@ def test_message_template_can_be_generated(spark):
     assert made.count() == 20 and {r.Sts for r in made.collect()} == {"OK", "NO"}
 
 
+def test_template_rows_parse_the_schemas_once(spark):
+    docs = spark.createDataFrame([("d", XSD)], "document string, xsd string")
+    made = xsd.template_rows(xsd.xsd_fields(docs))
+    assert plan(made).count("MapInArrow") == 1
+    rows = [(r["name"], r.child, r.generator) for r in made.where("name LIKE 'Outer%'").orderBy("position", "child").collect()]
+    assert rows == [("Outer", -1, "text"), ("Outer_Amount", 0, "pydecimal"), ("Outer_Deep", 1, "text"), ("Outer_iban", 2, "iban")]
+
+
 def test_demo_fields_and_samples(spark):
     demo = builtin.demo_fields(spark)
     assert demo.count() == 15 and builtin.domains(spark).count() == 5 and builtin.messages(spark).count() == 12
