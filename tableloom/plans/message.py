@@ -33,10 +33,12 @@ SAMPLE_CHOICES = {
 
 def message_template(fields: DataFrame, name: str, category: str = "ISO 20022", rules: str = "broad") -> Template:
     """The fields of one message as a template; a name that no column can bear is made one."""
-    if fields.select("document").distinct().limit(2).count() > 1:
+    rows = F.collect_list(F.struct("position", "child", "name", "type", "generator", "values"))
+    messages = template_rows(fields, rules).groupBy("document").agg(F.sort_array(rows).alias("rows")).limit(2).collect()
+    if len(messages) > 1:
         raise ValueError("a template is made from the fields of one message; filter them by document first")
     made = []
-    for row in template_rows(fields, rules).orderBy("position", "child").collect():
+    for row in messages[0]["rows"] if messages else ():
         bounds = Constraint(values=row["values"]) if row["values"] else Constraint()
         plain = "".join(ch if ch.isascii() and (ch.isalnum() or ch == "_") else "_" for ch in row["name"])
         made.append(Field(plain if not plain[0].isdigit() else f"_{plain}", row["generator"], row["type"], constraint=bounds))

@@ -382,9 +382,9 @@ def message_template_rows(spark, sf):
 )
 def message_template_fields(spark, sf):
     """The template of one message of many, field by field."""
-    fields = xsd.xsd_fields(_schemas(spark, sf))
     last = load(spark, sf, "part").agg(F.max("p_partkey")).first()[0]
-    template = message_template(fields.where(F.col("document") == last), "message")
+    one = _schemas(spark, sf).where(F.col("document") == last)  # before it is parsed: no filter passes the parser
+    template = message_template(xsd.xsd_fields(one), "message")
     rows = [(f.name, f.generator, f.constraint.values or "") for f in template.fields]
     return spark.createDataFrame(rows, "name string, generator string, choices string")
 

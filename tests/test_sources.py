@@ -313,6 +313,29 @@ def test_message_template_can_be_generated(spark):
     assert made.count() == 20 and {r.Sts for r in made.collect()} == {"OK", "NO"}
 
 
+def test_a_message_is_parsed_once_for_its_template(spark, tmp_path):
+    def parsed(batches):
+        for batch in batches:
+            (tmp_path / uuid.uuid4().hex).touch()
+            yield batch
+
+    docs = spark.createDataFrame([("d", XSD)], "document string, xsd string").coalesce(1)
+    template = message_template(xsd.xsd_fields(docs.mapInArrow(parsed, docs.schema)), "msg")
+    assert [f.name for f in template.fields][-3:] == ["Deep", "iban", "Day"] and len(list(tmp_path.iterdir())) == 1
+    two = spark.createDataFrame([("d", XSD), ("e", XSD)], "document string, xsd string")
+    with pytest.raises(ValueError, match="one message"):
+        message_template(xsd.xsd_fields(two), "msg")
+    assert message_template(xsd.xsd_fields(two.where("document = 'none'")), "msg").fields == ()
+
+
+def test_other_messages_are_not_parsed_for_a_template(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(text, "message_template", lambda fields, name: seen.append(fields) or message_template(fields, name))
+    assert text.message_template_fields(spark, sf).count() == 11
+    optimized = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= optimized.index("MapInArrow") < optimized.index("Filter")
+
+
 def test_template_rows_parse_the_schemas_once(spark):
     docs = spark.createDataFrame([("d", XSD)], "document string, xsd string")
     made = xsd.template_rows(xsd.xsd_fields(docs))
