@@ -186,9 +186,16 @@ def builtin_messages(spark, sf):
 
 # --- templates -----------------------------------------------------------------------------
 
+FILE_TEMPLATES = 50_000  # in a file: one task reads a whole XML file
+
+
+def _dealt(spark, sf, table: str, key: str) -> DataFrame:
+    """The rows dealt to tasks evenly: they are short and lie in few row groups, what is made of them is long."""
+    return load(spark, sf, table).repartition(key)
+
 
 def _template_files(spark, sf) -> DataFrame:
-    """An XML template per part, written and read back as files."""
+    """An XML template per part, written and read back as files of bounded size."""
     size = F.col("p_size").cast("string")
     body = F.concat(
         F.lit('<template name="T'), F.col("p_partkey").cast("string"), F.lit('" category="'), "p_brand", F.lit('">'),
@@ -204,7 +211,8 @@ def _template_files(spark, sf) -> DataFrame:
         F.lit('<relationship type="ref" source="id" target="other.id"/></template>'),
     )
     path = new_work_path(spark, "templates")
-    load(spark, sf, "part").select(body.alias("value")).write.text(path)
+    made = _dealt(spark, sf, "part", "p_partkey").select(body.alias("value"))
+    made.write.option("maxRecordsPerFile", FILE_TEMPLATES).text(path)
     return templates.read_templates(spark, path)
 
 

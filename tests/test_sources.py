@@ -344,6 +344,12 @@ def test_template_rows_parse_the_schemas_once(spark):
     assert rows == [("Outer", -1, "text"), ("Outer_Amount", 0, "pydecimal"), ("Outer_Deep", 1, "text"), ("Outer_iban", 2, "iban")]
 
 
+def test_template_files_are_bounded(spark, sf, monkeypatch):
+    monkeypatch.setattr(text, "FILE_TEMPLATES", 50)
+    listed = text.xml_template_listing(spark, sf)
+    assert len(listed.inputFiles()) >= 4 and listed.count() == spark.read.parquet(f"{sf}/part.parquet").count() == 200
+
+
 def test_demo_fields_and_samples(spark):
     demo = builtin.demo_fields(spark)
     assert demo.count() == 15 and builtin.domains(spark).count() == 5 and builtin.messages(spark).count() == 12
