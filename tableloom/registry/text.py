@@ -281,7 +281,7 @@ ORACLES["template_dataset"] = f"""WITH p AS (SELECT p_size, p_name FROM part WHE
 
 def _schemas(spark, sf) -> DataFrame:
     """An XSD document per part, with names, enums and occurrence counts from its columns."""
-    part = load(spark, sf, "part")
+    part = _dealt(spark, sf, "part", "p_partkey")
     size = F.col("p_size").cast("string")
     xsd_text = F.concat(
         F.lit('<?xml version="1.0"?>\n<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns="urn:test">'),
@@ -321,7 +321,7 @@ def xsd_fields(spark, sf):
 
 def _wide_schemas(spark, sf) -> DataFrame:
     """Per supplier: ``60 + s_nationkey`` elements in a row, 15 children of one, seven levels, a group and inner enums."""
-    supplier = load(spark, sf, "supplier")
+    supplier = _dealt(spark, sf, "supplier", "s_suppkey")
     row = F.transform(
         F.sequence(F.lit(1), F.col("s_nationkey") + 60),
         lambda i: F.concat(F.lit('<xs:element name="e'), i.cast("string"), F.lit('" type="xs:int"/>')),

@@ -7,6 +7,7 @@ once per document by a streaming parser inside the tasks; everything after that
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -16,10 +17,11 @@ from pyspark.sql import functions as F
 from tableloom.functions.fieldmap import field_type_for, generator_for
 
 XSD_NAMESPACE = "http://www.w3.org/2001/XMLSchema"
-_NESTED = "array<struct<name:string,type:string,min:string,max:string>>"
+PART_ROWS = 1000  # documents whose fields leave a task at a time: bounds its memory
+_TEXTS, _NESTED = ("name", "type", "ref", "min", "max", "doc"), ("name", "type", "min", "max")
 _FIELD = (
-    "struct<position:int,name:string,type:string,ref:string,min:string,max:string,doc:string,"
-    f"enums:array<string>,nested:{_NESTED}>"
+    f"position int, {', '.join(f'{n} string' for n in _TEXTS)}, enums array<string>, "
+    f"nested array<struct<{','.join(f'{n}:string' for n in _NESTED)}>>"
 )
 
 
@@ -37,6 +39,7 @@ class _Walk:
         self.elements: list[dict] = []
         self.type_enums: dict[str, list[str]] = {}
         self._path: list[str] = []  # local names from the root down
+        self._types_open: list[tuple[int, int]] = [(-1, -1)]  # by depth: the last complex type, the last one with a sequence inside
         self._open: list[tuple[int, dict]] = []  # depth and row of the open elements
         self._types: list[str | None] = []  # names of the open simple types
         self._words: list[str] | None = None  # of the documentation that is being read
@@ -54,15 +57,24 @@ class _Walk:
 
     def _start(self, full: str, attributes: dict[str, str]) -> None:
         name = full.rpartition("}")[2]
+        last, within = self._types_open[-1]
         if name == "element":
-            row = {key: attributes.get(key) for key in ("name", "type", "ref")}
-            row |= {"min": attributes.get("minOccurs"), "max": attributes.get("maxOccurs"), "doc": None, "enums": [], "nested": []}
-            for depth, outer in self._open:
-                below = self._path[depth + 1 :]
-                if "complexType" in below and "sequence" in below[below.index("complexType") :]:
+            get = attributes.get
+            row = {
+                "name": get("name"), "type": get("type"), "ref": get("ref"), "min": get("minOccurs"), "max": get("maxOccurs"),
+                "doc": None, "enums": [], "nested": [],
+            }
+            if row["name"]:
+                for depth, outer in self._open:
+                    if depth >= within:  # and so are those further in
+                        break
                     outer["nested"].append(row)
             self.elements.append(row)
             self._open.append((len(self._path), row))
+        elif name == "complexType":
+            last = len(self._path)
+        elif name == "sequence":
+            within = last
         elif name == "simpleType":
             self._types.append(attributes.get("name"))
         elif name == "enumeration" and self._path[-1:] == ["restriction"] and attributes.get("value"):
@@ -75,9 +87,11 @@ class _Walk:
             if self._open[-1][1]["doc"] is None:
                 self._words = []
         self._path.append(name)
+        self._types_open.append((last, within))
 
     def _end(self, _: str) -> None:
         name = self._path.pop()
+        self._types_open.pop()
         if name == "element":
             self._open.pop()
         elif name == "simpleType":
@@ -103,8 +117,8 @@ class _Walk:
                 found = first.get(_local(row["ref"]), {}).get("enums")
             else:
                 found = self.type_enums.get(_local(row["type"] or ""))
-            nested = [{key: n[key] for key in ("name", "type", "min", "max")} for n in row["nested"] if n["name"]]
-            out.append(row | {"position": position, "enums": found or row["enums"] or None, "nested": nested})
+            row["position"], row["choices"] = position, found or row["enums"] or None
+            out.append(row)
         return out
 
 
@@ -113,22 +127,33 @@ def _local(name: str) -> str:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per field, column by column: a row's values never meet in a Python object that Arrow has to take apart."""
     for batch in batches:
-        namespaces, fields = [], []
-        for text in batch.column("xsd").to_pylist():
-            try:
-                walk = _Walk(text or "")
-                namespaces.append(walk.namespace)
-                fields.append(walk.fields())
-            except expat.ExpatError:  # no schema, no rows
-                namespaces.append(None)
-                fields.append([])
-        names = ("name", "type", "min", "max")
-        nested = pa.list_(pa.struct([(n, pa.string()) for n in names]))
-        kinds = [("position", pa.int32()), *[(n, pa.string()) for n in ("name", "type", "ref", "min", "max", "doc")]]
-        field = pa.struct([*kinds, ("enums", pa.list_(pa.string())), ("nested", nested)])
-        made = [batch.column("document"), pa.array(namespaces, pa.string()), pa.array(fields, pa.list_(field))]
-        yield pa.RecordBatch.from_arrays(made, ["document", "namespace", "fields"])
+        for start in range(0, batch.num_rows, PART_ROWS):
+            part = batch.slice(start, PART_ROWS)
+            at, namespaces, found = [], [], []
+            for i, text in enumerate(part.column("xsd").to_pylist()):
+                try:
+                    walk = _Walk(text or "")
+                except expat.ExpatError:  # no schema, no rows
+                    continue
+                fields = walk.fields()
+                at += [i] * len(fields)
+                namespaces += [walk.namespace] * len(fields)
+                found += fields
+            texts = [pa.array([row[n] for row in found], pa.string()) for n in _TEXTS]
+            inner = [n for row in found for n in row["nested"]]
+            struct = pa.StructArray.from_arrays([pa.array([n[c] for n in inner], pa.string()) for c in _NESTED], _NESTED)
+            ends = pa.array([0, *accumulate(len(row["nested"]) for row in found)], pa.int32())
+            made = [
+                part.column("document").take(pa.array(at, pa.int32())),
+                pa.array(namespaces, pa.string()),
+                pa.array([row["position"] for row in found], pa.int32()),
+                *texts,
+                pa.array([row["choices"] for row in found], pa.list_(pa.string())),
+                pa.ListArray.from_arrays(ends, struct),
+            ]
+            yield pa.RecordBatch.from_arrays(made, ["document", "namespace", "position", *_TEXTS, "enums", "nested"])
 
 
 def xsd_fields(documents: DataFrame, document: str = "document", xsd: str = "xsd") -> DataFrame:
@@ -141,8 +166,7 @@ def xsd_fields(documents: DataFrame, document: str = "document", xsd: str = "xsd
     """
     rows = documents.select(F.col(document).alias("document"), F.col(xsd).alias("xsd"))
     kind = documents.schema[document].dataType.simpleString()
-    parsed = rows.mapInArrow(_parse, f"document {kind}, namespace string, fields array<{_FIELD}>")
-    named = parsed.select("document", "namespace", F.explode("fields").alias("f")).select("document", "namespace", "f.*")
+    named = rows.mapInArrow(_parse, f"document {kind}, namespace string, {_FIELD}")
     return named.select(
         "document", "namespace", "position", "name",
         F.coalesce(F.nullif("type", F.lit("")), F.col("ref"), F.lit("")).alias("xsd_type"),

@@ -344,6 +344,15 @@ def test_template_rows_parse_the_schemas_once(spark):
     assert rows == [("Outer", -1, "text"), ("Outer_Amount", 0, "pydecimal"), ("Outer_Deep", 1, "text"), ("Outer_iban", 2, "iban")]
 
 
+def test_schemas_leave_the_parser_in_bounded_batches(spark, sf):
+    texts = [XSD] * (2 * xsd.PART_ROWS) + ["no xml", None, XSD]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["document", "xsd"])
+    made = [b.column("document").to_pylist() for b in xsd._parse(iter([batch]))]
+    assert [len(set(ids)) for ids in made] == [xsd.PART_ROWS, xsd.PART_ROWS, 1] and made[2] == [len(texts) - 1] * 9
+    assert "hashpartitioning(p_partkey" in plan(text.xsd_nested_fields(spark, sf))
+    assert "hashpartitioning(s_suppkey" in plan(text.xsd_wide_fields(spark, sf))
+
+
 def test_template_files_are_bounded(spark, sf, monkeypatch):
     monkeypatch.setattr(text, "FILE_TEMPLATES", 50)
     listed = text.xml_template_listing(spark, sf)
