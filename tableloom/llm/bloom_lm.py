@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableloom.llm.words import WordHashes, lower_words, map_batches, mix, signed, word_count
+from tableloom.llm.words import WordHashes, lower_words, map_batches, mix, signed, unmix, word_count
 from tableloom.session import materialise
 
 END, START = b" end", b" start"  # words hold no blank, so these are none
@@ -28,6 +28,9 @@ FREQUENT = 500_000  # at most so many words have a count of a FREQUENT-th of all
 CHUNK = 400_000  # tokens scored at a time
 PIECE = 2048  # tokens of a row that waits for answers
 COUNTED = 1_000_000  # tokens counted at a time
+LOTS, LOT_SEGMENTS = 512, 64  # lots of segments that are counted together; beyond so many lots, they hold as many segments
+BLOB = 256  # n-grams in a row on their way to their lot: bounds a batch of rows
+HELD = 1 << 22  # partial counts of a lot that a task holds before it adds them up
 TOKENS_PER_SEGMENT = 1 << 15
 WEIGHT = 0.7  # of the longer n-gram against the shorter one
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -66,23 +69,66 @@ def _pairs(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
     return mix(before * _STEP + tokens)
 
 
-def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
+def _segment_of(mixed: np.ndarray, segments: int) -> np.ndarray:
+    """The segment is in the first bits of a mixed hash, so sorted ones lie by segment."""
     shift = np.uint64(64 - segments.bit_length() + 1)
-    return (mix(keys) >> shift).astype(np.int32) if segments > 1 else np.zeros(len(keys), np.int32)
+    return (mixed >> shift).astype(np.int32) if segments > 1 else np.zeros(len(mixed), np.int32)
+
+
+def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
+    return _segment_of(mix(keys), segments)
+
+
+def _lots(segments: int) -> int:
+    """A constant number as long as a lot's counts are few enough for a task, so rows that travel grow with the input alone."""
+    return min(segments, max(LOTS, segments // LOT_SEGMENTS))
 
 
-def count_ngrams(texts: DataFrame, segments: int) -> DataFrame:
-    """``seg, kind, h, n``: partial counts; kind 1 are tokens, 0 pairs and the start of a text."""
+def _blobs(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """One binary per run of ``values``; ``starts`` are the places of the runs."""
+    ends = (np.append(starts, len(values)) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(values)])
+
+
+def _values(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of binaries without NULL laid end to end, and their bounds."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    values = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind)
+    return values, (ends - ends[0]) // values.itemsize
+
+
+def count_ngrams(texts: DataFrame, lots: int) -> DataFrame:
+    """``lot, kind, keys, n``: partial counts; a row holds the mixed hashes, sorted, and counts of n-grams of a chunk and lot.
+
+    Kind 1 are tokens, 0 pairs and the start of a text.
+    """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         hashes = WordHashes()
         for rows, tokens, before, _ in _chunks(batches, hashes, COUNTED):
             first = before[before == np.uint64(hashes[START])]
             for kind, keys in ((1, tokens), (0, np.concatenate((_pairs(tokens, before), first)))):
-                found, n = np.unique(keys, return_counts=True)
-                yield {"seg": _segment(found, segments), "kind": np.full(len(found), kind, np.int8), "h": signed(found), "n": n.astype(np.int64)}
+                found, n = np.unique(mix(keys), return_counts=True)
+                lot = _segment_of(found, lots)
+                starts = np.union1d(np.flatnonzero(np.diff(lot)) + 1, np.arange(0, len(found), BLOB))
+                yield {
+                    "lot": lot[starts],
+                    "kind": np.full(len(starts), kind, np.int8),
+                    "keys": _blobs(found, starts),
+                    "n": _blobs(n.astype(np.uint32), starts),  # a chunk has less than 2 * COUNTED tokens
+                }
+
+    return map_batches(texts.select("text"), run, "lot int, kind tinyint, keys binary, n binary")
 
-    return map_batches(texts.select("text"), run, "seg int, kind tinyint, h long, n long")
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, sorted, with the sum of its counts."""
+    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[starts], np.add.reduceat(n[order].astype(np.int64), starts)
 
 
 def _quantised(n: np.ndarray, least: int) -> np.ndarray:
@@ -115,35 +161,53 @@ def _segment_filter(keys: np.ndarray, counts: np.ndarray, least: int) -> bytes:
     return np.packbits(flags, bitorder="little").tobytes()
 
 
-def _build(counts: DataFrame, least: int) -> DataFrame:
-    """``kind, h, n, bits``: the counts of all tokens (kind 1), and one filter per segment (kind 2, h the segment, n its bytes)."""
+def _lot(held: dict[int, list], segments: int, least: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
+    """The tokens of a lot, their counts, and the filters of its segments; ``held`` are partial counts by kind."""
+    added = {kind: _added(parts) for kind, parts in held.items()}
+    h, n = added.get(1, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    keys, counts = (np.concatenate(x) for x in zip(*added.values(), strict=True))
+    keys, counts = keys[counts >= least], counts[counts >= least]
+    order = np.argsort(keys)
+    seg, keys, counts = _segment_of(keys[order], segments), unmix(keys[order]), counts[order]
+    edges = [0, *(np.flatnonzero(np.diff(seg)) + 1).tolist(), len(seg)] if len(seg) else []
+    filters = [(int(seg[a]), _segment_filter(keys[a:b], counts[a:b], least)) for a, b in zip(edges, edges[1:], strict=False)]
+    return unmix(h), n, filters
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        current = None
 
-        def flush() -> dict:
-            keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            bits = _segment_filter(keys.astype(np.int64).view(np.uint64), n, least)
-            return {"kind": [2], "h": [int(current)], "n": [len(bits)], "bits": [bits]}
+def _build(counts: DataFrame, segments: int, least: int) -> DataFrame:
+    """``kind, h, n, bits``: the counts of all tokens (kind 1), and one filter per segment (kind 2, h the segment, n its bytes).
+
+    ``counts`` as ``count_ngrams`` gives them, all rows of a lot in one task, one lot after the other.
+    """
+
+    def rows(tokens: np.ndarray, counted: np.ndarray, filters: list[tuple[int, bytes]]) -> dict:
+        bits = [raw for _, raw in filters]
+        return {
+            "kind": np.repeat(np.array([1, 2], np.int8), [len(tokens), len(bits)]),
+            "h": np.concatenate([signed(tokens), np.array([segment for segment, _ in filters], np.int64)]),
+            "n": np.concatenate([counted, np.array([len(raw) for raw in bits], np.int64)]),
+            "bits": pa.concat_arrays([pa.nulls(len(tokens), pa.binary()), pa.array(bits, pa.binary())]),
+        }
 
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        current, held, size = None, {}, 0
         for batch in batches:
-            seg, kind, h, n = (batch[c].to_numpy() for c in ("seg", "kind", "h", "n"))
-            token = kind == 1
-            if token.any():
-                yield {"kind": np.ones(token.sum(), np.int8), "h": h[token], "n": n[token], "bits": pa.nulls(int(token.sum()), pa.binary())}
-            seg, h, n = (x[n >= least] for x in (seg, h, n))
-            edges = np.flatnonzero(np.diff(seg)) + 1
-            for a, b in zip(np.concatenate(([0], edges)), np.concatenate((edges, [len(seg)])), strict=True):
-                if a == b:
-                    continue
-                if held and seg[a] != current:
-                    yield flush()
-                    held = []
-                current = seg[a]
-                held.append((h[a:b], n[a:b]))
+            lot, kind = batch["lot"].to_numpy(), batch["kind"].to_numpy()
+            (keys, ends), (n, _) = _values(batch["keys"], np.uint64), _values(batch["n"], np.uint32)
+            edges = [0, *(np.flatnonzero((np.diff(lot) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(lot)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if lot[a] != current:
+                    if held:
+                        yield rows(*_lot(held, segments, least))
+                    current, held, size = lot[a], {}, 0
+                part = slice(ends[a], ends[b])
+                held.setdefault(int(kind[a]), []).append((keys[part], n[part]))
+                size += ends[b] - ends[a]
+                if size > HELD:
+                    held = {k: [_added(parts)] for k, parts in held.items()}
+                    size = 0
         if held:
-            yield flush()
+            yield rows(*_lot(held, segments, least))
 
     return map_batches(counts, run, "kind tinyint, h long, n long, bits binary")
 
@@ -172,8 +236,8 @@ class FrequencyFilter:
         return out
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        found, place = np.unique(keys, return_inverse=True)
-        return _restored(self.levels(found), self.least)[place]
+        found, place = np.unique(mix(keys), return_inverse=True)  # by segment, so one's bits are read while they are near
+        return _restored(self.levels(unmix(found)), self.least)[place]
 
 
 @dataclass
@@ -199,8 +263,8 @@ def train(
 ) -> Model:
     """Count the tokens and pairs of all texts and store them in the filter.
 
-    Tasks count what they read and shuffle one row per distinct n-gram and chunk; one shuffle by segment adds the
-    counts up and lays out each segment's bits. A filter of at most ``broadcast`` bytes is collected in segments and sent
+    Tasks count what they read and shuffle rows of some hundred distinct n-grams of a chunk; one shuffle by
+    lots of segments adds the counts up and lays out each segment's bits. A filter of at most ``broadcast`` bytes is collected in segments and sent
     to the workers, a larger one stays a table. Exact counts stay a table: only words with at least a ``frequent``-th
     of all tokens leave it, at most ``frequent`` of them. N-grams with less than a ``stored``-th of all tokens are left
     out of the filter; by default none is.
@@ -209,8 +273,8 @@ def train(
     total = texts.agg(F.coalesce(F.sum(word_count(F.col("text"))), F.lit(0)) + F.count(F.lit(1))).first()[0]
     segments = 1 << (total // TOKENS_PER_SEGMENT).bit_length()
     least = max(1, -(-total // stored))
-    sums = count_ngrams(texts, segments).repartition("seg").groupBy("seg", "kind", "h").agg(F.sum("n").alias("n"))
-    stats = materialise(_build(sums.sortWithinPartitions("seg"), least), "ngrams")
+    counts = count_ngrams(texts, _lots(segments)).repartition("lot").sortWithinPartitions("lot", "kind")
+    stats = materialise(_build(counts, segments, least), "ngrams")
     tokens = stats.filter(F.col("kind") == 1).select("h", "n")
     common = tokens.filter(F.col("n") * frequent >= total).toArrow().sort_by("h")
     held = stats.filter(F.col("kind") == 2)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tableloom.llm import bloom_lm
+from tableloom.llm.words import mix, unmix
 from tests.llm.tables import documents
 
 ROWS = [(i, " ".join(f"w{(i * j) % 23}" for j in range(1 + i % 40))) for i in range(120)]
@@ -100,3 +101,31 @@ def test_rare_ngrams_count_in_a_large_corpus(spark, broadcast):
     assert model.least == 1
     known, other = sorted(map(tuple, bloom_lm.score(spark.createDataFrame([(1, "seldom seen"), (2, "seen seldom")], "doc_id long, text string"), model).collect()))
     assert known[2] == other[2] == 3 and known[5] > other[5] + 3
+
+
+def test_ngrams_travel_in_few_rows(spark):
+    texts = documents(spark, ROWS).coalesce(1)
+    rows = bloom_lm.count_ngrams(texts, 4).collect()
+    assert {(r.kind, r.lot) for r in rows} == {(kind, lot) for kind in (0, 1) for lot in range(4)}
+    sizes = [len(r.n) // 4 for r in rows]
+    assert len(rows) <= 8 + sum(sizes) // bloom_lm.BLOB and max(sizes) <= bloom_lm.BLOB
+    n = sum(np.frombuffer(r.n, np.uint32).sum() for r in rows if r.kind == 1)
+    assert n == sum(len(tokens(text)) for _, text in ROWS)
+    # neither do rows grow with segments, nor lots with the input
+    assert bloom_lm._lots(512) == bloom_lm._lots(1 << 15) == 512 and bloom_lm._lots(1 << 20) * bloom_lm.LOT_SEGMENTS == 1 << 20
+
+
+def test_scores_are_the_same_from_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "TOKENS_PER_SEGMENT", 64)
+    want = run(spark, ROWS, ASKED)
+    for name, value in (("COUNTED", 50), ("HELD", 20), ("BLOB", 3), ("LOTS", 2), ("LOT_SEGMENTS", 4)):
+        monkeypatch.setattr(bloom_lm, name, value)
+    found = run(spark, ROWS, ASKED)
+    assert [r[:4] for r in found] == [r[:4] for r in want]
+    for a, b in zip(found, want, strict=True):
+        assert a[4:] == pytest.approx(b[4:], rel=1e-9)
+
+
+def test_unmix():
+    keys = np.append(np.random.default_rng(1).integers(0, 1 << 64, 1000, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64))
+    assert (unmix(mix(keys)) == keys).all()
