@@ -167,14 +167,12 @@ def fit(
 
     def vectors(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            counts = [_ngram_counts(x.as_py()) for x in batch["text"]]
-            at = [np.flatnonzero(c).astype(np.int32) for c in counts]
-            yield {
-                "doc_id": batch["doc_id"],
-                "lang": batch["lang"],
-                "at": at,
-                "n": [c[i] for c, i in zip(counts, at, strict=True)],
-            }
+            at, n = [], []
+            for x in batch["text"]:  # one array of all features at a time
+                counts = _ngram_counts(x.as_py())
+                at.append(np.flatnonzero(counts).astype(np.int32))
+                n.append(counts[at[-1]])
+            yield {"doc_id": batch["doc_id"], "lang": batch["lang"], "at": at, "n": n}
 
     def centroids(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         dense = np.zeros((len(group), 1 << BITS), np.float32)

@@ -6,6 +6,7 @@ from collections import Counter
 import corpus_pipeline
 import sentencepiece
 from tableloom.llm import mixing, sentence_piece
+from tests.conftest import plan
 from tests.llm import test_line_dedup, test_near_dup
 from tests.llm.tables import documents
 from tests.llm.test_lang_id import WORDS
@@ -92,3 +93,12 @@ def test_near_duplicates_on_repeated_ids_stay_out(spark):
     kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), "").collect()
     found = sorted(((r.doc_id, r.text) for r in kept), key=str)
     assert found == sorted([(1, a), (0, b), (3, ""), (None, a), (None, a), (4, None), (5, "")], key=str)
+
+
+def test_only_repeated_rows_are_ranked(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "g h i j k l"), (None, "m n o p q"), (None, "m n o p q"), (3, None), (3, None), (4, "")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), "")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([*rows[1:6], *rows[7:]], key=str)
+    physical = plan(kept)
+    assert physical.index("Union") < physical.index("Window")  # texts of the others are not sorted for it
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(corpus_pipeline.PART_ROWS)
