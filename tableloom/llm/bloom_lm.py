@@ -3,18 +3,19 @@
 The filter holds every n-gram and grows with their number: a count c is stored as 1 + floor(log2(c)) entries of
 ``BITS_PER_ENTRY`` bits, found again by probing until one misses. It lies in segments by hash, a table of one row each.
 Up to ``BROADCAST`` bytes, counted before anything is collected, all segments go to every worker; beyond, the n-grams
-that texts ask for go to their segments and the answers come back, with the same scores.
+that texts ask for go to their lots of segments and the answers come back, with the same scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableloom.llm.words import WordHashes, lower_words, map_batches, mix, signed, unmix, word_count
@@ -27,6 +28,7 @@ PROBES, BITS_PER_ENTRY = 4, 8  # about 2.4 in 100 probes for an absent n-gram hi
 FREQUENT = 500_000  # at most so many words have a count of a FREQUENT-th of all tokens
 CHUNK = 400_000  # tokens scored at a time
 PIECE = 2048  # tokens of a row that waits for answers
+ASKED = 1_000_000  # tokens whose n-grams are asked for at a time
 COUNTED = 1_000_000  # tokens counted at a time
 LOTS, LOT_SEGMENTS = 512, 64  # lots of segments that are counted together; beyond so many lots, they hold as many segments
 BLOB = 256  # n-grams in a row on their way to their lot: bounds a batch of rows
@@ -75,10 +77,6 @@ def _segment_of(mixed: np.ndarray, segments: int) -> np.ndarray:
     return (mixed >> shift).astype(np.int32) if segments > 1 else np.zeros(len(mixed), np.int32)
 
 
-def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
-    return _segment_of(mix(keys), segments)
-
-
 def _lots(segments: int) -> int:
     """A constant number as long as a lot's counts are few enough for a task, so rows that travel grow with the input alone."""
     return min(segments, max(LOTS, segments // LOT_SEGMENTS))
@@ -98,6 +96,12 @@ def _values(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return values, (ends - ends[0]) // values.itemsize
 
 
+def _cuts(found: np.ndarray, lots: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lots of sorted mixed hashes, and places where rows of one lot and at most ``BLOB`` of them start."""
+    lot = _segment_of(found, lots)
+    return lot, np.union1d(np.flatnonzero(np.diff(lot)) + 1, np.arange(0, len(found), BLOB))
+
+
 def count_ngrams(texts: DataFrame, lots: int) -> DataFrame:
     """``lot, kind, keys, n``: partial counts; a row holds the mixed hashes, sorted, and counts of n-grams of a chunk and lot.
 
@@ -110,8 +114,7 @@ def count_ngrams(texts: DataFrame, lots: int) -> DataFrame:
             first = before[before == np.uint64(hashes[START])]
             for kind, keys in ((1, tokens), (0, np.concatenate((_pairs(tokens, before), first)))):
                 found, n = np.unique(mix(keys), return_counts=True)
-                lot = _segment_of(found, lots)
-                starts = np.union1d(np.flatnonzero(np.diff(lot)) + 1, np.arange(0, len(found), BLOB))
+                lot, starts = _cuts(found, lots)
                 yield {
                     "lot": lot[starts],
                     "kind": np.full(len(starts), kind, np.int8),
@@ -122,12 +125,17 @@ def count_ngrams(texts: DataFrame, lots: int) -> DataFrame:
     return map_batches(texts.select("text"), run, "lot int, kind tinyint, keys binary, n binary")
 
 
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where a key of sorted ones differs from that before it."""
+    return np.append(True, keys[1:] != keys[:-1])
+
+
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Each key once, sorted, with the sum of its counts."""
     keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(keys)
     keys = keys[order]
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    starts = np.flatnonzero(_firsts(keys))
     return keys[starts], np.add.reduceat(n[order].astype(np.int64), starts)
 
 
@@ -214,16 +222,21 @@ def _build(counts: DataFrame, segments: int, least: int) -> DataFrame:
 
 @dataclass
 class FrequencyFilter:
-    """All segments in one array of bytes."""
+    """Segments in one array of bytes: all, or of ``segments`` in all those from ``first`` on."""
 
     data: np.ndarray
     starts: np.ndarray
     bits: np.ndarray
     least: int
+    segments: int | None = None
+    first: int = 0
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The quantised count of each key: the number of probes that hit in a row."""
-        seg = _segment(keys, len(self.bits))
+        return self.levels_of_mixed(mix(keys))
+
+    def levels_of_mixed(self, mixed: np.ndarray) -> np.ndarray:
+        seg, keys = _segment_of(mixed, self.segments or len(self.bits)) - self.first, unmix(mixed)
         out, alive, level = np.zeros(len(keys), np.int64), np.flatnonzero(self.bits[seg] > 0), 0
         while len(alive):
             level += 1
@@ -237,7 +250,7 @@ class FrequencyFilter:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         found, place = np.unique(mix(keys), return_inverse=True)  # by segment, so one's bits are read while they are near
-        return _restored(self.levels(unmix(found)), self.least)[place]
+        return _restored(self.levels_of_mixed(found), self.least)[place]
 
 
 @dataclass
@@ -274,25 +287,26 @@ def train(
     segments = 1 << (total // TOKENS_PER_SEGMENT).bit_length()
     least = max(1, -(-total // stored))
     counts = count_ngrams(texts, _lots(segments)).repartition("lot").sortWithinPartitions("lot", "kind")
-    stats = materialise(_build(counts, segments, least), "ngrams")
+    stats = materialise(_build(counts, segments, least), "ngrams", free=True)
     tokens = stats.filter(F.col("kind") == 1).select("h", "n")
     common = tokens.filter(F.col("n") * frequent >= total).toArrow().sort_by("h")
     held = stats.filter(F.col("kind") == 2)
     parts = held.select(F.col("h").cast("int").alias("seg"), "bits")
     size = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    built = _collected(parts, segments, size, least) if size + 16 * segments <= broadcast else None
+    built = _laid_out(parts.toLocalIterator(), size, segments, least, 0, segments) if size + 16 * segments <= broadcast else None
     words, counts = common["h"].to_numpy(), common["n"].to_numpy()
     return Model(built, parts, segments, least, tokens, words, counts, total, tokens.count())
 
 
-def _collected(parts: DataFrame, segments: int, size: int, least: int) -> FrequencyFilter:
-    bits, starts = np.zeros(segments, np.uint64), np.zeros(segments, np.int64)
+def _laid_out(parts: Iterable[tuple[int, bytes]], size: int, segments: int, least: int, first: int, held: int) -> FrequencyFilter:
+    """The filter of ``held`` segments from ``first`` on; ``parts`` are their bits, ``size`` bytes in all."""
+    bits, starts = np.zeros(held, np.uint64), np.zeros(held, np.int64)
     data, end = np.zeros(size, np.uint8), 0
-    for seg, raw in parts.toLocalIterator():
+    for seg, raw in parts:
         data[end : end + len(raw)] = np.frombuffer(raw, np.uint8)
-        bits[seg], starts[seg] = len(raw) * 8, end
+        bits[seg - first], starts[seg - first] = len(raw) * 8, end
         end += len(raw)
-    return FrequencyFilter(data, starts, bits, least)
+    return FrequencyFilter(data, starts, bits, least, segments, first)
 
 
 @dataclass
@@ -303,130 +317,254 @@ class _Scorer:
     counts: np.ndarray
     below: int
 
-    def sums(self, tokens: np.ndarray, word: np.ndarray, context: np.ndarray, pair: np.ndarray, at: np.ndarray) -> dict:
-        """Columns of the rows that start at ``at``; ``word``, ``context`` and ``pair`` are the filter's counts."""
-        key = signed(tokens)
-        place = np.minimum(np.searchsorted(self.words, key), max(0, len(self.words) - 1))
-        common = self.words[place] == key if len(self.words) else np.zeros(len(key), bool)
-        base = np.zeros(len(key))
-        base[common] = np.log10((self.counts[place[common]] + 1) / self.below)
+    def codes(self, keys: np.ndarray) -> np.ndarray:
+        """1 + the place of each word (sorted, signed hashes) among the frequent ones, or 0."""
+        place = np.minimum(np.searchsorted(self.words, keys), max(0, len(self.words) - 1))
+        return np.where(self.words[place] == keys, place + 1, 0) if len(self.words) else np.zeros(len(keys), np.int64)
+
+    def sums(self, count: np.ndarray, word: np.ndarray, context: np.ndarray, pair: np.ndarray, at: np.ndarray) -> dict:
+        """Columns of the rows that start at ``at``; ``count`` are exact, ``word``, ``context`` and ``pair`` the filter's counts."""
         alone = (word + 1) / self.below
         chance = WEIGHT * np.minimum(1.0, pair / np.maximum(context, 1)) + (1 - WEIGHT) * alone
         chance = np.log10(np.where(context > 0, chance, alone))
-        ends = np.append(at[1:], len(key))
-        rare = np.append(0, np.cumsum(~common))[np.append(at, len(key))].astype(np.int32)
+        ends = np.append(at[1:], len(count))
         return {
             "n_tokens": ends - at,
-            "n_known": np.add.reduceat(common.astype(np.int64), at),
-            "base": np.add.reduceat(base, at),
+            "n_known": np.add.reduceat((count > 0).astype(np.int64), at),
+            "base": np.add.reduceat(np.log10((count + 1) / self.below), at),
             "chance": np.add.reduceat(chance, at),
-            "rare": pa.ListArray.from_arrays(pa.array(rare), pa.array(key[~common])),
         }
 
+    def parted(self, tokens: np.ndarray, word: np.ndarray, context: np.ndarray, pair: np.ndarray, at: np.ndarray) -> dict:
+        """Sums in which words that are not frequent count as 1 less ``below``: nothing; they are ``rare``, to be looked up."""
+        key = signed(tokens)
+        own, back = np.unique(key, return_inverse=True)
+        code = self.codes(own)[back]
+        sums = self.sums(np.append(self.below - 1, self.counts)[code], word, context, pair, at)
+        others = code == 0
+        rare = np.append(0, np.cumsum(others))[np.append(at, len(key))].astype(np.int32)
+        return sums | {"n_known": sums["n_tokens"] - np.diff(rare), "rare": pa.ListArray.from_arrays(pa.array(rare), pa.array(key[others]))}
+
 
-def _probes(rows: DataFrame, segments: int, id_type: str) -> DataFrame:
-    """For every chunk of texts, rows of its tokens (seg NULL, ``first`` the token before them), and by segment its n-grams."""
+def _texts(rows: DataFrame, id_type: str, shared: Broadcast[_Scorer]) -> DataFrame:
+    """Tokens of texts in pieces: numbered in the order they were read, ``chunk`` by chunk of about ``ASKED`` tokens.
+
+    ``codes`` are 1 + the places of frequent words or 0, the low bytes of all before the next ones; ``others`` are the hashes
+    of the rest, ``first`` is that of the token before the piece.
+    """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        hashes, task = WordHashes(), TaskContext.get().partitionId() << 33
-        for number, (parts, tokens, before, at) in enumerate(_chunks(batches, hashes, CHUNK), task):
+        hashes, chunk, number, size = WordHashes(), TaskContext.get().partitionId() << 33, 0, 0
+        for found, tokens, before, at in _chunks(batches, hashes, CHUNK):
             ends = np.append(at[1:], len(tokens))
-            cuts = [(b, i, c) for (b, i), start, end in zip(parts, at, ends, strict=True) for c in range(start, end, PIECE)]
-            places = np.array([c for _, _, c in cuts])
-            yield {
-                "chunk": np.full(len(cuts), number),
-                "seg": pa.nulls(len(cuts), pa.int32()),
-                "row": [b["row"][i].as_py() for b, i, _ in cuts],
-                "doc_id": [b["doc_id"][i].as_py() for b, i, _ in cuts],
-                "first": signed(before[places]),
-                "keys": pa.ListArray.from_arrays(pa.array(np.append(places, len(tokens)).astype(np.int32)), pa.array(signed(tokens))),
-            }
-            keys = np.unique(np.concatenate((tokens, before, _pairs(tokens, before))))
-            seg = _segment(keys, segments)
-            order = np.argsort(seg, kind="stable")
-            keys, seg = keys[order], seg[order]
-            edges = np.concatenate(([0], np.flatnonzero(np.diff(seg)) + 1))
-            n = len(edges)
+            cuts = [(b, i, c, min(c + PIECE, end)) for (b, i), start, end in zip(found, at, ends, strict=True) for c in range(start, end, PIECE)]
+            key = signed(tokens)
+            own, back = np.unique(key, return_inverse=True)
+            code = shared.value.codes(own)[back].astype("<u4")
+            chunks = []
+            for *_, start, end in cuts:
+                chunks.append(chunk)
+                size += end - start
+                if size >= ASKED:
+                    chunk, size = chunk + 1, 0
             yield {
-                "chunk": np.full(n, number),
-                "seg": seg[edges],
-                "row": pa.nulls(n, pa.int64()),
-                "doc_id": [None] * n,
-                "first": pa.nulls(n, pa.int64()),
-                "keys": pa.ListArray.from_arrays(pa.array(np.append(edges, len(keys)).astype(np.int32)), pa.array(signed(keys))),
+                "chunk": chunks,
+                "at": np.arange(number, number + len(cuts)),
+                "row": [b["row"][i].as_py() for b, i, _, _ in cuts],
+                "doc_id": [b["doc_id"][i].as_py() for b, i, _, _ in cuts],
+                "first": signed(before[[start for _, _, start, _ in cuts]]),
+                "codes": [code[a:b].view(np.uint8).reshape(-1, 4).T.tobytes() for _, _, a, b in cuts],
+                "others": [key[a:b][code[a:b] == 0].tobytes() for _, _, a, b in cuts],
             }
+            number += len(cuts)
 
-    schema = f"chunk long, seg int, row long, doc_id {id_type}, first long, keys array<long>"
-    return materialise(map_batches(rows, run, schema), "probes")
+    return map_batches(rows, run, f"chunk long, at long, row long, doc_id {id_type}, first long, codes binary, others binary")
 
 
-def _answers(probes: DataFrame, model: Model) -> DataFrame:
-    """``chunk, keys, levels``: each segment's filter comes first and what chunks ask of it streams by."""
-    least = model.least
-    asked = probes.filter("seg IS NOT NULL").select("seg", F.lit(1).alias("role"), "chunk", "keys", F.lit(None).cast("binary").alias("bits"))
-    held = model.parts.select(
-        "seg", F.lit(0).alias("role"), F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("array<long>").alias("keys"), "bits"
-    )
-    rows = asked.unionByName(held).repartition("seg").sortWithinPartitions("seg", "role")
+def _group(pieces: list[tuple[pa.Scalar, ...]], words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Tokens of the pieces (first, codes, others), the tokens before them, places of the pieces, and the codes."""
+    planes = [np.frombuffer(codes.as_buffer(), np.uint8).reshape(4, -1).T for _, codes, _ in pieces]
+    at = np.append(0, np.cumsum([len(x) for x in planes]))[:-1]
+    code = np.ascontiguousarray(np.concatenate(planes)).view("<u4")[:, 0].astype(np.int64)
+    tokens = np.append(0, words)[code]
+    tokens[code == 0] = np.concatenate([np.frombuffer(others.as_buffer(), np.int64) for _, _, others in pieces])
+    tokens = tokens.view(np.uint64)
+    before = np.append(np.uint64(0), tokens[:-1])
+    before[at] = np.array([first.as_py() for first, _, _ in pieces], np.int64).view(np.uint64)
+    return tokens, before, at, code
+
+
+def _asked_of(tokens: np.ndarray, before: np.ndarray, at: np.ndarray, code: np.ndarray) -> list[np.ndarray]:
+    """Mixed hashes of words that are not frequent, and of all other n-grams: frequent words, tokens before a piece, and pairs."""
+    return [mix(tokens[code == 0]), mix(np.concatenate((tokens[code > 0], before[at], _pairs(tokens, before))))]
+
+
+def _asked(texts: DataFrame, lots: int, shared: Broadcast[_Scorer]) -> DataFrame:
+    """``lot, chunk, at, part, keys``: a row holds n-grams of a group and lot, mixed and sorted; parts are a group's n-grams in order.
+
+    Parts below 0 are words whose exact count is asked for, too. A group are pieces of a chunk that a task reads one
+    after the other, ``at`` is its first one: a chunk is several groups if tasks share it.
+    """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        current, part = None, None
+        pieces, start, end = [], None, None
+
+        def rows() -> Iterator[dict]:
+            for sign, found in zip((-1, 1), _asked_of(*_group(pieces, shared.value.words)), strict=True):
+                found = np.sort(found)  # np.unique hashes first, which takes far longer
+                found = found[_firsts(found)] if len(found) else found
+                lot, starts = _cuts(found, lots)
+                n = len(starts)
+                part = np.arange(n) if sign > 0 else np.arange(-n, 0)
+                yield {"lot": lot[starts], "chunk": np.full(n, start[0]), "at": np.full(n, start[1]), "part": part, "keys": _blobs(found, starts)}
+
         for batch in batches:
-            seg, role = batch["seg"].to_numpy(), batch["role"].to_numpy()
-            edges = np.flatnonzero((np.diff(seg) != 0) | (role[:-1] == 0)) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(seg)], strict=True):
+            places = zip(batch["chunk"].to_pylist(), batch["at"].to_pylist(), strict=True)
+            for place, *piece in zip(places, batch["first"], batch["codes"], batch["others"], strict=True):
+                if place != end:
+                    if pieces:
+                        yield from rows()
+                    pieces, start = [], place
+                pieces.append(piece)
+                end = (place[0], place[1] + 1)
+        if pieces:
+            yield from rows()
+
+    return map_batches(texts.select("chunk", "at", "first", "codes", "others"), run, "lot int, chunk long, at long, part int, keys binary")
+
+
+def _packed(tokens: DataFrame, lots: int) -> DataFrame:
+    """``lot, keys, n``: mixed hashes of words of a lot and their counts; the table has a lot's words one after the other."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            mixed = mix(batch["h"].to_numpy().view(np.uint64))
+            lot = _segment_of(mixed, lots)
+            starts = np.flatnonzero(_firsts(lot))
+            yield {"lot": lot[starts], "keys": _blobs(mixed, starts), "n": _blobs(batch["n"].to_numpy(), starts)}
+
+    return map_batches(tokens, run, "lot int, keys binary, n binary")
+
+
+def _answers(asked: DataFrame, model: Model) -> DataFrame:
+    """``chunk, at, part, levels, n``: each lot's filters and words come first and what groups ask of them streams by.
+
+    ``n`` are exact counts, for parts below 0.
+    """
+    segments, lots, least = model.segments, _lots(model.segments), model.least
+    each = segments // lots
+    zero, no = F.lit(0).cast("long"), F.lit(b"").alias("n")
+
+    def dealt(df: DataFrame, lot: Column, role: int, chunk: Column, at: Column, part: Column, data: str, n: Column) -> DataFrame:
+        names = (lot.alias("lot"), F.lit(role).alias("role"), chunk.alias("chunk"), at.alias("at"), part.alias("part"), F.col(data).alias("data"), n)
+        return df.select(*names)
+
+    bits = dealt(model.parts, F.floor(F.col("seg") / each).cast("int"), 0, zero, zero, F.col("seg"), "bits", no)
+    words = dealt(_packed(model.tokens, lots), F.col("lot"), 1, zero, zero, F.lit(0), "keys", F.col("n"))
+    asked = dealt(asked, F.col("lot"), 2, F.col("chunk"), F.col("at"), F.col("part"), "keys", no)
+    rows = asked.unionByName(bits).unionByName(words).repartition("lot").sortWithinPartitions("lot", "role")
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        current, bits, words, own = None, [], [], None
+        for batch in batches:
+            lot, role = batch["lot"].to_numpy(), batch["role"].to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(lot) != 0) | (np.diff(role) != 0)) + 1).tolist(), len(lot)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if lot[a] != current:
+                    current, bits, words, own = lot[a], [], [], None
+                data = batch["data"].slice(a, b - a)
                 if role[a] == 0:
-                    raw = np.frombuffer(batch["bits"][a].as_py(), np.uint8)
-                    current, part = seg[a], FrequencyFilter(raw, np.zeros(1, np.int64), np.array([len(raw) * 8], np.uint64), least)
+                    bits += zip(batch["part"].slice(a, b - a).to_pylist(), data.to_pylist(), strict=True)
                     continue
-                keys = batch["keys"].slice(a, b - a)
-                found = keys.flatten()
-                levels = part.levels(found.to_numpy().view(np.uint64)) if current == seg[a] else np.zeros(len(found), np.int64)
-                offsets = pa.array(np.append(0, np.cumsum(keys.value_lengths().to_numpy())).astype(np.int32))
-                yield {
-                    "chunk": batch["chunk"].slice(a, b - a),
-                    "keys": pa.ListArray.from_arrays(offsets, found),
-                    "levels": pa.ListArray.from_arrays(offsets, pa.array(levels.astype(np.int8))),
-                }
+                keys, ends = _values(data, np.uint64)
+                if role[a] == 1:
+                    words.append((keys, _values(batch["n"].slice(a, b - a), np.int64)[0]))
+                    continue
+                if own is None:
+                    own, bits = _laid_out(bits, sum(len(raw) for _, raw in bits), segments, least, int(current) * each, each), []
+                    known, counts = _added(words) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                exact = np.repeat(batch["part"].slice(a, b - a).to_numpy() < 0, np.diff(ends))
+                n = _looked_up(keys[exact], known, counts)
+                places = np.append(0, np.cumsum(exact))[ends[:-1]]
+                names = {c: batch[c].slice(a, b - a) for c in ("chunk", "at", "part")}
+                yield names | {"levels": _blobs(own.levels_of_mixed(keys).astype(np.int8), ends[:-1]), "n": _blobs(n, places)}
+
+    return map_batches(rows, run, "chunk long, at long, part int, levels binary, n binary")
 
-    return map_batches(rows, run, "chunk long, keys array<long>, levels array<tinyint>")
+
+def _looked_up(keys: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The count of each key, 0 if it is none of the sorted ``known`` ones."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64)
+    place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[place] == keys, counts[place], 0)
+
+
+def _spread(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each key its value; ``values`` are those of the distinct keys in order."""
+    order = np.argsort(keys)
+    place = np.cumsum(_firsts(keys[order])) - 1 if len(keys) else order
+    assert len(values) == (place[-1] + 1 if len(place) else 0)
+    out = np.empty(len(keys), values.dtype)
+    out[order] = values[place]
+    return out
 
 
 def _score_by_shuffle(rows: DataFrame, model: Model, id_type: str, scorer: _Scorer, schema: str) -> DataFrame:
-    """The n-grams of each chunk are asked for once; a task holds one chunk's answers while its texts stream by."""
-    probes, least = _probes(rows, model.segments, id_type), model.least
+    """The n-grams of each group are asked for once, in few rows, and levels and counts come back alone, in the n-grams' order.
+
+    A task holds one group's answers and pieces. Texts and answers are written, so what is shuffled before goes once they are.
+    """
+    least = model.least
     shared = rows.sparkSession.sparkContext.broadcast(scorer)
-    nothing = (F.lit(None).cast(t).alias(c) for c, t in (("row", "long"), ("doc_id", id_type), ("first", "long")))
-    answers = _answers(probes, model).select("chunk", F.lit(0).alias("role"), *nothing, "keys", "levels")
-    texts = probes.filter("seg IS NULL").select(
-        "chunk", F.lit(1).alias("role"), "row", "doc_id", "first", "keys", F.lit(None).cast("array<tinyint>").alias("levels")
-    )
-    both = answers.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "role")
+    texts = materialise(_texts(rows, id_type, shared), "texts", free=True, compression="zstd")
+    asked = _asked(texts, _lots(model.segments), shared)
+    answers = materialise(_answers(asked, model), "answers", free=True, compression="zstd")
+    nothing = [F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("row", "doc_id", "first", "codes", "others")]
+    answers = answers.select("chunk", "at", F.lit(0).alias("role"), "part", "levels", "n", *nothing)
+    texts = texts.select(
+        "chunk", "at", F.lit(1).alias("role"), F.lit(0).alias("part"), F.lit(b"").alias("levels"), F.lit(b"").alias("n"),
+        "row", "doc_id", "first", "codes", "others",
+    )
+    both = answers.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "at", "role", "part")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        current, held, keys, counts = None, [], np.zeros(0, np.uint64), np.zeros(0)
+        levels, exact, pieces, names = ([], []), [], [], {"row": [], "doc_id": []}
+
+        def rows() -> dict:
+            tokens, before, at, code = _group(pieces, shared.value.words)
+            rare, other = _asked_of(tokens, before, at, code)
+            level = [np.concatenate([np.zeros(0, np.int8), *x]).astype(np.int64) for x in levels]
+            rare_word, other = (_spread(x, _restored(y, least)) for x, y in zip((rare, other), level, strict=True))
+            frequent = len(tokens) - len(rare)
+            word, before_piece, pair = np.empty(len(tokens)), other[frequent : frequent + len(at)], other[frequent + len(at) :]
+            word[code == 0], word[code > 0] = rare_word, other[:frequent]
+            context = np.append(word[:1], word[:-1])
+            context[at] = before_piece
+            count = np.append(0, shared.value.counts)[code]
+            count[code == 0] = _spread(rare, np.concatenate([np.zeros(0, np.int64), *exact]))
+            return names | shared.value.sums(count, word, context, pair, at)
+
         for batch in batches:
-            chunk, role = batch["chunk"].to_numpy(), batch["role"].to_numpy()
-            edges = np.flatnonzero((np.diff(chunk) != 0) | (np.diff(role) != 0)) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(chunk)], strict=True):
-                own = batch["keys"].slice(a, b - a)
-                found = own.flatten().to_numpy().view(np.uint64)
+            role = batch["role"].to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(role) != 0) + 1).tolist(), len(role)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                part = {c: x.slice(a, b - a) for c, x in batch.items()}
                 if role[a] == 0:
-                    held = held if current == chunk[a] else []
-                    current = chunk[a]
-                    held.append((found, batch["levels"].slice(a, b - a).flatten().to_numpy()))
-                    continue
-                assert current == chunk[a]
-                if held:
-                    keys, level = (np.concatenate(x) for x in zip(*held, strict=True))
-                    order = np.argsort(keys)
-                    keys, counts, held = keys[order], _restored(level[order].astype(np.int64), least), []
-                at = np.append(0, np.cumsum(own.value_lengths().to_numpy()))[:-1]
-                before = np.append(np.uint64(0), found[:-1])
-                before[at] = batch["first"].slice(a, b - a).to_numpy().view(np.uint64)
-                word, context, pair = (counts[np.searchsorted(keys, x)] for x in (found, before, _pairs(found, before)))
-                own_rows = {c: batch[c].slice(a, b - a) for c in ("row", "doc_id")}
-                yield own_rows | shared.value.sums(found, word, context, pair, at)
+                    if pieces:  # of the group before
+                        yield rows()
+                        levels, exact, pieces, names = ([], []), [], [], {"row": [], "doc_id": []}
+                    values, ends = _values(part["levels"], np.int8)
+                    cut = ends[np.searchsorted(part["part"].to_numpy(), 0)]
+                    levels[0].append(values[:cut])
+                    levels[1].append(values[cut:])
+                    exact.append(_values(part["n"], np.int64)[0])
+                else:
+                    pieces += zip(part["first"], part["codes"], part["others"], strict=True)
+                    for c, own in names.items():
+                        own += part[c].to_pylist()
+        if pieces:
+            yield rows()
 
     return map_batches(both, run, schema)
 
@@ -441,7 +579,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     by its own text; other columns are ignored.
 
     Frequent words are looked up where the text is read. The others leave as hashes and meet the exact counts in a
-    join; none of them has more than a small share of the training tokens.
+    join; none of them has more than a small share of the training tokens. Beside a filter that is not sent, they are
+    asked for with the n-grams.
     """
     spark = docs.sparkSession
     below = model.total + model.distinct + 1
@@ -451,9 +590,9 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")
     )
 
-    schema = f"row long, doc_id {id_type}, n_tokens long, n_known long, base double, chance double, rare array<long>"
+    schema = f"row long, doc_id {id_type}, n_tokens long, n_known long, base double, chance double"
     if model.filter is None:
-        parts = _score_by_shuffle(rows, model, id_type, scorer, schema)
+        parts = materialise(_score_by_shuffle(rows, model, id_type, scorer, schema), "scores", free=True)
     else:
         shared = spark.sparkContext.broadcast((model.filter, scorer))
 
@@ -465,21 +604,21 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 word = lm.counts(tokens)
                 context = np.append(word[:1], word[:-1])  # but for a text's first, a token's context is the token before it
                 context[at] = lm.counts(before[at])
-                yield names | own.sums(tokens, word, context, lm.counts(_pairs(tokens, before)), at)
-
-        parts = map_batches(rows, run, schema)
-    parts = materialise(parts, "scores")
-    asked = parts.select("row", "doc_id", F.explode("rare").alias("h")).join(model.tokens, "h", "left")
-    n = F.coalesce("n", F.lit(0))
-    looked_up = asked.select(
-        "row",
-        "doc_id",
-        F.lit(0).cast("long").alias("n_tokens"),
-        (n > 0).cast("long").alias("n_known"),
-        F.log10((n + 1) / F.lit(float(below))).alias("base"),
-        F.lit(0.0).alias("chance"),
-    )
-    sums = parts.drop("rare").unionByName(looked_up).groupBy("row", "doc_id")
+                yield names | own.parted(tokens, word, context, lm.counts(_pairs(tokens, before)), at)
+
+        parts = materialise(map_batches(rows, run, f"{schema}, rare array<long>"), "scores", free=True)
+        asked = parts.select("row", "doc_id", F.explode("rare").alias("h")).join(model.tokens, "h", "left")
+        n = F.coalesce("n", F.lit(0))
+        looked_up = asked.select(
+            "row",
+            "doc_id",
+            F.lit(0).cast("long").alias("n_tokens"),
+            (n > 0).cast("long").alias("n_known"),
+            F.log10((n + 1) / F.lit(float(below))).alias("base"),
+            F.lit(0.0).alias("chance"),
+        )
+        parts = parts.drop("rare").unionByName(looked_up)
+    sums = parts.groupBy("row", "doc_id")
     out = sums.agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "chance")])
     return out.select(
         "doc_id", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),

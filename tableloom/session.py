@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+FREE_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_FOLDERS: dict[str, str] = {}  # by application; local sessions without the setting
 
 
@@ -51,11 +54,25 @@ def new_work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    held = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if held is None else spark.conf.set(name, held)
+
+
+def materialise(df: DataFrame, label: str, free: bool = False, **options: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    With ``free``, what the write has shuffled goes when it ends, not when the driver collects its garbage.
+    """
     spark = df.sparkSession
     path = new_work_path(spark, label)
-    df.write.parquet(path)
+    with _setting(spark, FREE_SETTING, "true") if free else nullcontext():
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,4 +1,5 @@
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tableloom.llm import bloom_lm
 from tableloom.llm.words import mix, unmix
+from tableloom.session import FREE_SETTING, materialise
 from tests.llm.tables import documents
 
 ROWS = [(i, " ".join(f"w{(i * j) % 23}" for j in range(1 + i % 40))) for i in range(120)]
@@ -129,3 +131,44 @@ def test_scores_are_the_same_from_small_parts(spark, monkeypatch):
 def test_unmix():
     keys = np.append(np.random.default_rng(1).integers(0, 1 << 64, 1000, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64))
     assert (unmix(mix(keys)) == keys).all()
+
+
+def test_asked_ngrams_travel_in_few_rows(spark, monkeypatch):
+    for name, value in (("TOKENS_PER_SEGMENT", 1), ("LOTS", 4), ("LOT_SEGMENTS", 4096)):
+        monkeypatch.setattr(bloom_lm, name, value)
+    model = bloom_lm.train(documents(spark, ROWS), broadcast=0, frequent=26)
+    assert model.segments > 2000 and 0 < len(model.words) < model.distinct
+    scorer = spark.sparkContext.broadcast(bloom_lm._Scorer(model.words, model.counts, 1))
+    rows = documents(spark, ROWS).coalesce(1).select(F.col("doc_id").alias("row"), "doc_id", "text")
+    asked = bloom_lm._asked(bloom_lm._texts(rows, "bigint", scorer), 4, scorer).collect()
+    distinct = {None} | {x for _, text in ROWS for x in tokens(text)}
+    distinct |= {pair for _, text in ROWS for pair in zip([None, *tokens(text)], tokens(text), strict=False)}
+    assert sum(len(r["keys"]) // 8 for r in asked) == len(distinct)
+    assert len(asked) <= 2 * 4 + len(distinct) // bloom_lm.BLOB and {r.lot for r in asked} == set(range(4))
+
+
+@pytest.mark.parametrize("options", [{}, {"frequent": 5}])
+def test_chunks_that_tasks_share_give_the_same_scores(spark, monkeypatch, options):
+    want, write = run(spark, ROWS, ASKED, **options), bloom_lm.materialise
+    for name, value in (("TOKENS_PER_SEGMENT", 64), ("ASKED", 300), ("PIECE", 7), ("BLOB", 5), ("CHUNK", 100)):
+        monkeypatch.setattr(bloom_lm, name, value)
+    same = run(spark, ROWS, ASKED[:-1], **options)
+    asked = [*ASKED[:-1], (504, "w1 w2 " * 100)]
+    monkeypatch.setattr(bloom_lm, "materialise", lambda df, label, **more: write(df.repartition(5) if label == "texts" else df, label, **more))
+    found = run(spark, ROWS, asked, broadcast=0, **options)
+    assert len(found) == len(want) and [r[:4] for r in found if r[0] != 504] == [r[:4] for r in same]
+    for a, b in zip([r for r in found if r[0] != 504], same, strict=True):
+        assert a[4:] == pytest.approx(b[4:], rel=1e-9)
+
+
+def test_what_a_write_has_shuffled_goes_with_it(spark):
+    def files():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {str(x) for x in disk.getAllFiles().mkString(" ").split() if "shuffle_" in x}
+
+    held, before = files(), spark.conf.get(FREE_SETTING)
+    out = materialise(spark.range(1000).withColumn("n", F.col("id") % 7).repartition("n"), "freed", free=True)
+    end = time.time() + 30
+    while files() - held and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - held and out.count() == 1000 and spark.conf.get(FREE_SETTING) == before
